@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_prefix_targets
+from .mixing import op2_entropy_mix
+from .packing import op8_retrieval_packing
 from .quality import op3_quality_rules
 
 QUERIES = {
+    "op1_prefix_targets": op1_prefix_targets,
+    "op2_entropy_mix": op2_entropy_mix,
     "op3_quality_rules": op3_quality_rules,
+    "op8_retrieval_packing": op8_retrieval_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_prefix_targets": OP1_SQL,
+}
