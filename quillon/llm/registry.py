@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_prefix_targets
+from .ftrl import op5_quality_ftrl
 from .mixing import op2_entropy_mix
 from .packing import op8_retrieval_packing
 from .quality import op3_quality_rules
+from .toxicity import op6_toxic_neighbours
 
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
     "op2_entropy_mix": op2_entropy_mix,
     "op3_quality_rules": op3_quality_rules,
+    "op5_quality_ftrl": op5_quality_ftrl,
+    "op6_toxic_neighbours": op6_toxic_neighbours,
     "op8_retrieval_packing": op8_retrieval_packing,
 }
 
