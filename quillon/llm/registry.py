@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_prefix_targets
 from .ftrl import op5_quality_ftrl
+from .minhash import op9_minhash
 from .mixing import op2_entropy_mix
 from .packing import op8_retrieval_packing
 from .quality import op3_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_quality_ftrl": op5_quality_ftrl,
     "op6_toxic_neighbours": op6_toxic_neighbours,
     "op8_retrieval_packing": op8_retrieval_packing,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {
