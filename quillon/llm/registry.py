@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_prefix_targets
+from .ctw import op4_context_tree
+from .forest import op7_prefix_forest
 from .ftrl import op5_quality_ftrl
 from .minhash import op9_minhash
 from .mixing import op2_entropy_mix
@@ -14,8 +16,10 @@ QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
     "op2_entropy_mix": op2_entropy_mix,
     "op3_quality_rules": op3_quality_rules,
+    "op4_context_tree": op4_context_tree,
     "op5_quality_ftrl": op5_quality_ftrl,
     "op6_toxic_neighbours": op6_toxic_neighbours,
+    "op7_prefix_forest": op7_prefix_forest,
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_minhash": op9_minhash,
 }

@@ -91,7 +91,9 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values in each row; 0 for empty rows."""
-    total = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)))
+    if values.dtype.kind == "f":
+        return np.bincount(row_of(offsets), values, len(offsets) - 1)
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(values)))
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
