@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_prefix_targets
 from .ctw import op4_context_tree
 from .forest import op7_prefix_forest
 from .ftrl import op5_quality_ftrl
+from .linejoin import op10_line_join
 from .minhash import op9_minhash
 from .mixing import op2_entropy_mix
 from .packing import op8_retrieval_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_prefix_forest": op7_prefix_forest,
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_minhash": op9_minhash,
+    "op10_line_join": op10_line_join,
 }
 
 ORACLES: dict[str, str] = {
