@@ -4,10 +4,9 @@ A line's set are its distinct words (A-Z lower-cased). Of lines whose sets have
 of at least 80 in 100, every one but the earliest goes: a line is removed if any earlier line, by
 (doc_id, line number), matches it. Lines of fewer than ``min_words`` distinct words are never touched.
 
-Words are ordered by rarity over all documents (the frequent ones by count, the others, which are
-all rarer, by hash), and a line posts the words of its prefix: two matching lines share one. Rows of
-one word are met in order of position; a pair passes a length and a positional filter before its
-full sets are compared. Lines with equal sets are one class (by a 64-bit digest) and are removed but
+Words are ordered by rarity over all documents, and a line posts the words of its prefix: two
+matching lines share one. Rows of one word are met in order of position; a pair passes a length and
+a positional filter before its full sets are compared. Lines with equal sets are one class (by a 64-bit digest) and are removed but
 the first without any comparison. Where one word has many lines, all are compared with the earliest
 first; only lines without a match so far are compared with the others.
 """
@@ -21,12 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .rarity import counters, rarity
 from .tables import documents, write_table
 
 PERCENT = 80
 MIN_WORDS = 3
-#: Words of more than 1/HEAVY of all postings are at most this many; their counts are broadcast.
-HEAVY = 100_000
 #: All pairs of a word's lines are formed at once up to this many lines.
 SMALL_GROUP = 24
 BROADCAST_IDS = 1_000_000
@@ -39,29 +37,17 @@ def _count_words(batches):
         words = tx.tokenise(tx.texts(batch), lower=True)
         count = np.bincount(words.codes, minlength=len(words.words))
         used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(tx.hashes(words.words.take(pa.array(used)), 51).view(np.int64)), pa.array(count[used])], names=["word", "n"])
-
-
-def frequent_words(docs: DataFrame) -> DataFrame:
-    """(word, n) of words of more than 1/HEAVY of all words, counted over all documents."""
-    counts = write_table(docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") * HEAVY > total)
+        yield pa.RecordBatch.from_arrays([pa.array(tx.hashes(words.words.take(pa.array(used)), 51).view(np.int64)), pa.array(count[used])], names=["item", "n"])
 
 
 class _Lines:
     """The lines of a chunk of texts, as ordered distinct tokens."""
 
-    def __init__(self, column: pa.Array, heavy: tuple[np.ndarray, np.ndarray] | None, min_words: int):
+    def __init__(self, column: pa.Array, counts: np.ndarray | None, min_words: int):
         lines, at = tx.split_lines(column)
         words = tx.tokenise(lines, lower=True)
         hashed = tx.hashes(words.words, 51)
-        count = np.zeros(len(hashed), np.int64)
-        if heavy is not None and len(heavy[0]):
-            place = np.searchsorted(heavy[0], hashed)
-            place[place == len(heavy[0])] = 0
-            known = heavy[0][place] == hashed
-            count[known] = heavy[1][place[known]]
+        count = np.zeros(len(hashed), np.int32) if counts is None else rarity(counts, hashed)
         order = np.lexsort((hashed, count))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -85,10 +71,10 @@ class _Lines:
 _LINES = "kind int, doc_id long, line int, digest long, lines array<int>, n int, word long, p int"
 
 
-def _line_rows(heavy, min_words: int, percent: int):
+def _line_rows(counts, min_words: int, percent: int):
     def rows(batches):
         for batch in tx.chunks(batches):
-            found = _Lines(tx.texts(batch), heavy.value, min_words)
+            found = _Lines(tx.texts(batch), counts.value, min_words)
             ids = batch.column("doc_id").to_numpy()
             if not len(found.live):
                 continue
@@ -242,10 +228,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     line numbers (from 0) go; and the table of all lines by class."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    counts = frequent_words(texts).toPandas()
-    order = np.argsort(counts["word"].to_numpy(np.int64).view(_U))
-    heavy = spark.sparkContext.broadcast((counts["word"].to_numpy(np.int64).view(_U)[order], counts["n"].to_numpy(np.int64)[order]))
-    rows = write_table(texts.mapInArrow(_line_rows(heavy, min_words, percent), _LINES), "lines")
+    shared = spark.sparkContext.broadcast(counters(texts.select("text").mapInArrow(_count_words, "item long, n long")))
+    rows = write_table(texts.mapInArrow(_line_rows(shared, min_words, percent), _LINES), "lines")
     lines = rows.filter("kind = 0").select("doc_id", "line", "digest", "lines", "n")
     classes = write_table(lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line")), "classes")
     join = _Join(texts, classes, percent, min_words)
