@@ -27,10 +27,8 @@ from .tables import documents, write_table
 #: Labelled rows of the index, by hash of their ids.
 MAX_EXAMPLES = 10_000
 MIN_EXAMPLES_WITH_WORD = 3
-#: Least log-likelihood ratio of a term and the label; unlike chi-squared it holds for rare terms.
-LEAST_RATIO = 14.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 PRIOR_VOTE = 1.0
 _TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -87,7 +85,10 @@ def choose_vocabulary(sample: DataFrame) -> np.ndarray:
         return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
 
     ratio = 2 * (part(a, df * p / n) + part(df - a, df * (n - p) / n) + part(p - a, (n - df) * p / n) + part(n - p - df + a, (n - df) * (n - p) / n))
-    chosen = counts.filter(F.col("df") < n).filter(ratio >= LEAST_RATIO).select("term").collect()
+    counts = write_table(counts, "terms")
+    # of T terms without any bearing on the label, about one passes; unlike chi-squared, the ratio holds for rare terms
+    least = 2 * np.log(max(1, counts.count())) - 2
+    chosen = counts.filter((df < n) & (a * n > df * p)).filter(ratio >= float(least)).select("term").collect()
     return np.sort(np.array([r.term for r in chosen], np.int64).view(np.uint64))
 
 
@@ -120,11 +121,14 @@ class Index:
     doc_id: np.ndarray
     y: np.ndarray
     terms: list[np.ndarray]  # by block: the terms it holds
-    weights: list[np.ndarray]  # by block: examples x terms
+    weights: list[np.ndarray]  # by block: terms x examples
     maxima: np.ndarray  # terms x blocks
     prior: float  # of a text without any term
     curve: tuple[float, float] = (0.0, 1.0)
 
+    def __post_init__(self):
+        self.places = {d: i for i, d in enumerate(self.doc_id.tolist())}
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, own, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (not ``own``), nearest first, ties to the earlier one."""
         bounds = weights @ self.maxima[terms]
@@ -136,11 +140,15 @@ class Index:
             at = np.searchsorted(held, terms)
             at[at == len(held)] = 0
             same = held[at] == terms
-            score = self.weights[b][:, at[same]] @ weights[same]
-            place = b * BLOCK + np.flatnonzero(score > 0)
-            score = score[score > 0]
-            other = self.doc_id[place] != own if own is not None else np.ones(len(place), bool)
-            best, found = np.concatenate((best, score[other])), np.concatenate((found, place[other]))
+            score = weights[same] @ self.weights[b][at[same]]
+            if own is not None and own in self.places and self.places[own] // BLOCK == b:
+                score[self.places[own] % BLOCK] = 0
+            least = best[-1] if len(best) == k else 0.0
+            place = np.flatnonzero(score > least) if least else np.flatnonzero(score)
+            if len(place) > 4 * k:  # ties to the k-th stay in
+                cut = np.partition(score[place], len(place) - k)[len(place) - k]
+                place = place[score[place] >= cut]
+            best, found = np.concatenate((best, score[place])), np.concatenate((found, b * BLOCK + place))
             order = np.lexsort((found, -best))[:k]
             best, found = best[order], found[order]
         return found, best
@@ -186,7 +194,7 @@ def build_index(vocabulary: np.ndarray, idf: np.ndarray, doc_id: np.ndarray, y:
         dense[at[mine] % BLOCK, column_of] = weight[mine]
         maxima[held, b] = dense.max(axis=0)
         terms.append(held)
-        weights.append(dense)
+        weights.append(np.ascontiguousarray(dense.T))
     index = Index(vocabulary, idf, doc_id[kept], y[kept].astype(float), terms, weights, maxima, prior)
     votes, truth = [], []
     start = np.searchsorted(row, np.arange(n + 1))
@@ -251,15 +259,22 @@ def _scorer(model):
         for batch in tx.chunks(batches):
             row, term, count, n_words = _known_terms(tx.texts(batch), index.vocabulary)
             weight = _weighted(row, term, count, index.idf, n_words)
-            scores, evidence = np.full(batch.num_rows, index.prior), [[] for _ in range(batch.num_rows)]
+            scores = np.full(batch.num_rows, index.prior)
             start = np.searchsorted(row, np.arange(batch.num_rows + 1))
             ids = batch.column("doc_id").to_pylist()
+            near, cosines, size = [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(batch.num_rows, np.int64)
             for i in np.unique(row).tolist():
                 mine = slice(start[i], start[i + 1])
                 found, cosine = index.nearest(term[mine], weight[mine], ids[i])
                 scores[i] = index.probability(found, cosine)
-                evidence[i] = [{"doc_id": int(index.doc_id[f]), "similarity": float(c), "label": int(index.y[f])} for f, c in zip(found, cosine, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+                near.append(found)
+                cosines.append(cosine)
+                size[i] = len(found)
+            near = np.concatenate(near)
+            entries = [pa.array(index.doc_id[near]), pa.array(np.concatenate(cosines)), pa.array(index.y[near].astype(np.int32))]
+            places = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+            evidence = pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(entries, fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), evidence], names=["doc_id", "score", "evidence"])
 
     return score
 
