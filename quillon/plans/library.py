@@ -1,5 +1,6 @@
 """All queries of the library, by name."""
 
+from . import predictions, spectra
 from .catalogue import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "predictions", "spectra"]
