@@ -10,6 +10,7 @@ only the last window of a shard is padded. Nothing is shuffled.
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ SHARD_TOKENS = 2_000_000
 #: A document asks with this many of its terms, those of the highest weight.
 QUERY_TERMS = 24
 _K1, _B = 1.2, 0.75
-_CACHE = 250_000
+#: Words whose ids a worker remembers.
+_CACHE = 600_000
+_CHUNK = 12 << 20
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -52,55 +55,61 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.recent: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        self.marks = {c: self._encode([c])[0] for c in ".,"}
+        self.marks = [self._encode([c])[0] for c in ".,"]
+        self._reset([], np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def _reset(self, names: list[str], lengths: np.ndarray, pool: np.ndarray) -> None:
+        self.known = dict(zip(names, range(len(names)), strict=True))
+        self.lengths, self.starts, self.pool = lengths, np.cumsum(lengths) - lengths, pool
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _known(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words; the cache holds two generations, so its size is bounded."""
-        recent, older = self.recent, self.older
-        fresh = []
-        for w in words:
-            if w not in recent:
-                if (ids := older.get(w)) is not None:
-                    recent[w] = ids
-                else:
-                    fresh.append(w)
-        fresh = list(dict.fromkeys(fresh))
-        recent.update(zip(fresh, self._encode(fresh), strict=True))
-        out = [recent[w] for w in words]
-        if len(recent) > _CACHE:
-            self.older, self.recent = recent, {}
-        return out
+    def _places(self, names: list[str]) -> np.ndarray:
+        """Where the ids of each of some distinct words lie in ``pool``; a full cache keeps these words only."""
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            words = [names[i] for i in fresh.tolist()]
+            ids = self._encode(words)
+            first = len(self.lengths)
+            place[fresh] = np.arange(first, first + len(words))
+            self.known.update(zip(words, range(first, first + len(words)), strict=True))
+            self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))))
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.int32)))
+        if len(self.known) > _CACHE:
+            n = self.lengths[place]
+            self._reset(names, n, self.pool[_spread(self.starts[place], n)])
+            place = np.arange(len(names))
+        return place
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) with the end id after each text, and offsets by text."""
         special = pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
         words = tx.tokenise(pc.if_else(pa.array(special), "", column), lower=True)
-        used = np.zeros(len(words.words), bool)
-        used[words.codes] = True
-        names = words.words.filter(pa.array(used)).to_pylist()
-        cores, tails = [], []
-        for w in names:
-            mark = w[-1] if w[-1] in ".," and len(w) > 1 and w[-2].isascii() and w[-2].isalnum() else ""
-            tails.append(mark)
-            cores.append(w[:-1] if mark else w)
-        ids = [i + self.marks[t] if t else i for i, t in zip(self._known(cores), tails, strict=True)]
-        lengths = np.zeros(len(words.words), np.int64)
-        lengths[used] = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        # every text is its words and one end: lay them out together
-        size = np.concatenate((np.array([0], np.int64), np.cumsum(lengths[words.codes])))
+        used = np.bincount(words.codes, minlength=len(words.words)) > 0
+        names = words.words
+        marked = pc.match_substring_regex(names, "[A-Za-z0-9][.,]$").to_numpy(zero_copy_only=False) & used
+        mark = np.zeros(len(names), np.int64)  # 0: none, 1: full stop, 2: comma
+        mark[marked] = np.where(pc.ends_with(names, ",").to_numpy(zero_copy_only=False)[marked], 2, 1)
+        cores = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(names, 0, -1), names).filter(pa.array(used)).dictionary_encode()
+        place = np.zeros(len(names), np.int64)
+        place[used] = self._places(cores.dictionary.to_pylist())[cores.indices.to_numpy()]
+        core = np.where(used, self.lengths[place] if len(self.lengths) else 0, 0)
+        # every text is its words, each with its mark, and one end
+        after = np.array([0, *map(len, self.marks)])[mark]
+        length = core[words.codes]
+        total = length + after[words.codes]
+        size = np.concatenate((np.zeros(1, np.int64), np.cumsum(total)))
         ends = size[words.offsets[1:]] + np.arange(1, len(column) + 1)
         out = np.full(int(size[-1]) + len(column), END_ID, np.int32)
-        length = lengths[words.codes]
-        place = size[:-1] + tx.row_of(words.offsets)
-        steps = np.arange(int(size[-1])) - np.repeat(size[:-1], length)
-        out[np.repeat(place, length) + steps] = pool[np.repeat(starts[words.codes], length) + steps]
+        at = size[:-1] + tx.row_of(words.offsets)
+        out[_spread(at, length)] = self.pool[_spread(self.starts[place[words.codes]], length)] if len(self.pool) else 0
+        for k, ids in enumerate(self.marks, 1):
+            here = np.flatnonzero(mark[words.codes] == k)
+            for j, x in enumerate(ids):
+                out[at[here] + length[here] + j] = x
         offsets = np.concatenate(([0], ends))
         if special.any():
             whole = dict(zip(np.flatnonzero(special).tolist(), self._encode(column.filter(pa.array(special)).to_pylist()), strict=True))
@@ -109,6 +118,22 @@ class WordEncoder:
         return out, offsets
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... up to lengths[i] places, for all i in turn."""
+    total = np.cumsum(lengths)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts - (total - lengths), lengths)
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker process's encoder, with the words that its earlier tasks have met."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class Index:
     """BM25 postings of a shard's documents."""
 
@@ -194,7 +219,7 @@ def arrange(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.nd
 
 def _packer(path: str, window: int):
     def pack_task(batches):
-        encode = WordEncoder(path)
+        encode = encoder(path)
         base = TaskContext.get().partitionId() << 36
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         tokens = 0
@@ -216,7 +241,7 @@ def _packer(path: str, window: int):
                 columns = [doc_ids.take(pa.array(p[:, 0])), p[:, 1], p[:, 2], np.diff(offsets)[p[:, 0]], sequences[at : at + 2000], p[:, 4], pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in tx.chunks(batches):
+        for batch in tx.chunks(batches, size=_CHUNK):
             ids, offsets = encode(tx.texts(batch))
             held.append((batch.column("doc_id"), ids, offsets))
             tokens += len(ids)
