@@ -336,7 +336,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     counted = asked.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
     dealt = counted.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
     model = write_table(dealt.mapInArrow(_weigh_task, _MODEL), "contexts")
-    top = model.filter("kind = 2").groupBy("key").agg(*[F.sum(c).alias(c) for c in "abw"]).toPandas()
+    top = model.filter("kind = 2").groupBy("key").agg(*[F.sum(c).alias(c) for c in "abw"]).toArrow().to_pandas()
     shared = spark.sparkContext.broadcast(top_levels(top))  # 256 contexts x 255 decisions
     answers = model.filter("kind = 1").select("key", "bits").mapInArrow(_answer(shared), "key long, value double")
 

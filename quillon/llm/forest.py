@@ -152,7 +152,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float |
     if share is None:
         draw = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 40))
         sample = base if n <= SAMPLE_ROWS else base.filter(draw < int((1 << 40) * SAMPLE_ROWS / n))
-        share = fit_share(_matrix(sample.toPandas().sort_values("vec_id")["v"]), longest, k)
+        share = fit_share(_matrix(sample.toArrow().to_pandas().sort_values("vec_id")["v"]), longest, k)
     asked = usable(queries, shape[0])
     shards = -(-n // SHARD_ROWS)
     blocks = max(1, -(-asked.count() // QUERY_ROWS))

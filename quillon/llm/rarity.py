@@ -17,10 +17,10 @@ _MASK = np.uint64((1 << BITS) - 1)
 
 def counters(counts: DataFrame) -> np.ndarray:
     """2**BITS counters (8 MB) of a table (item: long, n: long)."""
-    summed = counts.groupBy(F.col("item").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("slot")).agg(F.sum("n").alias("n"))
-    rows = summed.toPandas()
+    summed = counts.groupBy(F.col("item").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("slot")).agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    rows = summed.toArrow()
     out = np.zeros(1 << BITS, np.int32)
-    out[rows["slot"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), 2**31 - 1)
+    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
