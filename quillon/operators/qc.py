@@ -71,7 +71,7 @@ Rule = Callable[[], Column]
 def rule_table(components: DataFrame, rules: dict[str, Column], subjects: int, retained: str | None = None) -> DataFrame:
     """For each named rule, in one pass: exclusions kept, kept per subject, share vetoed."""
     named = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("keep")) for n, c in rules.items()])
-    rows = components.withColumn("__r", F.explode(named)).select("*", "__r.rule", "__r.keep")
+    rows = components.select(F.explode(named).alias("__r")).select("__r.rule", "__r.keep")
     out = rows.groupBy("rule").agg(F.sum(F.col("keep").cast("long")).alias("kept"), F.count("*").alias("__n"))
     return out.select("rule", "kept", (F.col("kept") / F.lit(float(subjects))).alias("per_subject"), (100 * (1 - F.col("kept") / F.col("__n"))).alias("pct_vetoed"))
 

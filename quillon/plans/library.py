@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from . import predictions, spectra
+from . import predictions, profiles, spectra, wide
 from .catalogue import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "predictions", "spectra"]
+__all__ = ["ORACLES", "QUERIES", "predictions", "profiles", "spectra", "wide"]

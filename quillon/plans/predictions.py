@@ -20,10 +20,10 @@ def _round(df, *names, digits=6):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-@query("subject_mean_prob", f"WITH {EPOCHS} SELECT subject_id, true_label, round(round(avg(prob), 9), 6) AS mean_prob, count(*) AS n_epochs, CASE WHEN round(avg(prob), 9) >= 0.5 THEN 'ADHD' ELSE 'Control' END AS pred_label FROM epochs GROUP BY 1, 2")
+@query("subject_mean_prob", f"WITH {EPOCHS} SELECT subject_id, true_label, round(avg(prob), 9) AS mean_prob, count(*) AS n_epochs, CASE WHEN round(avg(prob), 9) >= 0.5 THEN 'ADHD' ELSE 'Control' END AS pred_label FROM epochs GROUP BY 1, 2")
 def subject_mean_prob(spark, d):
     mean = metrics.subject_mean(epochs(spark, d)).withColumn("mean_prob", F.round("mean_prob", 9))
-    return mean.withColumn("pred_label", F.when(F.col("mean_prob") >= 0.5, "ADHD").otherwise("Control")).withColumn("mean_prob", F.round("mean_prob", 6))
+    return mean.withColumn("pred_label", F.when(F.col("mean_prob") >= 0.5, "ADHD").otherwise("Control"))
 
 
 @query("confusion_metrics", f"WITH {EPOCHS}, s AS (SELECT subject_id, true_label = 'ADHD' AS t, round(avg(prob), 9) >= 0.5 AS y FROM epochs GROUP BY subject_id, true_label) SELECT {_CELLS} FROM s")
