@@ -7,9 +7,11 @@ fills. Equal coordinates of two sketches estimate the Jaccard similarity, with t
 independent trials. Bands of coordinates make candidates; each is confirmed on the full sets.
 
 Documents with equal sets form a class, of which one representative is sketched. Inside a bucket
-candidates are not paired all with all: everything is compared with one pivot, then with other
-pivots what the links so far leave in different components, and at last all remaining pairs across
-components. Pairs inside a component need no test, as a further link would not change it.
+candidates are not paired all with all: everything is compared with one pivot, then with another
+what the links so far leave in different components. Pairs inside a component need no test, as a
+further link would not change it. What is left across components is paired at once where it is
+little; else (many documents that share a passage, say) by an exact prefix filter: shingles are
+ordered by rarity, and two sets as similar as wanted share one of their rarest.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
+from .rarity import counters, rarity
 from .tables import documents, write_table
 
 #: 42 bands of 6: a pair at the least similarity of 0.8 shares no band with probability 2.8e-6.
@@ -156,6 +159,28 @@ def _confirm(percent: int):
     return confirm
 
 
+def _shingle_counts(batches):
+    for batch in batches:
+        data = batch.column("set").to_pylist()
+        if data:
+            value, count = np.unique(np.frombuffer(b"".join(data), _U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["item", "n"])
+
+
+def _prefixes(counts, percent: int):
+    def prefixes(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            for i, data in enumerate(batch.column("set").to_pylist()):
+                own = np.frombuffer(data, _U)
+                k = int(n[i] - -(-percent * n[i] // 100) + 1)
+                first = own[np.lexsort((own, rarity(counts.value, own)))[:k]]
+                one = pa.array(np.zeros(k, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), *[batch.column(c).slice(i, 1).take(one) for c in ("rep", "component", "n")], pa.array(np.arange(k, dtype=np.int32))], names=["shingle", "rep", "component", "n", "p"])
+
+    return prefixes
+
+
 @dataclass
 class _Search:
     """The state of one search: bucket members, sets of their representatives, and pairs tested so far."""
@@ -187,6 +212,17 @@ class _Search:
         every = self.labels.unionByName(across.select(F.col("u").alias("node")).unionByName(across.select(F.col("v").alias("node"))).distinct().join(self.labels, "node", "left_anti").select("node", F.col("node").alias("component")))
         self.labels = write_table(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
+    def across(self, left: DataFrame) -> DataFrame:
+        """Pairs across components among the members ``left`` that share a shingle of their prefixes."""
+        rows = write_table(left.select("rep", "component").distinct().join(self.sets, "rep"), "left")
+        counts = counters(rows.select("set").mapInArrow(_shingle_counts, "item long, n long"))
+        shared = rows.sparkSession.sparkContext.broadcast(counts)
+        posted = write_table(rows.mapInArrow(_prefixes(shared, self.percent), "shingle long, rep long, component long, n long, p int"), "prefixes")
+        other = posted.select("shingle", F.col("rep").alias("v"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("p").alias("q"))
+        need = F.ceil(F.lit(self.percent) * (F.col("n") + F.col("m")) / F.lit(100 + self.percent))
+        fine = (100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= need)
+        return posted.join(other, "shingle").filter((F.col("component") < F.col("c")) & fine).select(F.col("rep").alias("u"), "v")
+
     def open(self) -> DataFrame:
         """Members of the buckets that hold more than one component."""
         now = self.members.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -194,6 +230,12 @@ class _Search:
         return write_table(now.join(mixed, "key"), "open")
 
 
+def _few(left: DataFrame) -> bool:
+    """Whether all pairs of the open buckets are not many more than their members."""
+    size = left.agg(F.count("*").alias("n"), F.sum("m").alias("pairs")).first()
+    return not size.n or size.pairs <= 8 * size.n
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -219,19 +261,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     search = _Search(members.select("key", "rep"), sets, percent)
     search.test(members.select(F.col("pivot").alias("u"), F.col("rep").alias("v")))
-    for turn in (1, 2):
-        left = search.open()
-        few = left.agg(F.count("*").alias("n"), F.sum("m").alias("pairs")).first()
-        # where all pairs of the open buckets are not many more than their members, test them at once
-        if not few.n or few.pairs <= 8 * few.n:
-            break
-        pick = F.xxhash64("rep", F.lit(turn))
+    left = search.open()
+    if not _few(left):
+        pick = F.xxhash64("rep", F.lit(1))
         chosen = left.groupBy("key").agg(F.min(pick).alias("pick"))
         pivots = left.withColumn("pick", pick).join(chosen, ["key", "pick"]).select("key", F.col("rep").alias("u"), F.col("component").alias("c"))
         search.test(left.join(pivots, "key").filter("component <> c").select("u", F.col("rep").alias("v")))
-    else:
         left = search.open()
-    if left.limit(1).count():
+    if not _few(left):
+        search.test(search.across(left))
+    elif left.limit(1).count():
         other = left.select("key", F.col("rep").alias("v"), F.col("component").alias("c"))
         search.test(left.join(other, "key").filter("component < c").select(F.col("rep").alias("u"), "v"))
 
