@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from . import predictions, profiles, spectra, wide
+from . import inference, ingest, predictions, profiles, spectra, wide
 from .catalogue import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "predictions", "profiles", "spectra", "wide"]
+__all__ = ["ORACLES", "QUERIES", "inference", "ingest", "predictions", "profiles", "spectra", "wide"]

@@ -10,11 +10,11 @@ from .predictions import _round
 from .standins import table
 
 NAMES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_LONG = "f AS (SELECT l_orderkey AS id, l_linenumber AS part, l_returnflag AS grp, unnest(['quantity', 'price', 'discount', 'tax']) AS feature, unnest([CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity END, l_extendedprice, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END, l_tax]) AS value FROM lineitem WHERE l_orderkey <= 6000)"
+_LONG = "f AS (SELECT l_orderkey AS id, l_linenumber AS part, l_returnflag AS grp, unnest(['quantity', 'price', 'discount', 'tax']) AS feature, unnest([CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity END, l_extendedprice, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END, l_tax]) AS value FROM lineitem)"
 
 
 def _long(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey <= 6000").select(
+    rows = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.col("l_linenumber").alias("part"),
         F.col("l_returnflag").alias("grp"),
