@@ -147,7 +147,7 @@ def binomial_two_sided(k: int, n: int) -> float:
     if not n:
         return 1.0
     log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(n + 1)]
-    return min(1.0, sum(math.exp(v) for v in log if v <= log[k] + 1e-7))
+    return round(min(1.0, sum(math.exp(v) for v in log if v <= log[k] + 1e-7)), 12)
 
 
 def normal_two_sided(z: float) -> float:

@@ -152,7 +152,8 @@ def edges(rows: DataFrame, level: Column, order: str, *keys: str) -> DataFrame:
 
 def average_reference(signals: DataFrame, *keys: str) -> DataFrame:
     """Each sample minus the mean over channels at its time."""
-    rows = signals.select(*keys, "channel", F.posexplode("samples").alias("i", "x"))
-    mean = rows.groupBy(*keys, "i").agg(F.avg("x").alias("m"))
-    out = rows.join(mean, [*keys, "i"]).groupBy(*keys, "channel").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") - F.col("m")).alias("y")))).alias("s"))
-    return out.select(*keys, "channel", F.transform("s", lambda s: s["y"]).alias("samples"))
+    rows = signals.select(*keys, "channel", F.posexplode("samples").alias("__i", "__x"))
+    mean = rows.groupBy(*keys, "__i").agg(F.avg("__x").alias("__m"))
+    centred = F.struct("__i", (F.col("__x") - F.col("__m")).alias("y"))
+    out = rows.join(mean, [*keys, "__i"]).groupBy(*keys, "channel").agg(F.array_sort(F.collect_list(centred)).alias("__s"))
+    return out.select(*keys, "channel", F.transform("__s", lambda s: s["y"]).alias("samples"))
