@@ -85,28 +85,35 @@ def estimated_retention(subjects: DataFrame, kept: DataFrame, key: str = "subjec
 def solve_threshold(values: DataFrame, value: str, key: str, target: float) -> DataFrame:
     """The smallest observed value whose median per-subject share of larger values is at most the target.
 
-    A bisection over the ranks of the distinct values: each probe is one aggregate, so nothing grows
-    with candidates times rows.
+    A search over the ranks of the values: a step probes 31 quantiles of what is left in one aggregate
+    by subject, so nothing grows with candidates times rows.
     """
     spark = values.sparkSession
     rows = values.select(key, F.col(value).alias("v")).filter("v IS NOT NULL")
 
-    def share(t: float) -> float:
-        per = rows.groupBy(key).agg(F.avg((F.col("v") > t).cast("double")).alias("r"))
-        return per.agg(F.percentile("r", 0.5)).first()[0]
+    def shares(probes: list[float]) -> list[float]:
+        above = [F.avg((F.col("v") > t).cast("double")).alias(f"r{i}") for i, t in enumerate(probes)]
+        return list(rows.groupBy(key).agg(*above).agg(*[F.percentile(f"r{i}", 0.5) for i in range(len(probes))]).first())
 
     low, high = rows.agg(F.min("v"), F.max("v")).first()
-    if high is None or share(high) > target:
+    if high is None:
         raise ValueError("no observed value meets the target")
-    if share(low) > target:
-        # low fails and high meets; a probe moves one of them to an observed value
-        while True:
-            mid = rows.filter((F.col("v") > low) & (F.col("v") < high)).agg(F.percentile_approx("v", 0.5, 1000)).first()[0]
-            if mid is None:
+    first, last = shares([low, high])
+    if last > target:
+        raise ValueError("no observed value meets the target")
+    if first <= target:
+        return spark.createDataFrame([(float(low), float(first))], "threshold double, median_rejection double")
+    while True:  # low fails and high, whose share is last, meets; a step moves them to observed values
+        cuts = [i / 32 for i in range(1, 32)]
+        inside = rows.filter((F.col("v") > low) & (F.col("v") < high)).agg(F.percentile_approx("v", cuts, 1000)).first()[0]
+        if not inside:
+            return spark.createDataFrame([(float(high), float(last))], "threshold double, median_rejection double")
+        probes = sorted(set(inside))
+        for t, r in zip(probes, shares(probes), strict=True):
+            if r <= target:
+                high, last = t, r
                 break
-            low, high = (low, mid) if share(mid) <= target else (mid, high)
-        low = high
-    return spark.createDataFrame([(float(low), float(share(low)))], "threshold double, median_rejection double")
+            low = t
 
 
 def solve_threshold_windowed(values: DataFrame, value: str, key: str, target: float) -> DataFrame:
