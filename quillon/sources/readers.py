@@ -144,7 +144,7 @@ def log_lines(spark: SparkSession, path: str, pattern: str, names: list[str]) ->
     return spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
 
 
-def data_root(given: str | None, variable: str = "EEG_DATA_ROOT") -> str:
+def data_root(given: str | None, variable: str = "QUILLON_DATA_ROOT") -> str:
     """A given root, else the environment's, else an error."""
     found = given or os.environ.get(variable)
     if not found:

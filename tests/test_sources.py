@@ -69,7 +69,7 @@ def test_paths_resolve_both_ways(spark, monkeypatch):
     out = df.select(readers.absolute(F.col("p"), "/root/d/").alias("p"))
     assert [r.p for r in out.collect()] == ["/root/d/a/b.edf", "/abs/c.edf", None]
     assert [r.p for r in out.select(readers.relative(F.col("p"), "/root/d").alias("p")).collect()] == ["a/b.edf", "/abs/c.edf", None]
-    monkeypatch.delenv("EEG_DATA_ROOT", raising=False)
+    monkeypatch.delenv("QUILLON_DATA_ROOT", raising=False)
     with pytest.raises(ValueError):
         readers.data_root(None)
     assert readers.synthetic_subjects(spark).groupBy("group").count().count() == 2
