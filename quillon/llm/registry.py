@@ -9,6 +9,7 @@ from .ftrl import op5_quality_ftrl
 from .linejoin import op10_line_join
 from .minhash import op9_minhash
 from .mixing import op2_entropy_mix
+from .oracles import OP3_SQL, OP9_SQL, OP10_SQL
 from .packing import op8_retrieval_packing
 from .quality import op3_quality_rules
 from .toxicity import op6_toxic_neighbours
@@ -28,4 +29,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_prefix_targets": OP1_SQL,
+    "op3_quality_rules": OP3_SQL,
+    "op9_minhash": OP9_SQL,
+    "op10_line_join": OP10_SQL,
 }

@@ -14,8 +14,9 @@ from quillon.llm import chat, mixing, packing, registry
 TALK = "conv_id long, turn long, role string, text string, formatted string"
 
 
-def test_op1_matches_sql(spark, sf):
-    check(spark, registry.QUERIES["op1_prefix_targets"], registry.ORACLES["op1_prefix_targets"], sf)
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_matches_sql(spark, sf, name):
+    check(spark, registry.QUERIES[name], registry.ORACLES[name], sf)
 
 
 def test_awkward_conversations_round_trip(spark):
