@@ -120,7 +120,7 @@ def _fit(batches):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, most: int = MAX_TRAIN_ROWS) -> np.ndarray:
     """2**BITS weights and a bias, learnt in one task from a bounded sample of labelled rows."""
     vectors = bounded_sample(docs, labels, label, folds, most).mapInArrow(_vectors, "doc_id long, y int, at binary, x binary")
-    ordered = vectors.withColumn("order", F.xxhash64("doc_id", F.lit(7))).coalesce(1)
+    ordered = vectors.withColumn("order", F.xxhash64("doc_id", F.lit(7))).repartition(1)  # the scan stays parallel; the sample is bounded
     found = ordered.mapInArrow(_fit, "weights binary").collect()
     return np.frombuffer(found[0].weights, np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 

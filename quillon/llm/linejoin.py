@@ -1,13 +1,17 @@
 """Line dedup by an exact set-similarity join.
 
-A line's set are its distinct words (A-Z lower-cased). Of lines whose sets have a Jaccard similarity
-of at least 80 in 100, every one but the earliest goes: a line is removed if any earlier line, by
-(doc_id, line number), matches it. Lines of fewer than ``min_words`` distinct words are never touched.
-
-Words are ordered by rarity over all documents, and a line posts the words of its prefix: two
-matching lines share one. Rows of one word are met in order of position; a pair passes a length and
-a positional filter before its full sets are compared. Lines with equal sets are one class (by a 64-bit digest) and are removed but
-the first without any comparison. Where one word has many lines, all are compared with the earliest
+A line's tokens are its pairs of adjacent words (A-Z lower-cased), its set the distinct ones. Of
+lines whose sets have a Jaccard similarity of at least 80 in 100, every one but the earliest goes: a
+line is removed if any earlier line, by (doc_id, line number), matches it. Lines of fewer than
+``min_words`` words are never touched. Single words as tokens would make the rare fifth of a line
+that a prefix holds run into words of middling frequency, whose pairs grow with the square of the
+corpus; word pairs stay rare.
+
+Tokens are ordered by rarity over all documents, and a line posts the tokens of its prefix: two
+matching lines share one. Rows of one token meet; a pair passes a length and a positional filter, and
+one on 256-bit maps of its sets (bits that differ are tokens that differ), before its full sets are
+compared. Lines with equal sets are one class (by a 64-bit digest) and are removed but
+the first without any comparison. Where one token has many lines, all are compared with the earliest
 first; only lines without a match so far are compared with the others.
 """
 
@@ -20,55 +24,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .rarity import counters, rarity
+from .rarity import BITS, counters, rarity, slots
 from .tables import documents, write_table
 
 PERCENT = 80
 MIN_WORDS = 3
-#: All pairs of a word's lines are formed at once up to this many lines.
+#: All pairs of a token's lines are formed at once up to this many lines.
 SMALL_GROUP = 24
-BROADCAST_IDS = 1_000_000
+#: Lines whose places may be broadcast to a scan (some 30 MB); more are joined by shuffle.
+BROADCAST_LINES = 500_000
 _U = np.uint64
 _LAST = (1 << 63) - 1
 
 
-def _count_words(batches):
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the word pairs of each text, the text of each, and words by text."""
+    words = tx.tokenise(column, lower=True)
+    hashed, row = tx.hashes(words.words, 51)[words.codes], tx.row_of(words.offsets)
+    at = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
+    return tx.mix(hashed[at] * _U(3) + tx.mix(hashed[at + 1])) if len(at) else np.zeros(0, _U), row[at], np.diff(words.offsets)
+
+
+def _count_tokens(batches):
+    total = np.zeros(1 << BITS, np.int64)
     for batch in tx.chunks(batches):
-        words = tx.tokenise(tx.texts(batch), lower=True)
-        count = np.bincount(words.codes, minlength=len(words.words))
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(tx.hashes(words.words.take(pa.array(used)), 51).view(np.int64)), pa.array(count[used])], names=["item", "n"])
+        # pairs never span lines
+        lines, _ = tx.split_lines(tx.texts(batch))
+        slots(_tokens(lines)[0], None, total)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["item", "n"])
 
 
 class _Lines:
-    """The lines of a chunk of texts, as ordered distinct tokens."""
+    """The lines of a chunk of texts, as distinct tokens, the rarest first."""
 
     def __init__(self, column: pa.Array, counts: np.ndarray | None, min_words: int):
         lines, at = tx.split_lines(column)
-        words = tx.tokenise(lines, lower=True)
-        hashed = tx.hashes(words.words, 51)
-        count = np.zeros(len(hashed), np.int32) if counts is None else rarity(counts, hashed)
-        order = np.lexsort((hashed, count))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        size = max(1, len(order))
-        key = np.sort(tx.row_of(words.offsets) * size + rank[words.codes])
-        key = key[tx.run_starts(key)]
-        line, token = np.divmod(key, size)
+        token, line, words = _tokens(lines)
+        keep = words[line] >= max(2, min_words)
+        token, line = token[keep], line[keep]
+        order = tx.order_rows(line, token)
+        token, line = token[order], line[order]
+        fresh = np.ones(len(token), bool)
+        if len(token):
+            fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+        token, line = token[fresh], line[fresh]
         n = np.bincount(line, minlength=len(lines))
-        keep = n[line] >= min_words
-        line, token = line[keep], hashed[order[token[keep]]]
-        self.live = np.flatnonzero(n >= min_words)
+        self.live = np.flatnonzero(n)
         self.n = n[self.live]
-        self.tokens = token
         self.offsets = np.concatenate(([0], np.cumsum(self.n)))
         self.doc = tx.row_of(at)[self.live]
         self.number = (self.live - at[self.doc]).astype(np.int64)
         total = np.concatenate((np.zeros(1, _U), np.cumsum(tx.mix(token), dtype=_U)))
         self.digest = tx.mix((total[self.offsets[1:]] - total[self.offsets[:-1]]) ^ (self.n.astype(_U) * _U(0x9E3779B97F4A7C15))).view(np.int64)
+        bit, part = _U(1) << (token >> _U(58)), (token >> _U(56)) & _U(3)
+        self.maps = [np.bitwise_or.reduceat(np.where(part == _U(k), bit, _U(0)), self.offsets[:-1]).view(np.int64) if len(bit) else np.zeros(0, np.int64) for k in range(4)]
+        if counts is not None:
+            token = token[np.argsort((line << 31) + rarity(counts, token), kind="stable")]
+        self.tokens = token
 
 
-_LINES = "kind int, doc_id long, line int, digest long, lines array<int>, n int, word long, p int"
+_LINES = "kind int, doc_id long, line int, digest long, lines array<int>, n int, word long, np long, m0 long, m1 long, m2 long, m3 long"
 
 
 def _line_rows(counts, min_words: int, percent: int):
@@ -87,41 +103,44 @@ def _line_rows(counts, min_words: int, percent: int):
             lists = pa.ListArray.from_arrays(places, pa.array(found.number[order].astype(np.int32)))
             k = len(first)
             none = pa.nulls
-            names = ["kind", "doc_id", "line", "digest", "lines", "n", "word", "p"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(ids[found.doc[first]]), pa.array(found.number[first].astype(np.int32)), pa.array(found.digest[first]), lists, pa.array(found.n[first].astype(np.int32)), none(k, pa.int64()), none(k, pa.int32())], names=names)
+            names = ["kind", "doc_id", "line", "digest", "lines", "n", "word", "np", "m0", "m1", "m2", "m3"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(ids[found.doc[first]]), pa.array(found.number[first].astype(np.int32)), pa.array(found.digest[first]), lists, pa.array(found.n[first].astype(np.int32)), none(k, pa.int64()), none(k, pa.int64()), *[pa.array(m[first]) for m in found.maps]], names=names)
             # postings of each class once in a chunk, at its earliest place
             by_place = np.lexsort((found.number, ids[found.doc]))
             _, at = np.unique(found.digest[by_place], return_index=True)
             lone = by_place[at]
             n = found.n[lone]
-            prefix = n - -(-percent * n // 100) + 1
+            prefix = np.minimum(n, n - -(-percent * n // 100) + 1)
             p = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             word = found.tokens[np.repeat(found.offsets[lone], prefix) + p].view(np.int64)
             line = np.repeat(lone, prefix)
             k = len(p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ids[found.doc[line]]), pa.array(found.number[line].astype(np.int32)), pa.array(found.digest[line]), pa.array([None], lists.type).take(pa.array(np.zeros(k, np.int32))), pa.array(found.n[line].astype(np.int32)), pa.array(word), pa.array(p.astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ids[found.doc[line]]), none(k, pa.int32()), pa.array(found.digest[line]), pa.array([None], lists.type).take(pa.array(np.zeros(k, np.int32))), none(k, pa.int32()), pa.array(word), pa.array(found.n[line] << 32 | p), *[none(k, pa.int64())] * 4], names=names)
 
     return rows
 
 
 def _may_match(n, p, m, q, percent):
-    """Length and positional filters on two lines of n and m words that share the word at places p and q."""
+    """Length and positional filters on two lines of n and m words that share a token first at places p and q."""
     least = -(-percent * (n + m) // (100 + percent))
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - p - 1, m - q - 1) >= least)
 
 
-_CANDIDATES = "kind int, u long, v long, word long, doc_id long, line int, digest long, n int, p int"
+_CANDIDATES = "u long, v long, word long, doc_id long, digest long, np long"
+_NAMES = ["u", "v", "word", "doc_id", "digest", "np"]
 
 
 def _meet(percent: int):
-    """Candidate pairs (kind 0) of rows ordered by word and position; rows of large groups (kind 1) come out too."""
+    """Candidate pairs of rows ordered by token and document: all pairs of small groups, and each row of a large
+    one with its first. Rows of large groups come out too."""
 
     def meet(batches):
-        pivot = None  # word, digest, n, p of the group that the last batch ended in
+        pivot = None  # word, digest, n, p of the first row of the group that the last batch ended in
         for batch in batches:
-            word, digest, n, p = (batch.column(c).to_numpy().astype(np.int64) for c in ("word", "digest", "n", "p"))
+            word, digest, both = (batch.column(c).to_numpy() for c in ("word", "digest", "np"))
             if not len(word):
                 continue
+            n, p = both >> 32, both & 0xFFFFFFFF
             start = tx.run_starts(word)
             group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(word))))
             # the first row of each class in each group
@@ -130,54 +149,56 @@ def _meet(percent: int):
             fresh[1:] = (digest[order][1:] != digest[order][:-1]) | (group[order][1:] != group[order][:-1])
             row = np.sort(order[fresh])
             group, size = group[row], np.bincount(group[row], minlength=len(start))
-            head = row[np.searchsorted(group, np.arange(len(start)))]
-            h = [np.stack([digest, n, p])[:, head][:, group][k] for k in range(3)]
             begun = pivot is not None and pivot[0] == word[0]
-            if begun:
-                for k in range(3):
-                    h[k] = np.where(group == 0, pivot[k + 1], h[k])
             cut = np.zeros(len(start), bool)  # groups that a batch's end cuts
             cut[-1] = True
             cut[0] |= begun
             large = (size > SMALL_GROUP) | cut
-            pairs = [(h[0], digest[row], _may_match(h[1], h[2], n[row], p[row], percent))]
-            small = ~large[group]
-            for step in range(1, SMALL_GROUP):
-                a = np.flatnonzero(small[: len(row) - step] & (group[: len(row) - step] == group[step:])) if len(row) > step else np.zeros(0, np.int64)
+            # every row of a large group with the group's first
+            head = row[np.searchsorted(group, np.arange(len(start)))]
+            h = [x[head][group] for x in (digest, n, p)]
+            if begun:
+                h = [np.where(group == 0, x, y) for x, y in zip(pivot[1:], h, strict=True)]
+            star = large[group]
+            pairs = [[x[star] for x in (h[0], digest[row], _may_match(*h[1:], n[row], p[row], percent))]]
+            small = ~star
+            for step in range(1, min(SMALL_GROUP, len(row))):
+                a = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
                 if not len(a):
                     break
                 x, y = row[a], row[a + step]
-                pairs.append((digest[x], digest[y], _may_match(n[x], p[x], n[y], p[y], percent)))
+                pairs.append([digest[x], digest[y], _may_match(n[x], p[x], n[y], p[y], percent)])
             u, v, fine = (np.concatenate([x[k] for x in pairs]) for k in range(3))
-            fine &= u != v
+            fine = fine & (u != v)
             u, v = np.minimum(u, v)[fine], np.maximum(u, v)[fine]
-            none = pa.nulls
-            names = ["kind", "u", "v", "word", "doc_id", "line", "digest", "n", "p"]
             if len(u):
-                k = len(u)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(u), pa.array(v), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.int32())], names=names)
-            many = row[large[group] & ((size > 1) | cut)[group]]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[pa.nulls(len(u), pa.int64())] * 4], names=_NAMES)
+            many = row[star & ((size > 1) | cut)[group]]
             if len(many):
-                k, at = len(many), pa.array(many)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none(k, pa.int64()), none(k, pa.int64()), *[batch.column(c).take(at) for c in names[3:]]], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(many), pa.int64())] * 2, *[batch.column(c).take(pa.array(many)) for c in _NAMES[2:]]], names=_NAMES)
             last = head[-1]
             pivot = pivot if begun and len(start) == 1 else (word[last], digest[last], n[last], p[last])
 
     return meet
 
 
-def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    met = postings.repartition("word").sortWithinPartitions("word", "doc_id", "line", "digest")
-    return write_table(met.select("word", "doc_id", "line", "digest", "n", "p").mapInArrow(_meet(percent), _CANDIDATES), "met")
+def _candidates(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that may match, and the postings of large groups."""
+    met = postings.select("word", "doc_id", "digest", "np").repartition("word").sortWithinPartitions("word", "doc_id").mapInArrow(_meet(percent), _CANDIDATES)
+    met = write_table(met, "met")
+    return met.filter("u IS NOT NULL").select("u", "v"), met.filter("u IS NULL").select("word", "doc_id", "digest", "np")
 
 
 def _sets(min_words: int):
     def sets(batches):
         for batch in tx.chunks(batches):
-            found = _Lines(tx.texts(batch), None, min_words)
-            _, at = np.unique(found.digest, return_index=True)
-            data = [np.sort(found.tokens[found.offsets[i] : found.offsets[i + 1]]).tobytes() for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found.digest[at]), pa.array(data, pa.binary())], names=["digest", "set"])
+            # only the wanted lines of each document
+            lines, at = tx.split_lines(tx.texts(batch))
+            wanted = batch.column("wanted")
+            place = np.repeat(at[:-1], pc.list_value_length(wanted).to_numpy()) + wanted.flatten().to_numpy()
+            found = _Lines(lines.take(pa.array(place)), None, min_words)
+            data = [np.sort(found.tokens[a:b]).tobytes() for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.digest), pa.array(data, pa.binary())], names=["digest", "set"])
 
     return sets
 
@@ -207,13 +228,18 @@ class _Join:
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
-        pairs = write_table(pairs, "pairs")
+        maps = ["m0", "m1", "m2", "m3"]
+        of = lambda c: self.classes.select(F.col("digest").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in ("n", *maps)])
+        apart = sum((F.bit_count(F.col(f"{m}_u").bitwiseXOR(F.col(f"{m}_v"))) for m in maps), F.lit(0))
+        near = apart * (100 + self.percent) <= (F.col("n_u") + F.col("n_v")) * (100 - self.percent)
+        pairs = write_table(pairs.join(of("u"), "u").join(of("v"), "v").filter(near).select("u", "v"), "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         wanted = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
-        places = write_table(wanted.join(self.classes, "digest"), "wanted")
-        ids = places.select("doc_id").distinct()
-        ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-        sets = self.texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(self.min_words), "digest long, set binary")
+        places = write_table(wanted.join(self.classes.select("digest", "doc_id", "line"), "digest"), "wanted")
+        lines = places.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
+        lines = F.broadcast(lines) if places.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else lines
+        sets = self.texts.join(lines, "doc_id").select("text", "wanted").mapInArrow(_sets(self.min_words), "digest long, set binary")
+        # rows with equal ids may hold other lines at the same place
         sets = write_table(sets.join(places.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
         of = lambda c: sets.select(F.col("digest").alias(c), F.col("set").alias(f"set_{c}"))
         links = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(self.percent), "u long, v long")
@@ -224,31 +250,30 @@ class _Join:
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, lines, removed) by document with lines of at least ``min_words`` words: how many, and which
+    """(doc_id, lines, removed) by document with lines of at least ``min_words`` (2 at least) words: how many, and which
     line numbers (from 0) go; and the table of all lines by class."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(counters(texts.select("text").mapInArrow(_count_words, "item long, n long")))
+    shared = spark.sparkContext.broadcast(counters(texts.select("text").mapInArrow(_count_tokens, "item long, n long")))
     rows = write_table(texts.mapInArrow(_line_rows(shared, min_words, percent), _LINES), "lines")
-    lines = rows.filter("kind = 0").select("doc_id", "line", "digest", "lines", "n")
-    classes = write_table(lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line")), "classes")
+    lines = rows.filter("kind = 0").select("doc_id", "line", "digest", "lines", "n", "m0", "m1", "m2", "m3")
+    classes = write_table(lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.min_by(c, "doc_id").alias(c) for c in ("line", "n", "m0", "m1", "m2", "m3")]), "classes")
     join = _Join(texts, classes, percent, min_words)
-    met = _candidates(rows.filter("kind = 1").select("word", "doc_id", "line", "digest", "n", "p"), percent)
-    join.test(met.filter("kind = 0").select("u", "v"))
-    groups = met.filter("kind = 1").select("word", "doc_id", "line", "digest", "n", "p")
+    pairs, groups = _candidates(rows.filter("kind = 1"), percent)
+    join.test(pairs)
     left = groups.join(join.matched, "digest", "left_anti")
     for _ in range(2):
         size = left.groupBy("word").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("pairs"), F.sum("m").alias("n")).first()
         if not size.n or size.pairs <= 8 * SMALL_GROUP * size.n:
             break
-        more = _candidates(left, percent)
-        join.test(more.filter("kind = 0").select("u", "v"))
+        join.test(_candidates(left, percent)[0])
         left = groups.join(join.matched, "digest", "left_anti")
     # what has no match yet meets every other line of its large groups; small groups are done
-    other = groups.select("word", F.col("digest").alias("d"), F.col("n").alias("m"), F.col("p").alias("q"))
+    places = lambda d, n, p: [F.shiftright("np", 32).alias(n), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias(p), F.col("digest").alias(d)]
+    one, other = left.select("word", *places("u", "n", "p")), groups.select("word", *places("v", "m", "q"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    fine = (F.col("digest") != F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= need)
-    join.test(left.join(other, "word").filter(fine).select(F.least("digest", "d").alias("u"), F.greatest("digest", "d").alias("v")))
+    fine = (F.col("u") != F.col("v")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= need)
+    join.test(one.join(other, "word").filter(fine).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     decided = classes.select("digest", F.col("doc_id").alias("first_doc")).join(join.matched.withColumn("gone", F.lit(True)), "digest", "left")
     gone = F.when((F.col("doc_id") != F.col("first_doc")) | F.col("gone"), F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines")))
     marked = lines.join(decided, "digest").select("doc_id", F.size("lines").alias("k"), gone.alias("gone"))
@@ -285,7 +310,7 @@ def drop_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WOR
 
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of at least 3 distinct words and lines removed, by document, over all documents; with a hash of the line numbers removed."""
+    """Lines of at least 3 words and lines removed, by document, over all documents; with a hash of the line numbers removed."""
     docs = documents(spark, sf_dir)
     removed, _ = removed_lines(docs)
     found = removed.select(F.col("doc_id").alias("id"), "lines", "removed")

@@ -61,7 +61,7 @@ def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         value = np.concatenate((value, sequence))
     else:
         rows = row[whole]
-    order = np.lexsort((value, rows))
+    order = tx.order_rows(rows, value)
     rows, value = rows[order], value[order]
     fresh = np.ones(len(value), bool)
     if len(value):

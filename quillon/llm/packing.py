@@ -30,8 +30,8 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 24
 _K1, _B = 1.2, 0.75
 #: Words whose ids a worker remembers.
-_CACHE = 600_000
-_CHUNK = 12 << 20
+_CACHE = 400_000
+_CHUNK = 6 << 20
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 

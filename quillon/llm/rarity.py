@@ -11,12 +11,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 21
+BITS = 18
 _MASK = np.uint64((1 << BITS) - 1)
 
 
 def counters(counts: DataFrame) -> np.ndarray:
-    """2**BITS counters (8 MB) of a table (item: long, n: long)."""
+    """2**BITS counters (1 MB) of a table of (item: long, n: long); an item may be given as its slot."""
     summed = counts.groupBy(F.col("item").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("slot")).agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
     rows = summed.toArrow()
     out = np.zeros(1 << BITS, np.int32)
@@ -24,6 +24,11 @@ def counters(counts: DataFrame) -> np.ndarray:
     return out
 
 
+def slots(items: np.ndarray, n: np.ndarray | None, into: np.ndarray) -> None:
+    """Add counts of items (unsigned 64-bit) to a task's own counters."""
+    into += np.bincount((items & _MASK).astype(np.int64), n, 1 << BITS).astype(np.int64)
+
+
 def rarity(counts: np.ndarray, items: np.ndarray) -> np.ndarray:
     """The counter of each item (unsigned 64-bit)."""
     return counts[(items & _MASK).astype(np.int64)]

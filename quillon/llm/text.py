@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that one step of a kernel takes; a longer single text is taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -71,9 +71,31 @@ def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each string."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, seed) for w in words.to_pylist()), _U, len(words))
+    """64-bit hash of each string: of short ones in whole arrays, by a polynomial over random values of their bytes."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    length = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    long = np.flatnonzero(length > _SHORT)
+    if len(long):
+        out = np.empty(len(words), _U)
+        short = np.flatnonzero(length <= _SHORT)
+        out[short] = hashes(words.take(pa.array(short)), seed)
+        digest = xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((digest(w, seed) for w in words.take(pa.array(long)).to_pylist()), _U, len(long))
+        return out
+    raw, at = byte_view(words)
+    return mix(sequence_hash(_BYTES[raw], at, 0x5DEECE66D1CE4E5B) + mix(np.full(1, seed + 1, _U)))
+
+
+def order_rows(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The order by (row, value)."""
+    if len(row) and int(row.max()) < 1 << 24:
+        key = (row.astype(_U) << _U(40)) | (value >> _U(24))
+        order = np.argsort(key)
+        k, v = key[order], value[order]
+        if not np.any((k[1:] == k[:-1]) & (v[1:] < v[:-1])):
+            return order
+    return np.lexsort((value, row))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,3 +155,8 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     return raw, offsets - offsets[0]
+
+
+#: Strings of at most so many bytes are hashed in whole arrays.
+_SHORT = 64
+_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))

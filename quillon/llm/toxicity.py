@@ -41,7 +41,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct terms of each row, in order."""
     words = tx.tokenise(column, lower=True)
     term, row = _term_hashes(words.words)[words.codes], tx.row_of(words.offsets)
-    order = np.lexsort((term, row))
+    order = tx.order_rows(row, term)
     term, row = term[order], row[order]
     fresh = np.ones(len(term), bool)
     if len(term):
