@@ -30,7 +30,7 @@ from .tables import documents, write_table
 PERCENT = 80
 MIN_WORDS = 3
 #: All pairs of a token's lines are formed at once up to this many lines.
-SMALL_GROUP = 24
+SMALL_GROUP = 256
 #: Lines whose places may be broadcast to a scan (some 30 MB); more are joined by shuffle.
 BROADCAST_LINES = 500_000
 _U = np.uint64
@@ -114,20 +114,22 @@ def _line_rows(counts, min_words: int, percent: int):
             p = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             word = found.tokens[np.repeat(found.offsets[lone], prefix) + p].view(np.int64)
             line = np.repeat(lone, prefix)
+            folded = found.maps[0] | found.maps[1] | found.maps[2] | found.maps[3]
             k = len(p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ids[found.doc[line]]), none(k, pa.int32()), pa.array(found.digest[line]), pa.array([None], lists.type).take(pa.array(np.zeros(k, np.int32))), none(k, pa.int32()), pa.array(word), pa.array(found.n[line] << 32 | p), *[none(k, pa.int64())] * 4], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ids[found.doc[line]]), none(k, pa.int32()), pa.array(found.digest[line]), pa.array([None], lists.type).take(pa.array(np.zeros(k, np.int32))), none(k, pa.int32()), pa.array(word), pa.array(found.n[line] << 32 | p), pa.array(folded[line]), *[none(k, pa.int64())] * 3], names=names)
 
     return rows
 
 
-def _may_match(n, p, m, q, percent):
-    """Length and positional filters on two lines of n and m words that share a token first at places p and q."""
+def _may_match(n, p, a, m, q, b, percent):
+    """Length, positional and 64-bit map filters on two lines of n and m words that share a token first at places p and q."""
     least = -(-percent * (n + m) // (100 + percent))
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - p - 1, m - q - 1) >= least)
+    near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - p - 1, m - q - 1) >= least)
+    return near & (np.bitwise_count((a ^ b).view(_U)).astype(np.int64) * (100 + percent) <= (n + m) * (100 - percent))
 
 
-_CANDIDATES = "u long, v long, word long, doc_id long, digest long, np long"
-_NAMES = ["u", "v", "word", "doc_id", "digest", "np"]
+_CANDIDATES = "u long, v long, word long, doc_id long, digest long, np long, m0 long"
+_NAMES = ["u", "v", "word", "doc_id", "digest", "np", "m0"]
 
 
 def _meet(percent: int):
@@ -135,9 +137,9 @@ def _meet(percent: int):
     one with its first. Rows of large groups come out too."""
 
     def meet(batches):
-        pivot = None  # word, digest, n, p of the first row of the group that the last batch ended in
+        pivot = None  # word, digest, n, p, map of the first row of the group that the last batch ended in
         for batch in batches:
-            word, digest, both = (batch.column(c).to_numpy() for c in ("word", "digest", "np"))
+            word, digest, both, bits = (batch.column(c).to_numpy() for c in ("word", "digest", "np", "m0"))
             if not len(word):
                 continue
             n, p = both >> 32, both & 0xFFFFFFFF
@@ -156,37 +158,39 @@ def _meet(percent: int):
             large = (size > SMALL_GROUP) | cut
             # every row of a large group with the group's first
             head = row[np.searchsorted(group, np.arange(len(start)))]
-            h = [x[head][group] for x in (digest, n, p)]
+            h = [x[head][group] for x in (digest, n, p, bits)]
             if begun:
                 h = [np.where(group == 0, x, y) for x, y in zip(pivot[1:], h, strict=True)]
             star = large[group]
-            pairs = [[x[star] for x in (h[0], digest[row], _may_match(*h[1:], n[row], p[row], percent))]]
-            small = ~star
+            pairs = [[x[star] for x in (h[0], digest[row], _may_match(*h[1:], n[row], p[row], bits[row], percent))]]
+            a = np.flatnonzero(~star)
             for step in range(1, min(SMALL_GROUP, len(row))):
-                a = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+                a = a[a + step < len(row)]
+                a = a[group[a] == group[a + step]]
                 if not len(a):
                     break
                 x, y = row[a], row[a + step]
-                pairs.append([digest[x], digest[y], _may_match(n[x], p[x], n[y], p[y], percent)])
+                keep = _may_match(n[x], p[x], bits[x], n[y], p[y], bits[y], percent)
+                pairs.append([digest[x[keep]], digest[y[keep]], keep[keep]])
             u, v, fine = (np.concatenate([x[k] for x in pairs]) for k in range(3))
             fine = fine & (u != v)
             u, v = np.minimum(u, v)[fine], np.maximum(u, v)[fine]
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[pa.nulls(len(u), pa.int64())] * 4], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[pa.nulls(len(u), pa.int64())] * 5], names=_NAMES)
             many = row[star & ((size > 1) | cut)[group]]
             if len(many):
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(many), pa.int64())] * 2, *[batch.column(c).take(pa.array(many)) for c in _NAMES[2:]]], names=_NAMES)
             last = head[-1]
-            pivot = pivot if begun and len(start) == 1 else (word[last], digest[last], n[last], p[last])
+            pivot = pivot if begun and len(start) == 1 else (word[last], digest[last], n[last], p[last], bits[last])
 
     return meet
 
 
 def _candidates(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that may match, and the postings of large groups."""
-    met = postings.select("word", "doc_id", "digest", "np").repartition("word").sortWithinPartitions("word", "doc_id").mapInArrow(_meet(percent), _CANDIDATES)
+    met = postings.select("word", "doc_id", "digest", "np", "m0").repartition("word").sortWithinPartitions("word", "doc_id").mapInArrow(_meet(percent), _CANDIDATES)
     met = write_table(met, "met")
-    return met.filter("u IS NOT NULL").select("u", "v"), met.filter("u IS NULL").select("word", "doc_id", "digest", "np")
+    return met.filter("u IS NOT NULL").select("u", "v"), met.filter("u IS NULL").select("word", "doc_id", "digest", "np", "m0")
 
 
 def _sets(min_words: int):
@@ -228,14 +232,16 @@ class _Join:
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
+        ends = lambda p: p.select(F.col("u").alias("digest")).unionByName(p.select(F.col("v").alias("digest"))).distinct()
+        pairs = write_table(pairs, "met-pairs")
+        found = write_table(ends(pairs).join(self.classes, "digest"), "met-classes")
         maps = ["m0", "m1", "m2", "m3"]
-        of = lambda c: self.classes.select(F.col("digest").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in ("n", *maps)])
+        of = lambda c: found.select(F.col("digest").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in ("n", *maps)])
         apart = sum((F.bit_count(F.col(f"{m}_u").bitwiseXOR(F.col(f"{m}_v"))) for m in maps), F.lit(0))
         near = apart * (100 + self.percent) <= (F.col("n_u") + F.col("n_v")) * (100 - self.percent)
         pairs = write_table(pairs.join(of("u"), "u").join(of("v"), "v").filter(near).select("u", "v"), "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        wanted = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
-        places = write_table(wanted.join(self.classes.select("digest", "doc_id", "line"), "digest"), "wanted")
+        places = write_table(found.select("digest", "doc_id", "line").join(ends(pairs), "digest", "left_semi"), "wanted")
         lines = places.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
         lines = F.broadcast(lines) if places.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else lines
         sets = self.texts.join(lines, "doc_id").select("text", "wanted").mapInArrow(_sets(self.min_words), "digest long, set binary")
@@ -264,15 +270,15 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     left = groups.join(join.matched, "digest", "left_anti")
     for _ in range(2):
         size = left.groupBy("word").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("pairs"), F.sum("m").alias("n")).first()
-        if not size.n or size.pairs <= 8 * SMALL_GROUP * size.n:
+        if not size.n or size.pairs <= 4 * SMALL_GROUP * size.n:
             break
         join.test(_candidates(left, percent)[0])
         left = groups.join(join.matched, "digest", "left_anti")
     # what has no match yet meets every other line of its large groups; small groups are done
     places = lambda d, n, p: [F.shiftright("np", 32).alias(n), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias(p), F.col("digest").alias(d)]
-    one, other = left.select("word", *places("u", "n", "p")), groups.select("word", *places("v", "m", "q"))
+    one, other = left.select("word", F.col("m0").alias("a"), *places("u", "n", "p")), groups.select("word", F.col("m0").alias("b"), *places("v", "m", "q"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    fine = (F.col("u") != F.col("v")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= need)
+    fine = (F.col("u") != F.col("v")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= need)
     join.test(one.join(other, "word").filter(fine).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     decided = classes.select("digest", F.col("doc_id").alias("first_doc")).join(join.matched.withColumn("gone", F.lit(True)), "digest", "left")
     gone = F.when((F.col("doc_id") != F.col("first_doc")) | F.col("gone"), F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines")))

@@ -5,6 +5,7 @@ A word is a run of bytes other than space and the controls 9 to 13, as in ``[^\\
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,11 @@ import xxhash
 CHUNK_BYTES = 2 << 20
 
 _U = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 @dataclass
@@ -40,6 +46,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             stop = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and their heaps would count beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
