@@ -25,13 +25,13 @@ from .tables import documents
 WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard; a longer document makes a larger shard.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: A document asks with this many of its terms, those of the highest weight.
 QUERY_TERMS = 24
 _K1, _B = 1.2, 0.75
 #: Words whose ids a worker remembers.
-_CACHE = 400_000
-_CHUNK = 6 << 20
+_CACHE = 200_000
+_CHUNK = 3 << 20
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -247,6 +247,7 @@ def _packer(path: str, window: int):
             tokens += len(ids)
             if tokens >= SHARD_TOKENS:
                 yield from flush()
+                tx.trim()
         if held:
             yield from flush()
 
