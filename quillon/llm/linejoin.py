@@ -1,11 +1,11 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its pairs of adjacent words (A-Z lower-cased), its set the distinct ones. Of
-lines whose sets have a Jaccard similarity of at least 80 in 100, every one but the earliest goes: a
-line is removed if any earlier line, by (doc_id, line number), matches it. Lines of fewer than
-``min_words`` words are never touched. Single words as tokens would make the rare fifth of a line
-that a prefix holds run into words of middling frequency, whose pairs grow with the square of the
-corpus; word pairs stay rare.
+A line's tokens are its words (``width`` 1) or its pairs of adjacent words (``width`` 2), A-Z
+lower-cased, its set the distinct ones. Of lines whose sets have a Jaccard similarity of at least 80
+in 100, every one but the earliest goes: a line is removed if any earlier line, by (doc_id, line
+number), matches it. Lines of fewer than ``min_words`` words are never touched. Word pairs stay rare
+but are the stricter match: one inner word changed takes two of them. The pipeline compares words;
+the registered query compares pairs, as its SQL does.
 
 Tokens are ordered by rarity over all documents, and a line posts the tokens of its prefix: two
 matching lines share one. Rows of one token meet; a pair passes a length and a positional filter, and
@@ -29,6 +29,8 @@ from .tables import documents, write_table
 
 PERCENT = 80
 MIN_WORDS = 3
+#: Words of a token.
+WIDTH = 2
 #: All pairs of a token's lines are formed at once up to this many lines.
 SMALL_GROUP = 256
 #: Lines whose places may be broadcast to a scan (some 30 MB); more are joined by shuffle.
@@ -37,30 +39,35 @@ _U = np.uint64
 _LAST = (1 << 63) - 1
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the word pairs of each text, the text of each, and words by text."""
+def _tokens(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words or word pairs of each text, the text of each, and words by text."""
     words = tx.tokenise(column, lower=True)
     hashed, row = tx.hashes(words.words, 51)[words.codes], tx.row_of(words.offsets)
+    if width == 1:
+        return tx.mix(hashed) if len(hashed) else np.zeros(0, _U), row, np.diff(words.offsets)
     at = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
     return tx.mix(hashed[at] * _U(3) + tx.mix(hashed[at + 1])) if len(at) else np.zeros(0, _U), row[at], np.diff(words.offsets)
 
 
-def _count_tokens(batches):
-    total = np.zeros(1 << BITS, np.int64)
-    for batch in tx.chunks(batches):
-        # pairs never span lines
-        lines, _ = tx.split_lines(tx.texts(batch))
-        slots(_tokens(lines)[0], None, total)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["item", "n"])
+def _count_tokens(width: int):
+    def count(batches):
+        total = np.zeros(1 << BITS, np.int64)
+        for batch in tx.chunks(batches):
+            # pairs never span lines
+            lines, _ = tx.split_lines(tx.texts(batch))
+            slots(_tokens(lines, width)[0], None, total)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["item", "n"])
+
+    return count
 
 
 class _Lines:
     """The lines of a chunk of texts, as distinct tokens, the rarest first."""
 
-    def __init__(self, column: pa.Array, counts: np.ndarray | None, min_words: int):
+    def __init__(self, column: pa.Array, counts: np.ndarray | None, min_words: int, width: int):
         lines, at = tx.split_lines(column)
-        token, line, words = _tokens(lines)
+        token, line, words = _tokens(lines, width)
         keep = words[line] >= max(2, min_words)
         token, line = token[keep], line[keep]
         order = tx.order_rows(line, token)
@@ -87,10 +94,10 @@ class _Lines:
 _LINES = "kind int, doc_id long, line int, digest long, lines array<int>, n int, word long, np long, m0 long, m1 long, m2 long, m3 long"
 
 
-def _line_rows(counts, min_words: int, percent: int):
+def _line_rows(counts, min_words: int, percent: int, width: int):
     def rows(batches):
         for batch in tx.chunks(batches):
-            found = _Lines(tx.texts(batch), counts.value, min_words)
+            found = _Lines(tx.texts(batch), counts.value, min_words, width)
             ids = batch.column("doc_id").to_numpy()
             if not len(found.live):
                 continue
@@ -193,14 +200,14 @@ def _candidates(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     return met.filter("u IS NOT NULL").select("u", "v"), met.filter("u IS NULL").select("word", "doc_id", "digest", "np", "m0")
 
 
-def _sets(min_words: int):
+def _sets(min_words: int, width: int):
     def sets(batches):
         for batch in tx.chunks(batches):
             # only the wanted lines of each document
             lines, at = tx.split_lines(tx.texts(batch))
             wanted = batch.column("wanted")
             place = np.repeat(at[:-1], pc.list_value_length(wanted).to_numpy()) + wanted.flatten().to_numpy()
-            found = _Lines(lines.take(pa.array(place)), None, min_words)
+            found = _Lines(lines.take(pa.array(place)), None, min_words, width)
             data = [np.sort(found.tokens[a:b]).tobytes() for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found.digest), pa.array(data, pa.binary())], names=["digest", "set"])
 
@@ -223,8 +230,8 @@ def _confirm(percent: int):
 class _Join:
     """Pairs tested so far and the classes found to have an earlier match."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, min_words: int):
-        self.texts, self.classes, self.percent, self.min_words = texts, classes, percent, min_words
+    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, min_words: int, width: int):
+        self.texts, self.classes, self.percent, self.min_words, self.width = texts, classes, percent, min_words, width
         self.tested: DataFrame | None = None
         self.matched: DataFrame | None = None
 
@@ -244,7 +251,7 @@ class _Join:
         places = write_table(found.select("digest", "doc_id", "line").join(ends(pairs), "digest", "left_semi"), "wanted")
         lines = places.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
         lines = F.broadcast(lines) if places.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else lines
-        sets = self.texts.join(lines, "doc_id").select("text", "wanted").mapInArrow(_sets(self.min_words), "digest long, set binary")
+        sets = self.texts.join(lines, "doc_id").select("text", "wanted").mapInArrow(_sets(self.min_words, self.width), "digest long, set binary")
         # rows with equal ids may hold other lines at the same place
         sets = write_table(sets.join(places.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
         of = lambda c: sets.select(F.col("digest").alias(c), F.col("set").alias(f"set_{c}"))
@@ -255,16 +262,16 @@ class _Join:
         self.matched = later if self.matched is None else self.matched.unionByName(later).distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(doc_id, lines, removed) by document with lines of at least ``min_words`` (2 at least) words: how many, and which
     line numbers (from 0) go; and the table of all lines by class."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(counters(texts.select("text").mapInArrow(_count_tokens, "item long, n long")))
-    rows = write_table(texts.mapInArrow(_line_rows(shared, min_words, percent), _LINES), "lines")
+    shared = spark.sparkContext.broadcast(counters(texts.select("text").mapInArrow(_count_tokens(width), "item long, n long")))
+    rows = write_table(texts.mapInArrow(_line_rows(shared, min_words, percent, width), _LINES), "lines")
     lines = rows.filter("kind = 0").select("doc_id", "line", "digest", "lines", "n", "m0", "m1", "m2", "m3")
     classes = write_table(lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.min_by(c, "doc_id").alias(c) for c in ("line", "n", "m0", "m1", "m2", "m3")]), "classes")
-    join = _Join(texts, classes, percent, min_words)
+    join = _Join(texts, classes, percent, min_words, width)
     pairs, groups = _candidates(rows.filter("kind = 1"), percent)
     join.test(pairs)
     left = groups.join(join.matched, "digest", "left_anti")
@@ -301,14 +308,14 @@ def _drop(batches):
         yield batch.drop_columns(["__removed"])
 
 
-def drop_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
     """``docs`` without the lines that match an earlier one; columns as given (``n_chars`` follows the text).
 
     Rows with the same doc_id are one document with the lines of all: lines at the same place are
     not earlier than one another. A null doc_id comes last. Null and empty texts have no lines. A
     document whose lines all go stays with an empty text. No rows give no rows.
     """
-    removed, _ = removed_lines(docs, percent, min_words)
+    removed, _ = removed_lines(docs, percent, min_words, width)
     found = removed.filter(F.size("removed") > 0).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
     joined = docs.join(found, F.coalesce(docs["doc_id"], F.lit(_LAST)) == F.col("__id"), "left")
     out = joined.select(*[docs[c] for c in docs.columns], "__removed").mapInArrow(_drop, docs.schema)

@@ -1,5 +1,5 @@
 import numpy as np
-from cases import awkward, base_counts, docs, near_components, removed_lines
+from cases import awkward, base_counts, docs, lowered, near_components, removed_lines
 from pyspark.sql import functions as F
 
 from quillon.llm import components, linejoin, minhash, quality, registry
@@ -136,3 +136,33 @@ def test_queries_on_the_small_tables(spark, sf):
     assert {r.doc_id: r.n_removed for r in registry.QUERIES["op10_line_join"](spark, sf).collect()} == {k: len(v) for k, v in gone.items()}
     for r in registry.QUERIES["op3_quality_rules"](spark, sf).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(dict(rows)[r.doc_id])
+
+
+def removed_by_words(rows):
+    seen, out = [], {}
+    for i, text in sorted(rows):
+        for k, line in enumerate(text.split("\n")):
+            s = set(lowered(line))
+            if len(lowered(line)) >= 3:
+                if any(100 * len(s & t) >= 80 * len(s | t) for t in seen):
+                    out.setdefault(i, []).append(k)
+                seen.append(s)
+    return out
+
+
+def test_pipeline_line_dedup_compares_words(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    common, rows = [word() for _ in range(12)], []
+    for i in range(60):
+        line = [word() for _ in range(12)]
+        changed, turned = [*line[:6], word(), *line[7:]], line[::-1]
+        rows.append((i, "\n".join(" ".join(x) for x in (line, changed, turned, [*rng.permutation(common)[:10], word()])), "en", "s", 0, "h", 1, "w"))
+    want = removed_by_words([(r[0], r[1]) for r in rows])
+    assert all({1, 2} <= set(v) for v in want.values())  # one inner word of 12 changed; another order
+    for size in (256, 2):
+        monkeypatch.setattr(linejoin, "SMALL_GROUP", size)
+        for r in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect():
+            assert r.text == "\n".join(x for k, x in enumerate(rows[r.doc_id][1].split("\n")) if k not in want[r.doc_id])
