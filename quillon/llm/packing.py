@@ -26,8 +26,8 @@ WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard; a longer document makes a larger shard.
 SHARD_TOKENS = 1_000_000
-#: A document asks with this many of its terms, those of the highest weight.
-QUERY_TERMS = 24
+#: A document asks with all of its terms.
+QUERY_TERMS: int | None = None
 _K1, _B = 1.2, 0.75
 #: Words whose ids a worker remembers.
 _CACHE = 200_000
@@ -153,9 +153,7 @@ class Index:
         # the terms that each document asks with; a term of one document finds nothing
         slot = np.repeat(np.arange(len(df)), df)
         useful = np.flatnonzero(np.repeat(df, df) > 1)
-        order = useful[np.lexsort((-self.weight[useful], self.doc[useful]))]
-        rank = np.arange(len(order)) - np.searchsorted(self.doc[order], np.arange(n))[self.doc[order]]
-        order = order[rank < QUERY_TERMS]
+        order = useful[np.argsort(self.doc[useful], kind="stable")]
         self.asks = slot[order]
         self.ask_bounds = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.n = n

@@ -119,6 +119,13 @@ def test_neighbours_are_the_best_by_bm25():
         assert np.allclose(score[got], sorted(score[(score > 0) & unused], reverse=True))
 
 
+def test_a_document_asks_with_all_its_terms():
+    seed = [*range(100, 124), 50]  # 24 terms of two documents and a common one
+    texts = [seed] + [[99 + i, 1000 + i] for i in range(1, 25)] + [[50, 1000 + i] for i in range(25, 41)]
+    index = packing.Index(np.concatenate(texts).astype(np.int32), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    assert set(index.neighbours(0, np.arange(41) > 0)) == set(range(1, 41))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("aB .,!'’éß<|>\n\t12ΣİK")), max_size=30), min_size=1, max_size=5))
 def test_encoder_equals_the_tokenizer(texts):
