@@ -85,7 +85,7 @@ def cluster_bootstrap(rows: DataFrame, truth: str, score: str, cluster: str, key
     return rows.select(key, cluster, truth, score).groupBy(key).applyInPandas(stats, f"{key} string, clusters long, auc double, ci_low double, ci_high double")
 
 
-def within_subject_permutation(rows: DataFrame, truth: str, score: str, cluster: str, key: str, seed: int = 42, draws: int = 2_000) -> DataFrame:
+def within_subject_permutation(rows: DataFrame, truth: str, score: str, cluster: str, key: str, seed: int = 42, draws: int = 5_000) -> DataFrame:
     """p of the AUC when labels are shuffled inside each subject only, with one added to both counts."""
 
     def stats(frame: pd.DataFrame) -> pd.DataFrame:

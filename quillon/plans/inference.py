@@ -16,13 +16,13 @@ KEYS = ["subject_id", "condition", "channel"]
 
 @query("pooled_stats")
 def pooled_stats(spark, d):
-    return resample.pooled_stats(arms(spark, d), "truth", "p", "arm", "subject_id", bootstraps=1000, permutations=500)
+    return resample.pooled_stats(arms(spark, d), "truth", "p", "arm", "subject_id")
 
 
 @query("paired_bootstrap")
 def paired_bootstrap(spark, d):
     pairs = metrics.checked_truth(metrics.arm_pairs(arms(spark, d)))
-    return resample.paired_bootstrap(pairs, "truth", "p_a", "p_b", ["arm_a", "arm_b"], "subject_id", draws=1000)
+    return resample.paired_bootstrap(pairs, "truth", "p_a", "p_b", ["arm_a", "arm_b"], "subject_id")
 
 
 def _paired_units(spark, d):
@@ -33,12 +33,12 @@ def _paired_units(spark, d):
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark, d):
-    return resample.cluster_bootstrap(_paired_units(spark, d), "truth", "p", "unit", "arm", draws=500)
+    return resample.cluster_bootstrap(_paired_units(spark, d), "truth", "p", "unit", "arm")
 
 
 @query("within_subject_perm")
 def within_subject_perm(spark, d):
-    return resample.within_subject_permutation(_paired_units(spark, d), "truth", "p", "unit", "arm", draws=500)
+    return resample.within_subject_permutation(_paired_units(spark, d), "truth", "p", "unit", "arm")
 
 
 @query("accuracy_bootstrap")
@@ -49,7 +49,7 @@ def accuracy_bootstrap(spark, d):
 
 @query("changepoint_perm")
 def changepoint_perm(spark, d):
-    return resample.changepoint_permutation(profile(spark, d), "value", "i", "user_id", draws=50)
+    return resample.changepoint_permutation(profile(spark, d), "value", "i", "user_id")
 
 
 _MW = """r AS (SELECT truth, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM arms WHERE arm = 'hash')
