@@ -18,7 +18,7 @@ from quillon.ship import ship
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; documents that fail the base rules or are depleted go."""
     ship(spark)
-    return quality.clean(docs)
+    return quality.clean(docs, quality.ANY_SIZE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

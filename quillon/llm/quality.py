@@ -31,6 +31,10 @@ class Limits:
     max_repeat_percent: int = 50
 
 
+#: One count at every size: a line in more than this many distinct documents of a host goes, however large the host.
+ANY_SIZE = Limits(documents=20, share=0.0)
+
+
 _FEATURES = "doc_id long, host long, digest long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<a:long,b:long,words:long>>"
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = 1

@@ -166,3 +166,17 @@ def test_pipeline_line_dedup_compares_words(spark, monkeypatch):
         monkeypatch.setattr(linejoin, "SMALL_GROUP", size)
         for r in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect():
             assert r.text == "\n".join(x for k, x in enumerate(rows[r.doc_id][1].split("\n")) if k not in want[r.doc_id])
+
+
+def test_pipeline_boilerplate_limit_is_the_same_at_every_size(spark):
+    import corpus_pipeline
+
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))  # noqa: E731  (digits are one in a line's normal form)
+    own = lambda i: " ".join(f"own{letters(i)}x{letters(k)}" for k in range(60))
+    row = lambda i, text, host: (i, text, "en", host, 0, "h", 1, "w")
+    rows = [row(i, f"a line of the small host\n{own(i)}" if i < 30 else own(i), "small") for i in range(200)]
+    rows += [row(i, f"a line of the hot host\n{own(i)}" if i < 1110 else own(i), "hot") for i in range(1000, 3500)]
+    rows += [row(i, f"a line of few\n{own(i)}", "few") for i in range(4000, 4020)]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs(spark, rows), "").collect()}
+    assert all(kept[i] == own(i) for i in (*range(200), *range(1000, 3500)))
+    assert all(kept[i] == f"a line of few\n{own(i)}" for i in range(4000, 4020))
