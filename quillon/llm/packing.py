@@ -31,7 +31,9 @@ QUERY_TERMS: int | None = None
 _K1, _B = 1.2, 0.75
 #: Words whose ids a worker remembers.
 _CACHE = 200_000
-_CHUNK = 3 << 20
+_CHUNK = 1 << 20
+#: Terms whose postings are added up at once.
+_SPANS = 64
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -143,19 +145,22 @@ class Index:
         key = np.sort(ids.astype(np.int64) * n + doc)
         at = tx.run_starts(key)
         count = np.diff(np.append(at, len(key)))
-        term, self.doc = np.divmod(key[at], n)
+        term, place = np.divmod(key[at], n)
+        self.doc = place.astype(np.int32)
+        del key, at, doc, place
         starts = tx.run_starts(term)
         self.bounds = np.append(starts, len(term))
+        del term
         df = np.diff(self.bounds)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         length = np.diff(offsets) / max(1.0, len(ids) / n)
         self.weight = np.repeat(idf, df) * count * (_K1 + 1) / (count + _K1 * (1 - _B + _B * length[self.doc]))
         # the terms that each document asks with; a term of one document finds nothing
-        slot = np.repeat(np.arange(len(df)), df)
-        useful = np.flatnonzero(np.repeat(df, df) > 1)
-        order = useful[np.argsort(self.doc[useful], kind="stable")]
-        self.asks = slot[order]
-        self.ask_bounds = np.searchsorted(self.doc[order], np.arange(n + 1))
+        useful = np.repeat(df > 1, df)
+        holder = self.doc[useful]
+        order = np.argsort(holder, kind="stable")
+        self.asks = np.repeat(np.arange(len(df), dtype=np.int32), df)[useful][order]
+        self.ask_bounds = np.concatenate(([0], np.cumsum(np.bincount(holder, minlength=n))))
         self.n = n
 
     def neighbours(self, d: int, unused: np.ndarray):
@@ -163,7 +168,10 @@ class Index:
         spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.asks[self.ask_bounds[d] : self.ask_bounds[d + 1]].tolist()]
         if not spans:
             return
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        score = np.zeros(self.n)
+        for at in range(0, len(spans), _SPANS):
+            some = spans[at : at + _SPANS]
+            score += np.bincount(np.concatenate([self.doc[s] for s in some]), np.concatenate([self.weight[s] for s in some]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
         if len(found) > 16:
