@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose words match an earlier line's go; every document stays."""
+    """Lines whose words match an earlier line's go; so does a document that is left with less than the rules' least words."""
     ship(spark)
-    return linejoin.drop_lines(docs, width=1)
+    return linejoin.drop_lines(docs, least_words=quality.Limits().min_words)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

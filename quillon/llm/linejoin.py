@@ -1,18 +1,20 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its words (``width`` 1) or its pairs of adjacent words (``width`` 2), A-Z
-lower-cased, its set the distinct ones. Of lines whose sets have a Jaccard similarity of at least 80
-in 100, every one but the earliest goes: a line is removed if any earlier line, by (doc_id, line
-number), matches it. Lines of fewer than ``min_words`` words are never touched. Word pairs stay rare
-but are the stricter match: one inner word changed takes two of them. The pipeline compares words;
-the registered query compares pairs, as its SQL does.
-
-Tokens are ordered by rarity over all documents, and a line posts the tokens of its prefix: two
-matching lines share one. Rows of one token meet; a pair passes a length and a positional filter, and
-one on 256-bit maps of its sets (bits that differ are tokens that differ), before its full sets are
-compared. Lines with equal sets are one class (by a 64-bit digest) and are removed but
-the first without any comparison. Where one token has many lines, all are compared with the earliest
-first; only lines without a match so far are compared with the others.
+A line's tokens are its distinct words, A-Z lower-cased. Of lines whose sets have a Jaccard
+similarity of at least 80 in 100, every one but the earliest goes: a line is removed if any earlier
+line, by (doc_id, line number), matches it. Lines of fewer than ``min_words`` words are never touched.
+
+Tokens are ordered by rarity over all documents. A line posts the tokens of its prefix: of two matching
+lines both prefixes hold their first common token. A token that is hot, by its count over all lines,
+posts nothing alone: matching lines whose first common token is hot share a second one, hotter still,
+within one more place, and meet under the two together. So the group of a hot token splits without losing
+a pair. Rows that share a key meet in a task, by whole arrays; a pair passes a length and a positional
+filter and one on bit maps of its sets (bits that differ are tokens that differ), before full sets are
+compared. Lines with equal sets are one class (by a 128-bit digest), removed but the first without any
+comparison.
+
+A line needs one match only, so every row asks a few of its earliest candidates in each group first.
+Rows whose candidates all failed ask the next ones, in further rounds, until none has any left.
 """
 
 from __future__ import annotations
@@ -20,196 +22,269 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .rarity import BITS, counters, rarity, slots
-from .tables import documents, write_table
+from .tables import documents, fresh_names, write_table
 
 PERCENT = 80
 MIN_WORDS = 3
-#: Words of a token.
-WIDTH = 2
-#: All pairs of a token's lines are formed at once up to this many lines.
-SMALL_GROUP = 256
+#: A token that more lines hold than this posts together with a second one.
+HOT_LINES = 4096
+#: Candidates of a row in a group that one round compares; the next rounds take eight times as many each.
+FIRST = 8
 #: Lines whose places may be broadcast to a scan (some 30 MB); more are joined by shuffle.
 BROADCAST_LINES = 500_000
 _U = np.uint64
 _LAST = (1 << 63) - 1
-
-
-def _tokens(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words or word pairs of each text, the text of each, and words by text."""
-    words = tx.tokenise(column, lower=True)
-    hashed, row = tx.hashes(words.words, 51)[words.codes], tx.row_of(words.offsets)
-    if width == 1:
-        return tx.mix(hashed) if len(hashed) else np.zeros(0, _U), row, np.diff(words.offsets)
-    at = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)
-    return tx.mix(hashed[at] * _U(3) + tx.mix(hashed[at + 1])) if len(at) else np.zeros(0, _U), row[at], np.diff(words.offsets)
-
-
-def _count_tokens(width: int):
-    def count(batches):
-        total = np.zeros(1 << BITS, np.int64)
-        for batch in tx.chunks(batches):
-            # pairs never span lines
-            lines, _ = tx.split_lines(tx.texts(batch))
-            slots(_tokens(lines, width)[0], None, total)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["item", "n"])
-
-    return count
+_GOLD = _U(0x9E3779B97F4A7C15)
+_MAPS = ["m0", "m1", "m2", "m3"]
 
 
 class _Lines:
-    """The lines of a chunk of texts, as distinct tokens, the rarest first."""
-
-    def __init__(self, column: pa.Array, counts: np.ndarray | None, min_words: int, width: int):
-        lines, at = tx.split_lines(column)
-        token, line, words = _tokens(lines, width)
-        keep = words[line] >= max(2, min_words)
-        token, line = token[keep], line[keep]
+    """The lines of some texts that are long enough, as distinct tokens, the rarest first."""
+
+    def __init__(self, lines: pa.Array, min_words: int, counts: np.ndarray | None = None):
+        words = tx.tokenise(lines, lower=True)
+        long = np.diff(words.offsets) >= max(1, min_words)
+        line = tx.row_of(words.offsets)
+        hashed = tx.mix(tx.hashes(words.words, 51)) if len(words.words) else np.zeros(0, _U)
+        keep = long[line]
+        token, line = hashed[words.codes[keep]], line[keep]
         order = tx.order_rows(line, token)
         token, line = token[order], line[order]
-        fresh = np.ones(len(token), bool)
         if len(token):
-            fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-        token, line = token[fresh], line[fresh]
+            fresh = np.append(True, (token[1:] != token[:-1]) | (line[1:] != line[:-1]))
+            token, line = token[fresh], line[fresh]
         n = np.bincount(line, minlength=len(lines))
+        #: Which lines these are.
         self.live = np.flatnonzero(n)
         self.n = n[self.live]
         self.offsets = np.concatenate(([0], np.cumsum(self.n)))
-        self.doc = tx.row_of(at)[self.live]
-        self.number = (self.live - at[self.doc]).astype(np.int64)
-        total = np.concatenate((np.zeros(1, _U), np.cumsum(tx.mix(token), dtype=_U)))
-        self.digest = tx.mix((total[self.offsets[1:]] - total[self.offsets[:-1]]) ^ (self.n.astype(_U) * _U(0x9E3779B97F4A7C15))).view(np.int64)
-        bit, part = _U(1) << (token >> _U(58)), (token >> _U(56)) & _U(3)
-        self.maps = [np.bitwise_or.reduceat(np.where(part == _U(k), bit, _U(0)), self.offsets[:-1]).view(np.int64) if len(bit) else np.zeros(0, np.int64) for k in range(4)]
+        self.counts = None
         if counts is not None:
-            token = token[np.argsort((line << 31) + rarity(counts, token), kind="stable")]
+            number = rarity(counts, token).astype(np.int64)
+            order = np.argsort((line << 31) + number, kind="stable")
+            token, self.counts = token[order], number[order]
         self.tokens = token
 
+    def _summed(self, values: np.ndarray) -> np.ndarray:
+        total = np.concatenate((np.zeros(1, _U), np.cumsum(values, dtype=_U)))
+        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+
+    def digest(self) -> np.ndarray:
+        return tx.mix(self._summed(tx.mix(self.tokens)) ^ (self.n.astype(_U) * _GOLD)).view(np.int64)
 
-_LINES = "kind int, doc_id long, line int, digest long, lines array<int>, n int, word long, np long, m0 long, m1 long, m2 long, m3 long"
+    def second(self) -> np.ndarray:
+        return tx.mix(self._summed(tx.mix(self.tokens ^ _U(0x5851F42D4C957F2D))) + self.n.astype(_U)).view(np.int64)
 
+    def maps(self) -> list[np.ndarray]:
+        """A 256-bit map of each line's tokens as four integers."""
+        bit, part = _U(1) << (self.tokens >> _U(58)), (self.tokens >> _U(56)) & _U(3)
+        return [np.bitwise_or.reduceat(np.where(part == _U(k), bit, _U(0)), self.offsets[:-1]).view(np.int64) if len(bit) else np.zeros(0, np.int64) for k in range(4)]
+
+
+_LINES = "kind int, k1 long, k2 long, doc long, d1 long, d2 long, lines array<int>, n int, m0 long, m1 long, m2 long, m3 long"
+_LINE_NAMES = ["kind", "k1", "k2", "doc", "d1", "d2", "lines", "n", *_MAPS]
+
+
+def _line_rows(min_words: int):
+    """Rows of kind 0: a document's lines of one class; of kind 1: a document and its number of lines; of kind 2: a
+    counter of tokens in ``doc`` and what it has counted in ``d1``."""
 
-def _line_rows(counts, min_words: int, percent: int, width: int):
     def rows(batches):
+        total = np.zeros(1 << BITS, np.int64)
         for batch in tx.chunks(batches):
-            found = _Lines(tx.texts(batch), counts.value, min_words, width)
-            ids = batch.column("doc_id").to_numpy()
-            if not len(found.live):
-                continue
-            # one row per document and class, with all its line numbers
-            order = np.lexsort((found.number, found.digest, found.doc))
-            doc, digest = found.doc[order], found.digest[order]
-            start = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]))))
+            lines, at = tx.split_lines(tx.texts(batch))
+            found = _Lines(lines, min_words)
+            slots(found.tokens, None, total)
+            k1, k2, ids = (batch.column(c).to_numpy() for c in ("k1", "k2", "doc"))
+            doc = tx.row_of(at)[found.live]
+            number, d1 = (found.live - at[doc]).astype(np.int32), found.digest()
+            order = np.lexsort((number, d1, doc))
+            start = tx.run_starts(doc[order].astype(np.int64))
+            change = np.zeros(len(order), bool)
+            change[start] = True
+            if len(order):
+                change[1:] |= d1[order][1:] != d1[order][:-1]
+            start = np.flatnonzero(change)
             first = order[start]
-            places = pa.array(np.append(start, len(order)).astype(np.int32))
-            lists = pa.ListArray.from_arrays(places, pa.array(found.number[order].astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)).astype(np.int32)), pa.array(number[order]))
             k = len(first)
-            none = pa.nulls
-            names = ["kind", "doc_id", "line", "digest", "lines", "n", "word", "np", "m0", "m1", "m2", "m3"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(ids[found.doc[first]]), pa.array(found.number[first].astype(np.int32)), pa.array(found.digest[first]), lists, pa.array(found.n[first].astype(np.int32)), none(k, pa.int64()), none(k, pa.int64()), *[pa.array(m[first]) for m in found.maps]], names=names)
-            # postings of each class once in a chunk, at its earliest place
-            by_place = np.lexsort((found.number, ids[found.doc]))
-            _, at = np.unique(found.digest[by_place], return_index=True)
-            lone = by_place[at]
-            n = found.n[lone]
-            prefix = np.minimum(n, n - -(-percent * n // 100) + 1)
-            p = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            word = found.tokens[np.repeat(found.offsets[lone], prefix) + p].view(np.int64)
-            line = np.repeat(lone, prefix)
-            folded = found.maps[0] | found.maps[1] | found.maps[2] | found.maps[3]
-            k = len(p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ids[found.doc[line]]), none(k, pa.int32()), pa.array(found.digest[line]), pa.array([None], lists.type).take(pa.array(np.zeros(k, np.int32))), none(k, pa.int32()), pa.array(word), pa.array(found.n[line] << 32 | p), pa.array(folded[line]), *[none(k, pa.int64())] * 3], names=names)
+            if k:
+                row = doc[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), *[pa.array(x) for x in (k1[row], k2[row], ids[row], d1[first], found.second()[first])], lists, pa.array(found.n[first].astype(np.int32)), *[pa.array(m[first]) for m in found.maps()]], names=_LINE_NAMES)
+            count = np.bincount(doc, minlength=len(batch)).astype(np.int32)
+            none, size = pa.nulls, len(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(k1), pa.array(k2), *[none(size, pa.int64())] * 3, none(size, lists.type), pa.array(count), *[none(size, pa.int64())] * 4], names=_LINE_NAMES)
+        at = np.flatnonzero(total)
+        if len(at):
+            size, none = len(at), pa.nulls
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, 2, np.int32)), *[none(size, pa.int64())] * 2, pa.array(at), pa.array(total[at]), none(size, pa.int64()), none(size, pa.list_(pa.int32())), none(size, pa.int32()), *[none(size, pa.int64())] * 4], names=_LINE_NAMES)
 
     return rows
 
 
+#: Postings, packed by bucket: a key's own 32 bits; of its line the first half of the digest, a folded map, the set's
+#: size, the key's place in the prefix, and the line's place (document, and hash of the text with the line's number).
+_PACKED = ["word int", "digest long", "map long", "n int", "p int", "doc long", "tie long"]
+_COLUMNS = [c.split()[0] for c in _PACKED]
+_POSTINGS = "bucket int, " + ", ".join("{} array<{}>".format(*c.split()) for c in _PACKED)
+
+
+def _prefixes(found: _Lines, lines: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place) of what the given lines post."""
+    n = found.n[lines]
+    # a set can match another one from this size on only
+    lines = lines[100 * n >= percent * (n + 1)]
+    n = found.n[lines]
+    prefix = n - -(-percent * n // 100) + 1
+    near = np.minimum(n, prefix + 1)  # where two common tokens lie
+    step = np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
+    line = np.repeat(lines, near)
+    at = found.offsets[line] + step
+    token, hot = found.tokens[at], found.counts[at] > HOT_LINES
+    alone = ~hot & (step < np.repeat(prefix, near))
+    out = [(line[alone], token[alone], step[alone])]
+    # hot tokens are the last ones of a prefix; each with each later one
+    line, token, step = line[hot], token[hot], step[hot]
+    a = np.arange(len(line))
+    for k in range(1, int(near.max(initial=1))):
+        a = a[a + k < len(line)]
+        a = a[line[a] == line[a + k]]
+        if not len(a):
+            break
+        out.append((line[a], tx.mix(token[a] * _U(3) + tx.mix(token[a + k])), step[a + k] - 1))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
+
+def _postings(shared, buckets: int, min_words: int, percent: int):
+    def post(batches):
+        for batch in tx.chunks(batches):
+            lines, at = tx.split_lines(tx.texts(batch))
+            found = _Lines(lines, min_words, shared.value)
+            if not len(found.live):
+                continue
+            row = tx.row_of(at)[found.live]
+            doc = batch.column("doc").to_numpy()[row]
+            tie = ((batch.column("k1").to_numpy()[row] >> 32) << 32) | (found.live - at[row])
+            digest, maps = found.digest(), found.maps()
+            folded = maps[0] | maps[1] | maps[2] | maps[3]
+            # each class once in a chunk, at its earliest place
+            order = np.lexsort((tie, doc, digest))
+            lone = order[tx.run_starts(digest[order])]
+            line, key, place = _prefixes(found, lone, percent)
+            bucket = (key >> _U(33)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            line, key, place, bucket = line[order], key[order], place[order], bucket[order]
+            start = tx.run_starts(bucket)
+            cuts = pa.array(np.append(start, len(bucket)).astype(np.int32))
+            columns = [key.astype(np.uint32).view(np.int32), digest[line], folded[line], found.n[line].astype(np.int32), place.astype(np.int32), doc[line], tie[line]]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *[pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns]], names=["bucket", *_COLUMNS])
+
+    return post
+
+
 def _may_match(n, p, a, m, q, b, percent):
-    """Length, positional and 64-bit map filters on two lines of n and m words that share a token first at places p and q."""
+    """Length, positional and map filters on two lines of n and m words that share a key first at places p and q."""
     least = -(-percent * (n + m) // (100 + percent))
     near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - p - 1, m - q - 1) >= least)
     return near & (np.bitwise_count((a ^ b).view(_U)).astype(np.int64) * (100 + percent) <= (n + m) * (100 - percent))
 
 
-_CANDIDATES = "u long, v long, word long, doc_id long, digest long, np long, m0 long"
-_NAMES = ["u", "v", "word", "doc_id", "digest", "np", "m0"]
-
-
-def _meet(percent: int):
-    """Candidate pairs of rows ordered by token and document: all pairs of small groups, and each row of a large
-    one with its first. Rows of large groups come out too."""
+_MET = "bucket int, word int, u long, v long"
+
+
+def _groups(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows whose key has others, each class once at its earliest place, ordered by key and place."""
+    order = np.argsort(c["word"], kind="stable")
+    start = tx.run_starts(c["word"][order])
+    size = np.diff(np.append(start, len(order)))
+    c = {k: x[order[np.repeat(size > 1, size)]] for k, x in c.items()}
+    order = np.lexsort((c["tie"], c["doc"], c["digest"], c["word"]))
+    c = {k: x[order] for k, x in c.items()}
+    if len(order):
+        fresh = np.append(True, (c["digest"][1:] != c["digest"][:-1]) | (c["word"][1:] != c["word"][:-1]))
+        c = {k: x[fresh] for k, x in c.items()}
+    order = np.lexsort((c["digest"], c["tie"], c["doc"], c["word"]))
+    return {k: x[order] for k, x in c.items()}
+
+
+def _earliest(c: dict[str, np.ndarray], low: int, high: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each active row the candidates before it in its group, from the ``low``-th to before the ``high``-th; and
+    the rows that may have more."""
+    start = tx.run_starts(c["word"])
+    head = np.repeat(start, np.diff(np.append(start, len(c["word"]))))
+    n, p = c["n"].astype(np.int64), c["p"].astype(np.int64)
+    left = np.flatnonzero(c["active"] & (np.arange(len(head)) > head))
+    met = np.zeros(len(head), np.int64)
+    us, vs, more = [], [], []
+    step = 0
+    while len(left):
+        u = head[left] + step
+        hit = _may_match(n[u], p[u], c["map"][u], n[left], p[left], c["map"][left], percent)
+        took = hit & (met[left] >= low)
+        us.append(u[took])
+        vs.append(left[took])
+        met[left[hit]] += 1
+        step += 1
+        left = left[head[left] + step < left]
+        full = met[left] >= high
+        more.append(left[full])
+        left = left[~full]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, more))
+
+
+def _meet(low: int, high: int, percent: int):
+    """Candidate pairs (u before v) of rows ordered by bucket; with u null the rows that have more candidates."""
+
+    def values(column) -> np.ndarray:
+        return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
+
+    def flush(bucket: int, parts: list[dict[str, np.ndarray]]):
+        c = _groups({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+        u, v, more = _earliest(c, low, high, percent)
+        # a pair once a bucket
+        _, at = np.unique(tx.mix(c["digest"][u].view(_U)) ^ c["digest"][v].view(_U), return_index=True)
+        u, v = u[at], v[at]
+        both = np.concatenate((v, more))
+        if len(both):
+            first = pa.array(np.concatenate((c["digest"][u], np.zeros(len(more), np.int64))), mask=np.arange(len(both)) >= len(u))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), bucket, np.int32)), pa.array(c["word"][both].astype(np.int32)), first, pa.array(c["digest"][both])], names=["bucket", "word", "u", "v"])
 
     def meet(batches):
-        pivot = None  # word, digest, n, p, map of the first row of the group that the last batch ended in
+        now, parts = None, []
         for batch in batches:
-            word, digest, both, bits = (batch.column(c).to_numpy() for c in ("word", "digest", "np", "m0"))
-            if not len(word):
-                continue
-            n, p = both >> 32, both & 0xFFFFFFFF
-            start = tx.run_starts(word)
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(word))))
-            # the first row of each class in each group
-            order = np.lexsort((digest, group))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (digest[order][1:] != digest[order][:-1]) | (group[order][1:] != group[order][:-1])
-            row = np.sort(order[fresh])
-            group, size = group[row], np.bincount(group[row], minlength=len(start))
-            begun = pivot is not None and pivot[0] == word[0]
-            cut = np.zeros(len(start), bool)  # groups that a batch's end cuts
-            cut[-1] = True
-            cut[0] |= begun
-            large = (size > SMALL_GROUP) | cut
-            # every row of a large group with the group's first
-            head = row[np.searchsorted(group, np.arange(len(start)))]
-            h = [x[head][group] for x in (digest, n, p, bits)]
-            if begun:
-                h = [np.where(group == 0, x, y) for x, y in zip(pivot[1:], h, strict=True)]
-            star = large[group]
-            pairs = [[x[star] for x in (h[0], digest[row], _may_match(*h[1:], n[row], p[row], bits[row], percent))]]
-            a = np.flatnonzero(~star)
-            for step in range(1, min(SMALL_GROUP, len(row))):
-                a = a[a + step < len(row)]
-                a = a[group[a] == group[a + step]]
-                if not len(a):
-                    break
-                x, y = row[a], row[a + step]
-                keep = _may_match(n[x], p[x], bits[x], n[y], p[y], bits[y], percent)
-                pairs.append([digest[x[keep]], digest[y[keep]], keep[keep]])
-            u, v, fine = (np.concatenate([x[k] for x in pairs]) for k in range(3))
-            fine = fine & (u != v)
-            u, v = np.minimum(u, v)[fine], np.maximum(u, v)[fine]
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[pa.nulls(len(u), pa.int64())] * 5], names=_NAMES)
-            many = row[star & ((size > 1) | cut)[group]]
-            if len(many):
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(many), pa.int64())] * 2, *[batch.column(c).take(pa.array(many)) for c in _NAMES[2:]]], names=_NAMES)
-            last = head[-1]
-            pivot = pivot if begun and len(start) == 1 else (word[last], digest[last], n[last], p[last], bits[last])
+            buckets = batch.column("bucket").to_numpy()
+            cuts = [*tx.run_starts(buckets).tolist(), len(buckets)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if parts and buckets[a] != now:
+                    yield from flush(now, parts)
+                    parts = []
+                now = int(buckets[a])
+                some = batch.slice(a, b - a)
+                part = {k: values(some.column(k)) for k in _COLUMNS}
+                part["active"] = values(some.column("active")) if "active" in some.schema.names else np.ones(len(part["word"]), bool)
+                parts.append(part)
+        if parts:
+            yield from flush(now, parts)
+        tx.trim()
 
     return meet
 
 
-def _candidates(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs that may match, and the postings of large groups."""
-    met = postings.select("word", "doc_id", "digest", "np", "m0").repartition("word").sortWithinPartitions("word", "doc_id").mapInArrow(_meet(percent), _CANDIDATES)
-    met = write_table(met, "met")
-    return met.filter("u IS NOT NULL").select("u", "v"), met.filter("u IS NULL").select("word", "doc_id", "digest", "np", "m0")
-
-
-def _sets(min_words: int, width: int):
+def _sets(min_words: int):
     def sets(batches):
         for batch in tx.chunks(batches):
             # only the wanted lines of each document
             lines, at = tx.split_lines(tx.texts(batch))
             wanted = batch.column("wanted")
             place = np.repeat(at[:-1], pc.list_value_length(wanted).to_numpy()) + wanted.flatten().to_numpy()
-            found = _Lines(lines.take(pa.array(place)), None, min_words, width)
-            data = [np.sort(found.tokens[a:b]).tobytes() for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found.digest), pa.array(data, pa.binary())], names=["digest", "set"])
+            found = _Lines(lines.take(pa.array(place)), min_words)
+            data = [found.tokens[a:b].tobytes() for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.digest()), pa.array(found.second()), pa.array(data, pa.binary())], names=["d1", "d2", "set"])
 
     return sets
 
@@ -222,111 +297,118 @@ def _confirm(percent: int):
                 common = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
                 if 100 * common >= percent * ((len(x) + len(y)) // 8 - common):
                     keep.append(i)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(["d1", "d2"]).take(pa.array(keep, pa.int64()))
 
     return confirm
 
 
-class _Join:
-    """Pairs tested so far and the classes found to have an earlier match."""
-
-    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, min_words: int, width: int):
-        self.texts, self.classes, self.percent, self.min_words, self.width = texts, classes, percent, min_words, width
-        self.tested: DataFrame | None = None
-        self.matched: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> None:
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
-        ends = lambda p: p.select(F.col("u").alias("digest")).unionByName(p.select(F.col("v").alias("digest"))).distinct()
-        pairs = write_table(pairs, "met-pairs")
-        found = write_table(ends(pairs).join(self.classes, "digest"), "met-classes")
-        maps = ["m0", "m1", "m2", "m3"]
-        of = lambda c: found.select(F.col("digest").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in ("n", *maps)])
-        apart = sum((F.bit_count(F.col(f"{m}_u").bitwiseXOR(F.col(f"{m}_v"))) for m in maps), F.lit(0))
-        near = apart * (100 + self.percent) <= (F.col("n_u") + F.col("n_v")) * (100 - self.percent)
-        pairs = write_table(pairs.join(of("u"), "u").join(of("v"), "v").filter(near).select("u", "v"), "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        places = write_table(found.select("digest", "doc_id", "line").join(ends(pairs), "digest", "left_semi"), "wanted")
-        lines = places.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
-        lines = F.broadcast(lines) if places.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else lines
-        sets = self.texts.join(lines, "doc_id").select("text", "wanted").mapInArrow(_sets(self.min_words, self.width), "digest long, set binary")
-        # rows with equal ids may hold other lines at the same place
-        sets = write_table(sets.join(places.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-        of = lambda c: sets.select(F.col("digest").alias(c), F.col("set").alias(f"set_{c}"))
-        links = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(self.percent), "u long, v long")
-        at = lambda c: places.select(F.col("digest").alias(c), F.struct("doc_id", "line").alias(f"at_{c}"))
-        later = links.join(at("u"), "u").join(at("v"), "v").select(F.when(F.col("at_u") < F.col("at_v"), F.col("v")).when(F.col("at_v") < F.col("at_u"), F.col("u")).alias("digest")).filter("digest IS NOT NULL")
-        later = write_table(later.distinct(), "matched")
-        self.matched = later if self.matched is None else self.matched.unionByName(later).distinct()
-
-
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, lines, removed) by document with lines of at least ``min_words`` (2 at least) words: how many, and which
-    line numbers (from 0) go; and the table of all lines by class."""
+def _matches(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """(d1, d2) of the classes that an earlier one matches, of candidate pairs (u, v) of first digest halves."""
+    columns = ["d1", "d2", "k1", "k2", "doc", "tie", "n", *_MAPS]
+    of = lambda s: classes.select(*[F.col(c).alias(f"{s}_{c}") for c in columns])
+    apart = sum((F.bit_count(F.col(f"u_{m}").bitwiseXOR(F.col(f"v_{m}"))) for m in _MAPS), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("u_n") + F.col("v_n")) * (100 - percent)
+    before = F.struct("u_doc", "u_tie", "u_d1", "u_d2") < F.struct("v_doc", "v_tie", "v_d1", "v_d2")
+    joined = pairs.distinct().join(of("v"), F.col("v") == F.col("v_d1")).join(of("u"), F.col("u") == F.col("u_d1")).filter(near & before)
+    kept = write_table(joined.select(*[f"{s}_{c}" for s in "uv" for c in ("d1", "d2", "k1", "k2", "tie")]), "pairs")
+    end = lambda s: kept.select(*[F.col(f"{s}_{c}").alias(c) for c in ("k1", "k2", "tie")])
+    wanted = end("u").unionByName(end("v")).distinct().withColumn("line", F.col("tie").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    wanted = write_table(wanted.groupBy("k1", "k2").agg(F.collect_list("line").alias("wanted")), "wanted")
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
+    sets = texts.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_sets(min_words), "d1 long, d2 long, set binary")
+    sets = write_table(sets.groupBy("d1", "d2").agg(F.first("set").alias("set")), "sets")
+    of = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("d1", "d2")], F.col("set").alias(f"set_{s}"))
+    full = kept.join(of("v"), ["v_d1", "v_d2"]).join(of("u"), ["u_d1", "u_d2"]).select(F.col("v_d1").alias("d1"), F.col("v_d2").alias("d2"), "set_u", "set_v")
+    return write_table(full.mapInArrow(_confirm(percent), "d1 long, d2 long").distinct(), "matched")
+
+
+def _key(docs: DataFrame) -> list[Column]:
+    """128 bits that name a document by its id and text."""
+    return [F.xxhash64(F.lit(k), docs["doc_id"].cast("long"), docs["text"]) for k in (1, 2)]
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, lines): documents, by ``_key``, and how many lines of at least ``min_words`` words they have; and
+    (k1, k2, removed): those that lose some, with the line numbers (from 0) that go."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(counters(texts.select("text").mapInArrow(_count_tokens(width), "item long, n long")))
-    rows = write_table(texts.mapInArrow(_line_rows(shared, min_words, percent, width), _LINES), "lines")
-    lines = rows.filter("kind = 0").select("doc_id", "line", "digest", "lines", "n", "m0", "m1", "m2", "m3")
-    classes = write_table(lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.min_by(c, "doc_id").alias(c) for c in ("line", "n", "m0", "m1", "m2", "m3")]), "classes")
-    join = _Join(texts, classes, percent, min_words, width)
-    pairs, groups = _candidates(rows.filter("kind = 1"), percent)
-    join.test(pairs)
-    left = groups.join(join.matched, "digest", "left_anti")
-    for _ in range(2):
-        size = left.groupBy("word").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("pairs"), F.sum("m").alias("n")).first()
-        if not size.n or size.pairs <= 4 * SMALL_GROUP * size.n:
+    texts = docs.select(*[k.alias(c) for k, c in zip(_key(docs), ("k1", "k2"), strict=True)], F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"), "text")
+    rows = write_table(texts.mapInArrow(_line_rows(min_words), _LINES), "lines")
+    shared = spark.sparkContext.broadcast(counters(rows.filter("kind = 2").select(F.col("doc").alias("item"), F.col("d1").alias("n"))))
+    lines = rows.filter("kind = 0").drop("kind")
+    tie = F.shiftleft(F.shiftright("k1", 32), 32).bitwiseOR(F.col("lines")[0].cast("long"))
+    first = F.min(F.struct("doc", tie.alias("tie"), "k1", "k2"))
+    classes = lines.groupBy("d1", "d2").agg(first.alias("at"), F.count("*").alias("holders"), F.max(F.size("lines")).alias("most"), *[F.max(c).alias(c) for c in ("n", *_MAPS)])
+    classes = write_table(classes.select("d1", "d2", "at.*", "n", "holders", "most", *_MAPS), "classes")
+
+    buckets = 8 * max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    postings = texts.mapInArrow(_postings(shared, buckets, min_words, percent), _POSTINGS)
+    meet = lambda table, low, high: write_table(table.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(low, high, percent), _MET), "met")
+    met = meet(postings, 0, FIRST)
+    matched = _matches(met.filter("u IS NOT NULL").select("u", "v"), classes, texts, percent, min_words)
+    low, high = FIRST, 8 * FIRST
+    while True:
+        # rows that have more candidates and no match yet
+        open_rows = met.filter("u IS NULL").select("bucket", "word", F.col("v").alias("digest")).join(matched.select(F.col("d1").alias("digest")).distinct(), "digest", "left_anti").distinct()
+        open_rows = write_table(open_rows.withColumn("active", F.lit(True)), "open")
+        if not open_rows.limit(1).count():
             break
-        join.test(_candidates(left, percent)[0])
-        left = groups.join(join.matched, "digest", "left_anti")
-    # what has no match yet meets every other line of its large groups; small groups are done
-    places = lambda d, n, p: [F.shiftright("np", 32).alias(n), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias(p), F.col("digest").alias(d)]
-    one, other = left.select("word", F.col("m0").alias("a"), *places("u", "n", "p")), groups.select("word", F.col("m0").alias("b"), *places("v", "m", "q"))
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    fine = (F.col("u") != F.col("v")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= need)
-    join.test(one.join(other, "word").filter(fine).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    decided = classes.select("digest", F.col("doc_id").alias("first_doc")).join(join.matched.withColumn("gone", F.lit(True)), "digest", "left")
-    gone = F.when((F.col("doc_id") != F.col("first_doc")) | F.col("gone"), F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines")))
-    marked = lines.join(decided, "digest").select("doc_id", F.size("lines").alias("k"), gone.alias("gone"))
-    by_doc = marked.groupBy("doc_id").agg(F.sum("k").alias("lines"), F.sort_array(F.flatten(F.collect_list("gone"))).alias("removed"))
-    return by_doc, lines
-
-
-def _drop(batches):
-    for batch in batches:
-        hits = batch.column("__removed")
-        touched = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(hits), 0), 0).to_numpy(zero_copy_only=False))
-        at = batch.schema.get_field_index("text")
-        if len(touched):
-            column = batch.column("text").to_pylist()
-            for i in touched.tolist():
-                gone = set(hits[i].as_py())
-                column[i] = "\n".join(x for k, x in enumerate(column[i].split("\n")) if k not in gone)
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
-        yield batch.drop_columns(["__removed"])
-
-
-def drop_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
+        plain = postings.select("bucket", F.inline(F.arrays_zip(*_COLUMNS))).join(open_rows.select("bucket", "word").distinct(), ["bucket", "word"], "left_semi")
+        plain = plain.join(open_rows, ["bucket", "word", "digest"], "left").select("bucket", *_COLUMNS, F.coalesce("active", F.lit(False)).alias("active"))
+        met = meet(plain, low, high)
+        matched = matched.unionByName(_matches(met.filter("u IS NOT NULL").select("u", "v"), classes, texts, percent, min_words)).distinct()
+        low, high = high, 8 * high
+
+    decided = classes.join(matched.withColumn("gone", F.lit(True)), ["d1", "d2"], "left").filter("gone OR holders > 1 OR most > 1").select("d1", "d2", F.col("k1").alias("f1"), F.col("k2").alias("f2"), "gone")
+    here = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & F.col("gone").isNull()
+    gone = lines.join(decided, ["d1", "d2"]).select("k1", "k2", F.when(here, F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines")).alias("gone")).filter(F.size("gone") > 0)
+    removed = gone.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
+    return rows.filter("kind = 1").groupBy("k1", "k2").agg(F.max("n").alias("lines")), removed
+
+
+def _drop(hits_name: str):
+    def drop(batches):
+        for batch in batches:
+            hits = batch.column(hits_name)
+            touched = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(hits), 0), 0).to_numpy(zero_copy_only=False))
+            at = batch.schema.get_field_index("text")
+            if len(touched):
+                column = batch.column("text").to_pylist()
+                for i in touched.tolist():
+                    gone = set(hits[i].as_py())
+                    column[i] = "\n".join(x for k, x in enumerate(column[i].split("\n")) if k not in gone)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
+            yield batch
+
+    return drop
+
+
+def drop_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, least_words: int = 0) -> DataFrame:
     """``docs`` without the lines that match an earlier one; columns as given (``n_chars`` follows the text).
 
-    Rows with the same doc_id are one document with the lines of all: lines at the same place are
-    not earlier than one another. A null doc_id comes last. Null and empty texts have no lines. A
-    document whose lines all go stays with an empty text. No rows give no rows.
+    Documents come in the order of their ids, a null id last; different texts under one id (or none) are documents
+    of their own, ordered by a hash of the text. Rows with the same id and text are one document and keep the same
+    lines. Null and empty texts have no lines. A document that loses lines and has fewer than ``least_words`` words
+    left goes; with 0 it stays, with an empty text if all its lines went. Other columns may have any names. No rows
+    give no rows.
     """
-    removed, _ = removed_lines(docs, percent, min_words, width)
-    found = removed.filter(F.size("removed") > 0).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
-    joined = docs.join(found, F.coalesce(docs["doc_id"], F.lit(_LAST)) == F.col("__id"), "left")
-    out = joined.select(*[docs[c] for c in docs.columns], "__removed").mapInArrow(_drop, docs.schema)
+    _, removed = removed_lines(docs, percent, min_words)
+    a, b, hits = fresh_names(docs, "k1", "k2", "removed")
+    found = removed.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("removed").alias(hits))
+    k1, k2 = _key(docs)
+    joined = docs.withColumns({a: k1, b: k2}).join(found, [a, b], "left").select(*[F.col(f"`{c}`") for c in docs.columns], hits)
+    out = joined.mapInArrow(_drop(hits), joined.schema)
+    if least_words:
+        left = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+        out = out.filter(F.col(hits).isNull() | (left >= least_words))
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 3 words and lines removed, by document, over all documents; with a hash of the line numbers removed."""
     docs = documents(spark, sf_dir)
-    removed, _ = removed_lines(docs)
-    found = removed.select(F.col("doc_id").alias("id"), "lines", "removed")
-    rows = docs.select("doc_id").join(found, F.coalesce("doc_id", F.lit(_LAST)) == F.col("id"), "left")
+    lines, removed = removed_lines(docs)
+    k1, k2 = _key(docs)
+    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(lines, ["k1", "k2"], "left").join(removed, ["k1", "k2"], "left")
     numbers = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select("doc_id", F.coalesce("lines", F.lit(0)).cast("long").alias("n_lines"), F.size(numbers).cast("long").alias("n_removed"), F.sha2(F.array_join(numbers.cast("array<string>"), ","), 256).alias("removed_sha256"))

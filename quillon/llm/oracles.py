@@ -39,7 +39,7 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id
 OP10_SQL = f"""
 WITH l AS (SELECT doc_id, k, {_WORDS.format(_LOW.format("line"))} AS ws FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents)),
 e AS (SELECT * FROM l WHERE len(ws) >= 3),
-s AS (SELECT DISTINCT doc_id, k, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM e)),
+s AS (SELECT DISTINCT doc_id, k, unnest(ws) AS g FROM e),
 n AS (SELECT doc_id, k, count(*) AS n FROM s GROUP BY doc_id, k),
 m AS (SELECT DISTINCT b.doc_id, b.k FROM s a JOIN s b ON a.g = b.g AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.k < b.k) JOIN n x ON x.doc_id = a.doc_id AND x.k = a.k JOIN n y ON y.doc_id = b.doc_id AND y.k = b.k
   GROUP BY a.doc_id, a.k, b.doc_id, b.k, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),

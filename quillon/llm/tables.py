@@ -37,3 +37,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+        taken.add(f"_{name}")
+    return out

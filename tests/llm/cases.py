@@ -64,7 +64,7 @@ def near_components(rows, width, percent=80):
 
 
 def removed_lines(rows, percent=80, min_words=3):
-    """Line numbers that go, by doc_id, comparing every line with all earlier ones."""
+    """Line numbers that go, of each row of (id, text) with ids that don't repeat, comparing every line with all earlier ones."""
     seen, out = [], {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         gone = []
@@ -72,11 +72,11 @@ def removed_lines(rows, percent=80, min_words=3):
             w = lowered(line)
             if len(w) < min_words:
                 continue
-            s = frozenset(zip(w, w[1:]))
-            if any(100 * len(s & t) >= percent * len(s | t) for place, t in seen if place != (i, k)):
+            s = frozenset(w)
+            if any(100 * len(s & t) >= percent * len(s | t) for t in seen):
                 gone.append(k)
-            seen.append(((i, k), s))
-        out[i] = sorted(set(out.get(i, [])) | set(gone))
+            seen.append(s)
+        out[i] = gone
     return out
 
 
