@@ -39,18 +39,65 @@ def test_native_only(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_targets_fill_up_to_their_caps():
-    t = mixing.share_targets([100, 10, 100, 0], [5, 2, 1, 5], 315, 2.0)
-    assert t == [200.0, 20.0, 95.0, 0.0]
-
-
-def test_mix_meets_targets(spark):
-    rows = [(i, "w " * (1 + i % 37), "en", ["a", "b", "c", None][i % 4] if i % 3 else "a", 0, "h", 1, "w") for i in range(600)] + [(1000 + i, "w " * 9, "en", "a", 0, "h", 1, "w") for i in range(1500)] + [(None, None, None, None, None, None, None, None), (5000, "", None, "b", 0, None, None, None)]
+def targets(sizes, weights, total, cap):
+    """Shares by weight, none above cap times its size, the excess shared again: one at a time."""
+    out, free, left = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s > 0}, total
+    while free:
+        of = sum(weights[i] for i in free)
+        full = {i for i in free if left * weights[i] / of > cap * sizes[i]}
+        for i in full or free:
+            out[i] = cap * sizes[i] if full else left * weights[i] / of
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        free -= full
+    return out
+
+
+def test_targets_fill_up_to_their_caps(spark):
+    rng = np.random.default_rng(2)
+    for n in (4, 300):
+        sizes = [100, 10, 100, 0] if n == 4 else [int(x) for x in rng.pareto(0.5, n) * 100]
+        weights = [[5.0, 2.0, 1.0][i % 3] for i in range(n)]
+        made = spark.createDataFrame([(i, s, w) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "sid long, total long, weight double")
+        got = [r.target for r in mixing.share_targets(made, 1.5, 2.0).orderBy("sid").collect()]
+        assert got == pytest.approx(targets(sizes, weights, 1.5 * sum(sizes), 2.0))
+
+
+def plain_copies(rows):
+    """Copies by (source, size), with the dual solved by bisection."""
+    names = sorted({r[3] for r in rows if r[3] is not None}) + [None] * any(r[3] is None for r in rows)
+    size = lambda r: len((r[1] or "").split())
+    of = {s: sorted((size(r) for r in rows if r[3] == s and size(r)), reverse=True) for s in names}
+    want = targets([sum(of[s]) for s in names], [[5.0, 2.0, 1.0][i % 3] for i in range(len(names))], 1.5 * sum(map(sum, of.values())), 2.0)
+    out = {}
+    for s, t in zip(names, want, strict=True):
+        if t <= 0:
+            continue
+        sizes, counts = (np.array(x) for x in np.unique(of[s], return_counts=True))
+        scale = sum(of[s]) / len(of[s])
+        rates = lambda lam: np.minimum(2, np.exp(np.minimum(lam * sizes / scale, 1)))  # noqa: B023, E731
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (rates(mid) * sizes * counts).sum() > t else (mid, high)
+        copies = mixing.round_cells(sizes[::-1], counts[::-1], rates(low)[::-1], 2)
+        out |= {(s, int(k)): int(c) for k, c in zip(sizes[::-1], copies, strict=True)}
+    return out
+
+
+def test_mix_equals_a_plain_version(spark):
+    rows = [(i, "w " * (1 + i % 37), "en", ["a", "b", "c", None][i % 4] if i % 3 else "a", 0, "h", 1, "w") for i in range(600)] + [(1000 + i, "w " * 9, "en", "a", 0, "h", 1, "w") for i in range(1500)] + [(None, None, None, None, None, None, None, None), (5000, "", None, "b", 0, None, None, None), (6000, None, "en", "no words", 0, "h", 1, "w")]
     d = docs(spark, rows)
     m = mixing.mix_copies(d, mixing.word_count(F.col("text"))).cache()
     assert m.count() == len(rows)
+    want = plain_copies(rows)
+    got = {(r.source, r.size): r.n for r in m.filter("size > 0").groupBy("source", "size").agg(F.sum("copies").alias("n")).collect()}
+    assert got == want
     for r in m.groupBy("source", "source_size", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect():
         assert abs(r.taken - r.target) <= max(2, 0.01 * r.target) and 0 <= r.least <= r.most <= 2
+    spread = m.filter("size > 0").groupBy("source", "size").agg((F.max("copies") - F.min("copies")).alias("d")).agg(F.max("d")).first()[0]
+    assert spread <= 1
     again = mixing.mix_copies(docs(spark, rows).repartition(7), mixing.word_count(F.col("text")))
     key = lambda x: sorted(map(str, x.collect()))
     assert key(m) == key(again)
@@ -59,10 +106,22 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_takes_many_sources_and_any_column_names(spark, monkeypatch):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 1000).alias("source"))
+    got = mixing.mix_copies(d, mixing.word_count(F.col("text"))).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    assert len(got) == 1000 and all(abs(r.taken - r.target) <= 7 for r in got)
+    names = ["_k1", "_own", "__s", "__k", "__id", "__size", "_turn", "host", "size", "copies", "total", "a.b", "_rows", "_total", "_host", "sid", "part", "__c"]
+    d = spark.createDataFrame([(i, "some words here", "s", *[77] * len(names)) for i in (1, 2, 3, 3)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    out = mixing.mix(d)
+    found = out.collect()
+    assert out.columns == d.columns and len(found) == 6 and {x for r in found for x in r[3:]} == {77}
+
+
 def test_dual_optimum_has_the_tilted_form(spark):
-    cells = spark.createDataFrame([(0, s, 3) for s in range(1, 50)], "sid int, size long, n long")
+    cells = spark.createDataFrame([(0, s, 3) for s in range(1, 50)], "sid long, size long, n long")
     total = 3 * sum(range(1, 50))
-    lam = mixing._solve(cells, {0: (147, total, 1, 0.6 * total)}, 2.0)[0]
+    sources = spark.createDataFrame([(0, 147, total, 1, 0.6 * total)], "sid long, docs long, total long, least long, target double")
+    lam = mixing._solve(cells, sources, 2.0).first().lam
     sizes = np.arange(1, 50)
     rates = np.minimum(2, np.exp(lam * sizes / (total / 147)))
     assert 3 * (rates * sizes).sum() == pytest.approx(0.6 * total, rel=1e-6)
