@@ -20,13 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
 from .rarity import counters, rarity
-from .tables import documents, write_table
+from .tables import documents, fresh_names, write_table
 
 #: 42 bands of 6: a pair at the least similarity of 0.8 shares no band with probability 2.8e-6.
 BANDS, ROWS = 42, 6
@@ -124,7 +124,7 @@ def _sign(width: int):
             keys = band_keys(sketch(values, np.concatenate(([0], np.cumsum(n[full]))))).view(np.int64)
             places = np.concatenate(([0], np.cumsum(n > 0))) * BANDS
             bands = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(d1), pa.array(d2), bands], names=["doc_id", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n), pa.array(d1), pa.array(d2), bands], names=["doc_id", "k1", "k2", "n", "d1", "d2", "bands"])
 
     return sign
 
@@ -236,28 +236,29 @@ def _few(left: DataFrame) -> bool:
     return not size.n or size.pairs <= 8 * size.n
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+def _key() -> list[Column]:
+    """128 bits that name a document by its id and text."""
+    return [F.xxhash64(F.lit(k), F.col("doc_id").cast("long"), F.col("text")) for k in (1, 2)]
 
-    Rows are linked where their sets' Jaccard similarity is at least ``percent`` in 100; a component
-    is named by its smallest doc_id, and that document is kept. Null, empty and blank texts have no
-    shingles, link with nothing and are kept. A null doc_id stays out of all links, has a null
-    component and is kept. Repeated rows share a component; other columns are ignored; no rows give
-    no rows.
-    """
-    texts = docs.select("doc_id", "text")
-    signed = write_table(texts.mapInArrow(_sign(width), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, k1, k2, n, component) of every row; a component is named by its smallest id, null for null ids."""
+    k1, k2 = _key()
+    texts = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
+    signed = write_table(texts.mapInArrow(_sign(width), "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     live = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = write_table(live.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    first = live.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    posted = first.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    # a class is a set; its number is fixed once written
+    classes = live.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id())
+    classes = write_table(classes, "classes")
+    first = live.join(classes.select("doc_id", "d1", "d2", "rep"), ["doc_id", "d1", "d2"]).dropDuplicates(["rep"])
+    posted = first.select("rep", F.explode("bands").alias("key"))
     buckets = posted.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot <> last").select("key", "pivot")
     members = write_table(posted.join(buckets, "key"), "members")
-    ids = write_table(members.select("rep").distinct().join(classes.select("rep", "d1", "d2", "n"), "rep"), "candidates")
-    some = ids.select(F.col("rep").alias("doc_id"))
+    ids = write_table(members.select("rep").distinct().join(classes, "rep"), "candidates")
+    some = ids.select("doc_id")
     some = F.broadcast(some) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else some
-    found = texts.join(some, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, d1 long, d2 long, set binary")
-    sets = write_table(found.withColumnRenamed("doc_id", "rep").join(ids, ["rep", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "n", "set"), "sets")
+    found = texts.select("doc_id", "text").join(some, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, d1 long, d2 long, set binary")
+    sets = write_table(found.join(ids, ["doc_id", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "n", "set"), "sets")
 
     search = _Search(members.select("key", "rep"), sets, percent)
     search.test(members.select(F.col("pivot").alias("u"), F.col("rep").alias("v")))
@@ -274,20 +275,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         other = left.select("key", F.col("rep").alias("v"), F.col("component").alias("c"))
         search.test(left.join(other, "key").filter("component < c").select(F.col("rep").alias("u"), "v"))
 
-    named = classes.join(search.labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    named = classes.join(search.labels.withColumnRenamed("node", "rep"), "rep", "left")
+    heads = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("head"))
+    named = named.join(heads, "component", "left").select("d1", "d2", "n", F.coalesce("head", "doc_id").alias("component"))
+    rows = signed.select("doc_id", "k1", "k2", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (alone | (F.col("doc_id") == component)).alias("kept"))
+    return rows.select("doc_id", "k1", "k2", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+
+    Rows are linked where their sets' Jaccard similarity is at least ``percent`` in 100; a component
+    is named by its smallest doc_id, and that document is kept. Null, empty and blank texts have no
+    shingles, link with nothing and are kept. A null doc_id stays out of all links, has a null
+    component and is kept. Repeated rows share a component; different texts under one id are linked
+    each by its own set, and a row is kept if its id names its component. Other columns are ignored;
+    no rows give no rows.
+    """
+    kept = F.col("component").isNull() | (F.col("doc_id") == F.col("component"))
+    return _labelled(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates, columns as given; rows without words all stay."""
-    kept = near_duplicates(docs, width, percent).filter("kept")
-    ids = kept.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    """One row of each group of near-duplicates, columns as given.
+
+    The row of the smallest id stays, of several texts under that id the one of the smallest hash, of
+    rows equal in id and text one. Rows without words and rows without an id all stay. Other columns
+    may have any names.
+    """
+    rows = _labelled(docs, width, percent).filter("n > 0 AND doc_id = component")
+    a, b = fresh_names(docs, "k1", "k2")
+    first = rows.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("k.k1").alias(a), F.col("k.k2").alias(b))
     has = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) & F.col("doc_id").isNotNull()
-    linked = docs.filter(has).join(ids, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return linked.unionByName(docs.filter(~has))
+    k1, k2 = _key()
+    linked = docs.filter(has).withColumns({a: k1, b: k2}).join(first, [a, b], "left_semi").dropDuplicates([a, b])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return linked.select(*columns).unionByName(docs.filter(~has).select(*columns))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
