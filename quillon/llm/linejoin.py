@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .rarity import BITS, counters, rarity, slots
-from .tables import documents, fresh_names, write_table
+from .tables import documents, edit_texts, fresh_names, write_table
 
 PERCENT = 80
 MIN_WORDS = 3
@@ -365,21 +365,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     return rows.filter("kind = 1").groupBy("k1", "k2").agg(F.max("n").alias("lines")), removed
 
 
-def _drop(hits_name: str):
-    def drop(batches):
-        for batch in batches:
-            hits = batch.column(hits_name)
-            touched = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(hits), 0), 0).to_numpy(zero_copy_only=False))
-            at = batch.schema.get_field_index("text")
-            if len(touched):
-                column = batch.column("text").to_pylist()
-                for i in touched.tolist():
-                    gone = set(hits[i].as_py())
-                    column[i] = "\n".join(x for k, x in enumerate(column[i].split("\n")) if k not in gone)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
-            yield batch
-
-    return drop
+def _without(text: str, hits: list[int]) -> str:
+    gone = set(hits)
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
 
 
 def drop_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, least_words: int = 0) -> DataFrame:
@@ -395,12 +383,12 @@ def drop_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WOR
     a, b, hits = fresh_names(docs, "k1", "k2", "removed")
     found = removed.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("removed").alias(hits))
     k1, k2 = _key(docs)
-    joined = docs.withColumns({a: k1, b: k2}).join(found, [a, b], "left").select(*[F.col(f"`{c}`") for c in docs.columns], hits)
-    out = joined.mapInArrow(_drop(hits), joined.schema)
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    out = edit_texts(docs.withColumns({a: k1, b: k2}).join(found, [a, b], "left").select(*named, hits), hits, _without)
     if least_words:
         left = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
         out = out.filter(F.col(hits).isNull() | (left >= least_words))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.select(*named)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -13,8 +13,7 @@ l AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
 n AS (SELECT *, {_WORDS.format("line")} AS lw FROM l),
 v AS (SELECT rid, source, t, line, len(lw) AS k, regexp_replace({_LOW.format("array_to_string(lw, ' ')")}, '[0-9]', '0', 'g') AS norm FROM n WHERE len(lw) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM v GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-bad AS (SELECT v.source, norm FROM v JOIN hosts h ON v.source IS NOT DISTINCT FROM h.source GROUP BY v.source, norm, h.n HAVING count(DISTINCT t) > 100 AND count(DISTINCT t) > 0.05 * h.n),
+bad AS (SELECT source, norm FROM v GROUP BY source, norm HAVING count(DISTINCT t) > 10),
 lost AS (SELECT rid, sum(k) AS n FROM v WHERE EXISTS (SELECT 1 FROM bad b WHERE b.source IS NOT DISTINCT FROM v.source AND b.norm = v.norm) GROUP BY rid),
 a AS (SELECT w.*, len(ws) AS n_words, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.n, 0) AS n_dup_lines, coalesce(lost.n, 0) AS gone
   FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN lost USING (rid)),

@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency.
 
 Every line is normalised (A-Z lower-cased, digits to 0, white space collapsed) and hashed to 128
-bits. A line that occurs in more distinct documents of one host than the limits allow is
+bits. A line that occurs in more distinct documents of one host than the limit allows is
 boilerplate of that host and is removed; a document that loses too much of itself is rejected, as
 is one that fails the base rules. Exact copies of a text count as one document.
 """
@@ -13,29 +13,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import documents, write_table
+from .tables import documents, edit_texts, fresh_names, write_table
 
 
 @dataclass(frozen=True)
 class Limits:
-    #: A line may be in this many distinct documents of a host, or in this share of them.
-    documents: int = 100
-    share: float = 0.05
+    #: A line may be in this many distinct documents of a host, however large the host.
+    documents: int = 10
     #: A document is depleted if less than this share of its words is left.
     left: float = 0.3
     min_words: int = 50
     max_repeat_percent: int = 50
 
 
-#: One count at every size: a line in more than this many distinct documents of a host goes, however large the host.
-ANY_SIZE = Limits(documents=20, share=0.0)
-
-
-_FEATURES = "doc_id long, host long, digest long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<a:long,b:long,words:long>>"
+_FEATURES = "doc_id long, host long, t1 long, t2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<a:long,b:long,words:long>>"
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = 1
 _IN_WORD = np.ones(256, np.int64)
@@ -107,7 +102,8 @@ def _features(batches):
             [
                 batch.column("doc_id"),
                 batch.column("host"),
-                pa.array(tx.hashes(column, 3).view(np.int64)),
+                batch.column("t1"),
+                batch.column("t2"),
                 pa.array(np.diff(offsets)),
                 pa.array(tx.sums(_IN_WORD[raw], at)),
                 pa.array(tx.sums(_SYMBOLS[raw], at)),
@@ -115,22 +111,26 @@ def _features(batches):
                 pa.array(_repeated(words.codes, offsets, len(words.words))),
                 pa.ListArray.from_arrays(pa.array(places), struct),
             ],
-            names=["doc_id", "host", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+            names=["doc_id", "host", "t1", "t2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
         )
 
 
+def _text_key() -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(F.lit(k), F.col("text")) for k in (1, 2)]
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """One row per document with its base counts and its distinct line hashes, written once."""
-    rows = docs.select("doc_id", F.xxhash64(F.col("source")).alias("host"), "text")
+    t1, t2 = _text_key()
+    rows = docs.select("doc_id", F.xxhash64(F.col("source")).alias("host"), t1.alias("t1"), t2.alias("t2"), "text")
     return write_table(rows.mapInArrow(_features, _FEATURES).withColumn("rid", F.monotonically_increasing_id()), "quality")
 
 
 def frequent_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(host, a, b) of lines in more distinct documents of a host than the limits allow."""
-    lines = measured.select("host", "digest", F.explode("lines").alias("l")).select("host", "digest", "l.a", "l.b")
-    counts = lines.distinct().groupBy("host", "a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > limits.documents)
-    hosts = measured.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    return counts.join(hosts, "host").filter(F.col("n") > limits.share * F.col("of")).select("host", "a", "b")
+    """(host, a, b) of lines in more distinct documents of a host than the limit allows."""
+    lines = measured.select("host", "t1", "t2", F.explode("lines").alias("l")).select("host", "t1", "t2", "l.a", "l.b")
+    return lines.distinct().groupBy("host", "a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > limits.documents).select("host", "a", "b")
 
 
 def verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -146,46 +146,32 @@ def verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return measured.drop("lines").join(lost, "rid", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= limits.left * F.col("n_words")))
 
 
-def _strip(batches):
-    for batch in batches:
-        hits = batch.column("__removed")
-        touched = np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False))
-        at = batch.schema.get_field_index("text")
-        if len(touched):
-            column = batch.column("text").to_pylist()
-            for i in touched:
-                gone = {(x["a"], x["b"]) for x in hits[int(i)].as_py()}
-                parts = column[i].split("\n")
-                _, a, b = _signatures(pa.array(parts, pa.string()))
-                column[i] = "\n".join(p for p, x, y in zip(parts, a.tolist(), b.tolist(), strict=True) if (x, y) not in gone)
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
-        yield batch.drop_columns(["__removed"])
+def _strip(text: str, hits: list[dict]) -> str:
+    gone = {(x["a"], x["b"]) for x in hits}
+    parts = text.split("\n")
+    _, a, b = _signatures(pa.array(parts, pa.string()))
+    return "\n".join(p for p, x, y in zip(parts, a.tolist(), b.tolist(), strict=True) if (x, y) not in gone)
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Documents that stay, without their boilerplate lines; columns as given (``n_chars`` follows the text).
 
-    Null texts count as empty and so are rejected. Rows with the same ``doc_id`` and text share a
-    verdict and all of them stay or go. A table without rows gives a table without rows.
+    Null texts count as empty and so are rejected. Rows with the same ``doc_id``, ``source`` and text share a
+    verdict and all of them stay or go. Other columns may have any names. A table without rows gives a table
+    without rows.
     """
-    judged = verdicts(measure(docs), limits).filter("kept").groupBy("doc_id", "digest").agg(F.first("removed").alias("__removed"))
-    keyed = docs.mapInArrow(_keyed, _with(docs, "__digest long"))
-    joined = keyed.join(judged.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "__removed"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")))
-    out = joined.select(*[F.col(c) for c in docs.columns], "__removed").mapInArrow(_strip, docs.schema)
+    judged = verdicts(measure(docs), limits).filter("kept").groupBy("doc_id", "host", "t1", "t2").agg(F.first("removed").alias("removed"))
+    i, h, a, b, hits, none = fresh_names(docs, "id", "host", "t1", "t2", "removed", "null")
+    # a null id is joined as an id of its own, so that a group of null ids is dealt by its texts
+    found = judged.select(F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(none), F.col("host").alias(h), F.col("t1").alias(a), F.col("t2").alias(b), F.col("removed").alias(hits))
+    t1, t2 = _text_key()
+    keyed = docs.withColumns({i: F.coalesce("doc_id", F.lit(0)).cast("long"), none: F.col("doc_id").isNull(), h: F.xxhash64(F.col("source")), a: t1, b: t2})
+    joined = keyed.join(found, [i, none, h, a, b])
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    out = edit_texts(joined.select(*named, hits), hits, _strip).select(*named)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _with(docs: DataFrame, more: str):
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    return StructType(docs.schema.fields + _parse_datatype_string(more).fields)
-
-
-def _keyed(batches):
-    for batch in batches:
-        yield batch.append_column("__digest", pa.array(tx.hashes(tx.texts(batch), 3).view(np.int64)))
-
-
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document. Null text: no words. Rows are judged one by one, repeats included."""
     judged = verdicts(measure(documents(spark, sf_dir)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -49,3 +51,27 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
         out.append(f"_{name}")
         taken.add(f"_{name}")
     return out
+
+
+def edit_texts(df: DataFrame, hits: str, edit: Callable) -> DataFrame:
+    """``df`` with the texts of rows whose ``hits`` is not null replaced by ``edit(text, hits)``; columns of any names."""
+    import pyarrow as pa
+
+    names = df.columns
+    text, hit = names.index("text"), names.index(hits)
+
+    def edited(batches):
+        for batch in batches:
+            found = batch.column(hit)
+            touched = [i for i, valid in enumerate(found.is_valid().to_pylist()) if valid]
+            if touched:
+                column = batch.column(text).to_pylist()
+                for i in touched:
+                    column[i] = edit(column[i], found[i].as_py())
+                field = batch.schema.field(text)
+                batch = batch.set_column(text, field, pa.array(column, field.type))
+            yield batch
+
+    # names of their own for the task: mapInArrow takes a dot for a field
+    renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return renamed.mapInArrow(edited, renamed.schema).toDF(*names)

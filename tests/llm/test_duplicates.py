@@ -23,7 +23,7 @@ def test_boilerplate_goes_and_depleted_documents_are_rejected(spark):
     rows += [(100 + i, f"{line} {i % 2}\n{line}\n{line}\nfew own{i} words here", "en", "big", 0, "h", 1, "w") for i in range(30)]
     rows += [(200, f"{line}\n{own(200)}", "en", "small", 0, "h", 1, "w")] + [(300 + i, f"{own(300)}", "en", "big", 0, "h", 1, "w") for i in range(50)]
     d = docs(spark, rows)
-    limits = quality.Limits(documents=20, share=0.1, max_repeat_percent=90)
+    limits = quality.Limits(documents=20, max_repeat_percent=90)
     kept = {r.doc_id: r.text for r in quality.clean(d, limits).collect()}
     assert all(kept[i] == own(i) for i in range(30))
     assert not any(i in kept for i in range(100, 130))  # depleted
@@ -50,6 +50,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert first.columns == d.columns and sorted(r.doc_id for r in first.collect() if r.doc_id is not None) == sorted({v for v in want.values()})
 
 
+def test_texts_under_one_id_are_linked_each_by_its_own_set(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    row = lambda i, t: (i, t, "en", "s", 0, "h", 1, "w")
+    rows = [row(7, one), row(7, two), row(7, two), row(9, one + " more"), row(5, two + " more"), row(8, "a lone text of its own and no other")]
+    got = sorted((r.doc_id, r.text) for r in minhash.keep_first(docs(spark, rows)).collect())
+    assert got == [(5, two + " more"), (7, one), (8, "a lone text of its own and no other")]
+    found = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert found == {(7, 7), (7, 5), (9, 7), (5, 5), (8, 8)}
+
+
 def test_rings_of_near_copies_and_a_shared_passage(spark, monkeypatch):
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
@@ -158,11 +168,13 @@ def test_a_failed_first_candidate_does_not_hide_a_later_one():
 
 
 def test_any_column_names(spark):
-    rows = [(i, "some words that many documents share\n" + " ".join(f"w{i}x{k}" for k in range(60)), "src", 7) for i in range(4)]
-    for name in ("_k1", "k1", "_removed", "__removed", "__id", "d1", "hits", "_K2", "wanted", "at", "a.b"):
-        d = spark.createDataFrame(rows, f"doc_id long, text string, source string, `{name}` int")
-        for out in (linejoin.drop_lines(d), minhash.keep_first(d), quality.clean(d)):
-            assert out.columns == d.columns and {r[3] for r in out.collect()} == {7}
+    rows = [(i, "some words that many documents share\n" + " ".join(f"w{i}x{k}" for k in range(60)), "src") for i in range(4)]
+    names = ["_k1", "k1", "_removed", "__removed", "__id", "d1", "hits", "_K2", "wanted", "at", "a.b", "_null", "_host", "_t1", "id", "n", "c0", "rid", "component", "__digest", "__d", "lines"]
+    d = spark.createDataFrame([(*r, *[7] * len(names)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    for out in (linejoin.drop_lines(d), minhash.keep_first(d), quality.clean(d)):
+        assert out.columns == d.columns
+        found = out.collect()
+        assert len(found) == 4 and {x for r in found for x in r[3:]} == {7}
 
 
 def test_queries_on_the_small_tables(spark, sf):
@@ -199,7 +211,13 @@ def test_pipeline_boilerplate_limit_is_the_same_at_every_size(spark):
     row = lambda i, text, host: (i, text, "en", host, 0, "h", 1, "w")
     rows = [row(i, f"a line of the small host\n{own(i)}" if i < 30 else own(i), "small") for i in range(200)]
     rows += [row(i, f"a line of the hot host\n{own(i)}" if i < 1110 else own(i), "hot") for i in range(1000, 3500)]
-    rows += [row(i, f"a line of few\n{own(i)}", "few") for i in range(4000, 4020)]
+    rows += [row(i, f"a line of few\n{own(i)}", "few") for i in range(4000, 4010)]
     kept = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs(spark, rows), "").collect()}
     assert all(kept[i] == own(i) for i in (*range(200), *range(1000, 3500)))
-    assert all(kept[i] == f"a line of few\n{own(i)}" for i in range(4000, 4020))
+    assert all(kept[i] == f"a line of few\n{own(i)}" for i in range(4000, 4010))
+
+
+def test_limits_act_on_the_shipped_tables(spark):
+    got = registry.QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01")
+    assert got.filter("boilerplate_words > 0").count() >= 10
+    assert got.filter("NOT base_failed AND NOT kept").count() == 0  # no clean document of these is depleted
