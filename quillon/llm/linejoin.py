@@ -33,8 +33,8 @@ PERCENT = 80
 MIN_WORDS = 3
 #: A token that more lines hold than this posts together with a second one.
 HOT_LINES = 4096
-#: Candidates of a row in a group that one round compares; the next rounds take eight times as many each.
-FIRST = 8
+#: Candidates of a row in a group that the first round compares; the next rounds take eight times as many each.
+FIRST = 2
 #: Lines whose places may be broadcast to a scan (some 30 MB); more are joined by shuffle.
 BROADCAST_LINES = 500_000
 _U = np.uint64
@@ -91,8 +91,8 @@ _LINE_NAMES = ["kind", "k1", "k2", "doc", "d1", "d2", "lines", "n", *_MAPS]
 
 
 def _line_rows(min_words: int):
-    """Rows of kind 0: a document's lines of one class; of kind 1: a document and its number of lines; of kind 2: a
-    counter of tokens in ``doc`` and what it has counted in ``d1``."""
+    """Rows of kind 0: a document's lines of one class; of kind 1: a document and its number of lines; of kind 2: the
+    ``doc``-th block of ``n`` counters of tokens."""
 
     def rows(batches):
         total = np.zeros(1 << BITS, np.int64)
@@ -119,22 +119,24 @@ def _line_rows(min_words: int):
             count = np.bincount(doc, minlength=len(batch)).astype(np.int32)
             none, size = pa.nulls, len(batch)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(k1), pa.array(k2), *[none(size, pa.int64())] * 3, none(size, lists.type), pa.array(count), *[none(size, pa.int64())] * 4], names=_LINE_NAMES)
-        at = np.flatnonzero(total)
-        if len(at):
-            size, none = len(at), pa.nulls
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, 2, np.int32)), *[none(size, pa.int64())] * 2, pa.array(at), pa.array(total[at]), none(size, pa.int64()), none(size, pa.list_(pa.int32())), none(size, pa.int32()), *[none(size, pa.int64())] * 4], names=_LINE_NAMES)
+        # the counters in blocks of as many
+        size, none = 1 << (BITS // 2), pa.nulls
+        cuts = pa.array(np.arange(0, len(total) + 1, size).astype(np.int32))
+        packed = pa.ListArray.from_arrays(cuts, pa.array(np.minimum(total, 2**31 - 1).astype(np.int32)))
+        k = len(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), *[none(k, pa.int64())] * 2, pa.array(np.arange(k)), *[none(k, pa.int64())] * 2, packed, pa.array(np.full(k, size, np.int32)), *[none(k, pa.int64())] * 4], names=_LINE_NAMES)
 
     return rows
 
 
-#: Postings, packed by bucket: a key's own 32 bits; of its line the first half of the digest, a folded map, the set's
+#: Postings, packed by bucket: a key's own 32 bits; of its line the first half of the digest, a folded map of 128 bits, the set's
 #: size, the key's place in the prefix, and the line's place (document, and hash of the text with the line's number).
-_PACKED = ["word int", "digest long", "map long", "n int", "p int", "doc long", "tie long"]
+_PACKED = ["word int", "digest long", "a long", "b long", "n int", "p int", "doc long", "tie long"]
 _COLUMNS = [c.split()[0] for c in _PACKED]
 _POSTINGS = "bucket int, " + ", ".join("{} array<{}>".format(*c.split()) for c in _PACKED)
 
 
-def _prefixes(found: _Lines, lines: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _prefixes(found: _Lines, lines: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, place) of what the given lines post."""
     n = found.n[lines]
     # a set can match another one from this size on only
@@ -145,7 +147,7 @@ def _prefixes(found: _Lines, lines: np.ndarray, percent: int) -> tuple[np.ndarra
     step = np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
     line = np.repeat(lines, near)
     at = found.offsets[line] + step
-    token, hot = found.tokens[at], found.counts[at] > HOT_LINES
+    token, hot = found.tokens[at], found.counts[at] > most
     alone = ~hot & (step < np.repeat(prefix, near))
     out = [(line[alone], token[alone], step[alone])]
     # hot tokens are the last ones of a prefix; each with each later one
@@ -160,7 +162,7 @@ def _prefixes(found: _Lines, lines: np.ndarray, percent: int) -> tuple[np.ndarra
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def _postings(shared, buckets: int, min_words: int, percent: int):
+def _postings(shared, buckets: int, min_words: int, percent: int, most: int):
     def post(batches):
         for batch in tx.chunks(batches):
             lines, at = tx.split_lines(tx.texts(batch))
@@ -171,45 +173,61 @@ def _postings(shared, buckets: int, min_words: int, percent: int):
             doc = batch.column("doc").to_numpy()[row]
             tie = ((batch.column("k1").to_numpy()[row] >> 32) << 32) | (found.live - at[row])
             digest, maps = found.digest(), found.maps()
-            folded = maps[0] | maps[1] | maps[2] | maps[3]
+            a, b = maps[0] | maps[1], maps[2] | maps[3]
             # each class once in a chunk, at its earliest place
             order = np.lexsort((tie, doc, digest))
             lone = order[tx.run_starts(digest[order])]
-            line, key, place = _prefixes(found, lone, percent)
+            line, key, place = _prefixes(found, lone, percent, most)
             bucket = (key >> _U(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             line, key, place, bucket = line[order], key[order], place[order], bucket[order]
             start = tx.run_starts(bucket)
             cuts = pa.array(np.append(start, len(bucket)).astype(np.int32))
-            columns = [key.astype(np.uint32).view(np.int32), digest[line], folded[line], found.n[line].astype(np.int32), place.astype(np.int32), doc[line], tie[line]]
+            columns = [key.astype(np.uint32).view(np.int32), digest[line], a[line], b[line], found.n[line].astype(np.int32), place.astype(np.int32), doc[line], tie[line]]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *[pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns]], names=["bucket", *_COLUMNS])
 
     return post
 
 
-def _may_match(n, p, a, m, q, b, percent):
-    """Length, positional and map filters on two lines of n and m words that share a key first at places p and q."""
-    least = -(-percent * (n + m) // (100 + percent))
-    near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - p - 1, m - q - 1) >= least)
-    return near & (np.bitwise_count((a ^ b).view(_U)).astype(np.int64) * (100 + percent) <= (n + m) * (100 - percent))
+def _may_match(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Length, positional and map filters on rows x and y of one group, whose lines share its key first at places p."""
+    n, m = c["n"][x].astype(np.int64), c["n"][y].astype(np.int64)
+    near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    near &= 1 + np.minimum(n - c["p"][x] - 1, m - c["p"][y] - 1) >= -(-percent * (n + m) // (100 + percent))
+    at = np.flatnonzero(near)
+    apart = sum(np.bitwise_count((c[k][x[at]] ^ c[k][y[at]]).view(_U)).astype(np.int64) for k in "ab")
+    near[at] = apart * (100 + percent) <= (n + m)[at] * (100 - percent)
+    return near
 
 
-_MET = "bucket int, word int, u long, v long"
+#: A pair (u before v), or a row of a group in which rows have more candidates; ``more`` marks those.
+_MET = "u long, v long, bucket int, " + ", ".join(_PACKED) + ", more boolean"
 
 
 def _groups(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Rows whose key has others, each class once at its earliest place, ordered by key and place."""
+    """Rows whose key other lines post too, each class once at its earliest place, ordered by key and place."""
+    pick = lambda at: {k: x[at] for k, x in c.items()}
     order = np.argsort(c["word"], kind="stable")
-    start = tx.run_starts(c["word"][order])
-    size = np.diff(np.append(start, len(order)))
-    c = {k: x[order[np.repeat(size > 1, size)]] for k, x in c.items()}
-    order = np.lexsort((c["tie"], c["doc"], c["digest"], c["word"]))
-    c = {k: x[order] for k, x in c.items()}
-    if len(order):
-        fresh = np.append(True, (c["digest"][1:] != c["digest"][:-1]) | (c["word"][1:] != c["word"][:-1]))
-        c = {k: x[fresh] for k, x in c.items()}
-    order = np.lexsort((c["digest"], c["tie"], c["doc"], c["word"]))
-    return {k: x[order] for k, x in c.items()}
+    size = np.diff(np.append(tx.run_starts(c["word"][order]), len(order)))
+    c = pick(order[np.repeat(size > 1, size)])
+    order = np.lexsort((c["digest"], c["word"]))
+    word, digest = c["word"][order], c["digest"][order]
+    same = (word[1:] == word[:-1]) & (digest[1:] == digest[:-1])
+    if same.any():
+        # a class that several chunks have posted
+        often = np.zeros(len(order), bool)
+        often[1:] |= same
+        often[:-1] |= same
+        some = order[often]
+        some = some[np.lexsort((c["tie"][some], c["doc"][some], c["digest"][some], c["word"][some]))]
+        first = np.append(True, (c["word"][some][1:] != c["word"][some][:-1]) | (c["digest"][some][1:] != c["digest"][some][:-1]))
+        at = np.concatenate((order[~often], some[first]))
+    else:
+        at = order
+    at = at[np.argsort(c["word"][at], kind="stable")]
+    size = np.diff(np.append(tx.run_starts(c["word"][at]), len(at)))
+    c = pick(at[np.repeat(size > 1, size)])
+    return pick(np.lexsort((c["digest"], c["tie"], c["doc"], c["word"])))
 
 
 def _earliest(c: dict[str, np.ndarray], low: int, high: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,28 +235,30 @@ def _earliest(c: dict[str, np.ndarray], low: int, high: int, percent: int) -> tu
     the rows that may have more."""
     start = tx.run_starts(c["word"])
     head = np.repeat(start, np.diff(np.append(start, len(c["word"]))))
-    n, p = c["n"].astype(np.int64), c["p"].astype(np.int64)
     left = np.flatnonzero(c["active"] & (np.arange(len(head)) > head))
     met = np.zeros(len(head), np.int64)
     us, vs, more = [], [], []
     step = 0
     while len(left):
         u = head[left] + step
-        hit = _may_match(n[u], p[u], c["map"][u], n[left], p[left], c["map"][left], percent)
-        took = hit & (met[left] >= low)
-        us.append(u[took])
-        vs.append(left[took])
-        met[left[hit]] += 1
+        hit = np.flatnonzero(_may_match(c, u, left, percent))
         step += 1
-        left = left[head[left] + step < left]
-        full = met[left] >= high
-        more.append(left[full])
-        left = left[~full]
+        here = left[hit]
+        took = met[here] >= low
+        us.append(u[hit[took]])
+        vs.append(here[took])
+        met[here] += 1
+        still = head[left] + step < left
+        full = here[met[here] >= high]
+        more.append(full[head[full] + step < full])
+        if len(full):
+            still[hit[met[here] >= high]] = False
+        left = left[still]
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, more))
 
 
 def _meet(low: int, high: int, percent: int):
-    """Candidate pairs (u before v) of rows ordered by bucket; with u null the rows that have more candidates."""
+    """Candidate pairs of rows ordered by bucket, and the groups in which rows have more of them."""
 
     def values(column) -> np.ndarray:
         return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
@@ -248,11 +268,17 @@ def _meet(low: int, high: int, percent: int):
         u, v, more = _earliest(c, low, high, percent)
         # a pair once a bucket
         _, at = np.unique(tx.mix(c["digest"][u].view(_U)) ^ c["digest"][v].view(_U), return_index=True)
-        u, v = u[at], v[at]
-        both = np.concatenate((v, more))
-        if len(both):
-            first = pa.array(np.concatenate((c["digest"][u], np.zeros(len(more), np.int64))), mask=np.arange(len(both)) >= len(u))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), bucket, np.int32)), pa.array(c["word"][both].astype(np.int32)), first, pa.array(c["digest"][both])], names=["bucket", "word", "u", "v"])
+        u, v = c["digest"][u[at]], c["digest"][v[at]]
+        names = ["u", "v", "bucket", *_COLUMNS, "more"]
+        if len(u):
+            none = [pa.nulls(len(u), pa.from_numpy_dtype(c[k].dtype)) for k in _COLUMNS]
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int32()), *none, pa.nulls(len(u), pa.bool_())], names=names)
+        if len(more):
+            marked = np.zeros(len(c["word"]), bool)
+            marked[more] = True
+            rows = np.flatnonzero(np.isin(c["word"], c["word"][more]))
+            k = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, bucket, np.int32)), *[pa.array(c[x][rows]) for x in _COLUMNS], pa.array(marked[rows])], names=names)
 
     def meet(batches):
         now, parts = None, []
@@ -302,14 +328,15 @@ def _confirm(percent: int):
     return confirm
 
 
-def _matches(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """(d1, d2) of the classes that an earlier one matches, of candidate pairs (u, v) of first digest halves."""
+def _matches(met: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """(d1, d2) of the classes that an earlier one matches, of candidate pairs (u, v) by first digest halves."""
     columns = ["d1", "d2", "k1", "k2", "doc", "tie", "n", *_MAPS]
     of = lambda s: classes.select(*[F.col(c).alias(f"{s}_{c}") for c in columns])
     apart = sum((F.bit_count(F.col(f"u_{m}").bitwiseXOR(F.col(f"v_{m}"))) for m in _MAPS), F.lit(0))
     near = apart * (100 + percent) <= (F.col("u_n") + F.col("v_n")) * (100 - percent)
     before = F.struct("u_doc", "u_tie", "u_d1", "u_d2") < F.struct("v_doc", "v_tie", "v_d1", "v_d2")
-    joined = pairs.distinct().join(of("v"), F.col("v") == F.col("v_d1")).join(of("u"), F.col("u") == F.col("u_d1")).filter(near & before)
+    pairs = met.filter("u IS NOT NULL").select("u", "v").distinct()
+    joined = pairs.join(of("v"), F.col("v") == F.col("v_d1")).join(of("u"), F.col("u") == F.col("u_d1")).filter(near & before)
     kept = write_table(joined.select(*[f"{s}_{c}" for s in "uv" for c in ("d1", "d2", "k1", "k2", "tie")]), "pairs")
     end = lambda s: kept.select(*[F.col(f"{s}_{c}").alias(c) for c in ("k1", "k2", "tie")])
     wanted = end("u").unionByName(end("v")).distinct().withColumn("line", F.col("tie").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
@@ -327,13 +354,18 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(k), docs["doc_id"].cast("long"), docs["text"]) for k in (1, 2)]
 
 
+def _counted(rows: DataFrame) -> np.ndarray:
+    blocks = rows.filter("kind = 2").select("doc", "n", F.posexplode("lines").alias("at", "count")).filter("count > 0")
+    return counters(blocks.select((F.col("doc") * F.col("n") + F.col("at")).alias("item"), F.col("count").cast("long").alias("n")))
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, lines): documents, by ``_key``, and how many lines of at least ``min_words`` words they have; and
     (k1, k2, removed): those that lose some, with the line numbers (from 0) that go."""
     spark = docs.sparkSession
     texts = docs.select(*[k.alias(c) for k, c in zip(_key(docs), ("k1", "k2"), strict=True)], F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"), "text")
     rows = write_table(texts.mapInArrow(_line_rows(min_words), _LINES), "lines")
-    shared = spark.sparkContext.broadcast(counters(rows.filter("kind = 2").select(F.col("doc").alias("item"), F.col("d1").alias("n"))))
+    shared = spark.sparkContext.broadcast(_counted(rows))
     lines = rows.filter("kind = 0").drop("kind")
     tie = F.shiftleft(F.shiftright("k1", 32), 32).bitwiseOR(F.col("lines")[0].cast("long"))
     first = F.min(F.struct("doc", tie.alias("tie"), "k1", "k2"))
@@ -341,21 +373,21 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     classes = write_table(classes.select("d1", "d2", "at.*", "n", "holders", "most", *_MAPS), "classes")
 
     buckets = 8 * max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    postings = texts.mapInArrow(_postings(shared, buckets, min_words, percent), _POSTINGS)
+    postings = texts.mapInArrow(_postings(shared, buckets, min_words, percent, HOT_LINES), _POSTINGS)
     meet = lambda table, low, high: write_table(table.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(low, high, percent), _MET), "met")
     met = meet(postings, 0, FIRST)
-    matched = _matches(met.filter("u IS NOT NULL").select("u", "v"), classes, texts, percent, min_words)
+    matched = _matches(met, classes, texts, percent, min_words)
     low, high = FIRST, 8 * FIRST
     while True:
-        # rows that have more candidates and no match yet
-        open_rows = met.filter("u IS NULL").select("bucket", "word", F.col("v").alias("digest")).join(matched.select(F.col("d1").alias("digest")).distinct(), "digest", "left_anti").distinct()
-        open_rows = write_table(open_rows.withColumn("active", F.lit(True)), "open")
-        if not open_rows.limit(1).count():
+        # rows that have more candidates and no match yet, with their groups
+        done = matched.select(F.col("d1").alias("digest")).distinct()
+        groups = met.filter("u IS NULL")
+        active = write_table(groups.filter("more").select("bucket", "word", "digest").join(done, "digest", "left_anti").withColumn("active", F.lit(True)), "open")
+        if not active.limit(1).count():
             break
-        plain = postings.select("bucket", F.inline(F.arrays_zip(*_COLUMNS))).join(open_rows.select("bucket", "word").distinct(), ["bucket", "word"], "left_semi")
-        plain = plain.join(open_rows, ["bucket", "word", "digest"], "left").select("bucket", *_COLUMNS, F.coalesce("active", F.lit(False)).alias("active"))
-        met = meet(plain, low, high)
-        matched = matched.unionByName(_matches(met.filter("u IS NOT NULL").select("u", "v"), classes, texts, percent, min_words)).distinct()
+        groups = groups.select("bucket", *_COLUMNS).join(active.select("bucket", "word").distinct(), ["bucket", "word"], "left_semi")
+        met = meet(groups.join(active, ["bucket", "word", "digest"], "left").select("bucket", *_COLUMNS, F.coalesce("active", F.lit(False)).alias("active")), low, high)
+        matched = matched.unionByName(_matches(met, classes, texts, percent, min_words)).distinct()
         low, high = high, 8 * high
 
     decided = classes.join(matched.withColumn("gone", F.lit(True)), ["d1", "d2"], "left").filter("gone OR holders > 1 OR most > 1").select("d1", "d2", F.col("k1").alias("f1"), F.col("k2").alias("f2"), "gone")

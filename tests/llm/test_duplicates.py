@@ -158,13 +158,17 @@ def test_line_join_with_large_groups_and_chains(spark, monkeypatch):
 def test_a_failed_first_candidate_does_not_hide_a_later_one():
     # maps that collide: every earlier row is a candidate, and rounds hand over each one once
     n = 40
-    c = {"word": np.zeros(n, np.int32), "digest": np.arange(n), "map": np.zeros(n, np.int64), "n": np.full(n, 9, np.int32), "p": np.zeros(n, np.int32), "doc": np.arange(n), "tie": np.zeros(n, np.int64), "active": np.ones(n, bool)}
+    c = {"word": np.zeros(n, np.int32), "digest": np.arange(n), "a": np.zeros(n, np.int64), "b": np.zeros(n, np.int64), "n": np.full(n, 9, np.int32), "p": np.zeros(n, np.int32), "doc": np.arange(n), "tie": np.zeros(n, np.int64), "active": np.ones(n, bool)}
     met = []
     for low, high in ((0, 8), (8, 64)):
         u, v, more = linejoin._earliest(linejoin._groups(c), low, high, 80)
         met += list(zip(u.tolist(), v.tolist(), strict=True))
     assert sorted(met) == [(a, b) for a in range(n) for b in range(a + 1, n)] and not len(more)
     assert set(linejoin._earliest(linejoin._groups(c), 0, 8, 80)[2].tolist()) == set(range(9, n))
+    # one of the earlier rows is far: it is passed over
+    c["a"][3] = -1
+    u, v, more = linejoin._earliest(linejoin._groups(c), 0, 8, 80)
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted((a, b) for b in range(n) for a in [a for a in range(b) if 3 not in (a, b)][:8])
 
 
 def test_any_column_names(spark):
