@@ -33,8 +33,8 @@ PERCENT = 80
 MIN_WORDS = 3
 #: A token that more lines hold than this posts together with a second one.
 HOT_LINES = 4096
-#: Candidates of a row in a group that the first round compares; the next rounds take eight times as many each.
-FIRST = 2
+#: Candidates of a row in a group that the first round compares; the next rounds take sixteen times as many each.
+FIRST = 8
 #: Lines whose places may be broadcast to a scan (some 30 MB); more are joined by shuffle.
 BROADCAST_LINES = 500_000
 _U = np.uint64
@@ -258,13 +258,26 @@ def _earliest(c: dict[str, np.ndarray], low: int, high: int, percent: int) -> tu
 
 
 def _meet(low: int, high: int, percent: int):
-    """Candidate pairs of rows ordered by bucket, and the groups in which rows have more of them."""
+    """Candidate pairs of rows ordered by bucket, and the groups in which rows have more of them.
+
+    Rows with ``asks`` only name, by key and digest, the rows of a later round that want candidates; in the first
+    round, without such a column, all rows do.
+    """
 
     def values(column) -> np.ndarray:
         return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
 
     def flush(bucket: int, parts: list[dict[str, np.ndarray]]):
-        c = _groups({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+        c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        if "asks" in c:
+            name = tx.mix(c["digest"].view(_U)) ^ c["word"].astype(_U)
+            asks = c.pop("asks")
+            c["active"] = np.isin(name, name[asks])
+            rows = ~asks & np.isin(c["word"], c["word"][asks])
+            c = {k: x[rows] for k, x in c.items()}
+        else:
+            c["active"] = np.ones(len(c["word"]), bool)
+        c = _groups(c)
         u, v, more = _earliest(c, low, high, percent)
         # a pair once a bucket
         _, at = np.unique(tx.mix(c["digest"][u].view(_U)) ^ c["digest"][v].view(_U), return_index=True)
@@ -291,9 +304,7 @@ def _meet(low: int, high: int, percent: int):
                     parts = []
                 now = int(buckets[a])
                 some = batch.slice(a, b - a)
-                part = {k: values(some.column(k)) for k in _COLUMNS}
-                part["active"] = values(some.column("active")) if "active" in some.schema.names else np.ones(len(part["word"]), bool)
-                parts.append(part)
+                parts.append({k: values(some.column(k)) for k in some.schema.names if k != "bucket"})
         if parts:
             yield from flush(now, parts)
         tx.trim()
@@ -377,18 +388,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     meet = lambda table, low, high: write_table(table.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(low, high, percent), _MET), "met")
     met = meet(postings, 0, FIRST)
     matched = _matches(met, classes, texts, percent, min_words)
-    low, high = FIRST, 8 * FIRST
+    low, high = FIRST, 16 * FIRST
     while True:
-        # rows that have more candidates and no match yet, with their groups
+        # rows that have more candidates and no match yet; they meet their groups again
         done = matched.select(F.col("d1").alias("digest")).distinct()
         groups = met.filter("u IS NULL")
-        active = write_table(groups.filter("more").select("bucket", "word", "digest").join(done, "digest", "left_anti").withColumn("active", F.lit(True)), "open")
-        if not active.limit(1).count():
+        asks = write_table(groups.filter("more").select("bucket", "word", "digest").join(done, "digest", "left_anti"), "open")
+        if not asks.limit(1).count():
             break
-        groups = groups.select("bucket", *_COLUMNS).join(active.select("bucket", "word").distinct(), ["bucket", "word"], "left_semi")
-        met = meet(groups.join(active, ["bucket", "word", "digest"], "left").select("bucket", *_COLUMNS, F.coalesce("active", F.lit(False)).alias("active")), low, high)
+        named = asks.select("bucket", *[F.col(c) if c in ("word", "digest") else F.lit(0).cast(groups.schema[c].dataType).alias(c) for c in _COLUMNS], F.lit(True).alias("asks"))
+        met = meet(groups.select("bucket", *_COLUMNS, F.lit(False).alias("asks")).unionByName(named), low, high)
         matched = matched.unionByName(_matches(met, classes, texts, percent, min_words)).distinct()
-        low, high = high, 8 * high
+        low, high = high, 16 * high
 
     decided = classes.join(matched.withColumn("gone", F.lit(True)), ["d1", "d2"], "left").filter("gone OR holders > 1 OR most > 1").select("d1", "d2", F.col("k1").alias("f1"), F.col("k2").alias("f2"), "gone")
     here = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & F.col("gone").isNull()
