@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -30,8 +30,12 @@ from .labelled import remainder
 from .tables import documents, write_table
 
 DEPTH = 4
-#: Documents of a block.
-BLOCK_ROWS = 16_384
+#: Bytes of text of a block, about; a longer single text is taken whole.
+BLOCK_BYTES = 24 << 20
+#: Documents with neighbouring ids that go to one block.
+_RUN = 4096
+#: Grams that a task weighs at once, if no two context bytes have more.
+_WEIGHED = 300_000
 _U = np.uint64
 _HALF = math.log(0.5)
 #: The end token; no word is empty.
@@ -88,7 +92,7 @@ def _ask(batches):
             keys, counts = parts[0]
             for a in range(0, len(keys), 100_000):
                 part = keys[a : a + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[a : a + 100_000])], names=["block", "kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[a : a + 100_000])], names=["block", "kind", "key", "n"])
         held.clear()
         size = 0
 
@@ -176,17 +180,40 @@ _MODEL = "kind int, key long, bits binary, a double, b double, w double"
 
 
 def _weigh_task(batches):
-    parts = [(b.column("key").to_numpy().view(_U), b.column("n").to_numpy()) for b in batches]
-    if not parts:
-        return
-    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    bits, top = weigh(keys, n)
+    """Grams ordered by their last two context bytes, in runs that share no such pair with others. A pair has 2**24 grams at most."""
+    names = ["kind", "key", "bits", "a", "b", "w"]
     none = pa.nulls
-    for at in range(0, len(keys), 50_000):
-        part = [x.tobytes() for x in bits[at : at + 50_000]]
-        size = len(part)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, 1, np.int32)), pa.array(keys[at : at + size].view(np.int64)), pa.array(part, pa.binary()), *[none(size, pa.float64())] * 3], names=["kind", "key", "bits", "a", "b", "w"])
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), 2, np.int32)), pa.array(top["key"].to_numpy()), none(len(top), pa.binary()), *[pa.array(top[c].to_numpy()) for c in "abw"]], names=["kind", "key", "bits", "a", "b", "w"])
+
+    def flush(parts):
+        keys, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        bits, top = weigh(keys, n)
+        for at in range(0, len(keys), 50_000):
+            part = [x.tobytes() for x in bits[at : at + 50_000]]
+            size = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, 1, np.int32)), pa.array(keys[at : at + size].view(np.int64)), pa.array(part, pa.binary()), *[none(size, pa.float64())] * 3], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), 2, np.int32)), pa.array(top["key"].to_numpy()), none(len(top), pa.binary()), *[pa.array(top[c].to_numpy()) for c in "abw"]], names=names)
+
+    held, size = [], 0
+    for batch in batches:
+        keys, n, pair = batch.column("key").to_numpy().view(_U), batch.column("n").to_numpy(), batch.column("pair").to_numpy()
+        if not len(keys):
+            continue
+        last = 0
+        if size + len(keys) > _WEIGHED:
+            # up to the last change of pair
+            cuts = np.flatnonzero(np.diff(pair)) + 1
+            if held and pair[0] != now:
+                cuts = np.append(0, cuts)
+            if len(cuts):
+                last = int(cuts[-1])
+                yield from flush([*held, (keys[:last], n[:last])])
+                held, size = [], 0
+        held.append((keys[last:], n[last:]))
+        size += len(keys) - last
+        now = pair[-1]
+    if held:
+        yield from flush(held)
+    tx.trim()
 
 
 def top_levels(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -283,13 +310,15 @@ def _read(totals: tuple[int, int]):
                 part, kind = batch.slice(a, b - a), int(kinds[a])
                 if blocks[a] != block:
                     block, held, tables = blocks[a], {0: [], 1: []}, {}
+                    tx.trim()
                 if kind < 2:
                     held[kind].append((part.column("key").to_numpy().view(_U), part.column("value").to_numpy()))
                     continue
                 if not tables:
                     for k in (0, 1):
-                        tables[k] = Lookup(np.concatenate([h[0] for h in held[k]]), np.concatenate([h[1] for h in held[k]]))
-                    held = {}
+                        parts = held.pop(k)
+                        tables[k] = Lookup(np.concatenate([h[0] for h in parts]), np.concatenate([h[1] for h in parts]))
+                        del parts
                 for rows in tx.chunks([part], size=_CHUNK):
                     column = pc.ascii_lower(tx.texts(rows))
                     words = tx.tokenise(column)
@@ -313,6 +342,19 @@ def _read(totals: tuple[int, int]):
     return read
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``block``: about BLOCK_BYTES of text each, however ids lie. Runs of neighbouring ids, which usually
+    lie in one file, share a block, so that a task asks for few; where one gets too many bytes (null or equal ids,
+    long texts), it is split by a hash of the texts."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    blocks = max(1, -(-(rows.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES))
+    run = F.pmod(F.floor(F.coalesce("doc_id", F.lit(0)) / _RUN).cast("long"), F.lit(blocks))
+    rows = rows.withColumn("run", run)
+    heavy = write_table(rows.groupBy("run").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("long").alias("parts")).filter("parts > 1"), "heavy")
+    part = F.pmod(F.xxhash64("text", "doc_id"), F.coalesce("parts", F.lit(1)))
+    return rows.join(heavy, "run", "left").select("doc_id", "text", (F.shiftleft("run", 24) + part).alias("block"), "train")
+
+
 def score(docs: DataFrame, train) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
@@ -322,25 +364,20 @@ def score(docs: DataFrame, train) -> DataFrame:
     columns are ignored; no rows give no rows, and no training rows the uniform model.
     """
     spark = docs.sparkSession
-    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    # neighbours by id usually lie in one file, so that a task asks for few blocks
-    block = F.pmod(F.floor(F.coalesce("doc_id", F.lit(0)) / BLOCK_ROWS).cast("long"), F.lit(blocks)).cast("int")
-    rows = docs.select("doc_id", "text", block.alias("block"), train.alias("train"))
-    asked = write_table(rows.mapInArrow(_ask, "block int, kind int, key long, n long"), "asked")
+    rows = _in_blocks(docs.select("doc_id", "text", train.alias("train")))
+    asked = write_table(rows.mapInArrow(_ask, "block long, kind int, key long, n long"), "asked")
 
-    by_key = Window.partitionBy("key")
-    words = asked.filter("kind = 0").select("block", "key", F.sum("n").over(by_key).alias("c"), F.row_number().over(by_key.orderBy("block")).alias("r"), "n")
-    words = write_table(words, "words")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when((F.col("r") == 1) & (F.col("c") > 0), 1))).first()
+    words = write_table(asked.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "words")
+    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
 
     counted = asked.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    dealt = counted.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    dealt = counted.withColumn("pair", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")).repartition("pair").sortWithinPartitions("pair")
     model = write_table(dealt.mapInArrow(_weigh_task, _MODEL), "contexts")
     top = model.filter("kind = 2").groupBy("key").agg(*[F.sum(c).alias(c) for c in "abw"]).toArrow().to_pandas()
     shared = spark.sparkContext.broadcast(top_levels(top))  # 256 contexts x 255 decisions
     answers = model.filter("kind = 1").select("key", "bits").mapInArrow(_answer(shared), "key long, value double")
 
-    for_words = words.select("block", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("value"))
+    for_words = asked.filter("kind = 0").select("block", "kind", "key").join(words, "key").select("block", "kind", "key", F.col("c").cast("double").alias("value"))
     for_grams = asked.filter("kind = 1").select("block", "kind", "key").join(answers, "key").select("block", "kind", "key", "value")
     none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("train")]
     # a block that two tasks have met asks twice and is told the same
