@@ -24,7 +24,7 @@ from .tables import documents, write_table
 TREES = 16
 BITS = 64
 SHARD_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 8192
 #: Rows on which the share of candidates is fitted, and queries among them.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 128
 #: Recall that the fit aims at, above what is promised (0.9).
@@ -85,7 +85,7 @@ class Forest:
                 break
         return out
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: int) -> pd.DataFrame:
+    def search(self, places: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, least: int) -> pd.DataFrame:
         """The k candidates of the largest inner product for each query, itself left out, ties to the smaller id."""
         rows = []
         for i, met in enumerate(self.candidates(queries, least)):
@@ -97,8 +97,8 @@ class Forest:
                 met = met[near >= cut - 1e-9 * max(1.0, abs(cut))]
             score = (self.vectors[met] * queries[i]).sum(axis=1)
             best = np.lexsort((self.ids[met], -score))[:k]
-            rows.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": self.ids[met][best], "score": score[best]}))
-        return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            rows.append(pd.DataFrame({"row": places[i], "query_id": query_ids[i], "vec_id": self.ids[met][best], "score": score[best]}))
+        return pd.concat(rows) if rows else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -134,17 +134,20 @@ def fit_share(sample: np.ndarray, longest: float, k: int, aim: float = AIM) -> f
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query, all candidates if fewer.
 
-    ``queries`` and ``vectors`` have vec_id and embedding. The dimension is that of the vector with
-    the smallest id that has components; others, and vectors that are null, zero or hold null or
-    non-finite components, take no part. Repeated rows are candidates of their own. No rows give
-    no rows.
+    ``queries`` and ``vectors`` have vec_id and embedding. The dimension is the one that most vectors
+    have (of several, the smallest); others, and vectors that are null, zero or hold null or
+    non-finite components, take no part. Repeated rows are candidates of their own; a query given
+    several times with the same vector is one query, with another vector a query of its own under the
+    same id. Other columns are ignored. No rows give no rows.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    shape = vectors.filter("size(embedding) > 0").agg(F.min_by(F.size("embedding"), "vec_id")).first()
-    if shape[0] is None:
+    shapes = vectors.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    shape = shapes.agg(F.max(F.struct("n", -F.col("d")))).first()[0]
+    if shape is None:
         return spark.createDataFrame([], schema)
-    base = write_table(usable(vectors, shape[0]), "vectors")
+    dimensions = -shape[1]
+    base = write_table(usable(vectors, dimensions), "vectors")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, longest = base.agg(F.count("*"), F.max(length)).first()
     if not n:
@@ -153,22 +156,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float |
         draw = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 40))
         sample = base if n <= SAMPLE_ROWS else base.filter(draw < int((1 << 40) * SAMPLE_ROWS / n))
         share = fit_share(_matrix(sample.toArrow().to_pandas().sort_values("vec_id")["v"]), longest, k)
-    asked = usable(queries, shape[0])
+    asked = write_table(usable(queries, dimensions).distinct().withColumn("row", F.monotonically_increasing_id()), "queries")
     shards = -(-n // SHARD_ROWS)
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     part = lambda seed, of: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
     left = base.select("vec_id", "v", part(2, shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part(3, blocks).alias("block"))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    right = asked.select("vec_id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
 
     def meet(index: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(query):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         index = index.sort_values("vec_id", kind="stable")
         forest = Forest(index["vec_id"].to_numpy(np.int64), _matrix(index["v"]), longest)
-        return forest.search(query["vec_id"].to_numpy(np.int64), _matrix(query["v"]), k, int(np.ceil(share * len(index))))
+        return forest.search(query["row"].to_numpy(np.int64), query["vec_id"].to_numpy(np.int64), _matrix(query["v"]), k, int(np.ceil(share * len(index))))
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -145,6 +145,11 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels outside remainder 0 of 5.
+
+    Rows are scored one by one, repeats and equal ids included; null and empty texts have the intercept alone. A null id
+    counts as empty text in the remainder. Without rows there are no scores.
+    """
     docs = documents(spark, sf_dir)
     weights = train(docs, documents(spark, sf_dir, "labels"))
     return score(docs, weights).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -286,6 +286,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def op6_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels outside remainder 0 of 5.
+
+    Rows are scored one by one, repeats and equal ids included; null and empty texts and those without a known term get
+    the prior. A null id counts as empty text in the remainder. Without rows there are no scores.
+    """
     docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, documents(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("evidence").alias("n_neighbours"))

@@ -166,6 +166,19 @@ def test_forest_recall_and_awkward_vectors(spark):
     assert forest.nearest(few, few.filter("vec_id = 0")).count() == 4
 
 
+def test_odd_first_vector_and_repeated_queries(spark):
+    rng = np.random.default_rng(1)
+    rows = [(0, [1.0, 2.0, 3.0])] + [(i, [float(a) for a in rng.normal(size=2)]) for i in range(1, 15)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = d.filter("vec_id = 5").unionByName(d.filter("vec_id = 5"))
+    got = forest.nearest(d, asked, k=4).collect()
+    v = {i: np.array(x) for i, x in rows if len(x) == 2}
+    true = sorted((i for i in v if i != 5), key=lambda i: (-(v[i] * v[5]).sum(), i))[:4]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == true
+    other = forest.nearest(d, asked.limit(1).unionByName(spark.createDataFrame([(5, [1.0, 1.0])], d.schema)), k=4).collect()
+    assert len(other) == 8 and sorted(r.rank for r in other) == [1, 1, 2, 2, 3, 3, 4, 4]
+
+
 def test_op7_recall(spark):
     sf = "/root/testdata/sf0.01"
     rows = registry.QUERIES["op7_prefix_forest"](spark, sf).collect()
