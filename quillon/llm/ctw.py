@@ -31,9 +31,7 @@ from .tables import documents, write_table
 
 DEPTH = 4
 #: Bytes of text of a block, about; a longer single text is taken whole.
-BLOCK_BYTES = 24 << 20
-#: Documents with neighbouring ids that go to one block.
-_RUN = 4096
+BLOCK_BYTES = 16 << 20
 #: Grams that a task weighs at once, if no two context bytes have more.
 _WEIGHED = 300_000
 _U = np.uint64
@@ -71,7 +69,7 @@ def _distinct(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-_HELD = 1_000_000
+_HELD = 600_000
 
 
 def _ask(batches):
@@ -347,10 +345,11 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     lie in one file, share a block, so that a task asks for few; where one gets too many bytes (null or equal ids,
     long texts), it is split by a hash of the texts."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    blocks = max(1, -(-(rows.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES))
-    run = F.pmod(F.floor(F.coalesce("doc_id", F.lit(0)) / _RUN).cast("long"), F.lit(blocks))
-    rows = rows.withColumn("run", run)
-    heavy = write_table(rows.groupBy("run").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("long").alias("parts")).filter("parts > 1"), "heavy")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(1))).first()
+    blocks, length = max(1, -(-total // BLOCK_BYTES)), max(1, n * BLOCK_BYTES // max(1, total))
+    rows = rows.withColumn("run", F.pmod(F.floor(F.coalesce("doc_id", F.lit(0)) / length).cast("long"), F.lit(blocks)))
+    heavy = rows.groupBy("run").agg(F.sum(size).alias("bytes")).filter(F.col("bytes") > 1.5 * BLOCK_BYTES)
+    heavy = write_table(heavy.select("run", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("long").alias("parts")), "heavy")
     part = F.pmod(F.xxhash64("text", "doc_id"), F.coalesce("parts", F.lit(1)))
     return rows.join(heavy, "run", "left").select("doc_id", "text", (F.shiftleft("run", 24) + part).alias("block"), "train")
 

@@ -69,6 +69,35 @@ def test_context_trees_equal_brute_force(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.bits_per_byte == pytest.approx(8) for r in none)
 
 
+def test_blocks_hold_so_many_bytes_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 4000)
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    for ids in ([None] * 300, [7] * 300, range(300), [i * 10**12 for i in range(300)]):
+        d = spark.createDataFrame([(i, text(k)) for k, i in enumerate(ids)], "doc_id long, text string").withColumn("train", F.lit(True))
+        sizes = [r[1] for r in ctw._in_blocks(d).groupBy("block").agg(F.sum(F.length("text"))).collect()]
+        assert max(sizes) <= 3 * 4000 and len(sizes) >= 10
+    nulls = spark.createDataFrame([(None, text(k)) for k in range(300)], "doc_id long, text string")
+    got = ctw.score(nulls, F.lit(True)).collect()
+    assert len(got) == 300 and all(r.n_tokens == 41 == r.n_known for r in got)
+
+
+def test_grams_are_weighed_in_runs(spark):
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 22, 3000).astype(np.uint64))
+    keys = keys[np.argsort((keys >> np.uint64(8)) & np.uint64(0xFFFF), kind="stable")]
+    n = rng.integers(0, 5, len(keys))
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(keys[a:b].view(np.int64)), pa.array(n[a:b]), pa.array(((keys[a:b] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int32))], names=["key", "n", "pair"])
+    whole, _ = ctw.weigh(keys, n)
+    ctw._WEIGHED, before = 100, ctw._WEIGHED
+    try:
+        got = [b for b in ctw._weigh_task(batch(a, a + 37) for a in range(0, len(keys), 37))]
+    finally:
+        ctw._WEIGHED = before
+    rows = [(k, np.frombuffer(x)) for b in got if b.column("kind")[0].as_py() == 1 for k, x in zip(b.column("key").to_pylist(), b.column("bits").to_pylist(), strict=True)]
+    assert [k for k, _ in rows] == keys.astype(np.int64).tolist() and np.allclose([x for _, x in rows], whole)
+    assert len(got) > 20
+
+
 def test_op4_codes_better_than_bytes(spark, sf):
     rows = registry.QUERIES["op4_context_tree"](spark, sf).collect()
     held = [r for r in rows if r.held_out]
