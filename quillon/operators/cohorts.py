@@ -14,7 +14,7 @@ def common(arms: DataFrame, key: str = "subject_id", arm: str = "arm") -> DataFr
 
 def missing(arms: DataFrame, key: str = "subject_id", arm: str = "arm") -> DataFrame:
     """(arm, key) that some arm has and this one lacks."""
-    grid = arms.select(key).distinct().crossJoin(F.broadcast(arms.select(arm).distinct()))
+    grid = arms.select(key).distinct().crossJoin(arms.select(arm).distinct())
     return grid.join(arms.select(key, arm).distinct(), [key, arm], "left_anti").select(arm, key)
 
 
@@ -68,3 +68,10 @@ def two_sided(units: DataFrame, key: str, side: str, sides: list[str]) -> DataFr
     """Rows of keys that have every side."""
     full = units.filter(F.col(side).isin(sides)).groupBy(key).agg(F.count_distinct(side).alias("__n")).filter(F.col("__n") == len(sides)).select(key)
     return units.filter(F.col(side).isin(sides)).join(full, key, "left_semi")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key; a key that it lacks is an error when read."""
+    found = rows.join(table.withColumn("__found", F.lit(True)), key, "left")
+    absent = F.raise_error(F.concat(F.lit(f"no such {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.withColumn(key, F.when(F.col("__found"), F.col(key)).otherwise(absent.cast(rows.schema[key].dataType))).drop("__found")

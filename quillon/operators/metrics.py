@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import before
+
 
 def subject_mean(epochs: DataFrame, prob: str = "prob") -> DataFrame:
     """Mean probability of each subject, and the label at 0.5."""
@@ -28,11 +30,10 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column, *keys: str) ->
 def rank_auc(rows: DataFrame, truth: Column, score: str, *keys: str) -> DataFrame:
     """Area under the curve from average ranks, ties one half; null where a class is empty.
 
-    Ranks come from the counts of distinct scores, so a window holds one row per distinct score.
+    Ranks come from the counts of distinct scores, summed up range by range.
     """
     tied = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys, score).agg(F.sum(truth.cast("long")).alias("__p"), F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tied.withColumn("__rank", before + (F.col("__n") + 1) / 2)
+    ranked = before(tied, score, "__n", *keys).withColumn("__rank", F.col("__before") + (F.col("__n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("__p") * F.col("__rank")).alias("__s"), F.sum("__p").alias("n_pos"), F.sum(F.col("__n") - F.col("__p")).alias("n_neg"))
     auc = F.try_divide(F.col("__s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, (F.col("n_pos") * F.col("n_neg")).cast("double"))
     return sums.select(*keys, "n_pos", "n_neg", auc.alias("auc"))
@@ -92,7 +93,7 @@ def histogram(rows: DataFrame, prob: str, bins: int = 20, *keys: str) -> DataFra
 def placement(rows: DataFrame, group: str, key: str, prob: str) -> DataFrame:
     """For each subject: how many others of each group score at least as high, by windows over distinct scores."""
     tied = rows.groupBy(group, prob).agg(F.count("*").alias("__n"))
-    grid = rows.select(prob).distinct().crossJoin(F.broadcast(rows.select(F.col(group).alias("other")).distinct()))
+    grid = rows.select(prob).distinct().crossJoin(rows.select(F.col(group).alias("other")).distinct())
     counted = grid.join(tied.withColumnRenamed(group, "other"), ["other", prob], "left")
     down = Window.partitionBy("other").orderBy(F.desc(prob))
     counted = counted.select("other", prob, F.sum(F.coalesce("__n", F.lit(0))).over(down).alias("at_least"))

@@ -116,19 +116,6 @@ def solve_threshold(values: DataFrame, value: str, key: str, target: float) -> D
             low = t
 
 
-def solve_threshold_windowed(values: DataFrame, value: str, key: str, target: float) -> DataFrame:
-    """The same by evaluating all candidates at once: candidates x subjects cells, for tables of that size."""
-    rows = values.select(key, F.col(value).alias("v")).filter("v IS NOT NULL")
-    counts = rows.groupBy(key, "v").agg(F.count("*").alias("c"))
-    n = rows.groupBy(key).agg(F.count("*").alias("n"))
-    grid = counts.select(F.col("v").alias("t")).distinct().crossJoin(F.broadcast(n))
-    at = grid.select(key, F.col("t").alias("v"), "n").join(counts, [key, "v"], "left")
-    upto = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy(key).orderBy("v"))
-    cells = at.withColumn("r", 1 - upto / F.col("n"))
-    by = cells.groupBy("v").agg(F.percentile("r", 0.5).alias("median_rejection")).filter(F.round("median_rejection", 9) <= target)
-    return by.agg(F.min("v").alias("threshold"), F.min_by("median_rejection", "v").alias("median_rejection"))
-
-
 def sweep(rows: DataFrame, threshold: str, value: str) -> DataFrame:
     """By threshold the median of a value, and its swing in percent against the smallest threshold's."""
     by = rows.groupBy(threshold).agg(F.percentile(value, 0.5).alias("median"))

@@ -33,7 +33,7 @@ class Settings:
     muscle: float = schemas.MUSCLE_THRESHOLD
     eog: float = 0.8
     trim_s: float = schemas.BOUNDARY_TRIM_S
-    fit_s: float = 60.0
+    fit_s: float | None = None
 
 
 def peak_region(weights: np.ndarray, channels: list[str]) -> tuple[str | None, float]:
@@ -92,7 +92,7 @@ def process(frame: pd.DataFrame, fraction: float | None, task: bool, s: Settings
         fs = float(by["sfreq"].iloc[0])
         x = np.stack([np.asarray(by["signal"][c], float) for c in order])
         x = kernels.band_pass(x, fs, s.low, s.high, s.notch)
-        fit = kernels.zero_phase(x, kernels.fir(fs, 1.0, None))[:, : int(s.fit_s * fs)]
+        fit = kernels.zero_phase(x, kernels.fir(fs, 1.0, None))[:, : None if s.fit_s is None else int(s.fit_s * fs)]
         unmixing, mixing = kernels.ica(fit)
         bad, capped = exclusions(unmixing @ fit, mixing, order, fit, fs, s)
         x = kernels.remove_components(x, unmixing, mixing, bad)

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .running import before
+
 
 def auc(truth: np.ndarray, score: np.ndarray) -> float:
     """Rank AUC with ties one half; NaN where a class is empty."""
@@ -159,12 +161,10 @@ def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
 
     Ranks come from counts of distinct values; the driver sees five sums.
     """
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     tied = rows.groupBy(F.col(value).alias("v")).agg(F.sum(F.col(group).cast("long")).alias("p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n, n1, ranks, ties = tied.withColumn("r", before + (F.col("n") + 1) / 2).agg(F.sum("n"), F.sum("p"), F.sum(F.col("p") * F.col("r")), F.sum(F.pow("n", F.lit(3)) - F.col("n"))).first()
+    n, n1, ranks, ties = before(tied, "v", "n").withColumn("r", F.col("__before") + (F.col("n") + 1) / 2).agg(F.sum("n"), F.sum("p"), F.sum(F.col("p") * F.col("r")), F.sum(F.pow("n", F.lit(3)) - F.col("n"))).first()
     n2 = (n or 0) - (n1 or 0)
     if not n or not n1 or not n2:
         return rows.sparkSession.createDataFrame([(n1 or 0, n2, None, None, None)], "n_a long, n_b long, u double, z double, p double")
@@ -176,13 +176,11 @@ def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def wilcoxon(rows: DataFrame, difference: str) -> DataFrame:
     """Signed-rank W of non-zero differences, z and p by the normal approximation with tie correction."""
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     d = F.col(difference)
     tied = rows.filter(d != 0).groupBy(F.abs(d).alias("a")).agg(F.sum((d > 0).cast("long")).alias("p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n, w, ties = tied.withColumn("r", before + (F.col("n") + 1) / 2).agg(F.sum("n"), F.sum(F.col("p") * F.col("r")), F.sum(F.pow("n", F.lit(3)) - F.col("n"))).first()
+    n, w, ties = before(tied, "a", "n").withColumn("r", F.col("__before") + (F.col("n") + 1) / 2).agg(F.sum("n"), F.sum(F.col("p") * F.col("r")), F.sum(F.pow("n", F.lit(3)) - F.col("n"))).first()
     if not n:
         return rows.sparkSession.createDataFrame([(0, None, None, None)], "n long, w double, z double, p double")
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)

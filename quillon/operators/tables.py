@@ -26,14 +26,14 @@ def non_null_features(long_: DataFrame, feature: str = "feature") -> DataFrame:
 def impute_median(long_: DataFrame, train: str, feature: str = "feature") -> DataFrame:
     """Null values take their feature's exact median over training rows."""
     median = long_.filter(train).groupBy(feature).agg(F.percentile("value", 0.5).alias("__m"))
-    return long_.join(F.broadcast(median), feature, "left").withColumn("value", F.coalesce("value", "__m")).drop("__m")
+    return long_.join(median, feature, "left").withColumn("value", F.coalesce("value", "__m")).drop("__m")
 
 
 def standardize(long_: DataFrame, train: str, *by: str) -> DataFrame:
     """Centre and scale by the training rows' mean and population deviation within ``by``; constant features divide by 1."""
     stats = long_.filter(train).groupBy(*by).agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__s"))
     scale = F.when(F.col("__s") > 1e-12, F.col("__s")).otherwise(1.0)
-    return long_.join(F.broadcast(stats), [*by]).withColumn("value", (F.col("value") - F.col("__m")) / scale).drop("__m", "__s")
+    return long_.join(stats, [*by]).withColumn("value", (F.col("value") - F.col("__m")) / scale).drop("__m", "__s")
 
 
 def anova_f(long_: DataFrame, group: str, feature: str = "feature") -> DataFrame:

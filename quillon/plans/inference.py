@@ -52,19 +52,31 @@ def changepoint_perm(spark, d):
     return resample.changepoint_permutation(profile(spark, d), "value", "i", "user_id")
 
 
-_MW = """r AS (SELECT truth, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM arms WHERE arm = 'hash')
-SELECT CAST(sum(truth) AS BIGINT) AS n_a, CAST(sum(1 - truth) AS BIGINT) AS n_b, CAST(sum(truth * k) - sum(truth) * (sum(truth) + 1) / 2.0 AS DOUBLE) AS u FROM r"""
+@query("results_table")
+def results_table(spark, d):
+    """Pooled statistics of each arm on its own subjects and on those that all arms share."""
+    own = arms(spark, d)
+    both = own.withColumn("cohort", F.lit("own")).unionByName(own.join(cohorts.common(own), "subject_id", "left_semi").withColumn("cohort", F.lit("common")))
+    stats = resample.pooled_stats(both.withColumn("arm", F.concat_ws("/", "arm", "cohort")), "truth", "p", "arm", "subject_id")
+    name = F.split("arm", "/")
+    return stats.withColumns({"cohort": name[1], "arm": name[0]})
+
+
+_MW = """r AS (SELECT truth, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM arms WHERE arm = 'hash'),
+t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY p)),
+s AS (SELECT CAST(sum(truth) AS BIGINT) AS n_a, CAST(sum(1 - truth) AS BIGINT) AS n_b, CAST(sum(truth * k) - sum(truth) * (sum(truth) + 1) / 2.0 AS DOUBLE) AS u FROM r)
+SELECT n_a, n_b, u, (u - n_a * n_b / 2.0 - 0.5 * sign(u - n_a * n_b / 2.0)) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1.0)))) AS z FROM s, t"""
 
 
 @query("mann_whitney", f"WITH {ARMS}, {_MW}")
 def mann_whitney(spark, d):
-    return resample.mann_whitney(arms(spark, d).filter("arm = 'hash'"), "truth", "p").select("n_a", "n_b", "u")
+    return resample.mann_whitney(arms(spark, d).filter("arm = 'hash'"), "truth", "p").select("n_a", "n_b", "u", "z")
 
 
-@query("wilcoxon", "WITH m AS (SELECT user_id, round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view'), 6) AS x FROM events GROUP BY 1), r AS (SELECT x, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2.0 AS k FROM m WHERE x <> 0) SELECT count(*) AS n, CAST(sum(k) FILTER (x > 0) AS DOUBLE) AS w FROM r")
+@query("wilcoxon", "WITH m AS (SELECT user_id, round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view'), 6) AS x FROM events GROUP BY 1), r AS (SELECT x, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2.0 AS k FROM m WHERE x <> 0), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM m WHERE x <> 0 GROUP BY abs(x))), s AS (SELECT count(*) AS n, CAST(sum(k) FILTER (x > 0) AS DOUBLE) AS w FROM r) SELECT n, w, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z FROM s, t")
 def wilcoxon(spark, d):
     m = table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
-    return resample.wilcoxon(m.select(F.round(F.col("click") - F.col("view"), 6).alias("x")), "x").select("n", "w")
+    return resample.wilcoxon(m.select(F.round(F.col("click") - F.col("view"), 6).alias("x")), "x").select("n", "w", "z")
 
 
 @query("mcnemar_exact")

@@ -20,7 +20,7 @@ def write_images(images: DataFrame, path: str) -> None:
 def fold_view(images: DataFrame, splits: DataFrame, fold: str, key: str = "subject_id") -> DataFrame:
     """Images of a fold's subjects with their role: a filter and a join, no copies."""
     role = F.when(F.col("split") == fold, "val").otherwise("train")
-    return images.drop("split").join(F.broadcast(splits.filter("split <> 'test'").select(key, "split")), key).withColumn("role", role)
+    return images.drop("split").join(splits.filter("split <> 'test'").select(key, "split"), key).withColumn("role", role)
 
 
 def to_json(rows: DataFrame, *columns: str) -> DataFrame:

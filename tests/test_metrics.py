@@ -2,11 +2,25 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import cohorts, merge, metrics, qc, resample, tables
 
 
+def solve_threshold_windowed(values: DataFrame, value: str, key: str, target: float) -> DataFrame:
+    """The same by evaluating all candidates at once: candidates x subjects cells, for tables of that size."""
+    rows = values.select(key, F.col(value).alias("v")).filter("v IS NOT NULL")
+    counts = rows.groupBy(key, "v").agg(F.count("*").alias("c"))
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    grid = counts.select(F.col("v").alias("t")).distinct().crossJoin(F.broadcast(n))
+    at = grid.select(key, F.col("t").alias("v"), "n").join(counts, [key, "v"], "left")
+    upto = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy(key).orderBy("v"))
+    cells = at.withColumn("r", 1 - upto / F.col("n"))
+    by = cells.groupBy("v").agg(F.percentile("r", 0.5).alias("median_rejection")).filter(F.round("median_rejection", 9) <= target)
+    return by.agg(F.min("v").alias("threshold"), F.min_by("median_rejection", "v").alias("median_rejection"))
+
+
 def test_auc_counts_ties_half_and_is_null_without_a_class(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.9), ("a", 1, 0.8), ("a", 0, 0.1), ("b", 1, 0.5), ("b", 1, float("nan"))], "arm string, truth int, p double")
     found = {r.arm: r.auc for r in metrics.rank_auc(df, F.col("truth") == 1, "p", "arm").collect()}
@@ -65,7 +79,7 @@ def test_solved_threshold_is_minimal(spark):
     rng = np.random.default_rng(1)
     rows = [(s, float(v)) for s in range(9) for v in rng.uniform(0, 100, 200)]
     df = spark.createDataFrame(rows, "subject_id long, p2p double")
-    both = [f(df, "p2p", "subject_id", 0.20).first() for f in (qc.solve_threshold, qc.solve_threshold_windowed)]
+    both = [f(df, "p2p", "subject_id", 0.20).first() for f in (qc.solve_threshold, solve_threshold_windowed)]
     values = np.array([[v for k, v in rows if k == s] for s in range(9)])
     best = min(t for t in values.ravel() if np.median((values > t).mean(axis=1)) <= 0.2)
     assert [b.threshold for b in both] == [best, best]
