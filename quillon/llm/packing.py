@@ -1,16 +1,19 @@
 """Lexical retrieval packing.
 
-The rows of each task form shards of a bounded number of tokens. A shard builds a BM25 inverted
-index of its documents; the first unused document seeds a window, its best unused neighbours fill
-the window in order of BM25 score, and the last of them is cut where the window ends, its rest
-seeding the next window. Where no scored neighbour is left, the next unused document follows. So
-only the last window of a shard is padded. Nothing is shuffled.
+Texts are encoded once, into a table. Document frequencies and the mean length are counted over all of
+it. Every document has a route, drawn from its terms so that documents that share rare terms often draw
+the same one; the table is dealt by ranges of routes, and neighbouring routes form shards of a bounded
+number of tokens. A shard builds a BM25 inverted index of its documents; the first unused document
+seeds a window, its best unused neighbours fill the window in order of BM25 score, and the last of them
+is cut where the window ends, its rest seeding the next window. Where no scored neighbour is left, the
+next unused document follows. So only the last window of a shard is padded. One route may hold any
+number of documents: ranges split it by document.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import documents
+from .tables import documents, write_table
 
 WINDOW = 4096
 END_ID = 2
@@ -29,9 +32,15 @@ SHARD_TOKENS = 1_000_000
 #: A document asks with all of its terms.
 QUERY_TERMS: int | None = None
 _K1, _B = 1.2, 0.75
-#: Words whose ids a worker remembers.
-_CACHE = 200_000
+#: Words whose ids a worker remembers; a full memory keeps those that it has met in several chunks.
+_CACHE = 400_000
 _CHUNK = 1 << 20
+#: Words that are encoded in one call, with a mark between each two.
+_JOINED = 512
+_MARK = "~"
+#: A word that ends in symbols after a Latin letter or a digit: its symbols are a token run of their own.
+_TAILED = "^(?P<core>.*[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])(?P<tail>[!-&(-/:-@\\[-`{-~]+)$"
+_SYMBOL = np.array([33 <= c < 127 and c != 39 and not chr(c).isalnum() for c in range(256)])
 #: Terms whose postings are added up at once.
 _SPANS = 64
 
@@ -48,8 +57,8 @@ class WordEncoder:
     """Ids of whole texts, from ids of their words.
 
     The tokenizer folds case and never joins across white space, so a text's ids are the ids of its
-    words in order, and a full stop or comma after a letter is a token of its own. Texts that may
-    hold a special token go through the tokenizer whole.
+    words in order, and symbols at the end of a word are tokens of their own. Texts that may hold a
+    special token go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -57,62 +66,92 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [self._encode([c])[0] for c in ".,"]
+        self.mark = self._encode([_MARK])[0]
         self._reset([], np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def _reset(self, names: list[str], lengths: np.ndarray, pool: np.ndarray) -> None:
         self.known = dict(zip(names, range(len(names)), strict=True))
         self.lengths, self.starts, self.pool = lengths, np.cumsum(lengths) - lengths, pool
+        self.met = np.ones(len(names), np.int32)
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in turn, and how many each has."""
+        if len(self.mark) == 1 and not any(_MARK in w for w in words):
+            gap = f" {_MARK} "
+            parts = self._encode([gap.join(words[i : i + _JOINED]) + gap for i in range(0, len(words), _JOINED)])
+            ids = np.concatenate([np.array(p, np.int32) for p in parts])
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(words):
+                return ids[ids != self.mark[0]], np.diff(marks, prepend=-1) - 1
+        parts = self._encode(words)
+        return np.concatenate([np.array(p, np.int32) for p in parts]), np.array([len(p) for p in parts], np.int64)
+
     def _places(self, names: list[str]) -> np.ndarray:
-        """Where the ids of each of some distinct words lie in ``pool``; a full cache keeps these words only."""
+        """Where the ids of each of some distinct words lie in ``pool``."""
+        if len(self.known) + len(names) > _CACHE:
+            often = np.flatnonzero(self.met > 1)
+            if len(often) > _CACHE // 2:
+                often = often[:0]
+            n = self.lengths[often]
+            every = list(self.known)  # in the order of their places
+            self._reset([every[i] for i in often.tolist()], n, self.pool[_spread(self.starts[often], n)])
         place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         fresh = np.flatnonzero(place < 0)
-        if len(fresh):
-            words = [names[i] for i in fresh.tolist()]
-            ids = self._encode(words)
+        words = [names[i] for i in fresh.tolist()]
+        # words with the mark itself last, in calls of their own
+        odd = np.array([_MARK in w for w in words], bool)
+        for some in (fresh[~odd], fresh[odd]):
+            if not len(some):
+                continue
+            words = [names[i] for i in some.tolist()]
+            ids, n = self._joined(words)
             first = len(self.lengths)
-            place[fresh] = np.arange(first, first + len(words))
+            place[some] = np.arange(first, first + len(words))
             self.known.update(zip(words, range(first, first + len(words)), strict=True))
-            self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))))
+            self.lengths = np.concatenate((self.lengths, n))
             self.starts = np.cumsum(self.lengths) - self.lengths
-            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.int32)))
-        if len(self.known) > _CACHE:
-            n = self.lengths[place]
-            self._reset(names, n, self.pool[_spread(self.starts[place], n)])
-            place = np.arange(len(names))
+            self.pool = np.concatenate((self.pool, ids))
+            self.met = np.concatenate((self.met, np.zeros(len(n), np.int32)))
+        self.met[place] += 1
         return place
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) with the end id after each text, and offsets by text."""
         special = pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
         words = tx.tokenise(pc.if_else(pa.array(special), "", column), lower=True)
-        used = np.bincount(words.codes, minlength=len(words.words)) > 0
+        # each distinct word as a core and a tail of symbols, which may be empty
         names = words.words
-        marked = pc.match_substring_regex(names, "[A-Za-z0-9][.,]$").to_numpy(zero_copy_only=False) & used
-        mark = np.zeros(len(names), np.int64)  # 0: none, 1: full stop, 2: comma
-        mark[marked] = np.where(pc.ends_with(names, ",").to_numpy(zero_copy_only=False)[marked], 2, 1)
-        cores = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(names, 0, -1), names).filter(pa.array(used)).dictionary_encode()
-        place = np.zeros(len(names), np.int64)
-        place[used] = self._places(cores.dictionary.to_pylist())[cores.indices.to_numpy()]
-        core = np.where(used, self.lengths[place] if len(self.lengths) else 0, 0)
-        # every text is its words, each with its mark, and one end
-        after = np.array([0, *map(len, self.marks)])[mark]
-        length = core[words.codes]
-        total = length + after[words.codes]
-        size = np.concatenate((np.zeros(1, np.int64), np.cumsum(total)))
-        ends = size[words.offsets[1:]] + np.arange(1, len(column) + 1)
-        out = np.full(int(size[-1]) + len(column), END_ID, np.int32)
-        at = size[:-1] + tx.row_of(words.offsets)
-        out[_spread(at, length)] = self.pool[_spread(self.starts[place[words.codes]], length)] if len(self.pool) else 0
-        for k, ids in enumerate(self.marks, 1):
-            here = np.flatnonzero(mark[words.codes] == k)
-            for j, x in enumerate(ids):
-                out[at[here] + length[here] + j] = x
-        offsets = np.concatenate(([0], ends))
+        raw, ends = tx.byte_view(names)
+        tailed = (np.diff(ends) > 0) & _SYMBOL[raw[np.maximum(ends[1:] - 1, 0)]] if len(raw) else np.zeros(len(names), bool)
+        split = pc.extract_regex(names.filter(pa.array(tailed)), _TAILED)
+        tailed[np.flatnonzero(tailed)[split.is_null().to_numpy(zero_copy_only=False)]] = False
+        cores, tails = (pc.struct_field(split, k).drop_null() for k in range(2))
+        cores = pc.replace_with_mask(names, pa.array(tailed), cores)
+        tails = tails.dictionary_encode()
+        coded = cores.dictionary_encode()
+        own = len(coded.dictionary)
+        # a tail that is a word as well is asked for once
+        both = pa.concat_arrays([coded.dictionary, tails.dictionary, pa.array([""], names.type)]).dictionary_encode()
+        found = self._places(both.dictionary.to_numpy(zero_copy_only=False).tolist())[both.indices.to_numpy()]
+        place = np.full((len(names), 2), found[-1])
+        place[:, 0] = found[coded.indices.to_numpy()]
+        place[tailed, 1] = found[own + tails.indices.to_numpy()]
+        place = place.ravel()
+        n = self.lengths[place]
+        pool = self.pool[_spread(self.starts[place], n)]
+        size = n.reshape(-1, 2).sum(1)
+        starts = np.cumsum(size) - size
+        # every text is its words and one end
+        length = size[words.codes]
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+        offsets = total[words.offsets] + np.arange(len(column) + 1)
+        out = np.full(int(offsets[-1]), END_ID, np.int32)
+        filled = np.ones(len(out), bool)
+        filled[offsets[1:] - 1] = False
+        out[filled] = pool[_spread(starts[words.codes], length)]
         if special.any():
             whole = dict(zip(np.flatnonzero(special).tolist(), self._encode(column.filter(pa.array(special)).to_pylist()), strict=True))
             parts = [np.array([*whole[i], END_ID], np.int32) if i in whole else out[offsets[i] : offsets[i + 1]] for i in range(len(column))]
@@ -123,7 +162,9 @@ class WordEncoder:
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... up to lengths[i] places, for all i in turn."""
     total = np.cumsum(lengths)
-    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts - (total - lengths), lengths)
+    n = int(total[-1]) if len(total) else 0
+    kind = np.int32 if n < 1 << 31 and (not len(starts) or int(starts.max()) + n < 1 << 31) else np.int64
+    return np.arange(n, dtype=kind) + np.repeat((starts - (total - lengths)).astype(kind), lengths)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -136,10 +177,19 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def inverse(df: np.ndarray, n: int) -> np.ndarray:
+    """BM25's inverse document frequency of terms in ``df`` of ``n`` documents."""
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
 class Index:
-    """BM25 postings of a shard's documents."""
+    """BM25 postings of a shard's documents.
+
+    ``corpus`` tells the inverse document frequency of each term and the mean length; without it the
+    given documents are the corpus.
+    """
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray):
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, corpus: tuple[np.ndarray, float] | None = None):
         n = len(offsets) - 1
         doc = tx.row_of(offsets)
         key = np.sort(ids.astype(np.int64) * n + doc)
@@ -150,10 +200,11 @@ class Index:
         del key, at, doc, place
         starts = tx.run_starts(term)
         self.bounds = np.append(starts, len(term))
+        terms = term[starts]
         del term
         df = np.diff(self.bounds)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = np.diff(offsets) / max(1.0, len(ids) / n)
+        idf = inverse(df, n) if corpus is None else corpus[0][terms]
+        length = np.diff(offsets) / max(1.0, len(ids) / n if corpus is None else corpus[1])
         self.weight = np.repeat(idf, df) * count * (_K1 + 1) / (count + _K1 * (1 - _B + _B * length[self.doc]))
         # the terms that each document asks with; a term of one document finds nothing
         useful = np.repeat(df > 1, df)
@@ -183,10 +234,10 @@ class Index:
         yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
-def arrange(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def arrange(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW, corpus: tuple[np.ndarray, float] | None = None) -> np.ndarray:
     """Pieces (document, start, length, sequence, offset) of one shard."""
     n = len(offsets) - 1
-    index = Index(ids, offsets)
+    index = Index(ids, offsets, corpus)
     unused = np.ones(n, bool)
     sizes = np.diff(offsets).tolist()
     out: list[tuple[int, int, int, int, int]] = []
@@ -223,9 +274,81 @@ def arrange(ids: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.nd
     return np.array(out, np.int64).reshape(-1, 5)
 
 
-def _packer(path: str, window: int):
-    def pack_task(batches):
+_ENCODED = "doc_id long, ids binary, r1 long, r2 long, place long, terms array<int>, counts array<long>"
+
+
+def routes(term: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two draws of a term for each document, from its distinct terms (``term[offsets[i]:offsets[i+1]]``), as hashes.
+
+    A term is drawn in proportion to its rank in the vocabulary, which puts frequent pieces first; all
+    documents draw by the same random values, so the more rare terms two documents share, the likelier
+    they draw the same.
+    """
+    out = []
+    for seed in (1, 2):
+        value = tx.mix(term.astype(np.uint64) * np.uint64(2) + np.uint64(seed << 40))
+        race = -np.log(((value >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / (term + 1.0)
+        least = np.minimum.reduceat(race, offsets[:-1])
+        won = np.flatnonzero(race == np.repeat(least, np.diff(offsets)))
+        # equal races are as good as impossible; the earlier term wins
+        first = won[np.searchsorted(won, offsets[:-1])]
+        out.append(tx.mix(value[first]).view(np.int64))
+    return out
+
+
+def _encoded(path: str):
+    """Rows of documents, with their ids and routes; and a row of each task's counts: terms by documents, -1: tokens, -2: documents."""
+
+    def encode_task(batches):
         encode = encoder(path)
+        size = encode.tokenizer.get_vocab_size(with_added_tokens=True)
+        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        df, tokens, place = np.zeros(size, np.int64), 0, TaskContext.get().partitionId() << 36
+        seen = 0
+        for batch in tx.chunks(batches, size=_CHUNK):
+            ids, offsets = encode(tx.texts(batch))
+            n = batch.num_rows
+            key = np.sort(tx.row_of(offsets) * size + ids)
+            doc, term = np.divmod(key[tx.run_starts(key)], size)
+            df += np.bincount(term, minlength=size)
+            tokens += len(ids)
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
+            r1, r2 = routes(term, bounds)
+            data = ids.astype(kind)
+            ends = offsets * kind.itemsize
+            if int(ends[-1]) < 1 << 31:
+                column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            else:
+                column = pa.array([data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+            at = np.arange(place + seen, place + seen + n)
+            seen += n
+            none = [pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(r1), pa.array(r2), pa.array(at), *none], names=_ENCODED_NAMES)
+        terms = np.flatnonzero(df)
+        counts = [np.append(terms, (-1, -2)).tolist()], [np.append(df[terms], (tokens, seen)).tolist()]
+        lists = [pa.array(counts[0], pa.list_(pa.int32())), pa.array(counts[1], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 3, *lists], names=_ENCODED_NAMES)
+
+    return encode_task
+
+
+_ENCODED_NAMES = [c.split()[0] for c in _ENCODED.split(", ")]
+
+
+def _corpus(table: DataFrame) -> tuple[np.ndarray, float]:
+    """Inverse document frequencies by term, as long as the vocabulary, and the mean length."""
+    pairs = table.filter("terms IS NOT NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("c"))
+    found = pairs.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("n")).toArrow()
+    term, n = found["term"].to_numpy(), found["n"].to_numpy()
+    tokens, docs = (int(n[term == k].sum()) for k in (-1, -2))
+    real = term >= 0
+    df = np.zeros(int(term[real].max(initial=0)) + 1, np.int64)
+    df[term[real]] = n[real]
+    return inverse(df, docs), tokens / max(1, docs)
+
+
+def _packer(shared, kind: str, window: int):
+    def pack_task(batches):
         base = TaskContext.get().partitionId() << 36
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         tokens = 0
@@ -237,7 +360,7 @@ def _packer(path: str, window: int):
             offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))])
             held.clear()
             tokens = 0
-            pieces = arrange(ids, offsets, window)
+            pieces = arrange(ids, offsets, window, shared.value)
             sequences = base + pieces[:, 3]
             base += int(pieces[-1, 3]) + 1
             for at in range(0, len(pieces), 2000):
@@ -247,13 +370,15 @@ def _packer(path: str, window: int):
                 columns = [doc_ids.take(pa.array(p[:, 0])), p[:, 1], p[:, 2], np.diff(offsets)[p[:, 0]], sequences[at : at + 2000], p[:, 4], pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in tx.chunks(batches, size=_CHUNK):
-            ids, offsets = encode(tx.texts(batch))
-            held.append((batch.column("doc_id"), ids, offsets))
-            tokens += len(ids)
-            if tokens >= SHARD_TOKENS:
-                yield from flush()
-                tx.trim()
+        for batch in batches:
+            for part in tx.chunks(iter([batch]), text="ids", size=_CHUNK):
+                raw, at = tx.byte_view(part.column("ids"))
+                width = np.dtype(kind).itemsize
+                held.append((part.column("doc_id"), raw.view(kind).astype(np.int32), at // width))
+                tokens += len(raw) // width
+                if tokens >= SHARD_TOKENS:
+                    yield from flush()
+                    tx.trim()
         if held:
             yield from flush()
 
@@ -266,7 +391,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     Null and empty texts are the end id alone. Repeated rows and equal ids are documents of their
     own. Other columns are ignored. A table without rows gives no pieces.
     """
-    return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer or default_tokenizer(), window), PIECES)
+    from tokenizers import Tokenizer
+
+    spark = docs.sparkSession
+    path = tokenizer or default_tokenizer()
+    kind = "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    table = write_table(docs.select("doc_id", "text").mapInArrow(_encoded(path), _ENCODED), "encoded")
+    shared = spark.sparkContext.broadcast(_corpus(table))
+    order = ["r1", "r2", "doc_id", "place"]
+    dealt = table.filter("ids IS NOT NULL").select("doc_id", "ids", "r1", "r2", "place").repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids").mapInArrow(_packer(shared, kind, window), PIECES)
 
 
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
