@@ -196,6 +196,90 @@ def test_encoder_equals_the_tokenizer(texts):
         assert ids[at[i] : at[i + 1]].tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END_ID]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("aé İ~$%.|*'_-\u0301\u0307\u0338ñ9Ω東")), max_size=24), min_size=1, max_size=6))
+def test_encoder_keeps_symbols_marks_and_accents(texts):
+    import pyarrow as pa
+
+    encode = packing.encoder(packing.default_tokenizer())
+    ids, at = encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END_ID]
+
+
+def test_a_full_word_memory_changes_no_ids(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "_CACHE", 40)
+    encode = packing.WordEncoder(packing.default_tokenizer())
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        texts = [" ".join(f"w{k}{'$$' if k % 3 else ''}" for k in rng.zipf(1.4, 12) % 500) for _ in range(3)]
+        ids, at = encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END_ID]
+        assert len(encode.known) <= 40 + 40
+
+
+def test_windows_equal_a_plain_greedy_filling():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(5, 90, rng.integers(1, 70)).astype(np.int32) for _ in range(60)]
+    texts += texts[:6]
+    ids, offsets = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    corpus = (rng.random(90) + 0.1, 31.0)
+    window, n = 128, len(texts)
+    index = packing.Index(ids, offsets, corpus)
+
+    def score(d, o):
+        out = 0.0
+        for t in set(texts[d].tolist()) & set(texts[o].tolist()):
+            tf = (texts[o] == t).sum()
+            out += corpus[0][t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(texts[o]) / 31.0))
+        return out
+
+    d = 4
+    got = list(index.neighbours(d, np.arange(n) != d))
+    assert np.allclose([score(d, o) for o in got], sorted((s for o in range(n) if o != d and (s := score(d, o)) > 0), reverse=True))
+
+    want, left, fill, sequence = [], set(range(n)), 0, 0
+    queue = []  # what is laid down next: (document, start)
+    while left or queue:
+        d, start = queue.pop() if queue else (min(left), 0)
+        left.discard(d)
+        first = d
+        while True:
+            take = min(len(texts[d]) - start, window - fill)
+            want.append((d, start, take, sequence, fill))
+            fill += take
+            if fill == window:
+                sequence, fill = sequence + 1, 0
+                if start + take < len(texts[d]):
+                    queue.append((d, start + take))
+                break
+            best = max(left, key=lambda o: (round(score(first, o), 9), -o), default=None)
+            if best is None or score(first, best) == 0:
+                break
+            left.discard(best)
+            d, start = best, 0
+    assert packing.arrange(ids, offsets, window, corpus).tolist() == [list(w) for w in want]
+
+
+def test_statistics_cover_all_documents_and_copies_share_a_route(spark):
+    from quillon.llm.tables import write_table
+
+    texts = [None, "", "a b", "a c"] * 5 + ["one hot text of many copies"] * 200
+    d = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    table = write_table(d.mapInArrow(packing._encoded(packing.default_tokenizer()), packing._ENCODED), "encoded")
+    idf, mean = packing._corpus(table)
+    encode = packing.encoder(packing.default_tokenizer()).tokenizer.encode
+    ids = [[*encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    df = np.bincount([t for x in ids for t in set(x)])
+    assert mean == pytest.approx(np.mean([len(x) for x in ids])) and len(idf) == len(df)
+    assert np.allclose(idf, packing.inverse(df, len(texts)))
+    rows = table.filter("ids IS NOT NULL").groupBy("ids").agg({"r1": "count"}).count()
+    assert rows == table.filter("ids IS NOT NULL").select("ids", "r1", "r2").distinct().count() == 4
+
+
 def test_op8_crc(spark, sf):
     r = registry.QUERIES["op8_retrieval_packing"](spark, sf).filter("start = 0 AND length = doc_tokens").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id") == r.doc_id).first().text
