@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .signals import band_powers, trapezoid
 
-PLACEHOLDERS = ["age", "sex", "medication", "iq", "comorbidity"]
+# Columns that wait for data
+PLACEHOLDERS = ["p300_latency_ms", "p300_amplitude", "omission_errors", "commission_errors", "reaction_time_ms"]
 
 
 def _mean_spectrum(spectra: DataFrame, channels: list[str] | None, *keys: str) -> DataFrame:
@@ -89,3 +90,47 @@ def feature_table(long: DataFrame, names: list[str], key: str = "subject_id") ->
     """Wide features from (key, feature, value), with always-null placeholders for schema stability."""
     wide = long.groupBy(key).pivot("feature", names).agg(F.first("value"))
     return wide.withColumns({c: F.lit(None).cast("double") for c in PLACEHOLDERS})
+
+
+def feature_names(channels: list[str], bands: list[str], conditions: list[str], regions: list[str], edge_bands: list[str], edge_conditions: list[str]) -> list[str]:
+    """Columns of a subject table, so that its schema depends on no data."""
+    pairs = sorted({"_".join(("coh", *sorted((a, b)))) for a in regions for b in regions})
+    names = [f"{n}_{c}" for c in conditions for n in ("tbr", "iaf", "aperiodic_exponent", "aperiodic_offset", "frontal_alpha_asym")]
+    names += [f"relpow_{ch}_{b}_{c}" for c in conditions for ch in channels for b in bands]
+    names += [f"{n}_{b}_{c}" for c in edge_conditions for b in edge_bands for n in (*pairs, "coh_intra_left", "coh_intra_right", "coh_interhemi", "coh_overall")]
+    return [*names, "alpha_reactivity"]
+
+
+def subject_features(spectra: DataFrame, edges: DataFrame, bands: dict[str, tuple[float, float]], total: tuple[float, float], key: str = "subject_id") -> DataFrame:
+    """(key, feature, value) of every subject.
+
+    spectra: (key, condition, channel, k, freq, psd), read once for each family, so pass a stored table where it is
+    costly; edges: (key, condition, band, feature, value) as ``connectivity_summary`` gives them.
+    """
+    by = (key, "condition")
+    named = lambda rows, value, *parts: rows.select(key, F.concat_ws("_", *parts, "condition").alias("feature"), F.col(value).alias("value"))
+    fit = aperiodic(_mean_spectrum(spectra, None, *by), *by)
+    edge = F.when(F.startswith("feature", F.lit("coh_")), F.col("feature")).otherwise(F.concat(F.lit("coh_"), "feature"))
+    parts = [
+        named(theta_beta_ratio(spectra, *by), "tbr", F.lit("tbr")),
+        named(peak_frequency(spectra, *by), "iaf", F.lit("iaf")),
+        named(fit, "exponent", F.lit("aperiodic_exponent")),
+        named(fit, "offset", F.lit("aperiodic_offset")),
+        named(alpha_asymmetry(spectra, *by), "asymmetry", F.lit("frontal_alpha_asym")),
+        named(relative_power(spectra, bands, total, *by, "channel"), "relpow", F.lit("relpow"), "channel", "band"),
+        named(edges.withColumn("feature", edge), "value", "feature", "band"),
+        reactivity(spectra, key).select(key, F.lit("alpha_reactivity").alias("feature"), F.col("reactivity").alias("value")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def subject_table(subjects: DataFrame, long: DataFrame, names: list[str], errors: DataFrame | None = None, key: str = "subject_id") -> DataFrame:
+    """Every subject of the manifest with its features; one with an error (key, error) has that and no features."""
+    wide = subjects.join(feature_table(long, names, key), key, "left")
+    if errors is None:
+        return wide.withColumn("error", F.lit(None).cast("string"))
+    wide = wide.join(errors.groupBy(key).agg(F.min("error").alias("error")), key, "left")
+    return wide.withColumns({n: F.when(F.col("error").isNull(), F.col(n)) for n in names})

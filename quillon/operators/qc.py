@@ -45,14 +45,14 @@ def region_weights(weights: DataFrame, regions: dict[str, list[str]], *keys: str
 
 
 def topography_veto(components: DataFrame, relative: DataFrame, *keys: str, focality: float = 2.0) -> DataFrame:
-    """Keep a component's exclusion iff its peak region fits one of its reasons and is focal; unknown reasons skip the region test."""
+    """Keep a component's exclusion iff its peak region ``fits`` one of its reasons and is focal; unknown reasons skip the region test."""
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("relative", 9)), "region")
     peak = relative.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select(*keys, F.col("region").alias("peak_region"), F.col("relative").alias("focality"))
     known = F.create_map(*[x for r, rs in PEAK_REGIONS.items() for x in (F.lit(r), F.array(*map(F.lit, rs)))])
     expected = F.flatten(F.filter(F.transform("reasons", lambda r: known[r]), lambda a: a.isNotNull()))
     any_unknown = F.exists("reasons", lambda r: ~F.map_contains_key(known, r))
     fits = any_unknown | F.array_contains(expected, F.col("peak_region"))
-    return components.join(peak, [*keys]).withColumn("keep", fits & (F.col("focality") >= focality))
+    return components.join(peak, [*keys]).withColumns({"fits": fits, "keep": fits & (F.col("focality") >= focality)})
 
 
 def cap_strongest(scores: DataFrame, cap: int, group: str, component: str = "component") -> DataFrame:
@@ -76,6 +76,20 @@ def rule_table(components: DataFrame, rules: dict[str, Column], subjects: int, r
     return out.select("rule", "kept", (F.col("kept") / F.lit(float(subjects))).alias("per_subject"), (100 * (1 - F.col("kept") / F.col("__n"))).alias("pct_vetoed"))
 
 
+def peak_rules(occipital: Column) -> dict[str, Column]:
+    """Candidate vetoes for ``rule_table`` on ``fits`` and ``focality``, with strict limits; occipital: relative weight there."""
+    fits, focal = F.col("fits"), F.round("focality", 9)
+    return {
+        "none": F.lit(True),
+        "fits": fits,
+        "above_1_5": focal > 1.5,
+        "above_2": focal > 2.0,
+        "fits_above_1_5": fits & (focal > 1.5),
+        "fits_above_2": fits & (focal > 2.0),
+        "fits_above_1_5_little_occipital": fits & (focal > 1.5) & (F.round(occipital, 9) <= 1.5),
+    }
+
+
 def estimated_retention(subjects: DataFrame, kept: DataFrame, key: str = "subject_id") -> DataFrame:
     """Median over subjects of 1 - (1 - retained) * share of exclusions kept, by rule; kept: (rule, key, share)."""
     rows = kept.join(subjects.select(key, "retained"), key)

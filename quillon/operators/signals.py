@@ -14,16 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def windows(samples: str, length: int, step: int | None = None) -> Column:
-    """Whole windows as an array of (window, samples); the rest at the end is left out."""
+def windows(samples: str, length: int, step: int | None = None, least: int = 0, strict: bool = False) -> Column:
+    """Whole windows as an array of (window, samples); the rest at the end is left out.
+
+    A signal with fewer than ``least`` windows has none or, if ``strict``, is an error when read.
+    """
     step = step or length
     n = F.size(samples)
     starts = F.when(n >= length, F.sequence(F.lit(0), F.floor((n - length) / step).cast("int"))).otherwise(F.array().cast("array<int>"))
+    if least:
+        few = F.raise_error(F.concat(F.lit("too few windows: "), F.size(starts).cast("string"))).cast("array<int>") if strict else F.array().cast("array<int>")
+        starts = F.when(F.size(starts) >= least, starts).otherwise(few)
     return F.transform(starts, lambda i: F.struct(i.alias("window"), F.slice(samples, i * step + 1, length).alias("samples")))
 
 
-def explode_windows(signals: DataFrame, length: int, step: int | None = None, *keys: str) -> DataFrame:
-    return signals.select(*keys, F.explode(windows("samples", length, step)).alias("__w")).select(*keys, "__w.window", "__w.samples")
+def explode_windows(signals: DataFrame, length: int, step: int | None = None, *keys: str, least: int = 0, strict: bool = False) -> DataFrame:
+    return signals.select(*keys, F.explode(windows("samples", length, step, least, strict)).alias("__w")).select(*keys, "__w.window", "__w.samples")
 
 
 def peak_to_peak(samples: str = "samples") -> Column:

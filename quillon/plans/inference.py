@@ -131,11 +131,17 @@ def kernel_oof(spark, d):
 
 @query("fusion_oof")
 def fusion_oof(spark, d):
-    """Features joined with another arm's predictions, scaled and not."""
+    """Features joined with another arm's predictions, scaled and not, and scaled features alone."""
     other = arms(spark, d).filter("arm = 'length'").select("subject_id", F.col("p").alias("f6"))
     base = _feature_table(spark, d).drop("arm").join(other, "subject_id")
-    both = base.withColumn("arm", F.explode(F.array(F.lit("scaled"), F.lit("unscaled"))))
-    return models.cross_validate(both, "arm", lambda f: models.two_way_folds(f, [*FEATURES, "f6"], scale=f["arm"].iloc[0] == "scaled"))
+    both = base.withColumn("arm", F.explode(F.array(F.lit("scaled"), F.lit("unscaled"), F.lit("features"))))
+    return models.cross_validate(both, "arm", lambda f: models.two_way_folds(f, FEATURES if f["arm"].iloc[0] == "features" else [*FEATURES, "f6"], scale=f["arm"].iloc[0] != "unscaled"))
+
+
+@query("holdout_once")
+def holdout_once(spark, d):
+    """Learnt on all folds, scored once on the test split."""
+    return models.cross_validate(_feature_table(spark, d), "arm", lambda f: models.train_once(f, FEATURES))
 
 
 @query("transfer_oof")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import recordings
 from ..sources import readers, sinks
 from .catalogue import query
 from .standins import table
@@ -76,3 +77,31 @@ def live_rejection(spark, d):
 
     r = live.rejection_rates(table(spark, d, "events"), 60)
     return r.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("rate", 6).alias("rate"))
+
+
+@query("build_log", """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'ADHD' ELSE 'Control' END AS "group" FROM customer),
+w AS (SELECT 'C' || k AS subject_id, k, "group", k % 4 <> 0 AS task FROM c UNION ALL SELECT 'N' || n_nationkey, NULL, NULL, NULL FROM nation),
+f AS (SELECT *, (k % 30) / 10.0::DOUBLE + 0.1 AS ratio, CASE WHEN k IS NULL THEN 'not found in manifest' WHEN k % 17 = 0 THEN 'preprocessing failed: no recording' WHEN k % 13 = 0 THEN 'preprocessing failed: broken' WHEN task AND k % 23 = 0 THEN 'preprocessing failed: no task recording' WHEN task AND k % 19 = 0 THEN 'preprocessing failed: ' END AS fault FROM w),
+g AS (SELECT *, fault IS NULL AS good, ratio > 0.7 AND ratio < 1.4 AS vague FROM f)
+SELECT subject_id, coalesce("group", '?') AS "group", CASE WHEN k IS NULL THEN '?' ELSE 'fold_' || k % 5 END AS split, CASE WHEN NOT good THEN 'failed' WHEN vague THEN 'skipped_ambiguous' ELSE 'ok' END AS status,
+ CASE WHEN good AND NOT vague THEN least(k % 400, 300) ELSE 0 END::INT AS n_ec, CASE WHEN good AND NOT vague THEN k % 300 ELSE 0 END::INT AS n_eo, CASE WHEN good AND NOT vague AND task THEN k % 200 ELSE 0 END::INT AS n_vcpt,
+ CASE WHEN good THEN CASE WHEN k % 3 = 0 THEN 'detected' ELSE 'midpoint' END END AS split_rule, CASE WHEN good THEN CASE WHEN k % 3 = 0 THEN 0.4 ELSE 0.5 END::DOUBLE END AS boundary_frac, coalesce(fault, printf('alpha_ratio=%.2f', ratio)) AS detail,
+ CASE WHEN good THEN (k % 50) / 64.0::DOUBLE END AS rej_ec, CASE WHEN good THEN (k % 32) / 64.0::DOUBLE END AS rej_eo, CASE WHEN good AND task THEN (k % 16) / 64.0::DOUBLE END AS rej_vcpt, CASE WHEN good THEN k % 6 = 0 END AS capped_eoec, CASE WHEN good AND task THEN k % 10 = 1 END AS capped_vcpt,
+ CASE WHEN good THEN k % 7 END::INT AS muscle_flagged_eoec, CASE WHEN good AND task THEN k % 9 END::INT AS muscle_flagged_vcpt, CASE WHEN good THEN vague END AS eoec_ambiguous FROM g""")
+def build_log(spark, d):
+    """Customers as subjects, and nations as ids that no manifest has."""
+    c = table(spark, d, "customer").withColumn("k", F.col("c_custkey").cast("int"))
+    k, text = F.col("k"), F.col("k").cast("string")
+    group = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "ADHD").otherwise("Control")
+    manifest = c.select(F.concat(F.lit("C"), text).alias("subject_id"), group.alias("group"), F.concat(F.lit("fold_"), (k % 5).cast("string")).alias("split"), F.concat(F.lit("/rest/"), text).alias("eoec_path"), F.when(k % 4 != 0, F.concat(F.lit("/task/"), text)).alias("vcpt_path"))
+    ratio = (k % 30) / F.lit(10.0) + 0.1
+    none = F.lit(None)
+    values = {
+        "rest": (k % 17 != 0, F.when(k % 13 == 0, "failed").when((ratio > 0.7) & (ratio < 1.4), "skipped_ambiguous").otherwise("ok"), F.when(k % 13 == 0, "broken"), ratio, F.when(k % 3 == 0, "detected").otherwise("midpoint"), F.when(k % 3 == 0, 0.4).otherwise(0.5), k % 6 == 0, k % 7, k % 400, k % 300, none, (k % 50) / F.lit(64.0), (k % 32) / F.lit(64.0), none),
+        "task": (k % 23 != 0, F.when(k % 19 == 0, "failed").otherwise("ok"), none.cast("string"), none, none.cast("string"), none, k % 10 == 1, k % 9, none, none, k % 200, none, none, (k % 16) / F.lit(64.0)),
+    }
+    kinds = ("string", "string", "double", "string", "double", "boolean", "int", "int", "int", "int", "double", "double", "double")
+    names = ("status", "detail", "alpha_ratio", "split_rule", "boundary_frac", "capped", "n_muscle", "n_ec", "n_eo", "n_vcpt", "rej_ec", "rej_eo", "rej_vcpt")
+    rest, task = (c.filter(there).select(F.concat(F.lit(f"/{kind}/"), text).alias("path"), *[v.cast(t).alias(n) for v, t, n in zip(v, kinds, names, strict=True)]) for kind, (there, *v) in values.items())
+    wanted = manifest.select("subject_id").unionByName(table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("subject_id")))
+    return recordings.build_log(manifest, rest.unionByName(task), wanted)

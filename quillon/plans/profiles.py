@@ -167,6 +167,16 @@ def veto_rule_table(spark, d):
     return _round(qc.rule_table(rows, rules, 20), "per_subject", "pct_vetoed")
 
 
+@query("peak_rule_table", f"""WITH {_WEIGHTS}, o AS (SELECT vec_id, round(relative, 9) AS occipital FROM rel WHERE region = 'occipital'),
+a AS (SELECT round(focality, 9) AS f, occipital, reason = 'other' OR (reason = 'eog' AND peak_region IN ('frontopolar', 'frontal')) OR (reason = 'muscle' AND peak_region = 'temporal') AS fits FROM top JOIN comp USING (vec_id) JOIN o USING (vec_id)),
+r AS (SELECT unnest(['none', 'fits', 'above_1_5', 'above_2', 'fits_above_1_5', 'fits_above_2', 'fits_above_1_5_little_occipital']) AS rule, unnest([true, fits, f > 1.5, f > 2, fits AND f > 1.5, fits AND f > 2, fits AND f > 1.5 AND occipital <= 1.5]) AS keep FROM a)
+SELECT rule, count(*) FILTER (keep) AS kept, round(count(*) FILTER (keep) / 20.0::DOUBLE, 6) AS per_subject, round(100 * (1 - count(*) FILTER (keep) / count(*)::DOUBLE), 6) AS pct_vetoed FROM r GROUP BY 1""")
+def peak_rule_table(spark, d):
+    relative = _relative(spark, d)
+    rows = qc.topography_veto(_components(spark, d), relative, "vec_id").join(relative.filter("region = 'occipital'").select("vec_id", F.col("relative").alias("w_occipital")), "vec_id")
+    return _round(qc.rule_table(rows, qc.peak_rules(F.col("w_occipital")), 20), "per_subject", "pct_vetoed")
+
+
 _SCORED = "s AS (SELECT vec_id // 12 AS subject_id, vec_id AS component, CASE WHEN label < 2 THEN 'eog' WHEN label < 8 THEN 'muscle' END AS reason, embedding[1]::DOUBLE AS score FROM embeddings WHERE label < 8)"
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features, signals as sig
-from .catalogue import query
+from .catalogue import ORACLES, query
 from .predictions import _round
-from .standins import PROFILE, SIGNALS, profile, signals, table
+from .standins import CHANNEL_NAMES, CONDITIONS, PROFILE, SIGNALS, profile, signals, table
 
 BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 12.0), "beta": (12.0, 30.0)}
 FS, SEGMENT = 64.0, 32
@@ -202,3 +202,32 @@ def row_zscore(spark, d):
     x = signals(spark, d).select("signal_id", "samples", F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).alias("s"), F.size("samples").alias("n"))
     x = x.withColumn("m", F.col("s") / F.col("n")).withColumn("sd", F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / F.col("n")))
     return x.select("signal_id", F.posexplode(F.transform("samples", lambda v: F.round(F.least(F.greatest(F.try_divide(v - F.col("m"), F.col("sd")), F.lit(-3.0)), F.lit(3.0)), 6))).alias("i", "z"))
+
+
+@query("least_windows", f"WITH {SIGNALS}, v AS (SELECT signal_id, samples, 16 + signal_id % 49 AS n FROM signals) SELECT signal_id, CAST(w AS INTEGER) AS \"window\", samples[w * 8 + 1] AS first_sample FROM v, range(7) t(w) WHERE n >= 48 AND w * 8 + 16 <= n")
+def least_windows(spark, d):
+    """Half-overlapping windows of signals of 16 to 64 samples that have at least five."""
+    short = signals(spark, d).withColumn("samples", F.slice("samples", F.lit(1), (16 + F.col("signal_id") % 49).cast("int")))
+    return sig.explode_windows(short, 16, 8, "signal_id", least=5).select("signal_id", "window", F.col("samples")[0].alias("first_sample"))
+
+
+SUBJECT_FEATURES = features.feature_names(CHANNEL_NAMES, list(BANDS), CONDITIONS, ["frontal", "occipital", "temporal", "central", "parietal"], ["all"], CONDITIONS)
+_LONG = f"""SELECT subject_id, 'tbr_' || condition AS feature, tbr AS value FROM ({ORACLES["tbr"]})
+UNION ALL SELECT subject_id, 'iaf_' || condition, iaf FROM ({ORACLES["iaf"]})
+UNION ALL SELECT subject_id, 'aperiodic_' || what || '_' || condition, value FROM (WITH {SIGNALS}, {_WELCH}, m AS (SELECT subject_id, condition, k, freq, avg(psd) AS psd FROM spectra GROUP BY 1, 2, 3, 4), f AS (SELECT subject_id, condition, count(*) AS n, -regr_slope(log10(psd), log10(freq)) AS e, regr_intercept(log10(psd), log10(freq)) AS o FROM m WHERE freq BETWEEN 1 AND 45 AND NOT freq BETWEEN 7 AND 13 AND psd > 0 GROUP BY 1, 2)
+  SELECT subject_id, condition, 'exponent' AS what, CASE WHEN n >= 10 THEN e END AS value FROM f UNION ALL SELECT subject_id, condition, 'offset', CASE WHEN n >= 10 THEN o END FROM f)
+UNION ALL SELECT subject_id, 'frontal_alpha_asym_' || condition, asymmetry FROM ({ORACLES["asymmetry"]})
+UNION ALL SELECT subject_id, 'relpow_' || channel || '_' || band || '_' || condition, relpow FROM ({ORACLES["relative_power"]})
+UNION ALL SELECT subject_id, CASE WHEN feature LIKE 'coh%' THEN '' ELSE 'coh_' END || feature || '_all_' || condition, value FROM ({ORACLES["connectivity_features"]})
+UNION ALL SELECT subject_id, 'alpha_reactivity', reactivity FROM ({ORACLES["reactivity"]})"""
+
+
+@query("subject_feature_table", f"WITH long AS ({_LONG}), n AS (SELECT vec_id // 24 AS subject_id, count(*) AS n FROM embeddings GROUP BY 1) SELECT n.subject_id, CASE WHEN n < 24 THEN 'only ' || n || ' of 24 signals' END AS error, " + ", ".join(f"round(max(value) FILTER (feature = '{n}' AND n = 24), 6) AS \"{n}\"" for n in SUBJECT_FEATURES) + ", " + ", ".join(f"NULL::DOUBLE AS {n}" for n in features.PLACEHOLDERS) + " FROM n LEFT JOIN long USING (subject_id) GROUP BY n.subject_id, n")
+def subject_feature_table(spark, d):
+    """The wide table of all features; a subject that lacks a signal has an error instead."""
+    regions = {"frontal": ["F3", "F4", "Fz"], "occipital": ["O1", "O2"], "temporal": ["T3"], "central": ["C3"], "parietal": ["P3"]}
+    edges = features.connectivity_summary(_edges(spark, d), regions, ["F3", "O1", "T3", "C3", "P3"], ["F4", "O2"], "subject_id", "condition").withColumn("band", F.lit("all"))
+    long = features.subject_features(spectra(spark, d), edges, BANDS, (0.5, 30.0))
+    n = signals(spark, d).groupBy("subject_id").agg(F.count("*").alias("n"))
+    errors = n.filter("n < 24").select("subject_id", F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" of 24 signals")).alias("error"))
+    return _round(features.subject_table(n.select("subject_id"), long, SUBJECT_FEATURES, errors), *SUBJECT_FEATURES)

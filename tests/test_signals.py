@@ -141,3 +141,37 @@ def test_models_do_not_leak_and_transfer_ignores_gain():
     far = frame.copy()
     far[cols] = far[cols] * 7 + 3
     assert np.allclose(models.transfer(frame, frame, cols), models.transfer(frame, far, cols))
+
+
+def test_too_few_windows_are_none_or_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(1, [0.0] * 10), (2, [0.0] * 20), (3, None)], "id int, samples array<double>")
+    assert {r.id for r in signals.explode_windows(df, 4, 2, "id", least=5).collect()} == {2}
+    assert signals.explode_windows(df.filter("id = 2"), 4, 2, "id", least=9, strict=True).count() == 9
+    with pytest.raises(PySparkException, match="too few windows: 4"):
+        signals.explode_windows(df.filter("id = 1"), 4, 2, "id", least=5, strict=True).collect()
+
+
+def test_a_model_learnt_once_is_the_optimum_of_the_other_rows():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    x[5, 1] = np.nan
+    frame = pd.DataFrame(x, columns=["a", "b", "c"]).assign(subject_id=range(60), truth=y, fold=["test" if i % 4 == 0 else "fold_0" for i in range(60)])
+    frame["c"] = np.where(frame["fold"] == "test", frame["c"], np.nan)  # nothing to learn from
+    out = models.train_once(frame, ["a", "b", "c"])
+    assert out["subject_id"].tolist() == list(range(0, 60, 4))
+    test = np.arange(60) % 4 == 0
+    z = x[:, :2].copy()
+    z[5, 1] = np.nanmedian(x[~test, 1])
+    z = (z - z[~test].mean(axis=0)) / z[~test].std(axis=0)
+    d = np.column_stack((z, np.ones(60)))
+    margin = np.log(out["prob"] / (1 - out["prob"])).to_numpy()
+    w, *_ = np.linalg.lstsq(d[test], margin, rcond=None)
+    assert np.allclose(d[test] @ w, margin, atol=1e-8)
+    p = 1 / (1 + np.exp(-d[~test] @ w))
+    assert np.allclose(d[~test].T @ (p - y[~test]) + np.append(w[:2], 0), 0, atol=1e-6)
+    assert models.train_once(frame.assign(truth=1), ["a"]).empty and models.train_once(frame.assign(fold="fold_0"), ["a"]).empty
