@@ -287,3 +287,104 @@ def remove(blocks: DataFrame, fitted: DataFrame, bad: DataFrame, channels: list[
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(times) for k in keys], pa.array(channels * batch.num_rows, pa.string()), batch.column("start").take(times), _lists(out)], names=[*keys, "channel", "start", "samples"])
 
     return joined.mapInArrow(clean, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", channel string, start long, samples array<double>")
+
+
+# --- spectra, parts and whole recordings ----------------------------------------------------------
+
+
+def welch(rows: DataFrame, fs: float, nperseg: int, size: int, *keys: str) -> DataFrame:
+    """(keys, channel, psd): ``signals.welch_numpy`` of whole recordings, each segment summed in the block where it begins.
+
+    A recording shorter than a segment has no row.
+    """
+    step = nperseg // 2
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
+
+    def periodograms(samples, block, start):
+        own = block * size
+        at = np.arange(-(-own // step) * step, own + size, step) - start
+        at = at[at + nperseg <= len(samples)]
+        cut = np.stack([samples[a : a + nperseg] for a in at]) if len(at) else np.zeros((0, nperseg))
+        power = np.abs(np.fft.rfft((cut - cut.mean(axis=-1, keepdims=True)) * window, axis=-1)) ** 2
+        return np.concatenate(([len(at)], power.sum(axis=0)))
+
+    sums = _sum_arrays(_partial(extended(rows, size, nperseg, *keys), periodograms, *keys, "channel"), "sums", *keys, "channel")
+    scale = [(1.0 if k == 0 or (k == nperseg // 2 and nperseg % 2 == 0) else 2.0) / (fs * float((window**2).sum())) for k in range(nperseg // 2 + 1)]
+    psd = F.zip_with(F.slice("sums", 2, nperseg // 2 + 1), F.array(*map(F.lit, scale)), lambda p, c: p * c / F.col("sums")[0])
+    return sums.filter(F.col("sums")[0] > 0).select(*keys, "channel", psd.alias("psd"))
+
+
+def part(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """The samples from ``low`` to before ``high`` (columns of ``rows``), numbered from 0 again."""
+    n = F.size("samples")
+    a, b = F.greatest(F.col("start"), F.col(low)), F.least(F.col("start") + n, F.col(high))
+    cut = F.slice("samples", (a - F.col("start") + 1).cast("int"), (b - a).cast("int"))
+    return rows.filter((F.col("start") + n > F.col(low)) & (F.col("start") < F.col(high))).withColumns({"samples": cut, "start": (a - F.col(low)).cast("long")})
+
+
+def prepare(rows: DataFrame, channels: list[str], fs: float, *keys: str, size: int, boundaries: DataFrame | None = None, settings=None) -> tuple[DataFrame, DataFrame]:
+    """(statuses, epochs) of rest recordings, as ``recordings.prepare`` has them, without a recording in one task.
+
+    Filter, component removal, cut by condition and epoch rejection go block by block; what a recording needs as a
+    whole are sums. boundaries: (keys, boundary_frac) of trusted cuts; a cut that leaves too little, or none, is the
+    middle. Recordings are of one rate and hold all ``channels``, and their parts last a spectrum segment at least.
+    """
+    from .. import schemas
+    from . import recordings as whole
+
+    s = settings or whole.Settings()
+    clean = materialise(band_pass(rows.filter(F.col("channel").isin(channels)), fs, size, *keys, low=s.low, high=s.high, notch=s.notch), "filtered")
+    fit = materialise(filtered(clean, [(kernels.fir(fs, 1.0, None), False)], size, *keys), "high-passed")
+    fitted = materialise(ica(materialise(matrices(fit, channels, *keys), "matrices"), len(channels), *keys, steps=s.ica_steps), "fitted")
+    scores = detectors(fit, fitted, channels, schemas.SCALP_REGIONS["frontopolar"], fs, size, *keys)
+
+    def bad(mixing, eog, muscle):
+        gone, capped, n = whole.choose(eog, muscle, mixing.reshape(len(channels), -1), channels, s)
+        return {"bad": gone, "n_excluded": len(gone), "n_muscle": n, "capped": capped}
+
+    chosen = materialise(_each(fitted.select(*keys, "mixing").join(scores, list(keys)), bad, "bad array<int>, n_excluded int, n_muscle int, capped boolean", *keys), "chosen")
+    m = materialise(matrices(clean, channels, *keys), "matrices")
+    # components are taken from the filtered signal about its own mean
+    mean = moments(m, len(channels), *keys).select(*keys, F.col("sums")[0].cast("long").alias("n"), F.transform(F.slice("sums", 2, len(channels)), lambda v: v / F.col("sums")[0]).alias("mean"))
+    cleaned = materialise(remove(m, fitted.drop("mean", "n").join(mean, list(keys)), chosen, channels, *keys), "cleaned")
+
+    trim = int(s.trim_s * fs)
+    given = mean.select(*keys, "n")
+    given = given.join(boundaries.select(*keys, "boundary_frac"), list(keys), "left") if boundaries is not None else given.withColumn("boundary_frac", F.lit(None).cast("double"))
+    cut = F.bround(F.col("boundary_frac") * F.col("n")).cast("long")
+    fits = (cut > trim) & (cut < F.col("n") - trim)
+    cuts = given.select(*keys, "n", F.when(fits, cut).otherwise(F.floor(F.col("n") / 2)).alias("cut"), F.when(fits, "detected").otherwise("midpoint").alias("split_rule"))
+    cuts = materialise(cuts.withColumns({"a0": F.lit(trim).cast("long"), "b1": F.col("n") - trim}), "cuts")
+
+    # occipital alpha before and after the cut
+    nperseg = int(4 * fs)
+    o = cleaned.filter(F.col("channel").isin(schemas.SCALP_REGIONS["occipital"])).groupBy(*keys, "start").agg(F.sort_array(F.collect_list(F.struct("channel", "samples"))).alias("c"))
+    total = F.aggregate("c", F.transform(F.col("c")[0]["samples"], lambda v: F.lit(0.0)), lambda a, c: F.zip_with(a, c["samples"], lambda x, y: x + y))
+    o = o.select(*keys, "start", F.transform(total, lambda v: v / F.size("c")).alias("samples")).join(cuts, list(keys))
+    sides = part(o.withColumn("channel", F.lit("a")), "a0", "cut").unionByName(part(o.withColumn("channel", F.lit("b")), "cut", "b1"))
+    bins = [k for k in range(nperseg // 2 + 1) if 8 <= k * fs / nperseg <= 12]
+    psd = welch(sides.select(*keys, "channel", "start", "samples"), fs, nperseg, -(-size // nperseg) * nperseg, *keys)
+    alpha = psd.groupBy(*keys).pivot("channel", ["a", "b"]).agg(F.first(sum(F.col("psd")[k] for k in bins) / len(bins)))
+    ratio = F.col("a") / F.col("b")
+    halves = cuts.join(alpha, list(keys), "left").withColumn("alpha_ratio", ratio).drop("a", "b")
+    vague = (F.col("alpha_ratio") > schemas.AMBIGUOUS[0]) & (F.col("alpha_ratio") < schemas.AMBIGUOUS[1])
+    status = F.when(F.col("alpha_ratio").isNull(), "failed").when(F.lit(not s.include_ambiguous) & vague, "skipped_ambiguous").otherwise("ok")
+    halves = materialise(halves.withColumns({"status": status, "boundary_frac": F.col("cut") / F.col("n"), "zero": F.lit(0).cast("long")}), "halves")
+
+    # epochs of each side, numbered from its beginning
+    named = cleaned.join(halves.filter("alpha_ratio IS NOT NULL").select(*keys, "zero", "cut", "n", "alpha_ratio"), list(keys))
+    first = F.when(F.col("alpha_ratio") >= 1, "ec").otherwise("eo")
+    second = F.when(F.col("alpha_ratio") >= 1, "eo").otherwise("ec")
+    both = part(named.withColumn("condition", first), "zero", "cut").unionByName(part(named.withColumn("condition", second), "cut", "n"))
+    length = int(s.epoch_s * fs)
+    epochs = extended(both.select(*keys, "condition", "channel", "start", "samples"), length, 0, *keys, "condition").filter(F.size("samples") == length)
+    p2p = (F.array_max("samples") - F.array_min("samples")) * 1e6
+    fine = (p2p <= s.reject_uv if s.reject_uv is not None else F.lit(True)) & (p2p >= s.flat_uv if s.flat_uv is not None else F.lit(True))
+    epochs = materialise(epochs.select(*keys, "condition", F.col("block").alias("epoch"), "channel", "samples", fine.alias("fine")), "epochs")
+    kept = materialise(epochs.groupBy(*keys, "condition", "epoch").agg(F.min("fine").alias("kept")), "kept")
+    c = lambda name: F.col("condition") == name
+    count = lambda w: F.sum(w.cast("int"))
+    counts = kept.groupBy(*keys).agg(F.count("*").cast("int").alias("n_events"), count(F.col("kept")).cast("int").alias("n_kept"), *[count(c(n) & F.col("kept")).cast("int").alias(f"n_{n}") for n in ("ec", "eo")], *[F.round(1 - F.try_divide(count(c(n) & F.col("kept")).cast("double"), count(c(n)).cast("double")), 4).alias(f"rej_{n}") for n in ("ec", "eo")])
+    statuses = halves.select(*keys, "status", "alpha_ratio", "split_rule", "boundary_frac").join(chosen.drop("bad"), list(keys)).join(counts, list(keys), "left")
+    good = epochs.join(kept.filter("kept").drop("kept"), [*keys, "condition", "epoch"]).join(halves.filter("status = 'ok'").select(*keys), list(keys), "left_semi")
+    return statuses, good.select(*keys, "condition", "epoch", "channel", "samples")

@@ -35,6 +35,7 @@ class Settings:
     eog: float = 0.8
     trim_s: float = schemas.BOUNDARY_TRIM_S
     fit_s: float | None = None
+    ica_steps: int = 400
     include_ambiguous: bool = False
 
 
@@ -48,11 +49,8 @@ def peak_region(weights: np.ndarray, channels: list[str]) -> tuple[str | None, f
     return best, float(mean[best] / w.mean())
 
 
-def exclusions(sources: np.ndarray, mixing: np.ndarray, channels: list[str], x: np.ndarray, fs: float, s: Settings) -> tuple[list[int], bool, int]:
-    """Components to remove (detected, capped with the strongest kept, then vetoed by where they peak), whether the cap cut, and the muscle ones found."""
-    proxies = [channels.index(c) for c in schemas.SCALP_REGIONS["frontopolar"] if c in channels]
-    eog = kernels.eog_scores(sources, x[proxies]) if proxies else np.zeros(len(sources))
-    muscle = kernels.muscle_scores(sources, fs)
+def choose(eog: np.ndarray, muscle: np.ndarray, mixing: np.ndarray, channels: list[str], s: Settings) -> tuple[list[int], bool, int]:
+    """Components to remove by their scores (detected, capped with the strongest kept, then vetoed by where they peak), whether the cap cut, and the muscle ones found."""
     found = {int(i): "eog" for i in np.flatnonzero(eog > s.eog)}
     strong = [int(i) for i in np.argsort(-muscle, kind="stable") if muscle[i] > s.muscle and int(i) not in found]
     room = max(0, s.max_excluded - len(found))
@@ -66,6 +64,13 @@ def exclusions(sources: np.ndarray, mixing: np.ndarray, channels: list[str], x:
     return sorted(keep), capped, len(strong)
 
 
+def exclusions(sources: np.ndarray, mixing: np.ndarray, channels: list[str], x: np.ndarray, fs: float, s: Settings) -> tuple[list[int], bool, int]:
+    """``choose`` with the scores of whole recordings."""
+    proxies = [channels.index(c) for c in schemas.SCALP_REGIONS["frontopolar"] if c in channels]
+    eog = kernels.eog_scores(sources, x[proxies]) if proxies else np.zeros(len(sources))
+    return choose(eog, kernels.muscle_scores(sources, fs), mixing, channels, s)
+
+
 def alpha_ratio(x: np.ndarray, channels: list[str], fs: float, cut: int, trim: int) -> float:
     """Occipital alpha of the part before the cut over that after, ends trimmed; an error where that leaves nothing of a part."""
     o = x[[channels.index(c) for c in schemas.SCALP_REGIONS["occipital"] if c in channels]].mean(axis=0)
@@ -109,7 +114,7 @@ def process(frame: pd.DataFrame, fraction: float | None, task: bool, s: Settings
         x = np.stack([np.asarray(by["signal"][c], float) for c in order])
         x = kernels.band_pass(x, fs, s.low, s.high, s.notch)
         fit = kernels.zero_phase(x, kernels.fir(fs, 1.0, None))[:, : None if s.fit_s is None else int(s.fit_s * fs)]
-        unmixing, mixing = kernels.ica(fit)
+        unmixing, mixing = kernels.ica(fit, steps=s.ica_steps)
         bad, capped, n_muscle = exclusions(unmixing @ fit, mixing, order, fit, fs, s)
         x = kernels.remove_components(x, unmixing, mixing, bad)
         status |= {"n_excluded": len(bad), "n_muscle": n_muscle, "capped": capped}

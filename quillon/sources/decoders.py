@@ -39,18 +39,18 @@ def edf(data: bytes, drop: set[str] = _MARKERS) -> list[tuple[str, float, np.nda
     return out
 
 
-def write_edf(channels: list[tuple[str, np.ndarray]], fs: int, unit: str = "uV") -> bytes:
-    """A minimal recording with one-second records, for tests and exports; signals are in volts."""
+def write_edf(channels: list[tuple[str, np.ndarray]], fs: int, unit: str = "uV", limit: float | None = None) -> bytes:
+    """A minimal recording with one-second records, for tests and exports; signals are in volts, clipped at a given limit (in ``unit``)."""
     factor = {"uV": 1e6, "mV": 1e3, "V": 1.0}[unit]
     seconds = len(channels[0][1]) // fs
     put = lambda v, w: str(v)[:w].ljust(w).encode("latin-1")
-    limits = [max(1e-6, float(np.abs(x).max()) * factor) for _, x in channels]
+    limits = [limit or max(1e-6, float(np.abs(x).max()) * factor) for _, x in channels]
     head = put("0", 8) + put("", 80) + put("", 80) + put("01.01.24", 8) + put("00.00.00", 8) + put(256 * (1 + len(channels)), 8) + put("", 44) + put(seconds, 8) + put(1, 8) + put(len(channels), 4)
     head += b"".join(put(c, 16) for c, _ in channels) + b"".join(put("", 80) for _ in channels) + b"".join(put(unit, 8) for _ in channels)
     head += b"".join(put(f"{-m:.6g}", 8) for m in limits) + b"".join(put(f"{m:.6g}", 8) for m in limits)
     head += b"".join(put(-32767, 8) for _ in channels) + b"".join(put(32767, 8) for _ in channels)
     head += b"".join(put("", 80) for _ in channels) + b"".join(put(fs, 8) for _ in channels) + b"".join(put("", 32) for _ in channels)
-    digits = [np.round(x[: seconds * fs] * factor / float(f"{m:.6g}") * 32767).astype("<i2").reshape(seconds, fs) for (_, x), m in zip(channels, limits, strict=True)]
+    digits = [np.clip(np.round(x[: seconds * fs] * factor / float(f"{m:.6g}") * 32767), -32767, 32767).astype("<i2").reshape(seconds, fs) for (_, x), m in zip(channels, limits, strict=True)]
     return head + b"".join(d[r].tobytes() for r in range(seconds) for d in digits)
 
 

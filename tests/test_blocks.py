@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import blocks, kernels
 from quillon.shared import materialise
@@ -86,3 +87,31 @@ def test_missing_channels_raise(spark):
     rows = spark.createDataFrame([("a", "O1", 0, [1.0, 2.0]), ("a", "O2", 0, [1.0])], SCHEMA)
     with pytest.raises(Exception, match="channels differ"):
         blocks.matrices(rows, ["O1", "O2"], "rec").collect()
+
+
+def test_whole_recordings_by_blocks(spark):
+    from test_recordings import raw
+
+    from quillon.operators import recordings
+    from quillon.schemas import CHANNELS
+
+    rng = np.random.default_rng(0)
+    given = raw("/closed_first", rng, 4.0) + raw("/closed_last", rng, 0.25) + raw("/same", rng, 1.0)
+    df = spark.createDataFrame([(p, c, fs, x) for p, c, fs, x in given], "path string, channel string, sfreq double, signal array<double>")
+    fractions = spark.createDataFrame([("/closed_first", 0.45), ("/same", 0.01)], "path string, boundary_frac double")
+    few = recordings.Settings(ica_steps=4, muscle=0.3, eog=0.3, focality=1.2)
+    want_all = materialise(recordings.prepare(df, fractions, few), "want")
+    want = {r.path: r for r in recordings.statuses(want_all).collect()}
+    cut = df.select("path", "channel", F.lit(0).cast("long").alias("start"), F.col("signal").alias("samples"))
+    statuses, epochs = blocks.prepare(blocks.map_blocks(cut, lambda v: v, 3000, 0, "path"), CHANNELS, 250.0, "path", size=4096, boundaries=fractions, settings=few)
+    got = {r.path: r for r in statuses.collect()}
+    assert set(got) == set(want)
+    for p, r in got.items():
+        w = want[p]
+        assert abs(r.alpha_ratio - w.alpha_ratio) < 1e-6
+        for c in ("status", "split_rule", "boundary_frac", "n_excluded", "n_muscle", "capped", "n_events", "n_kept", "n_ec", "n_eo", "rej_ec", "rej_eo"):
+            assert getattr(r, c) == getattr(w, c), (p, c)
+    key = lambda r: (r.path, r.condition, r.epoch, r.channel)
+    mine = {key(r): r.samples for r in epochs.collect()}
+    theirs = {key(r): r.samples for r in recordings.epochs(want_all).collect()}
+    assert set(mine) == set(theirs) and max(np.abs(np.subtract(mine[k], theirs[k])).max() for k in mine) < 1e-9
