@@ -66,3 +66,34 @@ def moved(a: DataFrame, b: DataFrame, key: str, tolerance: float = 0.02) -> Data
 def consistency_gate(both: DataFrame, least: float = 0.8) -> DataFrame:
     """Whether enough subjects agree before and after cleaning."""
     return both.agg(F.count("*").alias("n"), F.avg((~F.col("moved")).cast("double")).alias("agree")).withColumn("passes", F.col("agree") >= least)
+
+
+def shuffled_scores(profile: DataFrame, value: str, unit: str, *keys: str, draws: int = 200, seed: int = 42, margin: float = 0.1) -> DataFrame:
+    """(keys, draw, score): the best split of each of ``draws`` orders of a profile, by hashed keys of ``unit`` (a long,
+    different in every row). A window holds one order of one profile; all orders are windows of their own."""
+    from .draws import key_column
+
+    rows = profile.select(*keys, F.col(unit).cast("long").alias("__u"), F.col(value).alias("__v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    placed = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(key_column(F.col("__u"), F.col("draw"), seed), "__u")) - 1)
+    return best_split(placed, "__v", "__i", *keys, "draw", margin=margin).select(*keys, "draw", "score")
+
+
+def analyse(profile: DataFrame, halves: DataFrame, value: str, order: str, unit: str, *keys: str, draws: int = 200, seed: int = 42, margin: float = 0.1) -> DataFrame:
+    """All diagnostics of each profile's best split, and the verdict on them.
+
+    ``halves`` has the profiles of two channels apart (keys, half ``a`` or ``b``, order, value), whose best splits should
+    agree. p has one added to both counts, so it is never 0. A profile without a split has no row; where one half
+    has none, the difference is null and the split is not trusted.
+    """
+    best = best_split(profile, value, order, *keys, margin=margin)
+    cells = _score(_prefixes(profile, value, order, *keys).filter("k > 0"))
+    at_best = cells.select(*keys, "k", F.col("ratio").alias("best_ratio"))
+    middle = ratio_at(profile, value, order, 0.5, *keys).select(*keys, F.col("ratio").alias("midpoint_ratio"))
+    null = shuffled_scores(profile, value, unit, *keys, draws=draws, seed=seed, margin=margin).join(best.select(*keys, F.col("score").alias("__seen")), list(keys))
+    p = null.groupBy(*keys).agg(((F.sum((F.col("score") >= F.col("__seen")).cast("long")) + 1) / (draws + 1)).alias("perm_p"), F.percentile("score", 0.5).alias("perm_null_median"))
+    two = best_split(halves, value, order, *keys, "half", margin=margin).groupBy(*keys).pivot("half", ["a", "b"]).agg(F.first("fraction")).withColumnsRenamed({"a": "a_frac", "b": "b_frac"})
+    rows = best.join(at_best, [*keys, "k"]).join(middle, list(keys)).join(p, list(keys)).join(two, list(keys), "left")
+    rows = rows.withColumns({"midpoint_score": F.when(F.col("midpoint_ratio") > 0, F.abs(F.ln("midpoint_ratio"))), "split_half_diff": F.abs(F.col("a_frac") - F.col("b_frac"))})
+    rows = rows.withColumns({"gain": F.when(F.col("midpoint_score") > 0, F.col("score") / F.col("midpoint_score")), "pinned": (F.col("fraction") <= margin + 1e-6) | (F.col("fraction") >= 1 - margin - 1e-6)})
+    found = verdict(rows)
+    return found.withColumns({"passes_split_half": F.coalesce("passes_split_half", F.lit(False)), "trusted": F.coalesce("trusted", F.lit(False))})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boundary, qc
+from ..operators import boundary, draws, qc
 from .catalogue import query
 from .predictions import _round
 from .standins import PROFILE, profile, table
@@ -35,11 +35,41 @@ def alpha_split(spark, d):
     return _round(boundary.alpha_split(h, "a", "b").drop("a", "b"), "alpha_ratio")
 
 
-@query("boundary_verdict", f"""WITH {PROFILE}, {_PREFIX}, {_BEST}, v AS (SELECT user_id, k / n::DOUBLE AS fraction, (user_id * 37 % 100) / 1000.0::DOUBLE AS perm_p, (user_id * 13 % 50) / 400.0::DOUBLE AS diff FROM best)
-SELECT user_id, perm_p < 0.05 AS passes_perm, diff <= 0.08 AS passes_split_half, fraction BETWEEN 0.25 AND 0.75 AS plausible, perm_p < 0.05 AND diff <= 0.08 AND fraction BETWEEN 0.25 AND 0.75 AS trusted FROM v""")
+def _cells(rows: str, by: str) -> str:
+    return f"(SELECT {by}, k, n, (s / k) / ((t - s) / (n - k)) AS ratio FROM (SELECT {by}, k, coalesce(sum(value) OVER (PARTITION BY {by} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, sum(value) OVER (PARTITION BY {by}) AS t, count(*) OVER (PARTITION BY {by}) AS n FROM {rows}) WHERE k > 0)"
+
+
+def _splits(rows: str, by: str) -> str:
+    return f"(SELECT {by}, n, arg_max(k, (score, -k)) AS k, max(score) AS score FROM (SELECT *, round(abs(ln(ratio)), 9) AS score FROM {_cells(rows, by)} WHERE ratio > 0) WHERE k >= floor(n * 0.1) AND k < floor(n * 0.9) GROUP BY {by}, n)"
+
+
+_ANALYSIS = f"""{PROFILE}, whole AS (SELECT user_id, i AS k, value FROM profile), half AS (SELECT user_id, CASE i % 2 WHEN 0 THEN 'a' ELSE 'b' END AS half, i // 2 AS k, value FROM profile),
+shuffled AS (SELECT user_id, b, value, row_number() OVER (PARTITION BY user_id, b ORDER BY key) - 1 AS k FROM {draws.keys_sql("(SELECT * FROM profile, range(200) t(b))", "event_id", "b", 42)}),
+one AS {_splits("whole", "user_id")}, null_ AS {_splits("shuffled", "user_id, b")}, two AS {_splits("half", "user_id, half")}, cell AS {_cells("whole", "user_id")},
+p AS (SELECT user_id, (sum((null_.score >= one.score)::INT) + 1) / 201 AS perm_p, median(null_.score) AS perm_null_median FROM null_ JOIN one USING (user_id) GROUP BY user_id),
+h AS (SELECT user_id, max(k / n::DOUBLE) FILTER (half = 'a') AS a_frac, max(k / n::DOUBLE) FILTER (half = 'b') AS b_frac FROM two GROUP BY user_id),
+mid AS (SELECT user_id, ratio FROM cell WHERE k = greatest(1, least(round_even(n * 0.5::DOUBLE, 0), n - 1))),
+v AS (SELECT user_id, n, k, k / n::DOUBLE AS fraction, score, c.ratio AS best_ratio, mid.ratio AS midpoint_ratio, abs(ln(mid.ratio)) AS midpoint_score, perm_p, perm_null_median, a_frac, b_frac, abs(a_frac - b_frac) AS split_half_diff
+  FROM one JOIN (SELECT user_id, k, ratio FROM cell) c USING (user_id, k) JOIN mid USING (user_id) JOIN p USING (user_id) LEFT JOIN h USING (user_id)),
+w AS (SELECT *, CASE WHEN midpoint_score > 0 THEN score / midpoint_score END AS gain, fraction <= 0.1 + 1e-6 OR fraction >= 0.9 - 1e-6 AS pinned, perm_p < 0.05 AS passes_perm, coalesce(split_half_diff <= 0.08, false) AS passes_split_half, fraction BETWEEN 0.25 AND 0.75 AS plausible FROM v)"""
+
+
+def _analysis(spark, d):
+    """Of a user's events, even and odd ones are the two channels."""
+    rows = profile(spark, d)
+    half = rows.select("user_id", F.when(F.col("i") % 2 == 0, "a").otherwise("b").alias("half"), F.floor(F.col("i") / 2).alias("i"), "value")
+    return boundary.analyse(rows, half, "value", "i", "event_id", "user_id")
+
+
+@query("boundary_analysis", f"WITH {_ANALYSIS} SELECT user_id, n, k, round(score, 6) AS score, round(best_ratio, 6) AS best_ratio, round(midpoint_ratio, 6) AS midpoint_ratio, round(gain, 6) AS gain, perm_p, round(perm_null_median, 6) AS perm_null_median, round(a_frac, 6) AS a_frac, round(b_frac, 6) AS b_frac, round(split_half_diff, 6) AS split_half_diff, pinned FROM w")
+def boundary_analysis(spark, d):
+    found = _analysis(spark, d).select("user_id", "n", "k", "score", "best_ratio", "midpoint_ratio", "gain", "perm_p", "perm_null_median", "a_frac", "b_frac", "split_half_diff", "pinned")
+    return _round(found, "score", "best_ratio", "midpoint_ratio", "gain", "perm_null_median", "a_frac", "b_frac", "split_half_diff")
+
+
+@query("boundary_verdict", f"WITH {_ANALYSIS} SELECT user_id, passes_perm, passes_split_half, plausible, passes_perm AND passes_split_half AND plausible AS trusted FROM w")
 def boundary_verdict(spark, d):
-    rows = _best(spark, d).withColumns({"perm_p": (F.col("user_id") * 37 % 100) / 1000.0, "split_half_diff": (F.col("user_id") * 13 % 50) / 400.0})
-    return boundary.verdict(rows).select("user_id", "passes_perm", "passes_split_half", "plausible", "trusted")
+    return _analysis(spark, d).select("user_id", "passes_perm", "passes_split_half", "plausible", "trusted")
 
 
 @query("two_vote_agreement", f"WITH {PROFILE}, h AS (SELECT user_id, round(avg(value) FILTER (i % 2 = 0), 9) > round(avg(value) FILTER (i % 2 = 1), 9) AS a, round(avg(value) FILTER (event_type = 'click'), 9) > round(avg(value) FILTER (event_type = 'view'), 9) AS b FROM profile GROUP BY 1), s AS (SELECT count(*) AS n, avg((a = b)::INT) AS agreement FROM h WHERE a IS NOT NULL AND b IS NOT NULL) SELECT n, agreement, CASE WHEN agreement < 0.7 THEN 'abandon' WHEN agreement < 0.85 THEN 'moderate' ELSE 'strong' END AS calibration FROM s")
