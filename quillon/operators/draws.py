@@ -21,7 +21,7 @@ _ROUNDS = ((15, 1_103_515_245), (13, 1_664_525), (16, 1_812_433_253))
 #: A hash below so many of 2^31 has at least k counts: the upper tail of a Poisson variable of mean 1.
 _TAILS = (1_357_468_564, 567_453_479, 172_445_937, 40_776_756, 7_859_461, 1_276_002, 178_759, 22_010, 2_416, 239, 22)
 #: Rows of a score range, draws of a block, rows of a step of the kernel.
-RANGE_ROWS, BLOCK, STEP = 20_000, 500, 128
+RANGE_ROWS, BLOCK, STEP = 20_000, 500, 16
 #: How many standard deviations about its expectation a draw's label threshold is looked for.
 _SIGMAS = 8.0
 
@@ -30,7 +30,11 @@ def mix(unit, draw, seed: int):
     """A hash of integers below 2^31; arrays broadcast."""
     x = (unit % _P * 48_271 + draw * 69_621 + seed * 16_807 + 11) % _P
     for shift, factor in _ROUNDS:
-        x = (x ^ (x >> shift)) * factor % _P
+        x = (x ^ (x >> shift)) * factor
+        # the remainder by 2^31 - 1, folded
+        x = (x & _P) + (x >> 31)
+        x = (x & _P) + (x >> 31)
+        x = x - _P * (x >= _P)
     return x
 
 
@@ -56,8 +60,11 @@ def mix_sql(source: str, unit: str, draw: str, seed: int, out: str) -> str:
 
 def counts(unit, draw, seed: int) -> np.ndarray:
     """How often a draw takes a unit."""
-    x = mix(unit, draw, seed)
-    return sum((x < t).astype(np.float32) for t in _TAILS)
+    x = mix(unit, draw, seed).astype(np.int32)
+    w = (x < _TAILS[0]).view(np.uint8)
+    for t in _TAILS[1:]:
+        w += (x < t).view(np.uint8)
+    return w.astype(np.float32)
 
 
 def counts_sql(source: str, unit: str, draw: str, seed: int) -> str:
@@ -73,10 +80,14 @@ def keys_sql(source: str, unit: str, draw: str, seed: int) -> str:
     return f"(SELECT *, x * 2147483648 + y AS key FROM {mix_sql(mix_sql(source, unit, draw, seed + 1, 'x'), unit, draw, seed + 2, 'y')})"
 
 
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _ranged(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
     """``rows`` with ``__range``: cut at approximate quantiles of all scores, about RANGE_ROWS to a range."""
     n = rows.count()
-    number = max(1, -(-n // RANGE_ROWS), min(n // 200, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    number = max(1, -(-n // RANGE_ROWS), min(n // 200, _tasks(rows)))
     if number == 1:
         return rows.withColumn("__range", F.lit(0))
     cuts = rows.approxQuantile(score, [i / number for i in range(1, number)], min(0.01, 0.2 / number))
@@ -119,7 +130,8 @@ def draw_aucs(rows: DataFrame, score: str, by: list[str], draws: int, weigh, *co
     ``weigh(draw, columns...)`` gives the weights (rows x draws) of label 1 and of label 0 from arrays of the columns.
     """
     ranged = _ranged(rows.select(*by, score, *columns), score, by)
-    dealt = ranged.repartition(*by, "__range").sortWithinPartitions(*by, "__range", score)
+    # few bytes, but much work: a number of tasks of its own, which is not reduced
+    dealt = ranged.repartition(_tasks(rows), *by, "__range").sortWithinPartitions(*by, "__range", score)
     types = dict(rows.dtypes)
     group = [*by, "__range"]
     all_draws = np.arange(draws, dtype=np.int64)[None, :]
@@ -217,7 +229,7 @@ def label_thresholds(rows: DataFrame, truth: str, unit: str, by: list[str], draw
                     cells = [pa.array([v] * len(d), b.schema.field(c).type) for c, v in zip(by, name, strict=True)]
                     yield pa.RecordBatch.from_arrays([*cells, pa.array(d.astype(np.int64)), pa.array(np.concatenate((under, np.zeros(len(draw), np.int64)))), pa.array(np.concatenate((np.full(draws, -1), k[row, draw])))], names=[*by, "draw", "below", "key"])
 
-    found = rows.select(*by, unit).join(ends, by).mapInArrow(near, ", ".join(f"`{k}` {types[k]}" for k in by) + ", draw long, below long, key long")
+    found = rows.select(*by, unit).join(ends, by).repartition(_tasks(rows)).mapInArrow(near, ", ".join(f"`{k}` {types[k]}" for k in by) + ", draw long, below long, key long")
     per = found.groupBy(*by, "draw").agg(F.sum("below").alias("below"), F.sort_array(F.collect_list(F.when(F.col("key") >= 0, F.col("key")))).alias("keys")).join(ends.select(*by, "__p"), by)
     place = (F.col("__p") - F.col("below")).cast("int")
     inside = (place >= 1) & (place <= F.size("keys"))
