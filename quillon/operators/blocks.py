@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialise
 from . import kernels
+from .sums import arrays, each, lists, partial, sum_arrays
 
 #: States of recordings are broadcast up to this many bytes, and joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
@@ -41,16 +42,6 @@ def extended(rows: DataFrame, size: int, halo: int, *keys: str) -> DataFrame:
     return whole.filter(end > F.col("block") * size).select(*keys, "channel", "block", "start", even.alias("samples"))
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, np.concatenate(values).astype(float) if values else np.zeros(0))
-
-
 def map_blocks(rows: DataFrame, run, size: int, halo: int, *keys: str) -> DataFrame:
     """Rows (keys, channel, start, samples) of what ``run`` makes of each block with its halo, cut back to the block."""
     given = extended(rows, size, halo, *keys)
@@ -58,11 +49,11 @@ def map_blocks(rows: DataFrame, run, size: int, halo: int, *keys: str) -> DataFr
     def blocks(batches):
         for batch in batches:
             out, starts = [], []
-            for x, block, start in zip(_arrays(batch.column("samples")), batch.column("block").to_pylist(), batch.column("start").to_pylist(), strict=True):
+            for x, block, start in zip(arrays(batch.column("samples")), batch.column("block").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 own = block * size
                 out.append(run(x)[own - start : own - start + size])
                 starts.append(own)
-            columns = [*[batch.column(k) for k in keys], batch.column("channel"), pa.array(starts, pa.int64()), _lists(out)]
+            columns = [*[batch.column(k) for k in keys], batch.column("channel"), pa.array(starts, pa.int64()), lists(out)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "channel", "start", "samples"])
 
     types = dict(given.dtypes)
@@ -108,51 +99,6 @@ def matrices(rows: DataFrame, channels: list[str], *keys: str) -> DataFrame:
     return found.select(*keys, "start", F.when(fits, flat).otherwise(F.raise_error(F.concat(F.lit("channels differ at sample "), F.col("start").cast("string")))).alias("x"))
 
 
-def _sum_arrays(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys, value): arrays added up place by place, with partial sums before the shuffle."""
-    places = rows.select(*keys, F.posexplode(value).alias("p", "v")).groupBy(*keys, "p").agg(F.sum("v").alias("v"))
-    return places.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias(value))
-
-
-def _partial(rows: DataFrame, run, *keys: str) -> DataFrame:
-    """(keys, sums): ``run`` of each row's columns as arrays, added up within a batch for each key."""
-    types = dict(rows.dtypes)
-    rest = [c for c in rows.columns if c not in keys]
-
-    def sums(batches):
-        for batch in batches:
-            names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
-            columns = [_arrays(batch.column(c)) if pa.types.is_list(batch.column(c).type) else batch.column(c).to_pylist() for c in rest]
-            total: dict[tuple, np.ndarray] = {}
-            for name, *values in zip(names, *columns, strict=True):
-                found = run(**dict(zip(rest, values, strict=True)))
-                total[name] = total[name] + found if name in total else found
-            held = list(total)
-            arrays = [pa.array([h[i] for h in held], batch.schema.field(k).type) for i, k in enumerate(keys)]
-            yield pa.RecordBatch.from_arrays([*arrays, _lists(list(total.values()))], names=[*keys, "sums"])
-
-    return rows.mapInArrow(sums, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sums array<double>")
-
-
-def _each(rows: DataFrame, run, schema: str, *keys: str) -> DataFrame:
-    """Rows (keys and what ``run`` gives, a dict) of one row each; a row is a recording's sums, of fixed size."""
-    types = dict(rows.dtypes)
-    rest = [c for c in rows.columns if c not in keys]
-
-    def all_(batches):
-        for frame in batches:
-            out = []
-            for r in frame.itertuples(index=False):
-                row = r._asdict()
-                out.append({**{k: row[k] for k in keys}, **run(**{c: np.asarray(row[c]) if isinstance(row[c], np.ndarray | list) else row[c] for c in rest})})
-            if out:
-                import pandas as pd
-
-                yield pd.DataFrame(out)
-
-    return rows.mapInPandas(all_, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + schema)
-
-
 def moments(blocks: DataFrame, channels: int, *keys: str) -> DataFrame:
     """(keys, sums): count, sums and products of all channels, of whole recordings."""
 
@@ -160,7 +106,7 @@ def moments(blocks: DataFrame, channels: int, *keys: str) -> DataFrame:
         x = x.reshape(channels, -1)
         return np.concatenate(([x.shape[1]], x.sum(axis=1), (x @ x.T).ravel()))
 
-    return _sum_arrays(_partial(blocks.select(*keys, "x"), run, *keys), "sums", *keys)
+    return sum_arrays(partial(blocks.select(*keys, "x"), run, *keys), "sums", *keys)
 
 
 def _covariance(sums: np.ndarray, channels: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -196,7 +142,7 @@ def ica(blocks: DataFrame, channels: int, *keys: str, components: int | None = N
         return {"n": n, "mean": mean, "covariance": cov.ravel(), "white": white.ravel(), "b": b.ravel(), "done": False}
 
     schema = "n double, mean array<double>, covariance array<double>, white array<double>, b array<double>, done boolean"
-    state = materialise(_each(moments(blocks, channels, *keys), start, schema, *keys), "ica")
+    state = materialise(each(moments(blocks, channels, *keys), start, schema, *keys), "ica")
     size = 8 * 3 * channels * channels + 256
 
     def expectations(x, mean, white, b):
@@ -215,8 +161,8 @@ def ica(blocks: DataFrame, channels: int, *keys: str, components: int | None = N
         left = state.filter("NOT done")
         if not left.limit(1).count():
             break
-        sums = _sum_arrays(_partial(_joined(blocks.select(*keys, "x"), left.select(*keys, "mean", "white", "b"), size, *keys), expectations, *keys), "sums", *keys)
-        moved = _each(left.join(sums, list(keys)), step, schema, *keys)
+        sums = sum_arrays(partial(_joined(blocks.select(*keys, "x"), left.select(*keys, "mean", "white", "b"), size, *keys), expectations, *keys), "sums", *keys)
+        moved = each(left.join(sums, list(keys)), step, schema, *keys)
         state = materialise(state.filter("done").unionByName(moved), "ica")
 
     def matrices_of(n, mean, covariance, white, b, done):
@@ -224,7 +170,7 @@ def ica(blocks: DataFrame, channels: int, *keys: str, components: int | None = N
         unmixing = b.reshape(k, k) @ white.reshape(k, channels)
         return {"n": n, "mean": mean, "covariance": covariance, "unmixing": unmixing.ravel(), "mixing": np.linalg.pinv(unmixing).ravel()}
 
-    return _each(state, matrices_of, "n double, mean array<double>, covariance array<double>, unmixing array<double>, mixing array<double>", *keys)
+    return each(state, matrices_of, "n double, mean array<double>, covariance array<double>, unmixing array<double>, mixing array<double>", *keys)
 
 
 def detectors(rows: DataFrame, fitted: DataFrame, channels: list[str], proxies: list[str], fs: float, size: int, *keys: str, nperseg: int = 512) -> DataFrame:
@@ -251,7 +197,7 @@ def detectors(rows: DataFrame, fitted: DataFrame, channels: list[str], proxies:
         return np.concatenate(([len(starts)], power.sum(axis=0).ravel()))
 
     state = fitted.select(*keys, "unmixing")
-    sums = _sum_arrays(_partial(_joined(blocks, state, 8 * c * c + 256, *keys), spectra, *keys), "sums", *keys)
+    sums = sum_arrays(partial(_joined(blocks, state, 8 * c * c + 256, *keys), spectra, *keys), "sums", *keys)
     at = [channels.index(p) for p in proxies if p in channels]
 
     def scores(covariance, unmixing, sums):
@@ -265,7 +211,7 @@ def detectors(rows: DataFrame, fitted: DataFrame, channels: list[str], proxies:
         slope = np.polyfit(np.log(f[use]), np.log(np.maximum(psd[:, use] / (fs * (window**2).sum()), 1e-300)).T, 1)[0]
         return {"eog": eog, "muscle": 1 / (1 + np.exp(-2 * slope))}
 
-    return _each(fitted.select(*keys, "covariance", "unmixing").join(sums, list(keys)), scores, "eog array<double>, muscle array<double>", *keys)
+    return each(fitted.select(*keys, "covariance", "unmixing").join(sums, list(keys)), scores, "eog array<double>, muscle array<double>", *keys)
 
 
 def remove(blocks: DataFrame, fitted: DataFrame, bad: DataFrame, channels: list[str], *keys: str) -> DataFrame:
@@ -277,14 +223,14 @@ def remove(blocks: DataFrame, fitted: DataFrame, bad: DataFrame, channels: list[
 
     def clean(batches):
         for batch in batches:
-            columns = {n: _arrays(batch.column(n)) for n in ("x", "mean", "unmixing", "mixing", "bad")}
+            columns = {n: arrays(batch.column(n)) for n in ("x", "mean", "unmixing", "mixing", "bad")}
             out = []
             for i in range(batch.num_rows):
                 x, w = columns["x"][i].reshape(c, -1), columns["unmixing"][i].reshape(-1, c)
                 gone = columns["bad"][i].astype(int)
                 out += list(x - columns["mixing"][i].reshape(c, -1)[:, gone] @ (w[gone] @ (x - columns["mean"][i][:, None])))
             times = pa.array(np.repeat(np.arange(batch.num_rows), c))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(times) for k in keys], pa.array(channels * batch.num_rows, pa.string()), batch.column("start").take(times), _lists(out)], names=[*keys, "channel", "start", "samples"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(times) for k in keys], pa.array(channels * batch.num_rows, pa.string()), batch.column("start").take(times), lists(out)], names=[*keys, "channel", "start", "samples"])
 
     return joined.mapInArrow(clean, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", channel string, start long, samples array<double>")
 
@@ -308,7 +254,7 @@ def welch(rows: DataFrame, fs: float, nperseg: int, size: int, *keys: str) -> Da
         power = np.abs(np.fft.rfft((cut - cut.mean(axis=-1, keepdims=True)) * window, axis=-1)) ** 2
         return np.concatenate(([len(at)], power.sum(axis=0)))
 
-    sums = _sum_arrays(_partial(extended(rows, size, nperseg, *keys), periodograms, *keys, "channel"), "sums", *keys, "channel")
+    sums = sum_arrays(partial(extended(rows, size, nperseg, *keys), periodograms, *keys, "channel"), "sums", *keys, "channel")
     scale = [(1.0 if k == 0 or (k == nperseg // 2 and nperseg % 2 == 0) else 2.0) / (fs * float((window**2).sum())) for k in range(nperseg // 2 + 1)]
     psd = F.zip_with(F.slice("sums", 2, nperseg // 2 + 1), F.array(*map(F.lit, scale)), lambda p, c: p * c / F.col("sums")[0])
     return sums.filter(F.col("sums")[0] > 0).select(*keys, "channel", psd.alias("psd"))
@@ -342,7 +288,7 @@ def prepare(rows: DataFrame, channels: list[str], fs: float, *keys: str, size: i
         gone, capped, n = whole.choose(eog, muscle, mixing.reshape(len(channels), -1), channels, s)
         return {"bad": gone, "n_excluded": len(gone), "n_muscle": n, "capped": capped}
 
-    chosen = materialise(_each(fitted.select(*keys, "mixing").join(scores, list(keys)), bad, "bad array<int>, n_excluded int, n_muscle int, capped boolean", *keys), "chosen")
+    chosen = materialise(each(fitted.select(*keys, "mixing").join(scores, list(keys)), bad, "bad array<int>, n_excluded int, n_muscle int, capped boolean", *keys), "chosen")
     m = materialise(matrices(clean, channels, *keys), "matrices")
     # components are taken from the filtered signal about its own mean
     mean = moments(m, len(channels), *keys).select(*keys, F.col("sums")[0].cast("long").alias("n"), F.transform(F.slice("sums", 2, len(channels)), lambda v: v / F.col("sums")[0]).alias("mean"))

@@ -143,6 +143,55 @@ def nested_folds(frame: pd.DataFrame, features: list[str], grid: list[tuple[int,
     return pd.concat(out) if out else pd.DataFrame({"subject_id": [], "fold": [], "truth": [], "prob": []})
 
 
+def _cell(frame: pd.DataFrame, k: int, c: float, learn: list[str], score: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(rows, probabilities) of one fold by a machine of the best k features, learnt from other folds; None with one class."""
+    x, y = np.stack([np.asarray(v, float) for v in frame["x"]]), frame["truth"].to_numpy(np.int64)
+    train, test = frame["fold"].isin(learn).to_numpy(), (frame["fold"] == score).to_numpy()
+    if not 0 < y[train].sum() < train.sum() or not test.any():
+        return None
+    a, b = impute_scale(x[train], x[test])
+    use = np.argsort(-anova_f(a, y[train]), kind="stable")[:k]
+    return np.flatnonzero(test), KernelMachine(c).fit(a[:, use], y[train]).probability(b[:, use])
+
+
+def nested_grid(table: DataFrame, arm: str, grid: list[tuple[int, float]], folds: list[str]) -> DataFrame:
+    """(arm, subject_id, fold, truth, prob): ``nested_folds`` with a task for each outer fold and cell of the grid.
+
+    A kernel machine sees all pairs of its subjects, so a task holds a cohort; cells and folds are what is dealt out.
+    """
+    from pyspark.sql import functions as F
+
+    from ..shared import materialise
+
+    held = materialise(table.select(arm, "subject_id", "fold", "truth", "x").filter(F.col("fold").isin(folds)), "held")
+    inner = {f: folds[(i + 1) % len(folds)] for i, f in enumerate(folds)}
+    rest = {f: [g for g in folds if g not in (f, inner[f])] for f in folds}
+    key = [arm, "outer", "cell"]
+    dealt = held.withColumn("outer", F.explode(F.array(*map(F.lit, folds)))).filter(F.col("outer") != F.col("fold")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+
+    def rate(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("subject_id", kind="stable").reset_index(drop=True)
+        outer, cell = frame["outer"].iloc[0], int(frame["cell"].iloc[0])
+        found = _cell(frame, *grid[cell], rest[outer], inner[outer])
+        right = -1.0 if found is None else float(((found[1] >= 0.5) == frame["truth"].to_numpy()[found[0]]).mean())
+        return pd.DataFrame([{arm: frame[arm].iloc[0], "outer": outer, "cell": cell, "right": right}])
+
+    tasks = max(8, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rated = dealt.repartition(tasks, *key).groupBy(*key).applyInPandas(rate, f"{arm} string, outer string, cell int, right double")
+    # the first best cell
+    best = rated.groupBy(arm, "outer").agg((-F.max(F.struct("right", (-F.col("cell")).alias("c")))["c"]).alias("cell"))
+
+    def refit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("subject_id", kind="stable").reset_index(drop=True)
+        outer = frame["outer"].iloc[0]
+        found = _cell(frame, *grid[int(frame["cell"].iloc[0])], [f for f in folds if f != outer], outer)
+        at, prob = found if found is not None else (np.zeros(0, int), np.zeros(0))
+        return frame.iloc[at][[arm, "subject_id", "fold", "truth"]].assign(prob=prob)
+
+    whole = held.withColumn("outer", F.explode(F.array(*map(F.lit, folds)))).join(best, [arm, "outer"])
+    return whole.repartition(tasks, arm, "outer").groupBy(arm, "outer").applyInPandas(refit, f"{arm} string, " + SCHEMA)
+
+
 def two_way_folds(frame: pd.DataFrame, features: list[str], scale: bool = True, c: float = 1.0) -> pd.DataFrame:
     """Each fold scored by a logistic regression of the others; folds with one training class are left out."""
     x, y = frame[features].to_numpy(float), frame["truth"].to_numpy(np.int64)

@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, kernels, metrics, models, resample
+from ..operators import cohorts, fits, kernels, metrics, models, resample
 from .catalogue import query
 from .predictions import _round
-from .standins import ARMS, arms, profile, signals, table
+from .standins import ARMS, SIGNALS, arms, profile, signals, table
 
 KEYS = ["subject_id", "condition", "channel"]
 
@@ -111,50 +111,77 @@ def _feature_table(spark, d):
 FEATURES = [f"f{i}" for i in range(6)]
 
 
+def _arrays(table_, *names):
+    return table_.withColumn("x", F.array(*[F.col(n).cast("double") for n in names])).select("arm", "subject_id", "fold", F.col("truth").cast("int").alias("truth"), "x")
+
+
 @query("logreg_oof")
 def logreg_oof(spark, d):
-    return models.cross_validate(_feature_table(spark, d), "arm", lambda f: models.two_way_folds(f, FEATURES))
+    rows = _arrays(_feature_table(spark, d), *FEATURES)
+    return _round(fits.out_of_fold(fits.leave_one_out(rows, "fold", "arm"), "arm"), "prob", digits=9)
+
+
+_FOLDS = """base AS (SELECT doc_id AS subject_id, quality AS truth, text AS t, doc_id FROM documents JOIN labels USING (doc_id)),
+x AS (SELECT subject_id, truth, md5(subject_id::VARCHAR || ':42') AS h, ln(1 + length(t)) AS f0, length(t) AS n, CASE WHEN doc_id % 10 <> 0 THEN length(t) - length(replace(t, chr(10), '')) END::DOUBLE AS f4 FROM base),
+o AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY h, subject_id) - 1 AS i, count(*) OVER (PARTITION BY truth) AS c FROM x),
+s AS (SELECT *, CASE WHEN i < ceil(c * 0.1) THEN 'test' ELSE 'fold_' || ((i - ceil(c * 0.1)::BIGINT) % 5)::VARCHAR END AS fold FROM o),
+long AS (SELECT fold, 0 AS p, f0 AS v FROM s WHERE fold <> 'test' UNION ALL SELECT fold, 4, f4 FROM s WHERE fold <> 'test'),
+dealt AS (SELECT f.fold AS out, p, v FROM long l, (SELECT DISTINCT fold FROM long) f WHERE f.fold <> l.fold),
+m AS (SELECT out, p, coalesce(median(v), 0) AS median FROM dealt GROUP BY ALL)"""
+
+
+@query("fold_statistics", f"WITH {_FOLDS} SELECT out, p AS feature, round(any_value(median), 6) AS median, round(avg(coalesce(v, median)), 6) AS mean, round(CASE WHEN stddev_pop(coalesce(v, median)) > 1e-12 THEN stddev_pop(coalesce(v, median)) ELSE 1 END, 6) AS sd FROM dealt JOIN m USING (out, p) GROUP BY out, p")
+def fold_statistics(spark, d):
+    """What each left-out fold's model imputes and scales by, of the text's length and its lines."""
+    dealt = fits.leave_one_out(_arrays(_feature_table(spark, d), *FEATURES), "fold", "arm")
+    stats = fits.statistics(dealt.filter("role = 'learn'"), "arm", "out")
+    long = stats.select("out", F.posexplode(F.arrays_zip("median", "mean", "sd")).alias("feature", "s")).select("out", "feature", "s.*").filter("feature IN (0, 4)")
+    return _round(long, "median", "mean", "sd")
+
+
+KERNEL_FOLDS = [f"fold_{i}" for i in range(5)]
+KERNEL_GRID = [(k, c) for k in (10, 20, 40, 80) for c in (0.1, 1.0, 10.0)]
 
 
 @query("kernel_oof")
 def kernel_oof(spark, d):
-    """Nested folds over all subjects of the signals; features are peak-to-peak amplitudes by channel and condition."""
+    """Nested folds over all subjects of the signals: 120 amplitudes, by channel, condition and quarter, the whole grid."""
     from ..operators import signals as sig
     from .standins import CHANNEL_NAMES, CONDITIONS
 
     names = [f"{c}_{k}" for c in CHANNEL_NAMES for k in CONDITIONS]
-    long = signals(spark, d).select("subject_id", F.concat_ws("_", "channel", "condition").alias("name"), sig.peak_to_peak().alias("v"))
-    wide = long.groupBy("subject_id").pivot("name", names).agg(F.first("v")).withColumn("truth", (F.col("subject_id") % 2).cast("int"))
-    folds = cohorts.stratified_split(wide, group="truth", test_share=0.1, folds=3).withColumnRenamed("split", "fold").withColumn("arm", F.lit("amplitudes"))
-    return models.cross_validate(folds, "arm", lambda f: models.nested_folds(f, names, [(k, c) for k in (10, 20) for c in (0.1, 1.0, 10.0)]))
+    quarters = F.transform(sig.windows("samples", 16), lambda w: F.array_max(w["samples"]) - F.array_min(w["samples"]))
+    long = signals(spark, d).select("subject_id", F.concat_ws("_", "channel", "condition").alias("name"), F.concat(F.array(sig.peak_to_peak()), quarters).alias("v"))
+    wide = long.groupBy("subject_id").pivot("name", names).agg(F.first("v"))
+    none = F.array(*[F.lit(None).cast("double")] * 5)
+    rows = wide.select("subject_id", (F.col("subject_id") % 2).cast("int").alias("truth"), F.concat(*[F.coalesce(F.col(n), none) for n in names]).alias("x"))
+    folds = cohorts.stratified_split(rows, group="truth", test_share=0.1, folds=5).withColumnRenamed("split", "fold").withColumn("arm", F.lit("amplitudes"))
+    return _round(models.nested_grid(folds, "arm", KERNEL_GRID, KERNEL_FOLDS), "prob", digits=9)
 
 
 @query("fusion_oof")
 def fusion_oof(spark, d):
     """Features joined with another arm's predictions, scaled and not, and scaled features alone."""
     other = arms(spark, d).filter("arm = 'length'").select("subject_id", F.col("p").alias("f6"))
-    base = _feature_table(spark, d).drop("arm").join(other, "subject_id")
-    both = base.withColumn("arm", F.explode(F.array(F.lit("scaled"), F.lit("unscaled"), F.lit("features"))))
-    return models.cross_validate(both, "arm", lambda f: models.two_way_folds(f, FEATURES if f["arm"].iloc[0] == "features" else [*FEATURES, "f6"], scale=f["arm"].iloc[0] != "unscaled"))
+    base = _feature_table(spark, d).join(other, "subject_id")
+    fused = lambda arm, *names: _arrays(base.withColumn("arm", F.lit(arm)), *FEATURES, *names)
+    dealt = fits.leave_one_out(fused("scaled", "f6").unionByName(fused("features")), "fold", "arm")
+    plain = fits.leave_one_out(fused("unscaled", "f6"), "fold", "arm")
+    return _round(fits.out_of_fold(dealt, "arm").unionByName(fits.out_of_fold(plain, "arm", scale=False)), "prob", digits=9)
 
 
 @query("holdout_once")
 def holdout_once(spark, d):
     """Learnt on all folds, scored once on the test split."""
-    return models.cross_validate(_feature_table(spark, d), "arm", lambda f: models.train_once(f, FEATURES))
+    rows = _arrays(_feature_table(spark, d), *FEATURES)
+    return _round(fits.out_of_fold(fits.train_and_test(rows, "fold", "arm"), "arm"), "prob", digits=9)
 
 
 @query("transfer_oof")
 def transfer_oof(spark, d):
     """Learnt on folds 0 to 2, scored on the others, each side standardised by itself."""
-    table_ = _feature_table(spark, d)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        here = frame["fold"].isin(["fold_0", "fold_1", "fold_2"]).to_numpy()
-        prob = models.transfer(frame[here], frame[~here], FEATURES)
-        return frame[~here][["subject_id", "fold", "truth"]].assign(prob=prob)
-
-    return models.cross_validate(table_, "arm", run)
+    rows = _arrays(_feature_table(spark, d), *FEATURES).withColumn("here", F.col("fold").isin("fold_0", "fold_1", "fold_2"))
+    return _round(fits.transfer(rows, "here", "arm"), "prob", digits=9)
 
 
 @query("scalogram_rgb")
@@ -184,21 +211,31 @@ def filtered_power(spark, d):
     return out.select("signal_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
-def _covariances(spark, d):
-    s = signals(spark, d)
+_OAS = """c AS (SELECT subject_id, condition, channel, list_transform(samples, lambda v: v - list_avg(samples)) AS y FROM signals),
+s AS (SELECT a.subject_id, a.condition, a.channel AS a, b.channel AS b, list_dot_product(a.y, b.y) / 64 AS s FROM c a JOIN c b ON a.subject_id = b.subject_id AND a.condition = b.condition),
+k AS (SELECT subject_id, condition, sum(s) FILTER (a = b) / 8 AS mu, avg(s * s) AS alpha FROM s GROUP BY ALL HAVING count(*) = 64),
+r AS (SELECT *, CASE WHEN alpha = mu * mu / 8 THEN 1 ELSE least((alpha + mu * mu) / (65 * (alpha - mu * mu / 8)), 1) END AS shrink FROM k)"""
+
 
-    def cov(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in frame.sort_values("channel")["samples"]])
-        return pd.DataFrame([{"subject_id": frame["subject_id"].iloc[0], "condition": frame["condition"].iloc[0], "cov": models.oas(x.T).ravel()}])
+@query("oas_covariance", f"WITH {SIGNALS}, {_OAS} SELECT subject_id, condition, a, b, round((1 - shrink) * s + CASE WHEN a = b THEN shrink * mu ELSE 0 END, 9) AS cov FROM s JOIN r USING (subject_id, condition) WHERE a <= b")
+def oas_covariance(spark, d):
+    """Shrunk covariances of channel pairs."""
+    from .standins import CHANNEL_NAMES
 
-    full = s.groupBy("subject_id", "condition").agg(F.count("*").alias("n")).filter("n = 8").select("subject_id", "condition")
-    return s.join(full, ["subject_id", "condition"], "left_semi").groupBy("subject_id", "condition").applyInPandas(cov, "subject_id long, condition string, cov array<double>")
+    order = sorted(CHANNEL_NAMES)
+    names = F.array(*map(F.lit, order))
+    cov = fits.covariances(signals(spark, d), order, "subject_id", "condition").select("subject_id", "condition", F.posexplode("cov").alias("p", "cov"))
+    pairs = cov.select("subject_id", "condition", F.get(names, F.floor(F.col("p") / 8).cast("int")).alias("a"), F.get(names, F.col("p") % 8).alias("b"), F.round("cov", 9).alias("cov"))
+    return pairs.filter("a <= b")
 
 
 @query("tangent_space")
 def tangent_space(spark, d):
-    rows = _covariances(spark, d).filter("condition = 'ec'").select("subject_id", "cov", (F.col("subject_id") % 2).cast("int").alias("truth"), F.concat(F.lit("fold_"), (F.floor(F.col("subject_id") / 2) % 3).cast("string")).alias("fold"), F.lit("ec").alias("arm"))
-    return models.cross_validate(rows, "arm", lambda f: models.tangent_folds(f, 8))
+    from .standins import CHANNEL_NAMES
+
+    cov = fits.covariances(signals(spark, d).filter("condition = 'ec'"), CHANNEL_NAMES, "subject_id")
+    rows = cov.select("subject_id", "cov", (F.col("subject_id") % 2).cast("int").alias("truth"), F.concat(F.lit("fold_"), (F.floor(F.col("subject_id") / 2) % 3).cast("string")).alias("fold"), F.lit("ec").alias("arm"))
+    return _round(fits.tangent_out_of_fold(rows, 8, "arm"), "prob", digits=7)
 
 
 @query("welch_arrow_matches", "SELECT count(*) AS n, true AS same FROM embeddings")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import blocks, kernels, recordings
+from ..operators import blocks, kernels, recordings, sums
 from ..shared import fresh, materialise, write_files
 from ..sources import decoders, formats
 from .catalogue import query
@@ -76,8 +76,8 @@ y AS (SELECT m.rec, m.channel, m.i, sum(m.h * p.x) AS y FROM moved m JOIN point
 def filtered_blocks(spark, d):
     """A 2 to 20 Hz band-pass by blocks of 100 samples, over recordings as long as the table."""
     out = blocks.filtered(long_rows(spark, d), [(kernels.fir(FS, 2.0, 20.0, transition=4.0), False)], 100, "rec")
-    sums = out.select("rec", "channel", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("e"), F.array_max("samples").alias("hi"), F.array_min("samples").alias("lo"))
-    return _round(sums.groupBy("rec", "channel").agg(F.sum("n").alias("n"), F.sum("e").alias("energy"), F.max("hi").alias("peak"), F.min("lo").alias("trough")), "energy", "peak", "trough")
+    by = out.select("rec", "channel", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("e"), F.array_max("samples").alias("hi"), F.array_min("samples").alias("lo"))
+    return _round(by.groupBy("rec", "channel").agg(F.sum("n").alias("n"), F.sum("e").alias("energy"), F.max("hi").alias("peak"), F.min("lo").alias("trough")), "energy", "peak", "trough")
 
 
 def _even(spark, d):
@@ -98,7 +98,7 @@ def block_components(spark, d):
         w, c, a = unmixing.reshape(-1, 8), covariance.reshape(8, 8), mixing.reshape(8, -1)
         return {"components": len(w), "off": float(np.round(np.abs(w @ c @ w.T - np.eye(len(w))).max(), 6)), "lost": float(np.round(np.abs(a @ w - np.eye(8)).max(), 6))}
 
-    checks = blocks._each(fitted.select("rec", "covariance", "unmixing", "mixing"), white, "components int, off double, lost double", "rec")
+    checks = sums.each(fitted.select("rec", "covariance", "unmixing", "mixing"), white, "components int, off double, lost double", "rec")
     least = lambda c: F.round(F.array_min(c), 3)
     return checks.join(scores, "rec").select("rec", "components", "off", "lost", least("eog").alias("least_eog"), least("muscle").alias("least_muscle"), F.size("eog").alias("scored"))
 
