@@ -90,6 +90,14 @@ def peak_rules(occipital: Column) -> dict[str, Column]:
     }
 
 
+def with_subjects(components: DataFrame, subjects: DataFrame, key: str = "subject_id") -> DataFrame:
+    """Every component with its subject's columns, null where the subject is missing; two rows of a subject raise."""
+    columns = [c for c in subjects.columns if c != key]
+    one = subjects.groupBy(key).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in columns])
+    one = one.select(F.when(F.col("__n") > 1, F.raise_error(F.lit("two rows of a subject")).cast(dict(subjects.dtypes)[key])).otherwise(F.col(key)).alias(key), *columns)
+    return components.join(one, key, "left")
+
+
 def estimated_retention(subjects: DataFrame, kept: DataFrame, key: str = "subject_id") -> DataFrame:
     """Median over subjects of 1 - (1 - retained) * share of exclusions kept, by rule; kept: (rule, key, share)."""
     rows = kept.join(subjects.select(key, "retained"), key)

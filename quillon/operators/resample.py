@@ -156,8 +156,76 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+#: Samples up to these sizes, without ties, have an exact p: the smaller of two, both together, and differences.
+EXACT_SMALLER, EXACT_BOTH, EXACT_DIFFERENCES = 8, 400, 50
+
+
+def rank_sum_tails(ranks: list[int], taken: int, observed: int) -> tuple[float, float]:
+    """Shares of the choices of ``taken`` of the ranks whose sum is at most, and at least, the observed one.
+
+    A dynamic programme counts the choices by number and sum; ranks are integers (doubled where ties share one).
+    """
+    counts = np.zeros((taken + 1, sum(ranks) + 1))
+    counts[0, 0] = 1
+    for r in ranks:
+        counts[1:, r:] += counts[:-1, : counts.shape[1] - r].copy()
+    row = counts[taken]
+    return float(row[: observed + 1].sum() / row.sum()), float(row[observed:].sum() / row.sum())
+
+
+def signed_rank_tails(ranks: list[int], observed: int) -> tuple[float, float]:
+    """The same for the sums of all choices of signs."""
+    counts = np.zeros(sum(ranks) + 1)
+    counts[0] = 1
+    for r in ranks:
+        counts[r:] += counts[: len(counts) - r].copy()
+    return float(counts[: observed + 1].sum() / counts.sum()), float(counts[observed:].sum() / counts.sum())
+
+
+def two_tails(low: float, high: float) -> float:
+    return min(1.0, 2 * min(low, high))
+
+
+def exact_rank_sums(rows: DataFrame, group: str, value: str, *keys: str, most: int = 20) -> DataFrame:
+    """(keys, n_a, n_b, u, p): Mann-Whitney of each key by all its arrangements, ties sharing their rank.
+
+    For keys of at most ``most`` rows with both groups; others have no row (``mann_whitney`` has their z). Nulls take no part.
+    """
+    from pyspark.sql import functions as F
+
+    held = rows.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(group).cast("int")).alias("n_a"), F.collect_list(F.struct(F.col(value).alias("v"), F.col(group).cast("int").alias("g"))).alias("s"))
+    few = held.filter((F.col("n") <= most) & (F.col("n_a") > 0) & (F.col("n_a") < F.col("n")))
+    # doubled ranks: twice those below, once those equal (itself included), and one
+    twice = lambda e: F.aggregate("s", F.lit(0), lambda a, o: a + F.when(o["v"] < e["v"], 2).when(o["v"] == e["v"], 1).otherwise(0)) + 1
+    ranked = few.select(*keys, "n", "n_a", F.transform("s", lambda e: twice(e)).alias("ranks"), F.aggregate(F.transform("s", lambda e: F.when(e["g"] == 1, twice(e)).otherwise(0)), F.lit(0), lambda a, x: a + x).alias("seen"))
+
+    @F.pandas_udf("double")
+    def p(ranks: pd.Series, taken: pd.Series, seen: pd.Series) -> pd.Series:
+        return pd.Series([two_tails(*rank_sum_tails([int(x) for x in r], int(k), int(s))) for r, k, s in zip(ranks, taken, seen, strict=True)])
+
+    u = F.col("seen") / 2 - F.col("n_a") * (F.col("n_a") + 1) / 2
+    return ranked.select(*keys, "n_a", (F.col("n") - F.col("n_a")).alias("n_b"), u.alias("u"), p("ranks", "n_a", "seen").alias("p"))
+
+
+def exact_signed_ranks(rows: DataFrame, difference: str, *keys: str, most: int = 50) -> DataFrame:
+    """(keys, n, w, p): Wilcoxon of each key's non-zero differences by all their signs, ties sharing their rank; for keys of at most ``most``."""
+    from pyspark.sql import functions as F
+
+    d = F.col(difference)
+    held = rows.filter(d != 0).groupBy(*keys).agg(F.count("*").alias("n"), F.collect_list(F.struct(F.abs(d).alias("v"), (d > 0).cast("int").alias("g"))).alias("s")).filter(F.col("n") <= most)
+    twice = lambda e: F.aggregate("s", F.lit(0), lambda a, o: a + F.when(o["v"] < e["v"], 2).when(o["v"] == e["v"], 1).otherwise(0)) + 1
+    ranked = held.select(*keys, "n", F.transform("s", lambda e: twice(e)).alias("ranks"), F.aggregate(F.transform("s", lambda e: F.when(e["g"] == 1, twice(e)).otherwise(0)), F.lit(0), lambda a, x: a + x).alias("seen"))
+
+    @F.pandas_udf("double")
+    def p(ranks: pd.Series, seen: pd.Series) -> pd.Series:
+        return pd.Series([two_tails(*signed_rank_tails([int(x) for x in r], int(s))) for r, s in zip(ranks, seen, strict=True)])
+
+    return ranked.select(*keys, "n", (F.col("seen") / 2).alias("w"), p("ranks", "seen").alias("p"))
+
+
 def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """U of the rows where ``group`` is 1, z and p by the normal approximation with tie and continuity correction.
+    """U of the rows where ``group`` is 1, z and p by the normal approximation with tie and continuity correction;
+    p is exact where a sample is small and has no ties.
 
     Ranks come from counts of distinct values; the driver sees five sums.
     """
@@ -171,11 +239,14 @@ def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
     u = ranks - n1 * (n1 + 1) / 2
     sd = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))
     z = (u - n1 * n2 / 2 - math.copysign(0.5, u - n1 * n2 / 2)) / sd if sd else 0.0
-    return rows.sparkSession.createDataFrame([(n1, n2, float(u), z, min(1.0, normal_two_sided(z)))], "n_a long, n_b long, u double, z double, p double")
+    p = min(1.0, normal_two_sided(z))
+    if not ties and min(n1, n2) <= EXACT_SMALLER and n <= EXACT_BOTH:
+        p = two_tails(*rank_sum_tails(list(range(1, n + 1)), n1, int(ranks)))
+    return rows.sparkSession.createDataFrame([(n1, n2, float(u), z, p)], "n_a long, n_b long, u double, z double, p double")
 
 
 def wilcoxon(rows: DataFrame, difference: str) -> DataFrame:
-    """Signed-rank W of non-zero differences, z and p by the normal approximation with tie correction."""
+    """Signed-rank W of non-zero differences, z and p by the normal approximation with tie correction; p is exact for few differences without ties."""
     from pyspark.sql import functions as F
 
     d = F.col(difference)
@@ -185,7 +256,10 @@ def wilcoxon(rows: DataFrame, difference: str) -> DataFrame:
         return rows.sparkSession.createDataFrame([(0, None, None, None)], "n long, w double, z double, p double")
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     z = (w - n * (n + 1) / 4) / sd if sd else 0.0
-    return rows.sparkSession.createDataFrame([(n, float(w), z, normal_two_sided(z))], "n long, w double, z double, p double")
+    p = normal_two_sided(z)
+    if not ties and n <= EXACT_DIFFERENCES:
+        p = two_tails(*signed_rank_tails(list(range(1, n + 1)), int(w)))
+    return rows.sparkSession.createDataFrame([(n, float(w), z, p)], "n long, w double, z double, p double")
 
 
 def decision(p: float, ci_low: float, tests: int = 3, alpha: float = 0.05) -> bool:

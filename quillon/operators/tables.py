@@ -57,7 +57,10 @@ def correlations(wide_: DataFrame, names: list[str]) -> DataFrame:
 
 
 def robust_scale(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """The value at index floor(.95 n) of the ordered absolute values of each group."""
-    order = Window.partitionBy(*keys).orderBy(F.abs(value))
-    ranked = rows.select(*keys, F.abs(value).alias("scale"), (F.row_number().over(order) - 1).alias("__i"), F.count("*").over(Window.partitionBy(*keys)).alias("__n"))
-    return ranked.filter(F.col("__i") == F.floor(F.col("__n") * 0.95)).select(*keys, "scale")
+    """The value at index floor(.95 n) of the ordered absolute values of each group, from counts of distinct ones summed by ranges."""
+    from .running import before
+
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.abs(value).alias("scale")).agg(F.count("*").alias("__c"))
+    sizes = counted.groupBy(*keys).agg(F.floor(F.sum("__c") * 0.95).alias("__at"))
+    ranked = before(counted, "scale", "__c", *keys).join(sizes, list(keys)) if keys else before(counted, "scale", "__c").crossJoin(F.broadcast(sizes))
+    return ranked.filter((F.col("__before") <= F.col("__at")) & (F.col("__at") < F.col("__before") + F.col("__c"))).select(*keys, "scale")

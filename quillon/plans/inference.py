@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, fits, kernels, metrics, models, resample
+from ..operators import coherence, cohorts, fits, kernels, metrics, models, resample
 from .catalogue import query
 from .predictions import _round
-from .standins import ARMS, SIGNALS, arms, profile, signals, table
+from .standins import ARMS, PROFILE, SIGNALS, arms, profile, signals, table
 
 KEYS = ["subject_id", "condition", "channel"]
 
@@ -64,19 +64,61 @@ def results_table(spark, d):
 
 _MW = """r AS (SELECT truth, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM arms WHERE arm = 'hash'),
 t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY p)),
-s AS (SELECT CAST(sum(truth) AS BIGINT) AS n_a, CAST(sum(1 - truth) AS BIGINT) AS n_b, CAST(sum(truth * k) - sum(truth) * (sum(truth) + 1) / 2.0 AS DOUBLE) AS u FROM r)
-SELECT n_a, n_b, u, (u - n_a * n_b / 2.0 - 0.5 * sign(u - n_a * n_b / 2.0)) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1.0)))) AS z FROM s, t"""
+s AS (SELECT CAST(sum(truth) AS BIGINT) AS n_a, CAST(sum(1 - truth) AS BIGINT) AS n_b, CAST(sum(truth * k) - sum(truth) * (sum(truth) + 1) / 2.0 AS DOUBLE) AS u FROM r),
+z AS (SELECT n_a, n_b, u, (u - n_a * n_b / 2.0 - 0.5 * sign(u - n_a * n_b / 2.0)) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1.0)))) AS z FROM s, t)
+SELECT n_a, n_b, u, z, {tail} AS p FROM z"""
+#: The two tails of the normal distribution beyond z, by Simpson's rule.
+_TAIL = "greatest(0, 1 - sqrt(2 / pi()) * abs(z) / 6000 * (SELECT sum(exp(-0.5 * pow(abs(z) * i / 2000, 2)) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) FROM range(2001) r(i)))"
 
 
-@query("mann_whitney", f"WITH {ARMS}, {_MW}")
+@query("mann_whitney", f"WITH {ARMS}, {_MW.format(tail=f'round({_TAIL}, 6)')}")
 def mann_whitney(spark, d):
-    return resample.mann_whitney(arms(spark, d).filter("arm = 'hash'"), "truth", "p").select("n_a", "n_b", "u", "z")
+    return resample.mann_whitney(arms(spark, d).filter("arm = 'hash'"), "truth", "p").withColumn("p", F.round("p", 6))
 
 
-@query("wilcoxon", "WITH m AS (SELECT user_id, round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view'), 6) AS x FROM events GROUP BY 1), r AS (SELECT x, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2.0 AS k FROM m WHERE x <> 0), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM m WHERE x <> 0 GROUP BY abs(x))), s AS (SELECT count(*) AS n, CAST(sum(k) FILTER (x > 0) AS DOUBLE) AS w FROM r) SELECT n, w, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z FROM s, t")
+#: Counts of signed-rank sums of up to 50 ranks.
+_SUMS = "sums AS (SELECT 0 AS step, 0 AS v, 1::DOUBLE AS c UNION ALL SELECT step + 1, v + add * (step + 1), sum(c) FROM sums, (VALUES (0), (1)) a(add) WHERE step < 50 GROUP BY step, v + add * (step + 1))"
+
+
+@query("wilcoxon", f"""WITH RECURSIVE {_SUMS}, m AS (SELECT user_id, round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view'), 6) AS x FROM events GROUP BY 1),
+r AS (SELECT x, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2.0 AS k FROM m WHERE x <> 0), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM m WHERE x <> 0 GROUP BY abs(x))),
+s AS (SELECT count(*) AS n, CAST(sum(k) FILTER (x > 0) AS DOUBLE) AS w FROM r),
+z AS (SELECT n, w, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z, ties = 0 AND n <= 50 AS exact FROM s, t),
+e AS (SELECT sum((v <= (SELECT w FROM z))::INT * c) / sum(c) AS low, sum((v >= (SELECT w FROM z))::INT * c) / sum(c) AS high FROM sums WHERE step = (SELECT n FROM z))
+SELECT n, w, z, round(CASE WHEN exact THEN least(1, 2 * least(low, high)) ELSE {_TAIL} END, 6) AS p FROM z, e""")
 def wilcoxon(spark, d):
     m = table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
-    return resample.wilcoxon(m.select(F.round(F.col("click") - F.col("view"), 6).alias("x")), "x").select("n", "w", "z")
+    return resample.wilcoxon(m.select(F.round(F.col("click") - F.col("view"), 6).alias("x")), "x").withColumn("p", F.round("p", 6))
+
+
+def _few(spark, d):
+    """The first 10 events of each user; clicks against the others."""
+    return profile(spark, d).filter("i < 10").select("user_id", (F.col("event_type") == "click").cast("int").alias("g"), F.round("value", 0).alias("v"))
+
+
+_FEW = f"""{PROFILE}, few AS (SELECT user_id, (event_type = 'click')::INT AS g, round(value, 0) AS v FROM profile WHERE i < 10),
+r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY v) + (count(*) OVER (PARTITION BY user_id, v) - 1) / 2.0 AS k, row_number() OVER (PARTITION BY user_id ORDER BY v, g) - 1 AS j FROM few)"""
+
+
+@query("mann_whitney_exact", f"""WITH {_FEW}, s AS (SELECT user_id, count(*) AS n, sum(g) AS n_a, sum(k * g) AS seen FROM r GROUP BY 1 HAVING sum(g) BETWEEN 1 AND count(*) - 1),
+every AS (SELECT s.user_id, m, sum(k) AS v FROM s JOIN r USING (user_id), range(1024) t(m) WHERE m < (1 << n) AND bit_count(m) = n_a AND (m >> j) & 1 = 1 GROUP BY ALL),
+p AS (SELECT user_id, avg((v <= seen)::INT) AS low, avg((v >= seen)::INT) AS high FROM every JOIN s USING (user_id) GROUP BY 1)
+SELECT user_id, n_a::BIGINT AS n_a, (n - n_a)::BIGINT AS n_b, (seen - n_a * (n_a + 1) / 2)::DOUBLE AS u, round(least(1, 2 * least(low, high)), 9) AS p FROM s JOIN p USING (user_id)""")
+def mann_whitney_exact(spark, d):
+    """Against all choices of as many ranks."""
+    return _round(resample.exact_rank_sums(_few(spark, d), "g", "v", "user_id"), "p", digits=9)
+
+
+@query("wilcoxon_exact", f"""WITH {PROFILE}, few AS (SELECT user_id, round(value, 0) - 50 AS d FROM profile WHERE i < 10), x AS (SELECT *, abs(d) AS v FROM few WHERE d <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY v) + (count(*) OVER (PARTITION BY user_id, v) - 1) / 2.0 AS k, row_number() OVER (PARTITION BY user_id ORDER BY v) - 1 AS j FROM x),
+s AS (SELECT user_id, count(*) AS n, coalesce(sum(k) FILTER (d > 0), 0) AS w FROM r GROUP BY 1),
+every AS (SELECT s.user_id, m, sum(k * ((m >> j) & 1)) AS v FROM s JOIN r USING (user_id), range(1024) t(m) WHERE m < (1 << n) GROUP BY ALL),
+p AS (SELECT user_id, avg((v <= w)::INT) AS low, avg((v >= w)::INT) AS high FROM every JOIN s USING (user_id) GROUP BY 1)
+SELECT user_id, n, w::DOUBLE AS w, round(least(1, 2 * least(low, high)), 9) AS p FROM s JOIN p USING (user_id)""")
+def wilcoxon_exact(spark, d):
+    """Against all choices of signs."""
+    rows = profile(spark, d).filter("i < 10").select("user_id", (F.round("value", 0) - 50).alias("d"))
+    return _round(resample.exact_signed_ranks(rows, "d", "user_id"), "p", digits=9)
 
 
 @query("mcnemar_exact")
@@ -198,9 +240,19 @@ def scalogram_rgb(spark, d):
     return signals(spark, d).select("signal_id", encode("samples").alias("e")).select("signal_id", "e.*")
 
 
-@query("imag_coherence")
+_BANDS = {"theta": (4, 8), "alpha": (8, 12), "beta": (12, 30)}
+_TAPERS = ", ".join(f"({t}, {i}, {v!r})" for t, row in enumerate(kernels.dpss(32).tolist()) for i, v in enumerate(row))
+
+
+@query("imag_coherence", f"""WITH {SIGNALS}, seg AS (SELECT subject_id, condition, channel, w, samples[w * 16 + 1 : w * 16 + 32] AS s FROM signals, range(3) r(w)),
+pt AS (SELECT subject_id, condition, channel, w, generate_subscripts(s, 1) - 1 AS i, unnest(s) - list_avg(s) AS y FROM seg), tp AS (SELECT * FROM (VALUES {_TAPERS}) v(t, i, h)),
+z AS (SELECT subject_id, condition, channel, w, t, f, sum(y * h * cos(2 * pi() * f * i / 32)) AS re, -sum(y * h * sin(2 * pi() * f * i / 32)) AS im FROM pt JOIN tp USING (i), range(2, 16) r(f) GROUP BY ALL),
+p AS (SELECT subject_id, condition, channel, f, sum(re * re + im * im) AS p FROM z GROUP BY ALL),
+x AS (SELECT a.subject_id, a.condition, a.channel AS a, b.channel AS b, a.f, sum(a.im * b.re - a.re * b.im) AS c FROM z a JOIN z b ON a.subject_id = b.subject_id AND a.condition = b.condition AND a.w = b.w AND a.t = b.t AND a.f = b.f AND a.channel < b.channel GROUP BY ALL),
+q AS (SELECT x.*, abs(c / sqrt(pa.p * pb.p)) AS q FROM x JOIN p pa ON pa.subject_id = x.subject_id AND pa.condition = x.condition AND pa.channel = a AND pa.f = x.f JOIN p pb ON pb.subject_id = x.subject_id AND pb.condition = x.condition AND pb.channel = b AND pb.f = x.f)
+SELECT subject_id, condition, a, b, band, round(avg(q), 9) AS value FROM q JOIN (VALUES ('theta', 4, 8), ('alpha', 8, 12), ('beta', 12, 30)) n(band, lo, hi) ON f * 2 BETWEEN lo AND hi GROUP BY ALL""")
 def imag_coherence(spark, d):
-    return kernels.coherence_edges(signals(spark, d), 64.0, 32, 16, {"theta": (4, 8), "alpha": (8, 12), "beta": (12, 30)}, "subject_id", "condition")
+    return _round(coherence.imaginary_coherence(signals(spark, d), 64.0, 32, 16, _BANDS, "subject_id", "condition"), "value", digits=9)
 
 
 @query("filtered_power")

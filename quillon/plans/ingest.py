@@ -79,6 +79,33 @@ def live_rejection(spark, d):
     return r.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("rate", 6).alias("rate"))
 
 
+@query("event_sessions", """WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
+r AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM r GROUP BY user_id, i""")
+def event_sessions(spark, d):
+    """The streaming sessions on a whole table."""
+    from ..streaming import live
+
+    s = live.sessions(table(spark, d, "events").select("user_id", "ts"))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("stream_log", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_log(spark, d):
+    """Running means of events that land in four files, kept in a log with a ledger of batches; a replay changes nothing."""
+    from ..shared import fresh
+    from ..streaming import ledger, live
+
+    landed = fresh(spark, "landed")
+    events = table(spark, d, "events").select("user_id", "value")
+    events.repartition(4, "value").write.parquet(landed)
+    log, name = fresh(spark, "log"), "user_id"
+    for checkpoint in (fresh(spark, "checkpoint"), fresh(spark, "checkpoint")):  # the second run sends every batch again
+        means = live.running_means(live.landing(spark, landed, events.schema))
+        ledger.start(means, log, name, checkpoint).awaitTermination()
+    return ledger.latest(spark, log, name).select(name, "n", F.round(F.col("mean") * F.col("n"), 4).alias("total"))
+
+
 @query("build_log", """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'ADHD' ELSE 'Control' END AS "group" FROM customer),
 w AS (SELECT 'C' || k AS subject_id, k, "group", k % 4 <> 0 AS task FROM c UNION ALL SELECT 'N' || n_nationkey, NULL, NULL, NULL FROM nation),
 f AS (SELECT *, (k % 30) / 10.0::DOUBLE + 0.1 AS ratio, CASE WHEN k IS NULL THEN 'not found in manifest' WHEN k % 17 = 0 THEN 'preprocessing failed: no recording' WHEN k % 13 = 0 THEN 'preprocessing failed: broken' WHEN task AND k % 23 = 0 THEN 'preprocessing failed: no task recording' WHEN task AND k % 19 = 0 THEN 'preprocessing failed: ' END AS fault FROM w),

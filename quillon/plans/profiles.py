@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boundary, draws, qc
+from ..schemas import FOCALITY
 from .catalogue import query
 from .predictions import _round
 from .standins import PROFILE, profile, table
@@ -139,7 +140,7 @@ def qc_response(spark, d):
     return _round(out.select("user_id", "rate_ec", "rate_eo", F.size("notes").alias("n_notes"), "flagged"), "rate_ec", "rate_eo")
 
 
-@query("threshold_solve", """WITH v AS (SELECT user_id, value FROM events), u AS (SELECT DISTINCT value AS t FROM v WHERE value BETWEEN 55 AND 95), r AS (SELECT t, user_id, avg((value > t)::INT) AS r FROM u, v GROUP BY 1, 2), m AS (SELECT t, median(r) AS med FROM r GROUP BY 1)
+@query("threshold_solve", """WITH v AS (SELECT user_id, value FROM events), u AS (SELECT DISTINCT value AS t FROM v), r AS (SELECT t, user_id, avg((value > t)::INT) AS r FROM u, v GROUP BY 1, 2), m AS (SELECT t, median(r) AS med FROM r GROUP BY 1)
 SELECT min(t) AS threshold, round(arg_min(med, t), 6) AS median_rejection FROM m WHERE round(med, 9) <= 0.2""")
 def threshold_solve(spark, d):
     return _round(qc.solve_threshold(table(spark, d, "events"), "value", "user_id", 0.2), "median_rejection")
@@ -171,9 +172,9 @@ def region_weights(spark, d):
     return _round(_relative(spark, d), "relative")
 
 
-@query("topography_veto", f"""WITH {_WEIGHTS} SELECT vec_id, reason, peak_region, round(focality, 6) AS focality, (reason = 'other' OR (reason = 'eog' AND peak_region IN ('frontopolar', 'frontal')) OR (reason = 'muscle' AND peak_region = 'temporal')) AND focality >= 1.5 AS keep FROM top JOIN comp USING (vec_id)""")
+@query("topography_veto", f"""WITH {_WEIGHTS} SELECT vec_id, reason, peak_region, round(focality, 6) AS focality, (reason = 'other' OR (reason = 'eog' AND peak_region IN ('frontopolar', 'frontal')) OR (reason = 'muscle' AND peak_region = 'temporal')) AND focality >= 2.0 AS keep FROM top JOIN comp USING (vec_id)""")
 def topography_veto(spark, d):
-    out = qc.topography_veto(_components(spark, d), _relative(spark, d), "vec_id", focality=1.5)
+    out = qc.topography_veto(_components(spark, d), _relative(spark, d), "vec_id", focality=FOCALITY)
     return _round(out.select("vec_id", F.col("reasons")[0].alias("reason"), "peak_region", "focality", "keep"), "focality")
 
 
@@ -236,3 +237,13 @@ def retention_audit(spark, d):
     kept = share.unpivot("subject_id", ["kept_strong", "kept_eog"], "rule", "share")
     subjects = s.select("subject_id").distinct().withColumn("retained", (F.col("subject_id") * 29 % 71) / 71.0)
     return _round(qc.estimated_retention(subjects, kept), "median_retention")
+
+
+@query("component_retention", """WITH e AS (SELECT vec_id // 24 AS subject_id, vec_id, label % 3 = 0 AS kept FROM embeddings WHERE label % 2 = 0), s AS (SELECT DISTINCT vec_id // 24 AS subject_id, 0.4 + (vec_id // 24 % 5) / 10.0::DOUBLE AS retained FROM embeddings)
+SELECT e.vec_id, e.subject_id, kept, CASE WHEN e.subject_id % 4 <> 0 THEN round(retained, 6) END AS retained FROM e LEFT JOIN s ON s.subject_id = e.subject_id AND s.subject_id % 4 <> 0""")
+def component_retention(spark, d):
+    """Excluded components beside their subject's retention, null where a subject was not audited."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 24).cast("long").alias("subject_id"))
+    audited = v.filter("subject_id % 4 <> 0").select("subject_id", (0.4 + F.col("subject_id") % 5 / 10.0).alias("retained")).distinct()
+    components = v.filter("label % 2 = 0").select("vec_id", "subject_id", (F.col("label") % 3 == 0).alias("kept"))
+    return _round(qc.with_subjects(components, audited), "retained")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, signals as sig
+from ..operators import features, scalp, signals as sig
 from .catalogue import ORACLES, query
 from .predictions import _round
 from .standins import CHANNEL_NAMES, CONDITIONS, PROFILE, SIGNALS, profile, signals, table
@@ -231,3 +231,20 @@ def subject_feature_table(spark, d):
     n = signals(spark, d).groupBy("subject_id").agg(F.count("*").alias("n"))
     errors = n.filter("n < 24").select("subject_id", F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" of 24 signals")).alias("error"))
     return _round(features.subject_table(n.select("subject_id"), long, SUBJECT_FEATURES, errors), *SUBJECT_FEATURES)
+
+
+_SPOTS = ", ".join(f"('{c}', {u!r}, {v!r})" for c, (u, v) in scalp.positions().items())
+
+
+@query("scalp_grid", f"""WITH w AS (SELECT vec_id, ['Fp1', 'Fp2', 'F7', 'F3', 'Fz', 'F4', 'F8', 'T3', 'C3', 'Cz', 'C4', 'T4', 'T5', 'P3', 'Pz', 'P4', 'T6', 'O1', 'O2'][j] AS channel, abs(embedding[j]::DOUBLE) AS v FROM embeddings, range(1, 20) t(j) WHERE vec_id % 7 <> 0 OR j <> 3),
+e AS (SELECT * FROM (VALUES {_SPOTS}) s(channel, eu, ev)), px AS (SELECT i // 16 AS y, i % 16 AS x, (i % 16 + 0.5) / 8.0::DOUBLE - 1 AS u, 1 - (i // 16 + 0.5) / 8.0::DOUBLE AS v FROM range(256) r(i)),
+k AS (SELECT channel, y, x, 1 / pow(pow(u - eu, 2) + pow(v - ev, 2) + 1e-4, 2) AS k FROM px, e WHERE u * u + v * v <= 1),
+m AS (SELECT vec_id, y, x, sum(k * v) / sum(k) AS m FROM w JOIN k USING (channel) GROUP BY ALL), b AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM w GROUP BY 1)
+SELECT vec_id, y::INT AS y, x::INT AS x, round((m - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 6) AS level FROM m JOIN b USING (vec_id)""")
+def scalp_grid(spark, d):
+    """The first 19 numbers of each vector as powers of the electrodes; a seventh of the maps lack one."""
+    from ..schemas import CHANNELS
+
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 19)).alias("j", "x"))
+    values = v.filter((F.col("vec_id") % 7 != 0) | (F.col("j") != 2)).select("vec_id", F.get(F.array(*map(F.lit, CHANNELS)), F.col("j")).alias("channel"), F.abs(F.col("x").cast("double")).alias("value"))
+    return _round(scalp.grid(values, 16, "vec_id"), "level")

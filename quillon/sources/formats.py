@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import fnmatch
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,7 +160,7 @@ class _Reader(DataSourceReader):
                 size = system.get_file_info(local).size
                 with system.open_input_file(local) as file:
                     yield from self.rows(path, file, size, start, stop)
-            except (ValueError, IndexError, struct.error, zlib.error, OSError) as e:
+            except (ValueError, IndexError, EOFError, struct.error, zlib.error, zipfile.BadZipFile, OSError) as e:
                 if start == 0:  # the other ranges of a file say nothing
                     yield self.failed(path, str(e))
 
@@ -317,9 +318,51 @@ class MatSource(DataSource):
         return MatReader(self.options)
 
 
+class NpzReader(_Reader):
+    """A file has arrays by name; each is a row of its shape and values, in row order."""
+
+    glob, whole = "*.npz", True
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        given = options.get("arrays")
+        self.names = {c.strip() for c in given.split(",")} if given else None
+
+    def rows(self, path: str, file, size: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+        import io
+
+        with np.load(io.BytesIO(file.read_at(size, 0)), allow_pickle=False) as held:
+            for name in held.files:
+                if self.names is None or name in self.names:
+                    v = held[name]
+                    if v.dtype.kind not in "fiub":
+                        raise ValueError(f"array {name} holds no numbers")
+                    yield pa.RecordBatch.from_pylist([{"path": path, "name": name, "shape": list(v.shape), "values": v.astype(float).ravel().tolist(), "error": None}], _NPZ)
+
+    def failed(self, path: str, why: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"path": path, "error": why}], _NPZ)
+
+
+_NPZ = pa.schema([("path", pa.string()), ("name", pa.string()), ("shape", pa.list_(pa.int64())), ("values", pa.list_(pa.float64())), ("error", pa.string())])
+
+
+class NpzSource(DataSource):
+    """NumPy archives; see ``NpzReader``. Option ``arrays`` names those wanted."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npz"
+
+    def schema(self) -> str:
+        return "path string, name string, shape array<bigint>, values array<double>, error string"
+
+    def reader(self, schema: StructType) -> NpzReader:
+        return NpzReader(self.options)
+
+
 def register(spark: SparkSession) -> SparkSession:
-    """Make both formats known to a session, with filters pushed down to them."""
+    """Make the formats known to a session, with filters pushed down to them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (EdfSource, MatSource):
+    for source in (EdfSource, MatSource, NpzSource):
         spark.dataSource.register(source)
     return spark

@@ -103,3 +103,18 @@ def test_matrices(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in rows if r.error} == {"narrow.mat", "broken.mat", "cut.mat"}
     few = spark.read.format("mat").load(str(tmp_path / "plain.mat")).filter("channel = 'O1'").collect()
     assert {r.channel for r in few} == {"O1"}
+
+
+def test_archives(spark, tmp_path):
+    formats.register(spark)
+    rng = np.random.default_rng(2)
+    held = {c: rng.normal(0, 1, (3, 3)) for c in ("ec", "eo")}
+    np.savez(tmp_path / "a.npz", **held)
+    np.savez_compressed(tmp_path / "b.npz", ec=np.arange(4), text=np.array(["x"]))
+    (tmp_path / "c.npz").write_bytes(b"PK broken")
+    (tmp_path / "d.npz").write_bytes(b"")
+    rows = spark.read.format("npz").load(str(tmp_path)).collect()
+    by = {(r.path.rsplit("/", 1)[1], r.name): r for r in rows if r.error is None}
+    assert set(by) == {("a.npz", "ec"), ("a.npz", "eo"), ("b.npz", "ec")} and all(by["a.npz", c].values == held[c].ravel().tolist() for c in held)
+    assert {r.path.rsplit("/", 1)[1] for r in rows if r.error} == {"b.npz", "c.npz", "d.npz"} and by["a.npz", "ec"].shape == [3, 3]
+    assert {r.name for r in spark.read.format("npz").option("arrays", "eo").load(str(tmp_path / "a.npz")).collect()} == {"eo"}
