@@ -1,13 +1,13 @@
 """Lexical retrieval packing.
 
 Texts are encoded once, into a table. Document frequencies and the mean length are counted over all of
-it. Every document has a route, drawn from its terms so that documents that share rare terms often draw
-the same one; the table is dealt by ranges of routes, and neighbouring routes form shards of a bounded
-number of tokens. A shard builds a BM25 inverted index of its documents; the first unused document
+it. Every document has two routes, drawn from its terms so that documents that share rare terms often draw
+the same ones; tokens are counted by route, and routes form shards of a bounded number of tokens by these
+counts alone, so that the same documents give the same shards and sequences on every run. A shard builds a BM25 inverted index of its documents; the first unused document
 seeds a window, its best unused neighbours fill the window in order of BM25 score, and the last of them
 is cut where the window ends, its rest seeding the next window. Where no scored neighbour is left, the
-next unused document follows. So only the last window of a shard is padded. One route may hold any
-number of documents: ranges split it by document.
+next unused document follows. So only the last window of a shard is padded. A route of more tokens is split by
+second routes, and where both are shared by more, by documents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -29,8 +29,6 @@ WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard; a longer document makes a larger shard.
 SHARD_TOKENS = 1_000_000
-#: A document asks with all of its terms.
-QUERY_TERMS: int | None = None
 _K1, _B = 1.2, 0.75
 #: Words whose ids a worker remembers; a full memory keeps those that it has met in several chunks.
 _CACHE = 400_000
@@ -347,22 +345,38 @@ def _corpus(table: DataFrame) -> tuple[np.ndarray, float]:
     return inverse(df, docs), tokens / max(1, docs)
 
 
+def _shards(docs: DataFrame, tokens: int) -> DataFrame:
+    """``docs`` (r1, r2, size and whatever) with ``shard``, by exact counts of tokens; routes are as many as terms at most.
+
+    Routes that fit share shards in order. A longer one has shards of its own, along its second routes, and documents
+    of one second route that don't fit are dealt by the hash of their id and content.
+    """
+    by = docs.groupBy("r1").agg(F.sum("size").alias("held"))
+    # as long as the vocabulary: one row for each term that is a route
+    order = Window.partitionBy((F.col("held") > tokens).alias("long")).orderBy("r1")
+    before = F.sum("held").over(order) - F.col("held")
+    first = by.select("r1", (F.col("held") > tokens).alias("long"), F.floor(before / tokens).alias("place"), F.row_number().over(order).alias("nth"))
+    first = first.select("r1", "long", F.when(F.col("long"), F.col("nth").cast("long") * (1 << 24)).otherwise(F.col("place")).alias("base"))
+    both = docs.groupBy("r1", "r2").agg(F.sum("size").alias("held")).join(first.filter("long").select("r1"), "r1", "left_semi")
+    along = Window.partitionBy("r1").orderBy("r2")
+    second = both.select("r1", "r2", F.floor((F.sum("held").over(along) - F.col("held")) / tokens).alias("within"), F.ceil(F.col("held") / tokens).alias("parts"))
+    dealt = docs.join(first, "r1").join(second, ["r1", "r2"], "left")
+    part = F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.col("parts"))
+    return dealt.withColumn("shard", F.col("base") + F.when(F.col("long"), F.col("within") + part).otherwise(0)).drop("long", "base", "within", "parts")
+
+
 def _packer(shared, kind: str, window: int):
     def pack_task(batches):
-        base = TaskContext.get().partitionId() << 36
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-        tokens = 0
+        shard = None
 
         def flush():
-            nonlocal base, tokens
             doc_ids = pa.concat_arrays([h[0] for h in held])
             ids = np.concatenate([h[1] for h in held])
             offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))])
             held.clear()
-            tokens = 0
             pieces = arrange(ids, offsets, window, shared.value)
-            sequences = base + pieces[:, 3]
-            base += int(pieces[-1, 3]) + 1
+            sequences = (shard << 22) + pieces[:, 3]
             for at in range(0, len(pieces), 2000):
                 p = pieces[at : at + 2000]
                 begin = offsets[p[:, 0]] + p[:, 1]
@@ -371,25 +385,28 @@ def _packer(shared, kind: str, window: int):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for part in tx.chunks(iter([batch]), text="ids", size=_CHUNK):
-                raw, at = tx.byte_view(part.column("ids"))
-                width = np.dtype(kind).itemsize
-                held.append((part.column("doc_id"), raw.view(kind).astype(np.int32), at // width))
-                tokens += len(raw) // width
-                if tokens >= SHARD_TOKENS:
+            of = batch.column("shard").to_numpy()
+            cuts = [*np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if shard != of[a] and held:
                     yield from flush()
                     tx.trim()
+                shard = int(of[a])
+                for part in tx.chunks(iter([batch.slice(a, b - a)]), text="ids", size=_CHUNK):
+                    raw, at = tx.byte_view(part.column("ids"))
+                    held.append((part.column("doc_id"), raw.view(kind).astype(np.int32), at // np.dtype(kind).itemsize))
         if held:
             yield from flush()
 
     return pack_task
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents; ``ids`` are little-endian unsigned 32-bit token ids.
 
-    Null and empty texts are the end id alone. Repeated rows and equal ids are documents of their
-    own. Other columns are ignored. A table without rows gives no pieces.
+    The same documents give the same pieces and sequence ids, however they are partitioned. Null and empty texts are
+    the end id alone. Repeated rows and equal ids are documents of their own. Other columns are ignored. A table
+    without rows gives no pieces.
     """
     from tokenizers import Tokenizer
 
@@ -398,9 +415,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     kind = "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
     table = write_table(docs.select("doc_id", "text").mapInArrow(_encoded(path), _ENCODED), "encoded")
     shared = spark.sparkContext.broadcast(_corpus(table))
-    order = ["r1", "r2", "doc_id", "place"]
-    dealt = table.filter("ids IS NOT NULL").select("doc_id", "ids", "r1", "r2", "place").repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.select("doc_id", "ids").mapInArrow(_packer(shared, kind, window), PIECES)
+    size = (F.octet_length("ids") / np.dtype(kind).itemsize).cast("long")
+    rows = table.filter("ids IS NOT NULL").select("doc_id", "ids", "r1", "r2", size.alias("size"), F.xxhash64(F.lit(1), "ids").alias("k1"), F.xxhash64(F.lit(2), "ids").alias("k2"))
+    dealt = _shards(rows, shard_tokens).repartition("shard").sortWithinPartitions("shard", "r1", "r2", "doc_id", "k1", "k2")
+    return dealt.select("doc_id", "ids", "shard").mapInArrow(_packer(shared, kind, window), PIECES)
 
 
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

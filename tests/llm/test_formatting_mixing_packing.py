@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cases import docs
+from cases import awkward, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import check
@@ -170,7 +170,7 @@ def test_neighbours_are_the_best_by_bm25():
         return np.log1p((80 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(texts[d]) / mean))
 
     for d in range(0, 80, 9):
-        asks = [t for t in sorted(set(texts[d].tolist()), key=lambda t: (-weight(t, d), t)) if df[t] > 1][: packing.QUERY_TERMS]
+        asks = [t for t in sorted(set(texts[d].tolist()), key=lambda t: (-weight(t, d), t)) if df[t] > 1]
         score = np.array([sum(weight(t, o) for t in asks) for o in range(80)])
         unused = np.ones(80, bool)
         unused[d] = False
@@ -291,3 +291,21 @@ def test_op1_digest_of_the_planted_conversation(spark, sf):
     r = registry.QUERIES["op1_prefix_targets"](spark, sf).filter("conv_id = -7").first()
     t = "</s>[INST] ok [/INST]"
     assert r.loss_sha256 == hashlib.sha256(t.encode()).hexdigest() and r.turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("tokens", [3_000, 10**9])
+def test_packing_is_the_same_on_every_run_and_partitioning(spark, tokens):
+    hot = [(500 + i, "abacus zebra " * (i % 7 + 1), None, None, None, None, None, None) for i in range(150)]  # one pair of routes
+    rows = awkward() + hot
+    found = []
+    for n, order in ((3, 1), (7, -1), (1, 1)):
+        pieces = packing.pack(docs(spark, rows[::order]).repartition(n), shard_tokens=tokens)
+        found.append(sorted(map(tuple, pieces.collect()), key=repr))
+    assert found[0] == found[1] == found[2]
+    shards = {r[4] >> 22 for r in found[0]}
+    assert len(shards) == 1 if tokens > 10**6 else len(shards) > 3
+    held = {}
+    for r in found[0]:
+        held[r[4] >> 22] = held.get(r[4] >> 22, 0) + r[2]
+    # about the bound: a shard's last routes, or its share of a hot pair, may exceed it
+    assert tokens > 10**6 or max(v for v in held.values()) < 4 * tokens + 4_000
