@@ -21,7 +21,7 @@ from .labelled import bounded_sample, remainder
 from .tables import documents
 
 BITS = 18
-#: Labelled rows that training reads, by hash of their ids.
+#: Labelled texts that training reads, by hash of their ids and texts.
 MAX_TRAIN_ROWS = 20_000
 EPOCHS = 3
 _SCALES = (8.0, 16.0)  # of word and of shape n-grams
@@ -107,7 +107,7 @@ def follow_the_leader(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs
 
 def _fit(batches):
     frames = [b.to_pandas() for b in batches]
-    rows = pd.concat(frames).sort_values(["order", "doc_id"], kind="stable") if frames else pd.DataFrame()
+    rows = pd.concat(frames).sort_values(["order", "doc_id", "at", "x"], kind="stable") if frames else pd.DataFrame()
     examples = []
     for y, at, x in zip(rows.get("y", []), rows.get("at", []), rows.get("x", []), strict=True):
         slots, values = np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)

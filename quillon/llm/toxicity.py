@@ -243,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     counted = docs.select("text").mapInArrow(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     df = {r.term: r.df for r in counted}
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))], float))) + 1
-    rows = sample.mapInArrow(_sample_parts(shared), "doc_id long, y int, terms array<long>, counts array<long>, n_words long").toArrow().to_pandas().sort_values("doc_id", kind="stable")
+    rows = sample.mapInArrow(_sample_parts(shared), "doc_id long, y int, terms array<long>, counts array<long>, n_words long").toArrow().to_pandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["doc_id"].iloc[i], tuple(rows["terms"].iloc[i]), tuple(rows["counts"].iloc[i]), rows["n_words"].iloc[i]))]
     n = rows["terms"].map(len).to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
     flat = [np.concatenate(rows[c].tolist()).astype(np.int64) if len(rows) else np.zeros(0, np.int64) for c in ("terms", "counts")]
     return build_index(vocabulary, idf, rows["doc_id"].to_numpy(np.int64), rows["y"].to_numpy(np.int64), np.repeat(np.arange(len(rows)), n), *flat, rows["n_words"].to_numpy(np.int64))

@@ -1,11 +1,12 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import docs, lowered
+from cases import docs, lowered, words
 from pyspark.sql import functions as F
 
 from quillon.llm import ctw, forest, ftrl, registry, toxicity
@@ -229,3 +230,74 @@ def test_lookup_and_grams():
         table(np.array([2**41 + 5], np.uint64))
     key, offsets = ctw.grams(pa.array(["ab", ""]))
     assert offsets.tolist() == [0, 3, 4] and [int(k) & 0xFFFF for k in key] == [97, 97 << 8 | 98, 98 << 8, 0]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("most", [10, 1000])
+def test_a_sample_is_bounded_in_rows_whatever_the_ids(spark, most):
+    from quillon.llm.labelled import bounded_sample
+
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], "the same text")] * 5000 + [(ids[1], f"text {k}") for k in range(500)] + [(i, f"own {i}") for i in ids] + [(ids[2], None), (None, "x")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids] + [(ids[0], 0, 0), (None, 1, 1)], LABELS)
+    got = [tuple(r) for r in bounded_sample(docs_, labels, "quality", 5, most).collect()]
+    whole = {(i, t or "", 1) for i, t in rows if i in ids}
+    assert len(set(got)) == len(got) and set(got) <= whole
+    assert set(got) == whole if most > len(whole) else len(got) <= 3 * most
+    few = bounded_sample(docs_, labels, "quality", 5, 1000, most_bytes=400).collect()
+    assert sum(len(r.text) for r in few) < 1200
+
+
+def test_quality_query_equals_a_plain_version(spark, tmp_path):
+    import pyarrow as pa
+
+    from quillon.llm import ftrl
+    from quillon.llm import text as tx
+
+    r = random.Random(4)
+    make = lambda good: " ".join(r.choice(["alpha", "beta", "Gamma", "délta"] if good else ["$$$", "BUY", "now1", "délta", "alpha"]) for _ in range(r.randint(1, 30)))
+    rows = [(i, make(i % 2)) for i in range(1, 80)] + [(200, None), (201, ""), (202, "one"), (None, "alpha BUY")]
+    rows += [rows[0], (next(i for i in range(1, 60) if not zlib.crc32(str(i).encode()) % 5), "another text of a held-out id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    mask, top = (1 << 64) - 1, 64 - ftrl.BITS
+    mixed = lambda v: int(tx.mix(np.array([v & mask], np.uint64))[0])
+    hashed = lambda w, seed: int(tx.hashes(pa.array([w]), seed)[0])
+
+    def features(text):
+        w = [x.decode() for x in words(text)]
+        names = [[hashed("".join(c.lower() if c.isascii() else c for c in x), 11) for x in w], [hashed(ftrl.shape(x), 12) + (0x9E3779B97F4A7C15 if k and x == w[k - 1] else 0) for k, x in enumerate(w)]]
+        out = {}
+        for h, scale in zip(names, ftrl._SCALES, strict=True):
+            slots = [mixed(a) >> top for a in h] + [mixed((a * 3 + mixed(b)) & mask) >> top for a, b in zip(h, h[1:], strict=False)]
+            for s in slots:
+                out[s] = out.get(s, 0) + scale / len(slots)
+        return out
+
+    z, n = {}, {}
+
+    def weight(s):
+        v = z.get(s, 0.0)
+        return 0.0 if abs(v) <= ftrl._L1 else -(v - math.copysign(ftrl._L1, v)) / ((ftrl._BETA + math.sqrt(n.get(s, 0.0))) / ftrl._ALPHA + ftrl._L2)
+
+    probability = lambda x: 1 / (1 + math.exp(-sum(weight(s) * v for s, v in x.items()) - weight("bias")))
+    learn = sorted({(i, t or "") for i, t in rows if i and i < 60 and zlib.crc32(str(i).encode()) % 5})
+    order = {q.doc_id: q.o for q in spark.createDataFrame([(i,) for i, _ in learn], "doc_id long").select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("o")).collect()}
+    assert len(learn) > 40
+    for _ in range(ftrl.EPOCHS):
+        for i, t in sorted(learn, key=lambda p: (order[p[0]], p[0])):
+            x = features(t)
+            w = {s: weight(s) for s in [*x, "bias"]}
+            g = probability(x) - i % 2
+            for s, v in [*x.items(), ("bias", 1.0)]:
+                step, old = g * v, n.get(s, 0.0)
+                z[s] = z.get(s, 0.0) + step - (math.sqrt(old + step * step) - math.sqrt(old)) / ftrl._ALPHA * w[s]
+                n[s] = old + step * step
+    got = ftrl.op5_quality_ftrl(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    want = sorted(((i, probability(features(t))) for i, t in rows), key=lambda p: (p[0] or 0, p[1]))
+    for r_, (i, p) in zip(sorted(got, key=lambda q: (q.doc_id or 0, q.score)), want, strict=True):
+        assert r_.doc_id == i and abs(r_.score - p) < 5e-4 and r_.held_out == (zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0)
