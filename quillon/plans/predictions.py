@@ -181,3 +181,21 @@ def stratified_head(spark, d):
 def paired_units(spark, d):
     u = cohorts.two_sided(table(spark, d, "events").select("user_id", "event_type").distinct(), "user_id", "event_type", ["click", "purchase"])
     return u.select(F.concat(F.col("user_id").cast("string"), F.when(F.col("event_type") == "click", "-TASK").otherwise("-REST")).alias("unit"))
+
+
+@query("predict_answers", f"""WITH {EPOCHS}, e AS (SELECT subject_id, CASE part % 3 WHEN 0 THEN 'EC' WHEN 1 THEN 'EO' ELSE 'VCPT' END AS condition, prob, row_number() OVER (PARTITION BY subject_id, CASE part % 3 WHEN 0 THEN 'EC' WHEN 1 THEN 'EO' ELSE 'VCPT' END ORDER BY epoch, part, prob) - 1 AS pos FROM epochs),
+n AS (SELECT subject_id, condition, count(*) AS n FROM e GROUP BY ALL),
+p AS (SELECT DISTINCT subject_id, condition, unnest(CASE WHEN n <= 4 THEN list_transform(range(n), lambda j: j::DOUBLE) ELSE list_transform(range(4), lambda j: floor(j * ((n - 1) / 3.0::DOUBLE))) END)::BIGINT AS pos FROM n WHERE condition <> 'VCPT'),
+m AS (SELECT subject_id, avg(prob) AS p, count(*) AS n, count(DISTINCT condition) = 2 AS ok, bool_or(condition = 'EC') AS ec, bool_or(condition = 'EO') AS eo FROM e JOIN p USING (subject_id, condition, pos) GROUP BY 1)
+SELECT subject_id, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status, CASE WHEN NOT coalesce(ok, false) THEN 'no epochs of ' || array_to_string(list_filter([CASE WHEN NOT coalesce(ec, false) THEN 'EC' END, CASE WHEN NOT coalesce(eo, false) THEN 'EO' END], lambda x: x IS NOT NULL), ', ') END AS detail,
+ CASE WHEN ok THEN CASE WHEN round(p, 9) >= 0.5 THEN 'ADHD' ELSE 'Control' END END AS prediction, CASE WHEN ok THEN round(greatest(p, 1 - p), 6) END AS confidence, CASE WHEN ok THEN round(p, 6) END AS p_adhd, CASE WHEN ok THEN m.n END AS n_epochs
+FROM (SELECT DISTINCT subject_id FROM epochs) LEFT JOIN m USING (subject_id)""")
+def predict_answers(spark, d):
+    """Answers from four epochs of each condition at most."""
+    from ..operators import answers
+
+    part = F.col("part") % 3
+    e = epochs(spark, d).withColumn("condition", F.when(part == 0, "EC").when(part == 1, "EO").otherwise("VCPT"))
+    found = answers.predict(e, most=4, order=("epoch", "part", "prob"))
+    label = F.when(F.col("p_adhd").isNotNull(), F.when(F.round("p_adhd", 9) >= 0.5, "ADHD").otherwise("Control"))
+    return _round(found.withColumn("prediction", label), "confidence", "p_adhd")

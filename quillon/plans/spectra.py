@@ -248,3 +248,17 @@ def scalp_grid(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 19)).alias("j", "x"))
     values = v.filter((F.col("vec_id") % 7 != 0) | (F.col("j") != 2)).select("vec_id", F.get(F.array(*map(F.lit, CHANNELS)), F.col("j")).alias("channel"), F.abs(F.col("x").cast("double")).alias("value"))
     return _round(scalp.grid(values, 16, "vec_id"), "level")
+
+
+@query("attention_sites", """WITH v AS (SELECT vec_id, ['EC', 'EO', 'VCPT'][vec_id % 3 + 1] AS task, embedding[1:23]::DOUBLE[] AS r FROM embeddings),
+s AS (SELECT vec_id, task, ['Fz', 'Cz', 'Pz', 'F3', 'F4'][i + 1] AS channel, list_sum(r[i * 4 + 1 : i * 4 + 4]) / 4 AS value FROM v, range(5) t(i)),
+m AS (SELECT vec_id, task, avg(value) FILTER (channel IN ('Fz', 'F3', 'F4')) AS f, avg(value) FILTER (channel IN ('Cz', 'Pz')) AS c FROM s GROUP BY ALL)
+SELECT vec_id, task, CASE task WHEN 'VCPT' THEN 'central_parietal' ELSE 'frontal' END AS hypothesis, round(f, 6) AS frontal_mean, round(c, 6) AS central_parietal_mean, NULL::DOUBLE AS other_mean, CASE task WHEN 'VCPT' THEN c > f ELSE f > c END AS matches FROM m""")
+def attention_sites(spark, d):
+    """The first 23 numbers of each vector as the rows of an image: five strips of four."""
+    from ..operators import answers
+
+    v = table(spark, d, "embeddings").select("vec_id", F.element_at(F.array(*map(F.lit, answers.EXPECTED)), (F.col("vec_id") % 3 + 1).cast("int")).alias("task"), F.transform(F.slice("embedding", 1, 23), lambda x: x.cast("double")).alias("r"))
+    strips = v.select("vec_id", "task", F.posexplode(answers.strip_means(F.col("r"))).alias("i", "value"))
+    named = strips.select("vec_id", "task", F.get(F.array(*map(F.lit, answers.STRIPS)), F.col("i")).alias("channel"), "value")
+    return _round(answers.plausibility(named, "vec_id"), "frontal_mean", "central_parietal_mean")
