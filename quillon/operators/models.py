@@ -1,8 +1,8 @@
-"""Cross-validated classifiers over subject feature tables.
+"""Classifiers over subject feature tables in memory, and the kernel machine's nested grid.
 
-A cohort's wide feature table is small (rows are subjects), so a whole nested cross-validation is
-one task per arm or dataset; the tables around it (folds, imputation statistics, predictions) stay
-DataFrames. Kernels are NumPy; every statistic is fitted on training rows only.
+``fits`` has the same logistic models, scaling and tangent space by sums over rows, which the queries use; here are
+the versions of one frame, which tests hold them against. A kernel machine needs all pairs of its cohort, so
+``nested_grid`` deals out folds and cells. Every statistic is fitted on training rows only.
 """
 
 from __future__ import annotations
@@ -217,16 +217,6 @@ def train_once(frame: pd.DataFrame, features: list[str], c: float = 1.0) -> pd.D
     return pd.DataFrame({"subject_id": frame["subject_id"].to_numpy()[test], "fold": "test", "truth": y[test], "prob": predict_logistic(logistic(a, y[~test], c), b)})
 
 
-def cross_validate(table: DataFrame, arm: str, run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Out-of-fold predictions of every arm; a group holds one arm's subjects."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("subject_id", kind="stable").reset_index(drop=True)
-        return run(frame).assign(**{arm: frame[arm].iloc[0]})[[arm, "subject_id", "fold", "truth", "prob"]]
-
-    return table.groupBy(arm).applyInPandas(fold, f"{arm} string, " + SCHEMA)
-
-
 def transfer(train: pd.DataFrame, other: pd.DataFrame, features: list[str], c: float = 1.0) -> np.ndarray:
     """Train on one dataset, score another; each is imputed and scaled by itself, so gains and offsets cancel."""
     a = impute_scale(train[features].to_numpy(float), train[features].to_numpy(float))[0]

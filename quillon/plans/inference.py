@@ -52,16 +52,6 @@ def changepoint_perm(spark, d):
     return resample.changepoint_permutation(profile(spark, d), "value", "i", "user_id")
 
 
-@query("results_table")
-def results_table(spark, d):
-    """Pooled statistics of each arm on its own subjects and on those that all arms share."""
-    own = arms(spark, d)
-    both = own.withColumn("cohort", F.lit("own")).unionByName(own.join(cohorts.common(own), "subject_id", "left_semi").withColumn("cohort", F.lit("common")))
-    stats = resample.pooled_stats(both.withColumn("arm", F.concat_ws("/", "arm", "cohort")), "truth", "p", "arm", "subject_id")
-    name = F.split("arm", "/")
-    return stats.withColumns({"cohort": name[1], "arm": name[0]})
-
-
 _MW = """r AS (SELECT truth, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM arms WHERE arm = 'hash'),
 t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY p)),
 s AS (SELECT CAST(sum(truth) AS BIGINT) AS n_a, CAST(sum(1 - truth) AS BIGINT) AS n_b, CAST(sum(truth * k) - sum(truth) * (sum(truth) + 1) / 2.0 AS DOUBLE) AS u FROM r),
@@ -299,9 +289,3 @@ def welch_arrow_matches(spark, d):
     arrow = sig.welch_arrow(signals(spark, d), 64.0, 32, "signal_id")
     gap = F.array_max(F.zip_with("a", "psd", lambda x, y: F.abs(x - y)))
     return native.join(arrow, "signal_id").agg(F.count("*").alias("n"), (F.max(gap) < 1e-12).alias("same"))
-
-
-@query("hypothesis_decisions")
-def hypothesis_decisions(spark, d):
-    stats = pooled_stats(spark, d)
-    return _round(stats.withColumn("positive", (F.col("p") < 0.05 / 3) & (F.col("ci_low") > 0.5)), "auc", digits=9)

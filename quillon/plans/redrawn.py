@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import draws, metrics
+from ..operators import cohorts, draws, metrics
 from .catalogue import query
 from .inference import _paired_units
 from .predictions import _round
@@ -27,12 +27,17 @@ def _bootstrap(rows: str, unit: str, by: str, n: int) -> str:
     return _aucs(f"(SELECT *, w * truth AS wp, w * (1 - truth) AS wn FROM {draws.counts_sql(f'(SELECT * FROM {rows}, range({n}) t(b))', unit, 'b', SEED)} WHERE w > 0)", by)
 
 
-_POOLED = f"""WITH {ARMS}, boot AS {_bootstrap("arms", "subject_id", "arm", 10_000)},
-labelled AS (SELECT arm, b, p, (row_number() OVER (PARTITION BY arm, b ORDER BY key) <= np)::INT AS l FROM {draws.keys_sql("(SELECT * FROM arms JOIN (SELECT arm, sum(truth) AS np FROM arms GROUP BY arm) USING (arm), range(5000) t(b))", "subject_id", "b", SEED)}),
-null_ AS {_aucs("(SELECT *, l AS wp, 1 - l AS wn FROM labelled)", "arm")}, seen AS {_seen("arms", "arm")}
-SELECT arm, n, round(auc, 6) AS auc, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, p FROM seen
-JOIN (SELECT arm, quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 0.975) AS ci_high FROM boot GROUP BY arm) USING (arm)
-JOIN (SELECT arm, avg((round(n.auc, 12) >= round(s.auc, 12))::INT) AS p FROM null_ n JOIN seen s USING (arm) GROUP BY arm) USING (arm)"""
+def _pooled(rows: str, by: str, more: str = "") -> str:
+    """Statistics of each key of ``rows`` as common table expressions, the last of them ``pooled``."""
+    return f"""boot AS {_bootstrap(rows, "subject_id", by, 10_000)},
+labelled AS (SELECT {by}, b, p, (row_number() OVER (PARTITION BY {by}, b ORDER BY key) <= np)::INT AS l FROM {draws.keys_sql(f"(SELECT * FROM {rows} JOIN (SELECT {by}, sum(truth) AS np FROM {rows} GROUP BY {by}) USING ({by}), range(5000) t(b))", "subject_id", "b", SEED)}),
+null_ AS {_aucs("(SELECT *, l AS wp, 1 - l AS wn FROM labelled)", by)}, seen AS {_seen(rows, by)},
+pooled AS (SELECT {by}, n, round(auc, 6) AS auc, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, p{more} FROM seen
+JOIN (SELECT {by}, quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 0.975) AS ci_high FROM boot GROUP BY {by}) USING ({by})
+JOIN (SELECT {by}, avg((round(n.auc, 12) >= round(s.auc, 12))::INT) AS p FROM null_ n JOIN seen s USING ({by}) GROUP BY {by}) USING ({by}))"""
+
+
+_POOLED = f"WITH {ARMS}, {_pooled('arms', 'arm')} SELECT * FROM pooled"
 
 
 @query("pooled_draws", _POOLED)
@@ -40,6 +45,20 @@ def pooled_draws(spark, d):
     return _round(draws.pooled(arms(spark, d), "truth", "p", "subject_id", ["arm"], seed=SEED), "auc", "ci_low", "ci_high")
 
 
+@query("results_table", f"WITH {ARMS}, common AS (SELECT subject_id FROM arms GROUP BY 1 HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM arms)), both_ AS (SELECT *, 'own' AS cohort FROM arms UNION ALL SELECT *, 'common' FROM arms WHERE subject_id IN (SELECT subject_id FROM common)), {_pooled('both_', 'arm, cohort')} SELECT * FROM pooled")
+def results_table(spark, d):
+    """Pooled statistics of each arm on its own subjects and on those that all arms share."""
+    own = arms(spark, d)
+    both = own.withColumn("cohort", F.lit("own")).unionByName(own.join(cohorts.common(own), "subject_id", "left_semi").withColumn("cohort", F.lit("common")))
+    return _round(draws.pooled(both, "truth", "p", "subject_id", ["arm", "cohort"], seed=SEED), "auc", "ci_low", "ci_high")
+
+
+@query("hypothesis_decisions", _POOLED.replace("SELECT * FROM pooled", "SELECT *, p < 0.05 / 3 AND ci_low > 0.5 AS positive FROM pooled"))
+def hypothesis_decisions(spark, d):
+    """An arm is positive if p survives the correction for three tests and the interval lies above one half."""
+    return pooled_draws(spark, d).withColumn("positive", (F.col("p") < 0.05 / 3) & (F.col("ci_low") > 0.5))
+
+
 _PAIRED = f"""WITH {ARMS}, pairs AS (SELECT a.arm AS arm_a, b.arm AS arm_b, a.subject_id, a.truth, a.p AS pa, b.p AS pb FROM arms a JOIN arms b ON a.subject_id = b.subject_id AND a.arm < b.arm),
 sides AS (SELECT arm_a, arm_b, 'a' AS side, subject_id, truth, pa AS p FROM pairs UNION ALL SELECT arm_a, arm_b, 'b', subject_id, truth, pb FROM pairs),
 boot AS {_bootstrap("sides", "subject_id", "arm_a, arm_b, side", 10_000)}, seen AS {_seen("sides", "arm_a, arm_b, side")},
