@@ -36,6 +36,25 @@ def run_status(results: DataFrame, status: str = "status") -> DataFrame:
     return results.groupBy(status).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("n_ec", "n_eo", "n_vcpt") if c in results.columns])
 
 
+def backup(spark, path: str, name: str) -> bool:
+    """Copy a log beside it as ``<path>.<name>``, over an earlier copy; False where there is no log or the copy fails: best effort."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target, part = hadoop.Path(path), hadoop.Path(f"{path}.{name}"), hadoop.Path(f"{path}.{name}.part")
+    try:
+        conf = spark._jsc.hadoopConfiguration()
+        fs = source.getFileSystem(conf)
+        if not fs.exists(source):
+            return False
+        fs.delete(part, True)
+        if not hadoop.FileUtil.copy(fs, source, fs, part, False, conf):
+            return False
+        fs.delete(target, True)
+        return bool(fs.rename(part, target))
+    except Exception as e:  # noqa: BLE001 - the run goes on without a copy
+        print(f"no copy of {path}: {e}")
+        return False
+
+
 def save(path: str, new: DataFrame, key: str) -> DataFrame:
     """Merge into a Parquet log: write beside it, then swap the folders, so a failed write leaves the old log."""
     spark = new.sparkSession

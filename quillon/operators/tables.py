@@ -19,6 +19,36 @@ def shared_features(long_: DataFrame, feature: str, condition: str, k: int) -> D
     return long_.filter("value IS NOT NULL").groupBy(feature).agg(F.count_distinct(condition).alias("n")).filter(F.col("n") >= k).select(feature)
 
 
+def stems(columns: list[str], suffixes: list[str]) -> list[str]:
+    """Stems of the columns ``<stem><suffix>`` that occur with every suffix, in the order of the columns."""
+    held = set(columns)
+    first = suffixes[0]
+    return [c[: len(c) - len(first)] for c in columns if c.endswith(first) and len(c) > len(first) and all(c[: len(c) - len(first)] + s in held for s in suffixes)]
+
+
+def any_value(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows in which at least one of the columns holds a value; NaN is none. Without columns no row stays."""
+    kinds = dict(rows.dtypes)
+    tests = [F.col(f"`{n}`").isNotNull() & (~F.isnan(f"`{n}`") if kinds[n] in ("double", "float") else F.lit(True)) for n in names]
+    found = F.lit(False)
+    for t in tests:
+        found = found | t
+    return rows.filter(found)
+
+
+def by_condition(rows: DataFrame, key: list[str], suffixes: dict[str, str]) -> DataFrame:
+    """(key, condition, one column a shared stem): each row once for every condition, whose name the suffix gives.
+
+    Columns whose stem lacks a condition are left out, and rows without any value in a condition.
+    """
+    names = stems(rows.columns, list(suffixes))
+    parts = [any_value(rows.select(*key, F.lit(c).alias("condition"), *[F.col(f"`{n}{s}`").alias(n) for n in names]), names) for s, c in suffixes.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def non_null_features(long_: DataFrame, feature: str = "feature") -> DataFrame:
     return long_.groupBy(feature).agg(F.count("value").alias("n")).filter("n > 0")
 

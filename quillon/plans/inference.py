@@ -150,7 +150,7 @@ def _arrays(table_, *names):
 @query("logreg_oof")
 def logreg_oof(spark, d):
     rows = _arrays(_feature_table(spark, d), *FEATURES)
-    return _round(fits.out_of_fold(fits.leave_one_out(rows, "fold", "arm"), "arm"), "prob", digits=9)
+    return _round(fits.out_of_fold(fits.leave_one_out(rows, "fold", "arm"), "arm"), "prob", digits=6)
 
 
 _FOLDS = """base AS (SELECT doc_id AS subject_id, quality AS truth, text AS t, doc_id FROM documents JOIN labels USING (doc_id)),
@@ -188,7 +188,7 @@ def kernel_oof(spark, d):
     none = F.array(*[F.lit(None).cast("double")] * 5)
     rows = wide.select("subject_id", (F.col("subject_id") % 2).cast("int").alias("truth"), F.concat(*[F.coalesce(F.col(n), none) for n in names]).alias("x"))
     folds = cohorts.stratified_split(rows, group="truth", test_share=0.1, folds=5).withColumnRenamed("split", "fold").withColumn("arm", F.lit("amplitudes"))
-    return _round(models.nested_grid(folds, "arm", KERNEL_GRID, KERNEL_FOLDS), "prob", digits=9)
+    return _round(models.nested_grid(folds, "arm", KERNEL_GRID, KERNEL_FOLDS), "prob", digits=6)
 
 
 @query("fusion_oof")
@@ -199,21 +199,21 @@ def fusion_oof(spark, d):
     fused = lambda arm, *names: _arrays(base.withColumn("arm", F.lit(arm)), *FEATURES, *names)
     dealt = fits.leave_one_out(fused("scaled", "f6").unionByName(fused("features")), "fold", "arm")
     plain = fits.leave_one_out(fused("unscaled", "f6"), "fold", "arm")
-    return _round(fits.out_of_fold(dealt, "arm").unionByName(fits.out_of_fold(plain, "arm", scale=False)), "prob", digits=9)
+    return _round(fits.out_of_fold(dealt, "arm").unionByName(fits.out_of_fold(plain, "arm", scale=False)), "prob", digits=6)
 
 
 @query("holdout_once")
 def holdout_once(spark, d):
     """Learnt on all folds, scored once on the test split."""
     rows = _arrays(_feature_table(spark, d), *FEATURES)
-    return _round(fits.out_of_fold(fits.train_and_test(rows, "fold", "arm"), "arm"), "prob", digits=9)
+    return _round(fits.out_of_fold(fits.train_and_test(rows, "fold", "arm"), "arm"), "prob", digits=6)
 
 
 @query("transfer_oof")
 def transfer_oof(spark, d):
     """Learnt on folds 0 to 2, scored on the others, each side standardised by itself."""
     rows = _arrays(_feature_table(spark, d), *FEATURES).withColumn("here", F.col("fold").isin("fold_0", "fold_1", "fold_2"))
-    return _round(fits.transfer(rows, "here", "arm"), "prob", digits=9)
+    return _round(fits.transfer(rows, "here", "arm"), "prob", digits=6)
 
 
 @query("scalogram_rgb")
@@ -277,7 +277,7 @@ def tangent_space(spark, d):
 
     cov = fits.covariances(signals(spark, d).filter("condition = 'ec'"), CHANNEL_NAMES, "subject_id")
     rows = cov.select("subject_id", "cov", (F.col("subject_id") % 2).cast("int").alias("truth"), F.concat(F.lit("fold_"), (F.floor(F.col("subject_id") / 2) % 3).cast("string")).alias("fold"), F.lit("ec").alias("arm"))
-    return _round(fits.tangent_out_of_fold(rows, 8, "arm"), "prob", digits=7)
+    return _round(fits.tangent_out_of_fold(rows, 8, "arm"), "prob", digits=6)
 
 
 @query("welch_arrow_matches", "SELECT count(*) AS n, true AS same FROM embeddings")

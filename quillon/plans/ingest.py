@@ -79,6 +79,17 @@ def live_rejection(spark, d):
     return r.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("rate", 6).alias("rate"))
 
 
+@query("setting_faults", """WITH n AS (SELECT n_nationkey AS k, 'run_' || n_nationkey AS path FROM nation), f AS (
+ SELECT path, 'fliplr' AS key, '0.0' AS wanted, '0.5' AS got, 'wrong' AS fault FROM n WHERE k % 4 = 1 UNION ALL SELECT path, 'mosaic', '0', NULL, 'absent' FROM n WHERE k % 5 = 2 UNION ALL SELECT path, 'auto_augment', 'none', 'randaugment', 'wrong' FROM n WHERE k % 3 = 0)
+SELECT * FROM f""")
+def setting_faults(spark, d):
+    """Runs whose settings differ from what was asked, from their lines."""
+    k = F.col("n_nationkey")
+    lines = F.array(F.lit("task: classify"), F.when(k % 4 == 1, "fliplr: 0.5").otherwise("fliplr: 0  # off"), F.when(k % 5 != 2, "mosaic: 0.0"), F.when(k % 3 == 0, "auto_augment: 'randaugment'").otherwise('auto_augment: "None"'), F.lit("  nested: 1"))
+    rows = table(spark, d, "nation").select(F.concat(F.lit("run_"), k.cast("string")).alias("path"), F.posexplode(F.array_compact(lines)).alias("n", "line"))
+    return readers.setting_faults(readers.settings(rows), {"fliplr": "0.0", "mosaic": "0", "auto_augment": "none"})
+
+
 @query("event_sessions", """WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
 r AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM r GROUP BY user_id, i""")

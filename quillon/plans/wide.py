@@ -119,3 +119,14 @@ def replace_key(spark, d):
 @query("run_summary", f"WITH {_OLD} SELECT status, count(*) AS n FROM new GROUP BY 1")
 def run_summary(spark, d):
     return merge.run_status(_logs(spark, d)[1])
+
+
+@query("features_by_condition", """WITH m AS (SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS mean_c, round(avg(value) FILTER (event_type = 'view'), 6) AS mean_v, max(value) FILTER (event_type = 'click' AND value > 95) AS top_c, max(value) FILTER (event_type = 'view' AND value > 95) AS top_v FROM events WHERE user_id % 3 <> 0 OR event_type <> 'view' GROUP BY 1)
+SELECT user_id, 'click' AS condition, mean_c AS mean, top_c AS top FROM m WHERE mean_c IS NOT NULL OR top_c IS NOT NULL UNION ALL SELECT user_id, 'view', mean_v, top_v FROM m WHERE mean_v IS NOT NULL OR top_v IS NOT NULL""")
+def features_by_condition(spark, d):
+    """Columns that end in a condition, one row a condition; one column lacks a partner, and some users a condition."""
+    e = table(spark, d, "events").filter("user_id % 3 <> 0 OR event_type <> 'view'")
+    of = lambda k, more=F.lit(True): F.when((F.col("event_type") == k) & more, F.col("value"))
+    high = F.col("value") > 95
+    rows = e.groupBy("user_id").agg(*[F.round(F.avg(of(k)), 6).alias(f"mean_{k}") for k in ("click", "view")], *[F.max(of(k, high)).alias(f"top_{k}") for k in ("click", "view")], F.min("value").alias("least_click"))
+    return tables.by_condition(rows, ["user_id"], {"_click": "click", "_view": "view"})

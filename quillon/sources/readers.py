@@ -144,6 +144,39 @@ def log_lines(spark: SparkSession, path: str, pattern: str, names: list[str]) ->
     return spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
 
 
+def settings(lines: DataFrame) -> DataFrame:
+    """(path, key, value) of flat ``key: value`` lines (path, line), values as text without quotes and comments; nested lines are left out.
+
+    The last of several lines of a key in a file counts where ``lines`` has a column ``n``; null and ``~`` are null.
+    """
+    pattern = r"^([A-Za-z_][A-Za-z0-9_]*)\s*:(?:\s+(.*?))?\s*$"
+    hit = lines.filter(F.regexp_like("line", F.lit(pattern)))
+    raw = F.regexp_replace(F.regexp_extract("line", pattern, 2), r"\s+#.*$", "")
+    bare = F.regexp_replace(raw, r"^(['\"])(.*)\1$", "$2")
+    value = F.when(~raw.isin("", "~", "null"), bare)
+    order = "n" if "n" in lines.columns else None
+    rows = hit.select("path", F.regexp_extract("line", pattern, 1).alias("key"), value.alias("value"), *([order] if order else []))
+    return rows.groupBy("path", "key").agg((F.max_by("value", order) if order else F.first("value")).alias("value"))
+
+
+def setting_files(spark: SparkSession, path: str) -> DataFrame:
+    """``settings`` of YAML files as runs leave them."""
+    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    return settings(text)
+
+
+def setting_faults(found: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """(path, key, wanted, got, fault) of settings that did not take: absent, or of another value (numbers by value, text ignoring case)."""
+    want = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("wanted")) for k, v in wanted.items()]))
+    asked = found.select("path").distinct().select("path", want.alias("w")).select("path", "w.key", "w.wanted")
+    held = found.select("path", "key", F.col("value").alias("got"), F.lit(True).alias("__there"))
+    rows = asked.join(held, ["path", "key"], "left")
+    number = lambda c: F.expr(f"try_cast({c} AS double)")
+    same = F.coalesce(number("wanted") == number("got"), F.lower("wanted") == F.lower("got"), F.lit(False))
+    fault = F.when(F.col("__there").isNull(), "absent").when(~same, "wrong")
+    return rows.withColumn("fault", fault).filter("fault IS NOT NULL").select("path", "key", "wanted", "got", "fault")
+
+
 def data_root(given: str | None, variable: str = "QUILLON_DATA_ROOT") -> str:
     """A given root, else the environment's, else an error."""
     found = given or os.environ.get(variable)

@@ -104,3 +104,11 @@ def test_streams_match_batches(spark, sf, tmp_path):
     want = {r.user_id: (r.n, round(r.m, 6)) for r in events.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()}
     assert last == want
     assert live.sessions(events).count() > 0
+
+
+def test_settings_of_runs(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("task: classify\r\nfliplr: 0.0\nhsv_h: 0.015 # jitter\nname: 'x: y'\ndata: C:\\\\x\nnone: ~\nlist:\n  - 1\nfliplr: 0.5\n")
+    found = {r.key: r.value for r in readers.setting_files(spark, str(tmp_path)).collect()}
+    assert found == {"task": "classify", "fliplr": "0.5", "hsv_h": "0.015", "name": "x: y", "data": "C:\\\\x", "none": None, "list": None}
+    faults = readers.setting_faults(readers.setting_files(spark, str(tmp_path)), {"fliplr": "0", "hsv_h": ".015", "task": "CLASSIFY", "mosaic": "0", "none": "0"}).collect()
+    assert {(r.key, r.fault, r.got) for r in faults} == {("fliplr", "wrong", "0.5"), ("mosaic", "absent", None), ("none", "wrong", None)}
