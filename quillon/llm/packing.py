@@ -39,6 +39,8 @@ _MARK = "~"
 #: A word that ends in symbols after a Latin letter or a digit: its symbols are a token run of their own.
 _TAILED = "^(?P<core>.*[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])(?P<tail>[!-&(-/:-@\\[-`{-~]+)$"
 _SYMBOL = np.array([33 <= c < 127 and c != 39 and not chr(c).isalnum() for c in range(256)])
+#: Pairs of routes longer than a shard that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_PAIRS = 50_000
 #: Terms whose postings are added up at once.
 _SPANS = 64
 
@@ -346,23 +348,24 @@ def _corpus(table: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def _shards(docs: DataFrame, tokens: int) -> DataFrame:
-    """``docs`` (r1, r2, size and whatever) with ``shard``, by exact counts of tokens; routes are as many as terms at most.
+    """``docs`` (r1, r2, size and whatever) with ``shard``, by exact counts of tokens.
 
-    Routes that fit share shards in order. A longer one has shards of its own, along its second routes, and documents
-    of one second route that don't fit are dealt by the hash of their id and content.
+    Routes that fit share shards in order. A longer one has shards of its own, dealt by second routes; a pair of routes
+    that is longer than a shard is dealt by the hash of id and content. Documents are not shuffled for it.
     """
     by = docs.groupBy("r1").agg(F.sum("size").alias("held"))
     # as long as the vocabulary: one row for each term that is a route
     order = Window.partitionBy((F.col("held") > tokens).alias("long")).orderBy("r1")
     before = F.sum("held").over(order) - F.col("held")
-    first = by.select("r1", (F.col("held") > tokens).alias("long"), F.floor(before / tokens).alias("place"), F.row_number().over(order).alias("nth"))
-    first = first.select("r1", "long", F.when(F.col("long"), F.col("nth").cast("long") * (1 << 24)).otherwise(F.col("place")).alias("base"))
-    both = docs.groupBy("r1", "r2").agg(F.sum("size").alias("held")).join(first.filter("long").select("r1"), "r1", "left_semi")
-    along = Window.partitionBy("r1").orderBy("r2")
-    second = both.select("r1", "r2", F.floor((F.sum("held").over(along) - F.col("held")) / tokens).alias("within"), F.ceil(F.col("held") / tokens).alias("parts"))
-    dealt = docs.join(first, "r1").join(second, ["r1", "r2"], "left")
-    part = F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.col("parts"))
-    return dealt.withColumn("shard", F.col("base") + F.when(F.col("long"), F.col("within") + part).otherwise(0)).drop("long", "base", "within", "parts")
+    long = F.col("held") > tokens
+    base = F.when(long, F.row_number().over(order).cast("long") * (1 << 24)).otherwise(F.floor(before / tokens))
+    first = by.select("r1", base.alias("base"), F.when(long, F.ceil(F.col("held") / tokens)).otherwise(1).alias("parts"))
+    # at most one row for each shard's worth of tokens
+    hot = write_table(docs.groupBy("r1", "r2").agg(F.sum("size").alias("held")).filter(F.col("held") > tokens).select("r1", "r2", F.ceil(F.col("held") / tokens).alias("split")), "pairs")
+    placed = docs.join(F.broadcast(first), "r1").join(F.broadcast(hot) if hot.count() <= MAX_BROADCAST_PAIRS else hot, ["r1", "r2"], "left")
+    piece = F.pmod(F.xxhash64("r2", F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.col("split"))), F.lit(1 << 23)) + (1 << 23)
+    within = F.when(F.col("split").isNotNull(), piece).when(F.col("parts") > 1, F.pmod(F.xxhash64("r2"), F.col("parts"))).otherwise(0)
+    return placed.withColumn("shard", F.col("base") + within).drop("base", "parts", "split")
 
 
 def _packer(shared, kind: str, window: int):
