@@ -153,8 +153,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float |
     if not n:
         return spark.createDataFrame([], schema)
     if share is None:
-        draw = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 40))
-        sample = base if n <= SAMPLE_ROWS else base.filter(draw < int((1 << 40) * SAMPLE_ROWS / n))
+        # by id and vector, so that the vectors of one id are drawn apart; equal rows are one
+        draw = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(1 << 40))
+        sample = base if n <= SAMPLE_ROWS else base.filter(draw < int((1 << 40) * SAMPLE_ROWS / n)).distinct()
         share = fit_share(_matrix(sample.toArrow().to_pandas().sort_values("vec_id")["v"]), longest, k)
     asked = write_table(usable(queries, dimensions).distinct().withColumn("row", F.monotonically_increasing_id()), "queries")
     shards = -(-n // SHARD_ROWS)

@@ -209,6 +209,37 @@ def test_odd_first_vector_and_repeated_queries(spark):
     assert len(other) == 8 and sorted(r.rank for r in other) == [1, 1, 2, 2, 3, 3, 4, 4]
 
 
+def test_recall_across_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SHARD_ROWS", 500)
+    monkeypatch.setattr(forest, "QUERY_ROWS", 40)
+    monkeypatch.setattr(forest, "SAMPLE_ROWS", 700)
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in d.collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    assert len(ids) // 500 >= 3
+    got = {}
+    for r in forest.nearest(d, d.filter("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in ids[ids % 20 == 0]:
+        s = x @ rows[q]
+        s[ids == q] = -np.inf
+        hits.append(len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_one_id_may_hold_most_vectors(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SAMPLE_ROWS", 200)
+    rng = np.random.default_rng(6)
+    rows = [(7, rng.normal(size=8).tolist()) for _ in range(1500)] + [(i, rng.normal(size=8).tolist()) for i in range(8, 300)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    taken = []
+    monkeypatch.setattr(forest, "fit_share", lambda sample, *a, fit=forest.fit_share: taken.append(len(sample)) or fit(sample, *a))
+    assert forest.nearest(d, d.filter("vec_id = 20"), k=5).count() == 5
+    assert 100 < taken[0] < 320
+
+
 def test_op7_recall(spark):
     sf = "/root/testdata/sf0.01"
     rows = registry.QUERIES["op7_prefix_forest"](spark, sf).collect()
