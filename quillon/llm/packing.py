@@ -12,6 +12,7 @@ second routes, and where both are shared by more, by documents.
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import repeat
 
@@ -67,6 +68,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._encode([_MARK])[0]
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # tokens that end a word, where the vocabulary says so
+        self.final = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
         self._reset([], np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def _reset(self, names: list[str], lengths: np.ndarray, pool: np.ndarray) -> None:
@@ -78,7 +83,17 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in turn, and how many each has."""
+        """Ids of all words in turn, and how many each has.
+
+        Words of letters alone are one run of tokens each, the last of which ends a word; others are told apart by marks.
+        """
+        lettered = pc.match_substring_regex(pa.array(words, pa.string()), r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        if self.final.any() and lettered.all():
+            parts = self._encode([" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)])
+            ids = np.concatenate([np.array(p, np.int32) for p in parts])
+            ends = np.flatnonzero(self.final[ids])
+            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
         if len(self.mark) == 1 and not any(_MARK in w for w in words):
             gap = f" {_MARK} "
             parts = self._encode([gap.join(words[i : i + _JOINED]) + gap for i in range(0, len(words), _JOINED)])
@@ -101,9 +116,9 @@ class WordEncoder:
         place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         fresh = np.flatnonzero(place < 0)
         words = [names[i] for i in fresh.tolist()]
-        # words with the mark itself last, in calls of their own
-        odd = np.array([_MARK in w for w in words], bool)
-        for some in (fresh[~odd], fresh[odd]):
+        # words of letters, other words, and words with the mark itself, in calls of their own
+        kind = np.array([2 if _MARK in w else 0 if w.isalpha() else 1 for w in words], np.int8)
+        for some in (fresh[kind == 0], fresh[kind == 1], fresh[kind == 2]):
             if not len(some):
                 continue
             words = [names[i] for i in some.tolist()]
