@@ -102,3 +102,18 @@ def test_split_scores_of_shuffled_profiles(spark):
     assert row.a_frac == pytest.approx(resample.split_score(x[::2])[0] / 30) and row.gain >= 1 - 1e-9
     alone = boundary.analyse(df, half.filter("half = 'a'"), "value", "i", "unit", "user").first()
     assert alone.split_half_diff is None and not alone.trusted
+
+
+def test_orders_of_profiles_are_not_shuffled_and_long_ones_agree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(u, i, u * 1000 + i, None if i == 7 else float(np.round(rng.gamma(3, 1), 3))) for u in range(30) for i in range(1 if u == 3 else 15 + u)]
+    df = materialise(spark.createDataFrame(rows, "user long, i long, unit long, value double"), "profiles")
+    null = boundary.shuffled_scores(df, "value", "unit", "user", draws=50)
+    short = sorted((r.user, r.draw, r.score) for r in null.collect())
+    half = df.select("user", F.when(F.col("i") % 2 == 0, "a").otherwise("b").alias("half"), F.floor(F.col("i") / 2).alias("i"), "value")
+    whole = [tuple(r) for r in boundary.analyse(df, half, "value", "i", "unit", "user", draws=50).orderBy("user").collect()]
+    monkeypatch.setattr(boundary, "PROFILE_ROWS", 25)
+    # a cell of 40 rows holds one order of a longer profile
+    monkeypatch.setattr(boundary, "CELLS", 40)
+    assert sorted((r.user, r.draw, r.score) for r in boundary.shuffled_scores(df, "value", "unit", "user", draws=50).collect()) == short
+    assert [tuple(r) for r in boundary.analyse(df, half, "value", "i", "unit", "user", draws=50).orderBy("user").collect()] == whole
