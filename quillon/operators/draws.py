@@ -124,15 +124,22 @@ class _Curve:
         self.score = score[-1]
 
 
-def draw_aucs(rows: DataFrame, score: str, by: list[str], draws: int, weigh, *columns: str) -> DataFrame:
+def draw_aucs(rows: DataFrame, score: str, by: list[str], draws: int, weigh, *columns: str, shared: DataFrame | None = None) -> DataFrame:
     """(by, draw, auc): of each draw; null where a draw has one class only.
 
     ``weigh(draw, columns...)`` gives the weights (rows x draws) of label 1 and of label 0 from arrays of the columns.
+    With ``shared`` (by, thresholds), its first column argument is the key's array: it travels once a range, ahead of
+    its rows, and not with every row.
     """
     ranged = _ranged(rows.select(*by, score, *columns), score, by)
-    # few bytes, but much work: a number of tasks of its own, which is not reduced
-    dealt = ranged.repartition(_tasks(rows), *by, "__range").sortWithinPartitions(*by, "__range", score)
     types = dict(rows.dtypes)
+    leads = shared is not None
+    if leads:
+        ahead = ranged.select(*by, "__range").distinct().join(shared, by)
+        ranged = ranged.withColumn("thresholds", F.lit(None).cast("array<bigint>")).unionByName(ahead, allowMissingColumns=True)
+    # few bytes, but much work: a number of tasks of its own, which is not reduced
+    order = [F.col("thresholds").isNull()] if leads else []
+    dealt = ranged.repartition(_tasks(rows), *by, "__range").sortWithinPartitions(*by, "__range", *order, score)
     group = [*by, "__range"]
     all_draws = np.arange(draws, dtype=np.int64)[None, :]
 
@@ -143,22 +150,27 @@ def draw_aucs(rows: DataFrame, score: str, by: list[str], draws: int, weigh, *co
             yield pa.RecordBatch.from_arrays([*[pa.array([key[k]], t) for k, t in zip(group, schema, strict=True)], pa.array([at], pa.int64()), *[pa.array([v[cut].tolist()], pa.list_(pa.float64())) for v in (c.p, c.n, c.area)]], names=[*group, "block", "p", "n", "area"])
 
     def curves(batches):
-        key, curve, schema = None, None, []
+        key, curve, schema, common = None, None, [], []
         for batch in batches:
             schema = [batch.schema.field(k).type for k in group]
             names = list(zip(*[batch.column(k).to_pylist() for k in group], strict=True))
             scores = batch.column(score).to_numpy(zero_copy_only=False)
             given = {c: batch.column(c) for c in columns}
+            ahead = batch.column("thresholds").is_valid().to_pylist() if leads else [False] * len(names)
             at = 0
             while at < len(names):
                 stop = at + 1
-                while stop < len(names) and stop - at < STEP and names[stop] == names[at]:
+                while not ahead[at] and stop < len(names) and stop - at < STEP and names[stop] == names[at]:
                     stop += 1
                 if names[at] != key:
                     if curve is not None:
                         yield from out(dict(zip(group, key, strict=True)), curve, schema)
                     key, curve = names[at], _Curve(draws)
-                p, n = weigh(all_draws, *[given[c].slice(at, stop - at) for c in columns])
+                if ahead[at]:
+                    common = [batch.column("thresholds")[at].values.to_numpy()]
+                    at = stop
+                    continue
+                p, n = weigh(all_draws, *common, *[given[c].slice(at, stop - at) for c in columns])
                 curve.add(scores[at:stop], p, n)
                 at = stop
         if curve is not None:
@@ -214,7 +226,12 @@ def label_thresholds(rows: DataFrame, truth: str, unit: str, by: list[str], draw
     all_draws = np.arange(draws, dtype=np.int64)[None, :]
 
     def near(batches):
+        # keys below the stretch are counted by task, so that a row gives only the few keys within it
+        under: dict[tuple, np.ndarray] = {}
+        kinds = []
         for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            parts: dict[tuple, list] = {}
             for at in range(0, batch.num_rows, STEP):
                 b = batch.slice(at, STEP)
                 k = keys(_integers(b.column(unit)), all_draws, seed)
@@ -224,13 +241,22 @@ def label_thresholds(rows: DataFrame, truth: str, unit: str, by: list[str], draw
                 for name in dict.fromkeys(names):
                     mine = np.array([n == name for n in names])
                     row, draw = np.nonzero(within & mine[:, None])
-                    under = below[mine].sum(axis=0)
-                    d = np.concatenate((np.arange(draws), draw))
-                    cells = [pa.array([v] * len(d), b.schema.field(c).type) for c, v in zip(by, name, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*cells, pa.array(d.astype(np.int64)), pa.array(np.concatenate((under, np.zeros(len(draw), np.int64)))), pa.array(np.concatenate((np.full(draws, -1), k[row, draw])))], names=[*by, "draw", "below", "key"])
-
-    found = rows.select(*by, unit).join(ends, by).repartition(_tasks(rows)).mapInArrow(near, ", ".join(f"`{k}` {types[k]}" for k in by) + ", draw long, below long, key long")
-    per = found.groupBy(*by, "draw").agg(F.sum("below").alias("below"), F.sort_array(F.collect_list(F.when(F.col("key") >= 0, F.col("key")))).alias("keys")).join(ends.select(*by, "__p"), by)
+                    under.setdefault(name, np.zeros(draws, np.int64))
+                    under[name] += below[mine].sum(axis=0)
+                    parts.setdefault(name, []).append((draw, k[row, draw]))
+            for name, pairs in parts.items():
+                yield cells(name, kinds, np.concatenate([d for d, _ in pairs]), None, np.concatenate([v for _, v in pairs]))
+        for name, counted in under.items():
+            yield cells(name, kinds, all_draws[0], counted, None)
+
+    def cells(name, kinds, draw, below, key):
+        n = len(draw)
+        given = [pa.array(v) if v is not None else pa.nulls(n, pa.int64()) for v in (draw.astype(np.int64), below, key)]
+        return pa.RecordBatch.from_arrays([*[pa.array([v] * n, t) for v, t in zip(name, kinds, strict=True)], *given], names=[*by, "draw", "below", "key"])
+
+    # a row a key, as are the thresholds
+    found = rows.select(*by, unit).join(F.broadcast(ends), by).repartition(_tasks(rows)).mapInArrow(near, ", ".join(f"`{k}` {types[k]}" for k in by) + ", draw long, below long, key long")
+    per = found.groupBy(*by, "draw").agg(F.sum("below").alias("below"), F.sort_array(F.collect_list("key")).alias("keys")).join(ends.select(*by, "__p"), by)
     place = (F.col("__p") - F.col("below")).cast("int")
     inside = (place >= 1) & (place <= F.size("keys"))
     threshold = F.when(F.col("__p") == 0, F.lit(-1)).when(inside, F.try_element_at("keys", place)).otherwise(F.raise_error(F.lit("a label threshold lies outside its stretch")).cast("long"))
@@ -241,12 +267,11 @@ def permuted_aucs(rows: DataFrame, truth: str, score: str, unit: str, by: list[s
     """AUC of each draw of labels over all units of a key; units don't repeat."""
     given = materialise(label_thresholds(rows, truth, unit, by, draws, seed), "thresholds")
 
-    def weigh(draw, u, t):
-        ends, values = t.offsets.to_numpy(), t.values.to_numpy()
-        label = (keys(_integers(u), draw, seed) <= np.stack([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])).astype(np.float32)
+    def weigh(draw, thresholds, u):
+        label = (keys(_integers(u), draw, seed) <= thresholds[None, :]).astype(np.float32)
         return label, 1 - label
 
-    return draw_aucs(rows.select(*by, score, unit).join(given, by), score, by, draws, weigh, unit, "thresholds")
+    return draw_aucs(rows, score, by, draws, weigh, unit, shared=given)
 
 
 def within_aucs(rows: DataFrame, truth: str, score: str, unit: str, row: str, by: list[str], draws: int, seed: int = 42) -> DataFrame:

@@ -117,3 +117,22 @@ def test_orders_of_profiles_are_not_shuffled_and_long_ones_agree(spark, monkeypa
     monkeypatch.setattr(boundary, "CELLS", 40)
     assert sorted((r.user, r.draw, r.score) for r in boundary.shuffled_scores(df, "value", "unit", "user", draws=50).collect()) == short
     assert [tuple(r) for r in boundary.analyse(df, half, "value", "i", "unit", "user", draws=50).orderBy("user").collect()] == whole
+
+
+def test_thresholds_travel_once_a_range(spark, monkeypatch):
+    rows = materialise(spark.createDataFrame([("x", i, i % 2, (i * 31 % 97) / 97) for i in range(3000)], "arm string, unit long, truth int, p double"), "arms")
+    seen = {}
+    dealt = draws.draw_aucs
+
+    def taken(given, *a, **k):
+        seen["columns"] = given.columns
+        return dealt(given, *a, **k)
+
+    monkeypatch.setattr(draws, "draw_aucs", taken)
+    monkeypatch.setattr(draws, "RANGE_ROWS", 500)
+    got = {r.draw: r.auc for r in draws.permuted_aucs(rows, "truth", "p", "unit", ["arm"], 20).collect()}
+    assert "thresholds" not in seen["columns"]
+    k = draws.keys(np.arange(3000)[:, None], np.arange(20)[None, :], 42)
+    score = np.array([(i * 31 % 97) / 97 for i in range(3000)])
+    for b in range(20):
+        assert got[b] == pytest.approx(resample.auc((np.argsort(np.argsort(k[:, b])) < 1500).astype(int), score), abs=1e-12)
