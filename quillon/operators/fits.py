@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..shared import materialise
 from . import models as dense
 from .sums import arrays, lists, sum_arrays
+from .tables import medians
 
 
 def leave_one_out(rows: DataFrame, fold: str, *by: str) -> DataFrame:
@@ -27,21 +28,25 @@ def leave_one_out(rows: DataFrame, fold: str, *by: str) -> DataFrame:
     # what a model learns from is all of its key less the fold
     learnt = cells.join(whole, list(by)).withColumns({"__n": F.col("__all") - F.col("__n"), "__p": F.col("__pos") - F.col("__p")})
     outs = learnt.filter("__p > 0 AND __p < __n").select(*by, F.col(fold).alias("out"))
-    return held.join(outs, list(by)).withColumn("role", F.when(F.col(fold) == F.col("out"), "score").otherwise("learn"))
+    # as many rows as models
+    return held.join(F.broadcast(outs), list(by)).withColumn("role", F.when(F.col(fold) == F.col("out"), "score").otherwise("learn"))
 
 
 def train_and_test(rows: DataFrame, fold: str, *by: str) -> DataFrame:
     """As ``leave_one_out`` with one model a key: the fold ``test`` is scored, all others are learnt from."""
     sides = rows.groupBy(*by).agg(*[F.sum(F.when(F.col(fold) != "test", c)).alias(n) for n, c in (("__n", F.lit(1)), ("__p", F.col("truth")))], F.max((F.col(fold) == "test").cast("int")).alias("__t"))
     keep = sides.filter("__p > 0 AND __p < __n AND __t = 1").select(*by, F.lit("test").alias("out"))
-    return rows.join(keep, list(by)).withColumn("role", F.when(F.col(fold) == "test", "score").otherwise("learn"))
+    return rows.join(F.broadcast(keep), list(by)).withColumn("role", F.when(F.col(fold) == "test", "score").otherwise("learn"))
 
 
 def statistics(rows: DataFrame, *by: str, scale: bool = True) -> DataFrame:
     """(by, median, mean, sd): arrays by feature of ``x``; a feature without a value has median 0, a constant one sd 1."""
     long = rows.select(*by, F.posexplode("x").alias("p", "v")).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    medians = materialise(long.groupBy(*by, "p").agg(F.coalesce(F.percentile("v", 0.5), F.lit(0.0)).alias("m")), "medians")
-    filled = long.join(medians, [*by, "p"]).withColumn("v", F.coalesce("v", "m"))
+    every = long.select(*by, "p").distinct()
+    middle = every.join(medians(long, "v", *by, "p"), [*by, "p"], "left")
+    held = materialise(middle.select(*by, "p", F.coalesce("median", F.lit(0.0)).alias("m")), "medians")
+    # a row a model and feature, as the driver keeps weights
+    filled = long.join(F.broadcast(held), [*by, "p"]).withColumn("v", F.coalesce("v", "m"))
     cells = filled.groupBy(*by, "p").agg(F.first("m").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     fit = {"mean": F.col("mean"), "sd": F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)} if scale else {"mean": F.lit(0.0), "sd": F.lit(1.0)}
     parts = cells.withColumns(fit).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("p", "median", "mean", "sd"))).alias("s"))
@@ -52,7 +57,8 @@ def scaled(rows: DataFrame, stats: DataFrame, *by: str) -> DataFrame:
     """``rows`` with ``x`` imputed and scaled by their key's statistics."""
     named = stats.select(*by, F.struct("median", "mean", "sd").alias("__s"))
     cell = lambda v, i: (F.coalesce(F.when(~F.isnan(v), v), F.get(F.col("__s.median"), i)) - F.get(F.col("__s.mean"), i)) / F.get(F.col("__s.sd"), i)
-    return rows.join(named, list(by)).withColumn("x", F.transform("x", cell)).drop("__s")
+    # a row a model
+    return rows.join(F.broadcast(named), list(by)).withColumn("x", F.transform("x", cell)).drop("__s")
 
 
 def _by_model(batch: pa.RecordBatch, by: tuple[str, ...]):

@@ -53,17 +53,35 @@ def non_null_features(long_: DataFrame, feature: str = "feature") -> DataFrame:
     return long_.groupBy(feature).agg(F.count("value").alias("n")).filter("n > 0")
 
 
+def medians(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, median): the exact median of each key's values, from counts of distinct ones summed by ranges; no task holds a key.
+
+    Nulls take no part, and a key without a value has no row.
+    """
+    from .running import before
+
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    sizes = counted.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    # a row a key
+    ranked = before(counted, value, "__c", *by).join(F.broadcast(sizes), list(by))
+    covers = lambda place: F.max(F.when((F.col("__before") <= place) & (place < F.col("__before") + F.col("__c")), F.col(value)))
+    middle = ranked.groupBy(*by).agg(covers(F.floor((F.col("__n") - 1) / 2)).alias("__a"), covers(F.floor(F.col("__n") / 2)).alias("__b"))
+    return middle.select(*by, ((F.col("__a") + F.col("__b")) / 2).alias("median"))
+
+
 def impute_median(long_: DataFrame, train: str, feature: str = "feature") -> DataFrame:
     """Null values take their feature's exact median over training rows."""
-    median = long_.filter(train).groupBy(feature).agg(F.percentile("value", 0.5).alias("__m"))
-    return long_.join(median, feature, "left").withColumn("value", F.coalesce("value", "__m")).drop("__m")
+    median = medians(long_.filter(train), "value", feature).withColumnRenamed("median", "__m")
+    # a row a feature: rows stay where they are
+    return long_.join(F.broadcast(median), feature, "left").withColumn("value", F.coalesce("value", "__m")).drop("__m")
 
 
 def standardize(long_: DataFrame, train: str, *by: str) -> DataFrame:
     """Centre and scale by the training rows' mean and population deviation within ``by``; constant features divide by 1."""
     stats = long_.filter(train).groupBy(*by).agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__s"))
     scale = F.when(F.col("__s") > 1e-12, F.col("__s")).otherwise(1.0)
-    return long_.join(stats, [*by]).withColumn("value", (F.col("value") - F.col("__m")) / scale).drop("__m", "__s")
+    # a row a feature: rows stay where they are
+    return long_.join(F.broadcast(stats), [*by]).withColumn("value", (F.col("value") - F.col("__m")) / scale).drop("__m", "__s")
 
 
 def anova_f(long_: DataFrame, group: str, feature: str = "feature") -> DataFrame:

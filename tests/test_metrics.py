@@ -139,3 +139,22 @@ def test_changepoint(spark):
     rows = [(0, i, float(v)) for i, v in enumerate(x)] + [(1, i, float(v)) for i, v in enumerate(rng.permutation(x))]
     found = {r.user: r for r in resample.changepoint_permutation(spark.createDataFrame(rows, "user long, i long, v double"), "v", "i", "user", draws=100).collect()}
     assert found[0].fraction == 0.6 and found[0].perm_p < 0.05 and found[1].perm_p > 0.05
+
+
+def test_medians_are_exact_and_rows_stay_where_they_are(spark):
+    rng = np.random.default_rng(6)
+    values = {"a": np.round(rng.normal(size=501), 2), "b": np.round(rng.normal(size=400), 6), "c": np.array([2.0, 2.0, 7.0, 9.0]), "d": np.array([5.0])}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "feature string, value double")
+    assert {r.feature: r.median for r in tables.medians(df, "value", "feature").collect()} == pytest.approx({k: float(np.median(x)) for k, x in values.items()})
+    filled = tables.impute_median(df, "true")
+    assert sorted(r.value for r in filled.filter("feature = 'a'").collect())[250] == np.median(values["a"]) and filled.filter("feature = 'e'").first().value is None
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for made in (tables.impute_median(df, "true"), tables.standardize(df, "true", "feature")):
+            # the outermost join, ahead of those that find the medians
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert plan.index("BroadcastHashJoin") < plan.index("Exchange")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
