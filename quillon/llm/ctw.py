@@ -254,39 +254,19 @@ def _answer(top):
 
 
 class Lookup:
-    """A hash table of unsigned keys to numbers, filled and read in whole arrays."""
+    """Distinct unsigned keys with numbers, in order of key: 16 bytes a key; read in whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        mask = (1 << self.bits) - 1
-        self.keys = np.zeros(1 << self.bits, _U)
-        self.full = np.zeros(1 << self.bits, bool)
-        self.values = np.zeros(1 << self.bits)
-        slot = self._slot(keys)
-        while len(keys):
-            free = ~self.full[slot]
-            self.keys[slot[free]] = keys[free]
-            self.full[slot[free]] = True
-            done = self.keys[slot] == keys
-            self.values[slot[done]] = values[done]
-            keys, values, slot = keys[~done], values[~done], (slot[~done] + 1) & mask
-
-    def _slot(self, keys):
-        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        out = self.values[slot]
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        slot = slot[miss]
-        while len(miss):
-            if not self.full[slot].all():
-                raise KeyError("a key that its block did not ask for")
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            out[miss] = self.values[slot]
-            wrong = self.keys[slot] != keys[miss]
-            miss, slot = miss[wrong], slot[wrong]
-        return out
+        if not len(self.keys) and len(keys):
+            raise KeyError("a key that its block did not ask for")
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        if (self.keys[at] != keys).any():
+            raise KeyError("a key that its block did not ask for")
+        return self.values[at]
 
 
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
@@ -310,7 +290,8 @@ def _read(totals: tuple[int, int]):
                     block, held, tables = blocks[a], {0: [], 1: []}, {}
                     tx.trim()
                 if kind < 2:
-                    held[kind].append((part.column("key").to_numpy().view(_U), part.column("value").to_numpy()))
+                    # copies: a view keeps the whole batch
+                    held[kind].append((part.column("key").to_numpy().view(_U).copy(), part.column("value").to_numpy().copy()))
                     continue
                 if not tables:
                     for k in (0, 1):

@@ -332,3 +332,17 @@ def test_quality_query_equals_a_plain_version(spark, tmp_path):
     want = sorted(((i, probability(features(t))) for i, t in rows), key=lambda p: (p[0] or 0, p[1]))
     for r_, (i, p) in zip(sorted(got, key=lambda q: (q.doc_id or 0, q.score)), want, strict=True):
         assert r_.doc_id == i and abs(r_.score - p) < 5e-4 and r_.held_out == (zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0)
+
+
+def test_lookup_holds_sixteen_bytes_a_key():
+    from quillon.llm.ctw import Lookup
+
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    shuffled = rng.permutation(keys)
+    found = Lookup(shuffled, shuffled.astype(float))
+    assert (found(keys) == keys.astype(float)).all() and len(found(keys[:0])) == 0
+    assert sum(v.nbytes for v in vars(found).values() if isinstance(v, np.ndarray)) == 16 * len(keys)
+    for table in (found, Lookup(keys[:0], np.zeros(0))):
+        with pytest.raises(KeyError):
+            table(keys[:3] + np.uint64(1))
