@@ -69,50 +69,104 @@ def predict_logistic(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
 
 
+#: Bytes of a machine's matrix that a task keeps; further columns are made again when they are asked for.
+KEPT_BYTES = 512 << 20
+#: Values of the matrix that are made at once.
+BLOCK_VALUES = 1 << 20
+#: Thirds of the training rows that are held out in turn.
+PARTS = 3
+
+
+class _Columns:
+    """Columns of a machine's symmetric dual matrix, made by blocks when one is asked for."""
+
+    def __init__(self, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, s: np.ndarray, room: int):
+        self.kernel, self.x, self.s, self.room = kernel, x, s, room
+        self.width = max(1, min(256, BLOCK_VALUES // max(1, len(x))))
+        self.kept: dict[int, np.ndarray] = {}
+        self.last: tuple[int, np.ndarray | None] = (-1, None)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        number, at = divmod(i, self.width)
+        block = self.kept.get(number)
+        if block is None:
+            if self.last[0] != number:
+                some = slice(number * self.width, (number + 1) * self.width)
+                made = self.kernel(self.x[some], self.x)
+                made += 1
+                made *= self.s[some][:, None]
+                made *= self.s[None, :]
+                self.last = number, made
+            block = self.last[1]
+            if block.nbytes <= self.room:
+                self.kept[number] = block
+                self.room -= block.nbytes
+        return block[at]
+
+
 class KernelMachine:
     """A soft-margin machine with a radial kernel, balanced class weights and a logistic curve on its margins."""
 
-    def __init__(self, c: float, sweeps: int = 200):
-        self.c, self.sweeps = c, sweeps
+    def __init__(self, c: float, sweeps: int = 200, kept: int = KEPT_BYTES):
+        self.c, self.sweeps, self.kept = c, sweeps, kept
+
+    def _scale(self, x):
+        self.gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
 
     def _kernel(self, a, b):
-        d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
-        return np.exp(-self.gamma * np.maximum(d, 0))
+        d = a @ (-2 * b.T)
+        d += (a * a).sum(axis=1)[:, None]
+        d += (b * b).sum(axis=1)[None, :]
+        np.maximum(d, 0, out=d)
+        d *= -self.gamma
+        return np.exp(d, out=d)
 
     def _train(self, x, y):
-        """Dual coordinate ascent; the bias is the kernel's constant, added to it."""
+        """Dual coordinate ascent; the bias is the kernel's constant, added to it. A row's own entry is 1 + 1."""
         s = np.where(y == 1, 1.0, -1.0)
         share = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
-        top, q = self.c * share, (self._kernel(x, x) + 1) * s[:, None] * s[None, :]
-        a, g = np.zeros(len(y)), -np.ones(len(y))
+        top, q = self.c * share, _Columns(self._kernel, x, s, self.kept)
+        a, g, step = np.zeros(len(y)), -np.ones(len(y)), np.empty(len(y))
         for _ in range(self.sweeps):
             moved = 0.0
             for i in range(len(y)):
-                new = min(max(a[i] - g[i] / q[i, i], 0.0), top[i])
+                new = min(max(a[i] - g[i] / 2, 0.0), top[i])
                 if new != a[i]:
-                    g += (new - a[i]) * q[:, i]
+                    np.multiply(q[i], new - a[i], out=step)
+                    g += step
                     moved = max(moved, abs(new - a[i]))
                     a[i] = new
             if moved < 1e-6 * self.c:
                 break
         return a * s
 
+    def _margins(self, x, of, a):
+        """Margins of rows ``x`` by weights ``a`` of rows ``of``, some rows at a time."""
+        width = max(1, BLOCK_VALUES // max(1, len(of)))
+        return np.concatenate([np.zeros(0)] + [(self._kernel(x[i : i + width], of) + 1) @ a for i in range(0, len(x), width)])
+
+    def margins(self, x: np.ndarray, y: np.ndarray, part: int, other: np.ndarray | None = None) -> np.ndarray:
+        """Margins of one third of the training rows by a machine of the rest, or with ``other`` of these by one of all."""
+        self._scale(x)
+        if other is not None:
+            return self._margins(other, x, self._train(x, y))
+        rest = np.arange(len(y)) % PARTS != part
+        if not 0 < y[rest].sum() < rest.sum():
+            return np.zeros(int((~rest).sum()))
+        return self._margins(x[~rest], x[rest], self._train(x[rest], y[rest]))
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> KernelMachine:
-        self.gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
+        self._scale(x)
         self.x, self.a = x, self._train(x, y)
         # margins for the curve come from rows held out in turn
-        part = np.arange(len(y)) % 3
         margin = np.zeros(len(y))
-        for k in range(3):
-            rest = part != k
-            if 0 < y[rest].sum() < rest.sum():
-                a = self._train(x[rest], y[rest])
-                margin[~rest] = (self._kernel(x[~rest], x[rest]) + 1) @ a
+        for k in range(PARTS):
+            margin[np.arange(len(y)) % PARTS == k] = self.margins(x, y, k)
         self.curve = logistic(margin[:, None], y, c=1e3)
         return self
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return predict_logistic(self.curve, ((self._kernel(x, self.x) + 1) @ self.a)[:, None])
+        return predict_logistic(self.curve, self._margins(x, self.x, self.a)[:, None])
 
 
 def nested_folds(frame: pd.DataFrame, features: list[str], grid: list[tuple[int, float]]) -> pd.DataFrame:
@@ -143,21 +197,25 @@ def nested_folds(frame: pd.DataFrame, features: list[str], grid: list[tuple[int,
     return pd.concat(out) if out else pd.DataFrame({"subject_id": [], "fold": [], "truth": [], "prob": []})
 
 
-def _cell(frame: pd.DataFrame, k: int, c: float, learn: list[str], score: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(rows, probabilities) of one fold by a machine of the best k features, learnt from other folds; None with one class."""
+def _cell(frame: pd.DataFrame, k: int, c: float, learn: list[str], score: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, margins) of one training of a cell, of the best k features: of the scored fold's rows by a machine of the
+    other folds' if ``part`` is ``PARTS``, else of a third of the training rows; none with one class."""
     x, y = np.stack([np.asarray(v, float) for v in frame["x"]]), frame["truth"].to_numpy(np.int64)
     train, test = frame["fold"].isin(learn).to_numpy(), (frame["fold"] == score).to_numpy()
     if not 0 < y[train].sum() < train.sum() or not test.any():
-        return None
+        return np.zeros(0, int), np.zeros(0)
     a, b = impute_scale(x[train], x[test])
     use = np.argsort(-anova_f(a, y[train]), kind="stable")[:k]
-    return np.flatnonzero(test), KernelMachine(c).fit(a[:, use], y[train]).probability(b[:, use])
+    if part == PARTS:
+        return np.flatnonzero(test), KernelMachine(c).margins(a[:, use], y[train], part, b[:, use])
+    return np.flatnonzero(train)[part::PARTS], KernelMachine(c).margins(a[:, use], y[train], part)
 
 
 def nested_grid(table: DataFrame, arm: str, grid: list[tuple[int, float]], folds: list[str]) -> DataFrame:
-    """(arm, subject_id, fold, truth, prob): ``nested_folds`` with a task for each outer fold and cell of the grid.
+    """(arm, subject_id, fold, truth, prob): ``nested_folds`` with a task for each training of an outer fold's cells.
 
-    A kernel machine sees all pairs of its subjects, so a task holds a cohort; cells and folds are what is dealt out.
+    A kernel machine sees all pairs of its subjects, so a task holds a cohort and at most ``KEPT_BYTES`` of its pairs. What is
+    dealt out are folds, cells, and a cell's four trainings; its curve needs their margins only.
     """
     from pyspark.sql import functions as F
 
@@ -167,29 +225,39 @@ def nested_grid(table: DataFrame, arm: str, grid: list[tuple[int, float]], folds
     inner = {f: folds[(i + 1) % len(folds)] for i, f in enumerate(folds)}
     rest = {f: [g for g in folds if g not in (f, inner[f])] for f in folds}
     key = [arm, "outer", "cell"]
-    dealt = held.withColumn("outer", F.explode(F.array(*map(F.lit, folds)))).filter(F.col("outer") != F.col("fold")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-
-    def rate(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("subject_id", kind="stable").reset_index(drop=True)
-        outer, cell = frame["outer"].iloc[0], int(frame["cell"].iloc[0])
-        found = _cell(frame, *grid[cell], rest[outer], inner[outer])
-        right = -1.0 if found is None else float(((found[1] >= 0.5) == frame["truth"].to_numpy()[found[0]]).mean())
-        return pd.DataFrame([{arm: frame[arm].iloc[0], "outer": outer, "cell": cell, "right": right}])
-
-    tasks = max(8, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rated = dealt.repartition(tasks, *key).groupBy(*key).applyInPandas(rate, f"{arm} string, outer string, cell int, right double")
-    # the first best cell
-    best = rated.groupBy(arm, "outer").agg((-F.max(F.struct("right", (-F.col("cell")).alias("c")))["c"]).alias("cell"))
-
-    def refit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("subject_id", kind="stable").reset_index(drop=True)
-        outer = frame["outer"].iloc[0]
-        found = _cell(frame, *grid[int(frame["cell"].iloc[0])], [f for f in folds if f != outer], outer)
-        at, prob = found if found is not None else (np.zeros(0, int), np.zeros(0))
-        return frame.iloc[at][[arm, "subject_id", "fold", "truth"]].assign(prob=prob)
-
-    whole = held.withColumn("outer", F.explode(F.array(*map(F.lit, folds)))).join(best, [arm, "outer"])
-    return whole.repartition(tasks, arm, "outer").groupBy(arm, "outer").applyInPandas(refit, f"{arm} string, " + SCHEMA)
+    each = lambda rows, name, n: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    outer = held.withColumn("outer", F.explode(F.array(*map(F.lit, folds))))
+    place = F.array_position(F.array(*map(F.lit, folds)), F.col("outer")).cast("int") - 1
+
+    def scored(dealt: DataFrame, tasks: int, task, learn: dict[str, list[str]], score: dict[str, str]) -> DataFrame:
+        """Rows of each cell's scored fold with their probabilities."""
+
+        def train(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("subject_id", kind="stable").reset_index(drop=True)
+            fold, part = frame["outer"].iloc[0], int(frame["part"].iloc[0])
+            at, margin = _cell(frame, *grid[int(frame["cell"].iloc[0])], learn[fold], score[fold], part)
+            return frame.iloc[at][[*key, "subject_id", "fold", "truth"]].assign(part=part, margin=margin)
+
+        def curve(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["subject_id", "fold"], kind="stable")
+            learnt, rows = frame[frame["part"] < PARTS], frame[frame["part"] == PARTS]
+            w = logistic(learnt["margin"].to_numpy()[:, None], learnt["truth"].to_numpy(np.int64), c=1e3)
+            return rows[[*key, "subject_id", "fold", "truth"]].assign(prob=predict_logistic(w, rows["margin"].to_numpy()[:, None]))
+
+        # one training a task, dealt by number
+        dealt = each(dealt, "part", PARTS + 1).withColumn("task", (task * (PARTS + 1) + F.col("part")).cast("int"))
+        row = f"{arm} string, outer string, cell int, subject_id long, fold string, truth int"
+        margins = dealt.repartitionById(tasks * (PARTS + 1), F.col("task")).groupBy(*key, "part", "task").applyInPandas(train, f"{row}, part int, margin double")
+        return materialise(margins, "margins").groupBy(*key).applyInPandas(curve, f"{row}, prob double")
+
+    cells = each(outer.filter(F.col("outer") != F.col("fold")), "cell", len(grid))
+    rated = scored(cells, len(folds) * len(grid), place * len(grid) + F.col("cell"), rest, inner)
+    right = rated.groupBy(*key).agg(F.avg(((F.col("prob") >= 0.5) == (F.col("truth") == 1)).cast("double")).alias("right"))
+    # the first best cell, the first one where none could be rated
+    best = right.groupBy(arm, "outer").agg((-F.max(F.struct("right", (-F.col("cell")).alias("c")))["c"]).alias("cell"))
+    whole = outer.join(F.broadcast(best), [arm, "outer"], "left").withColumn("cell", F.coalesce("cell", F.lit(0)))
+    found = scored(whole, len(folds), place, {f: [g for g in folds if g != f] for f in folds}, {f: f for f in folds})
+    return found.select(arm, "subject_id", "fold", "truth", "prob")
 
 
 def two_way_folds(frame: pd.DataFrame, features: list[str], scale: bool = True, c: float = 1.0) -> pd.DataFrame:

@@ -97,3 +97,28 @@ def test_the_registered_grid_is_whole():
     from quillon.plans import inference
 
     assert inference.KERNEL_GRID == [(k, c) for k in (10, 20, 40, 80) for c in (0.1, 1.0, 10.0)] and len(inference.KERNEL_FOLDS) == 5
+
+
+def test_a_machine_keeps_a_bounded_part_of_its_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, other = rng.normal(0, 1, (90, 4)), rng.normal(0, 1, (20, 4))
+    y = (x[:, 0] + rng.normal(0, 0.5, 90) > 0).astype(int)
+    want = models.KernelMachine(1.0).fit(x, y).probability(other)
+    sizes, kernel = [], models.KernelMachine._kernel
+    monkeypatch.setattr(models, "BLOCK_VALUES", 900)
+    monkeypatch.setattr(models.KernelMachine, "_kernel", lambda self, a, b: sizes.append(len(a) * len(b)) or kernel(self, a, b))
+    got = models.KernelMachine(1.0, kept=90 * 8 * 30).fit(x, y).probability(other)
+    assert np.abs(got - want).max() < 1e-9 and max(sizes) <= 900
+
+
+def test_a_task_trains_one_machine_of_a_cell(monkeypatch):
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"fold": [f"fold_{i % 5}" for i in range(60)], "truth": [i % 2 for i in range(60)], "x": [rng.normal(i % 2, 1, 3).tolist() for i in range(60)]})
+    train, trained, rows = models.KernelMachine._train, [], []
+    monkeypatch.setattr(models.KernelMachine, "_train", lambda self, x, y: trained.append(len(y)) or train(self, x, y))
+    for part in range(models.PARTS + 1):
+        at, margin = models._cell(frame, 2, 1.0, ["fold_0", "fold_1", "fold_2"], "fold_3", part)
+        rows.append(at.tolist())
+        assert len(trained) == part + 1 and len(at) == len(margin) == 12
+    assert sorted(sum(rows[:-1], [])) == np.flatnonzero(frame["fold"].isin(["fold_0", "fold_1", "fold_2"])).tolist()
+    assert rows[-1] == np.flatnonzero(frame["fold"] == "fold_3").tolist()
