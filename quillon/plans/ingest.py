@@ -103,16 +103,17 @@ def event_sessions(spark, d):
 
 @query("stream_log", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_log(spark, d):
-    """Running means of events that land in four files, kept in a log with a ledger of batches; a replay changes nothing."""
+    """Running means of events that land as four batches, kept in a log with a ledger of batches; a replay changes nothing."""
     from ..shared import fresh
     from ..streaming import ledger, live
 
     landed = fresh(spark, "landed")
     events = table(spark, d, "events").select("user_id", "value")
-    events.repartition(4, "value").write.parquet(landed)
+    files = max(1, spark.sparkContext.defaultParallelism // 4)  # of a batch
+    events.repartition(4 * files).write.parquet(landed)
     log, name = fresh(spark, "log"), "user_id"
     for checkpoint in (fresh(spark, "checkpoint"), fresh(spark, "checkpoint")):  # the second run sends every batch again
-        means = live.running_means(live.landing(spark, landed, events.schema))
+        means = live.running_means(live.landing(spark, landed, events.schema, files))
         ledger.start(means, log, name, checkpoint).awaitTermination()
     return ledger.latest(spark, log, name).select(name, "n", F.round(F.col("mean") * F.col("n"), 4).alias("total"))
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def landing(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -28,13 +24,5 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def running_means(events: DataFrame) -> DataFrame:
-    """After each batch, the mean so far of every key that the batch holds."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for frame in frames:
-            n, total = n + len(frame), total + float(frame["value"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [total / n if n else None]})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, mean double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    """After each batch, the mean so far of every key that the batch holds: the sum of its values by all its rows."""
+    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", "n", (F.col("total") / F.col("n")).alias("mean"))

@@ -57,3 +57,17 @@ def test_a_batch_is_committed_once(spark, tmp_path):
         ledger.append_once(log, "other")(one, 3)
     with pytest.raises(ValueError, match="no batch"):
         ledger.latest(spark, f"{log}-none", "user_id")
+
+
+def test_running_means_follow_sql(spark, tmp_path):
+    """A key without values has no mean; state is kept by the engine, not by a Python call a key."""
+    landed, log, checkpoint = (f"file://{tmp_path}/{n}" for n in ("landed", "log", "checkpoint"))
+    given = [(1, 1.0), (1, None), (2, None), (None, 3.0)]
+    for r in given:
+        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(landed)
+    means = live.running_means(live.landing(spark, landed, SCHEMA, 2))
+    query = ledger.start(means, log, "user_id", checkpoint)
+    query.awaitTermination()
+    assert ledger.committed(spark, log) == [0, 1]
+    assert {r.user_id: (r.n, r["mean"]) for r in ledger.latest(spark, log, "user_id").collect()} == {1: (2, 0.5), 2: (1, None), None: (1, 3.0)}
+    assert "InPandas" not in means._jdf.queryExecution().logical().toString()
