@@ -40,7 +40,6 @@ BROADCAST_LINES = 500_000
 _U = np.uint64
 _LAST = (1 << 63) - 1
 _GOLD = _U(0x9E3779B97F4A7C15)
-_MAPS = ["m0", "m1", "m2", "m3"]
 
 
 class _Lines:
@@ -81,13 +80,13 @@ class _Lines:
         return tx.mix(self._summed(tx.mix(self.tokens ^ _U(0x5851F42D4C957F2D))) + self.n.astype(_U)).view(np.int64)
 
     def maps(self) -> list[np.ndarray]:
-        """A 256-bit map of each line's tokens as four integers."""
-        bit, part = _U(1) << (self.tokens >> _U(58)), (self.tokens >> _U(56)) & _U(3)
-        return [np.bitwise_or.reduceat(np.where(part == _U(k), bit, _U(0)), self.offsets[:-1]).view(np.int64) if len(bit) else np.zeros(0, np.int64) for k in range(4)]
+        """A 128-bit map of each line's tokens as two integers."""
+        bit, part = _U(1) << (self.tokens >> _U(58)), (self.tokens >> _U(57)) & _U(1)
+        return [np.bitwise_or.reduceat(bit * (part == _U(k)), self.offsets[:-1]).view(np.int64) if len(bit) else np.zeros(0, np.int64) for k in range(2)]
 
 
-_LINES = "kind int, k1 long, k2 long, doc long, d1 long, d2 long, lines array<int>, n int, m0 long, m1 long, m2 long, m3 long"
-_LINE_NAMES = ["kind", "k1", "k2", "doc", "d1", "d2", "lines", "n", *_MAPS]
+_LINES = "kind int, k1 long, k2 long, doc long, d1 long, d2 long, lines array<int>, n int"
+_LINE_NAMES = ["kind", "k1", "k2", "doc", "d1", "d2", "lines", "n"]
 
 
 def _line_rows(min_words: int):
@@ -115,25 +114,46 @@ def _line_rows(min_words: int):
             k = len(first)
             if k:
                 row = doc[first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), *[pa.array(x) for x in (k1[row], k2[row], ids[row], d1[first], found.second()[first])], lists, pa.array(found.n[first].astype(np.int32)), *[pa.array(m[first]) for m in found.maps()]], names=_LINE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), *[pa.array(x) for x in (k1[row], k2[row], ids[row], d1[first], found.second()[first])], lists, pa.array(found.n[first].astype(np.int32))], names=_LINE_NAMES)
             count = np.bincount(doc, minlength=len(batch)).astype(np.int32)
             none, size = pa.nulls, len(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(k1), pa.array(k2), *[none(size, pa.int64())] * 3, none(size, lists.type), pa.array(count), *[none(size, pa.int64())] * 4], names=_LINE_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(k1), pa.array(k2), *[none(size, pa.int64())] * 3, none(size, lists.type), pa.array(count)], names=_LINE_NAMES)
         # the counters in blocks of as many
         size, none = 1 << (BITS // 2), pa.nulls
         cuts = pa.array(np.arange(0, len(total) + 1, size).astype(np.int32))
         packed = pa.ListArray.from_arrays(cuts, pa.array(np.minimum(total, 2**31 - 1).astype(np.int32)))
         k = len(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), *[none(k, pa.int64())] * 2, pa.array(np.arange(k)), *[none(k, pa.int64())] * 2, packed, pa.array(np.full(k, size, np.int32)), *[none(k, pa.int64())] * 4], names=_LINE_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), *[none(k, pa.int64())] * 2, pa.array(np.arange(k)), *[none(k, pa.int64())] * 2, packed, pa.array(np.full(k, size, np.int32))], names=_LINE_NAMES)
 
     return rows
 
 
-#: Postings, packed by bucket: a key's own 32 bits; of its line the first half of the digest, a folded map of 128 bits, the set's
-#: size, the key's place in the prefix, and the line's place (document, and hash of the text with the line's number).
-_PACKED = ["word int", "digest long", "a long", "b long", "n int", "p int", "doc long", "tie long"]
-_COLUMNS = [c.split()[0] for c in _PACKED]
-_POSTINGS = "bucket int, " + ", ".join("{} array<{}>".format(*c.split()) for c in _PACKED)
+#: Postings, rows of bytes by bucket: a key's own 32 bits; of its line the first half of the digest, a map of 128 bits, the set's
+#: size, the key's place in the prefix, and the line's place (document, hash of the text, number).
+_NARROW = np.dtype([("word", "<i4"), ("digest", "<i8"), ("a", "<i8"), ("b", "<i8"), ("n", "<u2"), ("p", "u1"), ("doc", "<u4"), ("hash", "<i4"), ("line", "<u2")])
+_WIDE = np.dtype([("word", "<i4"), ("digest", "<i8"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("p", "<i4"), ("doc", "<i8"), ("hash", "<i4"), ("line", "<i4")])
+_POSTINGS = "bucket int, wide boolean, packed binary"
+#: The same as columns, with the hash and the line's number in one.
+_COLUMN_TYPES = ["word int", "digest long", "a long", "b long", "n int", "p int", "doc long", "tie long"]
+_COLUMNS = [c.split()[0] for c in _COLUMN_TYPES]
+
+
+def _pack(c: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[bool, pa.Array]:
+    """Postings as bytes, a run from one cut to the next; wide ones if a value needs it."""
+    fits = lambda name: not len(c[name]) or (c[name].min() >= 0 and c[name].max() <= np.iinfo(_NARROW[name]).max)
+    wide = not all(fits(k) for k in ("n", "p", "doc", "line"))
+    rows = np.empty(len(c["word"]), _WIDE if wide else _NARROW)
+    for k in rows.dtype.names:
+        rows[k] = c[k]
+    places = (cuts * rows.dtype.itemsize).astype(np.int32)
+    return wide, pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(places), pa.py_buffer(rows)])
+
+
+def _unpack(raw: np.ndarray, wide: bool) -> dict[str, np.ndarray]:
+    rows = np.frombuffer(raw, _WIDE if wide else _NARROW)
+    c = {k: rows[k].astype(_WIDE[k]) for k in _COLUMNS[:-1]}
+    c["tie"] = (rows["hash"].astype(np.int64) << 32) | rows["line"]
+    return c
 
 
 def _prefixes(found: _Lines, lines: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,9 +191,9 @@ def _postings(shared, buckets: int, min_words: int, percent: int, most: int):
                 continue
             row = tx.row_of(at)[found.live]
             doc = batch.column("doc").to_numpy()[row]
-            tie = ((batch.column("k1").to_numpy()[row] >> 32) << 32) | (found.live - at[row])
-            digest, maps = found.digest(), found.maps()
-            a, b = maps[0] | maps[1], maps[2] | maps[3]
+            of_text, number = batch.column("k1").to_numpy()[row] >> 32, found.live - at[row]
+            tie = (of_text << 32) | number
+            digest, (a, b) = found.digest(), found.maps()
             # each class once in a chunk, at its earliest place
             order = np.lexsort((tie, doc, digest))
             lone = order[tx.run_starts(digest[order])]
@@ -182,9 +202,9 @@ def _postings(shared, buckets: int, min_words: int, percent: int, most: int):
             order = np.argsort(bucket, kind="stable")
             line, key, place, bucket = line[order], key[order], place[order], bucket[order]
             start = tx.run_starts(bucket)
-            cuts = pa.array(np.append(start, len(bucket)).astype(np.int32))
-            columns = [key.astype(np.uint32).view(np.int32), digest[line], a[line], b[line], found.n[line].astype(np.int32), place.astype(np.int32), doc[line], tie[line]]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *[pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns]], names=["bucket", *_COLUMNS])
+            columns = {"word": key.astype(np.uint32).view(np.int32), "digest": digest[line], "a": a[line], "b": b[line], "n": found.n[line], "p": place, "doc": doc[line], "hash": of_text[line], "line": number[line]}
+            wide, packed = _pack(columns, np.append(start, len(bucket)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array(np.full(len(start), wide)), packed], names=["bucket", "wide", "packed"])
 
     return post
 
@@ -201,7 +221,7 @@ def _may_match(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent:
 
 
 #: A pair (u before v), or a row of a group in which rows have more candidates; ``more`` marks those.
-_MET = "u long, v long, bucket int, " + ", ".join(_PACKED) + ", more boolean"
+_MET = "u long, v long, bucket int, " + ", ".join(_COLUMN_TYPES) + ", more boolean"
 
 
 def _groups(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -264,9 +284,6 @@ def _meet(low: int, high: int, percent: int):
     round, without such a column, all rows do.
     """
 
-    def values(column) -> np.ndarray:
-        return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
-
     def flush(bucket: int, parts: list[dict[str, np.ndarray]]):
         c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         if "asks" in c:
@@ -297,14 +314,20 @@ def _meet(low: int, high: int, percent: int):
         now, parts = None, []
         for batch in batches:
             buckets = batch.column("bucket").to_numpy()
-            cuts = [*tx.run_starts(buckets).tolist(), len(buckets)]
+            packed = "packed" in batch.schema.names
+            if packed:
+                raw, places = tx.byte_view(batch.column("packed"))
+                wide = batch.column("wide").to_numpy(zero_copy_only=False)
+            cuts = [*tx.run_starts(buckets * 2 + wide if packed else buckets).tolist(), len(buckets)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if parts and buckets[a] != now:
                     yield from flush(now, parts)
                     parts = []
                 now = int(buckets[a])
-                some = batch.slice(a, b - a)
-                parts.append({k: values(some.column(k)) for k in some.schema.names if k != "bucket"})
+                if packed:
+                    parts.append(_unpack(raw[places[a] : places[b]], wide[a]))
+                else:
+                    parts.append({k: batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in batch.schema.names if k != "bucket"})
         if parts:
             yield from flush(now, parts)
         tx.trim()
@@ -341,13 +364,11 @@ def _confirm(percent: int):
 
 def _matches(met: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, min_words: int) -> DataFrame:
     """(d1, d2) of the classes that an earlier one matches, of candidate pairs (u, v) by first digest halves."""
-    columns = ["d1", "d2", "k1", "k2", "doc", "tie", "n", *_MAPS]
+    columns = ["d1", "d2", "k1", "k2", "doc", "tie"]
     of = lambda s: classes.select(*[F.col(c).alias(f"{s}_{c}") for c in columns])
-    apart = sum((F.bit_count(F.col(f"u_{m}").bitwiseXOR(F.col(f"v_{m}"))) for m in _MAPS), F.lit(0))
-    near = apart * (100 + percent) <= (F.col("u_n") + F.col("v_n")) * (100 - percent)
     before = F.struct("u_doc", "u_tie", "u_d1", "u_d2") < F.struct("v_doc", "v_tie", "v_d1", "v_d2")
     pairs = met.filter("u IS NOT NULL").select("u", "v").distinct()
-    joined = pairs.join(of("v"), F.col("v") == F.col("v_d1")).join(of("u"), F.col("u") == F.col("u_d1")).filter(near & before)
+    joined = pairs.join(of("v"), F.col("v") == F.col("v_d1")).join(of("u"), F.col("u") == F.col("u_d1")).filter(before)
     kept = write_table(joined.select(*[f"{s}_{c}" for s in "uv" for c in ("d1", "d2", "k1", "k2", "tie")]), "pairs")
     end = lambda s: kept.select(*[F.col(f"{s}_{c}").alias(c) for c in ("k1", "k2", "tie")])
     wanted = end("u").unionByName(end("v")).distinct().withColumn("line", F.col("tie").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
@@ -380,8 +401,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     lines = rows.filter("kind = 0").drop("kind")
     tie = F.shiftleft(F.shiftright("k1", 32), 32).bitwiseOR(F.col("lines")[0].cast("long"))
     first = F.min(F.struct("doc", tie.alias("tie"), "k1", "k2"))
-    classes = lines.groupBy("d1", "d2").agg(first.alias("at"), F.count("*").alias("holders"), F.max(F.size("lines")).alias("most"), *[F.max(c).alias(c) for c in ("n", *_MAPS)])
-    classes = write_table(classes.select("d1", "d2", "at.*", "n", "holders", "most", *_MAPS), "classes")
+    classes = lines.groupBy("d1", "d2").agg(first.alias("at"), F.count("*").alias("holders"), F.max(F.size("lines")).alias("most"))
+    classes = write_table(classes.select("d1", "d2", "at.*", "holders", "most"), "classes")
 
     buckets = 8 * max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     postings = texts.mapInArrow(_postings(shared, buckets, min_words, percent, HOT_LINES), _POSTINGS)

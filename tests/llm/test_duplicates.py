@@ -225,3 +225,21 @@ def test_limits_act_on_the_shipped_tables(spark):
     got = registry.QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01")
     assert got.filter("boilerplate_words > 0").count() >= 10
     assert got.filter("NOT base_failed AND NOT kept").count() == 0  # no clean document of these is depleted
+
+
+def test_a_posting_is_a_few_bytes_and_comes_back_whole():
+    """41 bytes a posting where ids and sizes are usual; any id, place or size comes back as it was."""
+    big = {"n": 1 << 20, "p": 300, "doc": (1 << 63) - 1, "line": 70_000}
+    usual = {"word": [-5, 7, 8], "digest": [-1, 2, 1 << 62], "a": [-1, 0, 3], "b": [4, -9, 1], "n": [3, 411, 65_535], "p": [0, 255, 9], "doc": [0, 5, 2**32 - 1], "hash": [-(2**31), 2**31 - 1, 0], "line": [0, 65_535, 2]}
+    for changed in (None, *big):
+        c = {k: np.array(v, np.int64) for k, v in usual.items()}
+        if changed:
+            c[changed][1] = big[changed]
+        wide, packed = linejoin._pack(c, np.array([0, 1, 3]))
+        assert wide == bool(changed) and len(packed) == 2
+        if not wide:
+            assert len(packed[1].as_py()) == 2 * 41
+        found = [linejoin._unpack(np.frombuffer(x.as_py(), np.uint8), wide) for x in packed]
+        found = {k: np.concatenate([f[k] for f in found]) for k in linejoin._COLUMNS}
+        assert all((found[k] == c[k]).all() for k in linejoin._COLUMNS[:-1])
+        assert (found["tie"] == (c["hash"] << 32 | c["line"])).all()
