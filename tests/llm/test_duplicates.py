@@ -1,8 +1,12 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 from cases import awkward, base_counts, docs, lowered, near_components, removed_lines
 from pyspark.sql import functions as F
 
 from quillon.llm import components, linejoin, minhash, quality, registry
+from quillon.llm import text as tx
 
 
 def test_quality_counts_and_verdicts(spark):
@@ -243,3 +247,60 @@ def test_a_posting_is_a_few_bytes_and_comes_back_whole():
         found = {k: np.concatenate([f[k] for f in found]) for k in linejoin._COLUMNS}
         assert all((found[k] == c[k]).all() for k in linejoin._COLUMNS[:-1])
         assert (found["tie"] == (c["hash"] << 32 | c["line"])).all()
+
+def test_words_of_lines_come_from_the_bytes():
+    """The same words, lines and rows as split and tokenised texts have, whatever the bytes."""
+    rng = random.Random(3)
+    parts = [" ", "\n", "\t", "\x0b", "\x0c", "\r", "a", "B", "é", "漢", "\x00", "\x1f", "\x85", "\xa0", "Z", "z", "x" * 70, "K" * 70, "q" * 70_000]
+    for k in range(60):
+        column = pa.array(["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 3, 20]))) for _ in range(rng.choice([0, 1, 3, 8]))], pa.string())
+        column = column.slice(1) if k % 2 and len(column) else column
+        hashed, line, at = tx.line_words(column, 51)
+        lines, places = tx.split_lines(column)
+        words = tx.tokenise(lines, lower=True)
+        assert (at == places).all() and (line == tx.row_of(words.offsets)).all()
+        names = [words.words[int(c)].as_py() for c in words.codes]
+        assert len(set(names)) == len(set(hashed.tolist())) == len(set(zip(names, hashed.tolist(), strict=True)))
+
+
+def test_an_equal_line_is_settled_in_its_chunk():
+    """Copies of a line leave one holder a chunk, the others go there and then; lines of equal rows are the same lines."""
+    texts = ["one two three four", "other words stand here\none two three four", "one two three four", "ONE two three\tfour one"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 7, 9]), pa.array([1, 2, 1, 3]), pa.array([5, 6, 5, 4]), pa.array(texts)], names=["doc", "k1", "k2", "text"])
+
+    class Shared:
+        value = np.ones(1 << linejoin.BITS, np.int32)
+
+    out = pa.Table.from_batches(list(linejoin._postings(Shared, 4, 3, 80, 4096)(iter([batch])))).to_pylist()
+    holders = np.concatenate([np.frombuffer(r["packed"], linejoin._HOLDER) for r in out if r["kind"] == 2])
+    assert sorted((r["doc"], r["line"]) for r in holders) == [(7, 0), (8, 0)]
+    gone = np.concatenate([np.frombuffer(r["packed"], linejoin._GONE) for r in out if r["kind"] == 3])
+    assert sorted((r["k1"], r["k2"], r["line"]) for r in gone) == [(2, 6, 1), (3, 4, 0)]
+    # two chunks meet: the later holder of each class goes
+    twice = [r | {"bucket": 0} for r in out if r["kind"] == 2] + [{"bucket": 0, "kind": 2, "packed": np.array([(*h.tolist()[:2], 11, 12, 13, 14) for h in holders], linejoin._HOLDER).tobytes()}]
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary())])
+    met = pa.Table.from_batches(list(linejoin._meet(0, 8, 80)(iter(pa.Table.from_pylist(twice, schema).combine_chunks().to_batches())))).to_pylist()
+    assert [(r["kind"], r["k1"], r["k2"], r["line"]) for r in met] == [(2, 12, 13, 14)] * 2
+
+
+def test_orders_settle_equal_keys():
+    rng = np.random.default_rng(5)
+    key, a, b = (rng.integers(0, 6, 500) for _ in range(3))
+    got = linejoin._settled(key.astype(np.uint64), a, b)
+    want = np.lexsort((b, a, key))
+    assert all((x[got] == x[want]).all() for x in (key, a, b))
+    line, token = np.sort(key), rng.integers(0, 4, 500).astype(np.uint64)
+    for most in (1, 5, 1 << 31, 1 << 60):
+        number = rng.integers(0, most, 500)
+        got, want = linejoin._by_line(line, number, token), np.lexsort((token, number, line))
+        assert all((x[got] == x[want]).all() for x in (line, number, token))
+
+
+def test_line_join_reads_no_table_of_classes(spark, monkeypatch):
+    """Every line once more as a row of tables was half of the time: pairs carry the places of their classes instead."""
+    names, write = [], linejoin.write_table
+    monkeypatch.setattr(linejoin, "write_table", lambda df, name: names.append((name, df.columns)) or write(df, name))
+    texts = [(1, "a b c d e\nx y z"), (2, "a b c d e\na b c d f g h i j k"), (3, "a b c d f g h i j k l\nx y Z"), (3, "a b c d f g h i j k l\nx y Z"), (None, "X y z"), (4, None)]
+    _, removed = linejoin.removed_lines(docs(spark, [(i, t, "en", "s", 0, "h", 1, "w") for i, t in texts]))
+    assert sorted(r.removed for r in removed.collect()) == [[0], [0], [0, 1]]
+    assert "classes" not in [n for n, _ in names] and "lines" not in dict(names)["lines"]
